@@ -21,8 +21,17 @@ def step_to_next(w) -> Column:
                   F.lead("ball_y").over(w) - F.col("ball_y"))
 
 
-def everyone() -> Column:
-    return F.concat(F.col("left"), F.col("right"))
+SQUAD = 11
+
+
+def everyone() -> list[Column]:
+    """The 22 players as separate columns.
+
+    Written out one by one so that distances stay in generated code: a lambda over the array
+    is interpreted per element and costs several times more. A missing player is null, and
+    least, coalesce and the counts skip it.
+    """
+    return [F.get(F.col(side), F.lit(i)) for side in ("left", "right") for i in range(SQUAD)]
 
 
 def squared_to_ball(p: Column) -> Column:
@@ -37,25 +46,39 @@ def metres_to_ball(p: Column, unit: float) -> Column:
 
 
 def nearest_metres(unit: float) -> Column:
-    return F.array_min(F.transform(everyone(), lambda p: metres_to_ball(p, unit)))
+    return F.least(*[metres_to_ball(p, unit) for p in everyone()])
+
 
+def nearest_squared() -> Column:
+    return F.least(*[squared_to_ball(p) for p in everyone()])
 
-def nearest_distance() -> Column:
-    return F.sqrt(F.array_min(F.transform(everyone(), squared_to_ball)).cast("double"))
+
+def _count(tests: list[Column]) -> Column:
+    total = F.lit(0).cast("bigint")
+    for t in tests:
+        total = total + F.when(t, F.lit(1)).otherwise(F.lit(0))
+    return total
 
 
 def near_count(radius: float, unit: float) -> Column:
-    r2 = F.lit(float(radius * unit) ** 2)
-    return F.size(F.filter(everyone(), lambda p: squared_to_ball(p) < r2)).cast("bigint")
+    r2 = F.lit(round((radius * unit) ** 2, 9))
+    return _count([squared_to_ball(p) < r2 for p in everyone()])
+
+
+def home_counts() -> tuple[Column, Column]:
+    """Players of each side in their own half."""
+    squad = everyone()
+    return (_count([p["x"] < 0 for p in squad[:SQUAD]]),
+            _count([p["x"] > 0 for p in squad[SQUAD:]]))
 
 
 def nearest_player() -> Column:
     """struct(d2, team, slot) of the closest player; ties go to the lowest team, slot."""
-    def tagged(side: str, team: int) -> Column:
-        return F.transform(F.col(side), lambda p, i: F.struct(
-            squared_to_ball(p).alias("d2"), F.lit(team).cast("bigint").alias("team"),
-            i.cast("bigint").alias("slot")))
-    return F.array_min(F.concat(tagged("left", 0), tagged("right", 1)))
+    return F.array_min(F.array(*[
+        F.when(p.isNotNull(), F.struct(
+            squared_to_ball(p).alias("d2"), F.lit(k // SQUAD).cast("bigint").alias("team"),
+            F.lit(k % SQUAD).cast("bigint").alias("slot")))
+        for k, p in enumerate(everyone())]))
 
 
 def in_goal(unit: float) -> Column:

@@ -1,3 +1,4 @@
 """All registered queries."""
 from matchlens.plans.registry import QUERIES  # noqa: F401
 from matchlens.plans import q_windows  # noqa: F401
+from matchlens.plans import q_events  # noqa: F401

@@ -37,12 +37,13 @@ def frames(spark, sf) -> DataFrame:
 
 def _side(team: int) -> Column:
     s = -1 if team == 0 else 1
-    return F.expr(f"""transform(sequence(0L, 10L), i -> case
-        when owned_team = {team} and owned_player = i
-          then named_struct('x', ball_x + 5, 'y', ball_y + 5)
-        when i = 0 then named_struct('x', {s * 950}L, 'y', 0L)
-        else named_struct('x', {s}L * (50 + 70 * i - 3 * __ph),
-                          'y', (97 * i + 13 * __m) % 801 - 400) end)""")
+    spots = [f"named_struct('x', {s * 950}L, 'y', 0L)"] + [
+        f"named_struct('x', {s}L * ({50 + 70 * i} - 3 * __ph), 'y', ({97 * i} + 13 * __m) % 801"
+        " - 400)" for i in range(1, 11)]
+    all_spots = f"array({', '.join(spots)})"
+    return F.expr(f"""case when owned_team = {team} then transform({all_spots}, (p, i) ->
+        case when i = owned_player then named_struct('x', ball_x + 5, 'y', ball_y + 5) else p
+        end) else {all_spots} end""")
 
 
 def track(df: DataFrame, play: str = "match_id") -> DataFrame:

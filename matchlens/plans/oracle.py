@@ -14,7 +14,11 @@ VIEWS: dict[str, str] = {
         (frame+11*play)%97 AS g, (frame+11*play)//97 AS gi,
         greatest(0,(frame+37*play)%173-12) AS q FROM phases""",
     "legs2": "SELECT *, CASE WHEN q<=78 THEN q ELSE 156-q END AS r FROM legs",
-    "trace": """SELECT match_id, frame, play, ph,
+    "trace": """SELECT match_id, frame, play, ph, ball_x::BIGINT AS ball_x, ball_y::BIGINT AS ball_y,
+        ball_z::BIGINT AS ball_z, owned_team::BIGINT AS owned_team,
+        owned_player::BIGINT AS owned_player, game_mode::BIGINT AS game_mode, score_l, score_r
+        FROM rawtrace""",
+    "rawtrace": """SELECT match_id, frame, play, ph,
         CASE k WHEN 0 THEN sg*(990-3*r) WHEN 1 THEN sg*(3*r-300) ELSE sg*3*r END AS ball_x,
         CASE k WHEN 0 THEN 410-2*q WHEN 1 THEN 2*q-150 ELSE 2*q END AS ball_y,
         CASE WHEN g BETWEEN 40 AND 55 THEN 1300 ELSE
