@@ -2,3 +2,4 @@
 from matchlens.plans.registry import QUERIES  # noqa: F401
 from matchlens.plans import q_windows  # noqa: F401
 from matchlens.plans import q_events  # noqa: F401
+from matchlens.plans import q_grading, q_grid  # noqa: F401

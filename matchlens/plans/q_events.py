@@ -179,7 +179,7 @@ def _(spark, sf):
     return E.goals(X.trace(spark, sf), unit=U)
 
 
-@query("headers_after_restart", "J17", with_views("""SELECT a.*, followers, first_follower,
+@query("headers_after_restart", "J17", with_views("""SELECT a.*,
     sqrt(((e.ball_x-o.ball_x)*(e.ball_x-o.ball_x)+(e.ball_y-o.ball_y)*(e.ball_y-o.ball_y)
     )::DOUBLE)/1000.0::DOUBLE AS travel, coalesce((SELECT max(z.ball_z) FROM trace z WHERE
     z.match_id=a.match_id AND z.frame>=a.frame AND z.frame<least(n-1,a.frame+90)),0)
