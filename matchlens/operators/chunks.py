@@ -75,24 +75,29 @@ def carry_last(df: DataFrame, values: dict[str, Column], key: str | list[str] =
     return out
 
 
-def running_sum(df: DataFrame, values: dict[str, Column], key: str | list[str] = "match_id",
-                frame: str = "frame") -> DataFrame:
-    """Add, per output name, the running total up to and including each row."""
+def running(df: DataFrame, values: dict[str, tuple[str, Column]],
+            key: str | list[str] = "match_id", frame: str = "frame") -> DataFrame:
+    """Add, per output name, the running "sum" or "max" up to and including each row.
+
+    ``df`` must hold its chunk column with core rows only. Empty history counts as zero.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     names = list(values)
-    staged = df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
+    agg = {"sum": F.sum, "max": F.max}
+    join = {"sum": lambda a, b: a + b, "max": F.greatest}
+    staged = df.select("*", *[v.alias(f"__v_{n}") for n, (_, v) in values.items()])
     per_chunk = staged.groupBy(*keys, CHUNK).agg(*[
-        F.sum(f"__v_{n}").alias(f"__c_{n}") for n in names])
+        agg[how](f"__v_{n}").alias(f"__c_{n}") for n, (how, _) in values.items()])
     earlier = (Window.partitionBy(*keys).orderBy(CHUNK)
                .rowsBetween(Window.unboundedPreceding, -1))
     carried = per_chunk.select(*keys, CHUNK, *[
-        F.coalesce(F.sum(f"__c_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}")
-        for n in names])
+        F.coalesce(agg[how](f"__c_{n}").over(earlier), F.lit(0)).alias(f"__c_{n}")
+        for n, (how, _) in values.items()])
     upto = along(keys, frame).rowsBetween(Window.unboundedPreceding, 0)
     joined = staged.join(carried, [*keys, CHUNK])
     return joined.select(*[c for c in df.columns if c not in names], *[
-        (F.coalesce(F.sum(f"__v_{n}").over(upto), F.lit(0)) + F.col(f"__c_{n}")).alias(n)
-        for n in names])
+        join[how](F.coalesce(agg[how](f"__v_{n}").over(upto), F.lit(0)),
+                  F.col(f"__c_{n}")).alias(n) for n, (how, _) in values.items()])
 
 
 def number_rows(df: DataFrame, order: list[str], bucket: Column, name: str = "k",
