@@ -4,3 +4,4 @@ from matchlens.plans import q_windows  # noqa: F401
 from matchlens.plans import q_events  # noqa: F401
 from matchlens.plans import q_grading, q_grid  # noqa: F401
 from matchlens.plans import q_joins, q_measure  # noqa: F401
+from matchlens.plans import q_report  # noqa: F401
