@@ -24,61 +24,56 @@ def step_to_next(w) -> Column:
 SQUAD = 11
 
 
-def everyone() -> list[Column]:
-    """The 22 players as separate columns.
+def everyone() -> list[str]:
+    """The 22 players as separate SQL terms.
 
     Written out one by one so that distances stay in generated code: a lambda over the array
-    is interpreted per element and costs several times more. A missing player is null, and
-    least, coalesce and the counts skip it.
+    is interpreted per element and costs several times more. They are text because one parsed
+    expression is much cheaper to set up than hundreds of Column calls. A missing player is
+    null, and least and the counts skip it.
     """
-    return [F.get(F.col(side), F.lit(i)) for side in ("left", "right") for i in range(SQUAD)]
+    return [f"get(`{side}`, {i})" for side in ("left", "right") for i in range(SQUAD)]
 
 
-def squared_to_ball(p: Column) -> Column:
-    dx, dy = p["x"] - F.col("ball_x"), p["y"] - F.col("ball_y")
-    return dx * dx + dy * dy
+def _squared(p: str) -> str:
+    return f"(({p}.x - ball_x) * ({p}.x - ball_x) + ({p}.y - ball_y) * ({p}.y - ball_y))"
 
 
-def metres_to_ball(p: Column, unit: float) -> Column:
-    dx = (p["x"] - F.col("ball_x")) * F.lit(METRES_X)
-    dy = (p["y"] - F.col("ball_y")) * F.lit(METRES_Y)
-    return F.sqrt(dx * dx + dy * dy) / F.lit(float(unit))
+def _metres(p: str, unit: float) -> str:
+    dx, dy = f"(({p}.x - ball_x) * {METRES_X!r}D)", f"(({p}.y - ball_y) * {METRES_Y!r}D)"
+    return f"sqrt({dx} * {dx} + {dy} * {dy}) / {float(unit)!r}D"
 
 
 def nearest_metres(unit: float) -> Column:
-    return F.least(*[metres_to_ball(p, unit) for p in everyone()])
+    return F.expr(f"least({', '.join(_metres(p, unit) for p in everyone())})")
 
 
 def nearest_squared() -> Column:
-    return F.least(*[squared_to_ball(p) for p in everyone()])
+    return F.expr(f"least({', '.join(_squared(p) for p in everyone())})")
 
 
-def _count(tests: list[Column]) -> Column:
-    total = F.lit(0).cast("bigint")
-    for t in tests:
-        total = total + F.when(t, F.lit(1)).otherwise(F.lit(0))
-    return total
+def count_of(tests: list[str]) -> Column:
+    """How many of the SQL predicates hold, as a bigint."""
+    return F.expr(" + ".join(["0L", *(f"if({t}, 1L, 0L)" for t in tests)]))
 
 
 def near_count(radius: float, unit: float) -> Column:
-    r2 = F.lit(round((radius * unit) ** 2, 9))
-    return _count([squared_to_ball(p) < r2 for p in everyone()])
+    r2 = round((radius * unit) ** 2, 9)
+    return count_of([f"{_squared(p)} < {r2!r}D" for p in everyone()])
 
 
 def home_counts() -> tuple[Column, Column]:
     """Players of each side in their own half."""
     squad = everyone()
-    return (_count([p["x"] < 0 for p in squad[:SQUAD]]),
-            _count([p["x"] > 0 for p in squad[SQUAD:]]))
+    return (count_of([f"{p}.x < 0" for p in squad[:SQUAD]]),
+            count_of([f"{p}.x > 0" for p in squad[SQUAD:]]))
 
 
 def nearest_player() -> Column:
     """struct(d2, team, slot) of the closest player; ties go to the lowest team, slot."""
-    return F.array_min(F.array(*[
-        F.when(p.isNotNull(), F.struct(
-            squared_to_ball(p).alias("d2"), F.lit(k // SQUAD).cast("bigint").alias("team"),
-            F.lit(k % SQUAD).cast("bigint").alias("slot")))
-        for k, p in enumerate(everyone())]))
+    entries = [f"if({p} is null, null, named_struct('d2', {_squared(p)}, 'team', {k // SQUAD}L,"
+               f" 'slot', {k % SQUAD}L))" for k, p in enumerate(everyone())]
+    return F.expr(f"array_min(array({', '.join(entries)}))")
 
 
 def in_goal(unit: float) -> Column:

@@ -62,6 +62,11 @@ def pitch_to_pixel(x: Column, y: Column) -> tuple[Column, Column]:
     return _whole(px), _whole(py)
 
 
+def pixel_row_sql(y: str) -> str:
+    """The pixel row of pitch_to_pixel as SQL text, for expressions over many players."""
+    return f"cast({float(PAD_Y)}D + ({y} + 0.42D) / 0.84D * {RENDER_H - 2 * PAD_Y} as bigint)"
+
+
 def pixel_bin(x: Column, y: Column) -> tuple[Column, Column]:
     px, py = pitch_to_pixel(x, y)
     col = clamp(_whole(F.floor(px / BIN)), 0, BIN_COLS - 1)

@@ -3,22 +3,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchlens.functions import geometry as G, grid
 from matchlens.operators import chunks
 
 SLOTS = 22
 
 
-def count_over(values: Column, threshold, lo: int = 0, hi: int = SLOTS) -> Column:
-    """How many slots lo..hi-1 of an array reach the threshold."""
-    total = F.lit(0).cast("bigint")
-    for i in range(lo, hi):
-        total = total + F.when(F.get(values, F.lit(i)) >= threshold, 1).otherwise(0)
-    return total
+def count_over(values: str, threshold, lo: int = 0, hi: int = SLOTS) -> Column:
+    """How many slots lo..hi-1 of an array column reach the threshold."""
+    return G.count_of([f"get({values}, {i}) >= {threshold}" for i in range(lo, hi)])
 
 
 def people(inshot: DataFrame, threshold: int = 25) -> DataFrame:
     """People in shot per frame: all, by team, keepers."""
-    b = F.col("body")
+    b = "body"
     return inshot.select(
         "match_id", "frame", count_over(b, threshold).alias("people"),
         count_over(b, threshold, 0, 11).alias("team_blue"),
@@ -69,9 +67,8 @@ def clip_means(counts: DataFrame) -> DataFrame:
 def churn(inshot: DataFrame, threshold: int = 25) -> DataFrame:
     """Mean absolute change of the head count between frames, and single entries and exits."""
     w = chunks.along()
-    mask = F.lit(0).cast("bigint")
-    for i in range(SLOTS):
-        mask = mask + F.when(F.get("body", F.lit(i)) >= threshold, 1 << i).otherwise(0)
+    mask = F.expr(" + ".join(f"if(get(body, {i}) >= {threshold}, {1 << i}L, 0L)"
+                             for i in range(SLOTS)))
     body = chunks.reach(inshot.select("match_id", "frame", mask.alias("mask")), 1, 0)
     before = F.lag("mask").over(w)
     body = chunks.core(body.select(
@@ -84,7 +81,7 @@ def churn(inshot: DataFrame, threshold: int = 25) -> DataFrame:
 
 def sensitivity(inshot: DataFrame, thresholds=(1, 10, 25, 50, 100)) -> DataFrame:
     """Mean head count per threshold; one pass, one partial row per task."""
-    wide = inshot.agg(*[F.avg(count_over(F.col("body"), t)).alias(str(t)) for t in thresholds])
+    wide = inshot.agg(*[F.avg(count_over("body", t)).alias(str(t)) for t in thresholds])
     return wide.select(F.explode(F.array(*[F.struct(
         F.lit(t).cast("bigint").alias("threshold"), F.round(F.col(f"`{t}`"), 6).alias("mean"))
         for t in thresholds])).alias("r")).select("r.*")
@@ -109,27 +106,23 @@ def occupancy(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def region_count(trace: DataFrame, y_lo: int, y_hi: int, unit: float = 1.0) -> DataFrame:
     """Players per frame whose projected pixel row lies in the band, both ends included."""
-    from matchlens.functions import geometry as G, grid
-    total = F.lit(0).cast("bigint")
-    for p in G.everyone():
-        _, py = grid.pitch_to_pixel(p["x"] / float(unit), p["y"] / float(unit))
-        total = total + F.when(py.between(y_lo, y_hi), 1).otherwise(0)
-    return trace.select("match_id", "frame", total.alias("in_band"))
+    tests = [f"{grid.pixel_row_sql(f'{p}.y / {float(unit)!r}D')} between {y_lo} and {y_hi}"
+             for p in G.everyone()]
+    return trace.select("match_id", "frame", G.count_of(tests).alias("in_band"))
+
+
+def team_mean(team: int, axis: str, unit: float = 1.0) -> Column:
+    """Mean coordinate of the players of one side; missing players do not count."""
+    part = G.everyone()[G.SQUAD * team:G.SQUAD * (team + 1)]
+    total = " + ".join(["0.0D", *(f"coalesce({p}.{axis}, 0)" for p in part)])
+    n = " + ".join(["0", *(f"if({p} is null, 0, 1)" for p in part)])
+    return F.expr(f"({total}) / ({n}) / {float(unit)!r}D")
 
 
 def centroids(trace: DataFrame, unit: float = 1.0) -> DataFrame:
-    from matchlens.functions import geometry as G
-    squad = G.everyone()
-
-    def mean(side, axis):
-        part = squad[:11] if side == 0 else squad[11:]
-        total, n = F.lit(0.0), F.lit(0)
-        for p in part:
-            total = total + F.coalesce(p[axis], F.lit(0))
-            n = n + F.when(p.isNotNull(), 1).otherwise(0)
-        return F.round(total / n / F.lit(float(unit)), 6)
-    return trace.select("match_id", "frame", mean(0, "x").alias("a_x"), mean(0, "y").alias("a_y"),
-                        mean(1, "x").alias("b_x"), mean(1, "y").alias("b_y"))
+    return trace.select("match_id", "frame", *[
+        F.round(team_mean(team, axis, unit), 6).alias(f"{name}_{axis}")
+        for team, name in ((0, "a"), (1, "b")) for axis in "xy"])
 
 
 # --- pixels: one row per pixel, both passes side by side (vis_*, inv_*) ---

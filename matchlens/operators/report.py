@@ -54,7 +54,7 @@ def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: flo
     rows = clip_frames(
         clips, trace.withColumn("near_n", G.near_count(C.NEAR_RADIUS, unit)), clip - 1,
         [metre_step().alias("step_m"), previous_holder(clip).alias("prev_held")])
-    shown = inshot.select("match_id", "frame", M.count_over(F.col("body"), body_px).alias("people"))
+    shown = inshot.select("match_id", "frame", M.count_over("body", body_px).alias("people"))
     rows = rows.join(shown, ["match_id", "frame"], "left")
     point = F.struct("ball_x", "ball_y")
     agg = rows.groupBy(*CLIP).agg(
@@ -194,13 +194,6 @@ def scene_frames(clips: DataFrame, trace: DataFrame, *, unit: float = 1.0, fps:
         ball = F.when(j < hide_after, ball)
     near = G.nearest_player()
     owner = F.when(F.col("owned_team") == 0, "A").when(F.col("owned_team") == 1, "B")
-    squad = G.everyone()
-
-    def centre(part, axis):
-        total = F.lit(0.0)
-        for p in part:
-            total = total + p[axis]
-        return r(total / len(part) / u)
     frame = F.struct(
         j.alias("frame"), F.col("frame").alias("engine_frame"),
         F.round(j / float(fps), 3).alias("t"),
@@ -214,8 +207,8 @@ def scene_frames(clips: DataFrame, trace: DataFrame, *, unit: float = 1.0, fps:
                           near["slot"].cast("string")).alias("id"),
                  r(F.sqrt(near["d2"].cast("double")) / u).alias("distance"))
         .alias("nearest_player_to_ball"),
-        F.struct(F.array(centre(squad[:11], "x"), centre(squad[:11], "y")).alias("A"),
-                 F.array(centre(squad[11:], "x"), centre(squad[11:], "y")).alias("B"))
+        F.struct(*[F.array(r(M.team_mean(t, "x", unit)), r(M.team_mean(t, "y", unit))).alias(n)
+                   for t, n in ((0, "A"), (1, "B"))])
         .alias("team_centroid"),
         ball.alias("ball"))
     return rows.select(*CLIP, frame.alias("f"))
@@ -247,7 +240,7 @@ def grid_heatmap(cells: DataFrame, cols: int = C.GRID_COLS, rows: int = C.GRID_R
     sets = sets.select(level.alias("level"), "row", "col", "n")
     spark = cells.sparkSession
     dense = (spark.range(rows).select(F.col("id").alias("row"), F.explode(
-        F.sequence(F.lit(0), F.lit(cols - 1))).cast("bigint").alias("col"))
+        F.expr(f"sequence(0L, {cols - 1}L)")).alias("col"))
         .select(F.lit("cell").alias("level"), "row", "col")
         .unionByName(spark.range(rows).select(F.lit("row").alias("level"),
                                               F.col("id").alias("row"),

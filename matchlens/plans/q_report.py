@@ -176,7 +176,7 @@ def _(spark, sf):
     'throwin','penalty'])[game_mode+1] AS game_mode, owned_team<0 AS loose,
     CASE owned_team WHEN 0 THEN 'A' WHEN 1 THEN 'B' END || owned_player AS holder,
     (['A','B'])[n.team+1] || n.slot AS nearest, round(sqrt(n.d2::DOUBLE)/1000.0::DOUBLE,4) AS distance,
-    CASE WHEN t.frame-k.start<25 THEN round(ball_x/1000.0::DOUBLE,4) END AS ball_x,
+    CASE WHEN t.frame-k.start<25 THEN round(t.ball_x/1000.0::DOUBLE,4) END AS ball_x,
     CASE WHEN t.frame-k.start<25 THEN round((ball_z-coalesce(pz,ball_z))*25/1000.0::DOUBLE,4) END
     AS ball_vz, round(cx,4) AS centroid_a_x, round(cy,4) AS centroid_b_y FROM clips k JOIN (SELECT *, lag(ball_z)
     OVER (PARTITION BY match_id ORDER BY frame) AS pz FROM trace) t ON t.match_id=k.match_id AND
@@ -240,9 +240,9 @@ def _(spark, sf):
 @query("spread_before_after", "A13", with_views(f"""SELECT batch, sum(n)::BIGINT AS n, count(*) AS
     occupied, max(n) AS top, max(n)*100.0::DOUBLE/sum(n) AS top_pct, count(DISTINCT row) AS
     rows_used, count(DISTINCT col) AS cols_used, any_value(sx) AS px_sd, any_value(sy) AS py_sd
-    FROM (SELECT batch, row, col, count(*) AS n FROM both GROUP BY 1,2,3) JOIN (SELECT batch,
-    round(stddev_pop(px),6) AS sx, round(stddev_pop(py),6) AS sy FROM both GROUP BY 1)
-    USING (batch) GROUP BY 1""", both=f"""SELECT batch, px, py, ascii(crow)-65 AS row,
+    FROM (SELECT batch, row, col, count(*) AS n FROM sides GROUP BY 1,2,3) JOIN (SELECT batch,
+    round(stddev_pop(px),6) AS sx, round(stddev_pop(py),6) AS sy FROM sides GROUP BY 1)
+    USING (batch) GROUP BY 1""", sides=f"""SELECT batch, px, py, ascii(crow)-65 AS row,
     ccol-1 AS col FROM (SELECT *, {cell_sql(prefix='c')} FROM (SELECT 'before' AS batch, px, py
     FROM old_picks UNION ALL SELECT 'after', px, py FROM new_picks))"""))
 def _(spark, sf):
@@ -305,8 +305,8 @@ def _(spark, sf):
     from matchlens.operators import measure as M
     at = X.inshot(spark, sf).select(
         "match_id", (F.col("frame") + 1).alias("end"),
-        M.count_over(F.col("body"), 140, 0, 11).alias("blue"),
-        M.count_over(F.col("body"), 140, 11, 22).alias("red"))
+        M.count_over("body", 140, 0, 11).alias("blue"),
+        M.count_over("body", 140, 11, 22).alias("red"))
     return J.clips(spark, sf).join(at, ["match_id", "end"]).where(
         F.least("blue", "red") == 0).select("match_id", "start", "blue", "red")
 

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # no stack capture per Column call: it makes building a plan several times slower
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
