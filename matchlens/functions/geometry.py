@@ -35,7 +35,7 @@ def everyone() -> list[str]:
     return [f"get(`{side}`, {i})" for side in ("left", "right") for i in range(SQUAD)]
 
 
-def _squared(p: str) -> str:
+def squared_sql(p: str) -> str:
     return f"(({p}.x - ball_x) * ({p}.x - ball_x) + ({p}.y - ball_y) * ({p}.y - ball_y))"
 
 
@@ -49,7 +49,7 @@ def nearest_metres(unit: float) -> Column:
 
 
 def nearest_squared() -> Column:
-    return F.expr(f"least({', '.join(_squared(p) for p in everyone())})")
+    return F.expr(f"least({', '.join(squared_sql(p) for p in everyone())})")
 
 
 def count_of(tests: list[str]) -> Column:
@@ -59,7 +59,7 @@ def count_of(tests: list[str]) -> Column:
 
 def near_count(radius: float, unit: float) -> Column:
     r2 = round((radius * unit) ** 2, 9)
-    return count_of([f"{_squared(p)} < {r2!r}D" for p in everyone()])
+    return count_of([f"{squared_sql(p)} < {r2!r}D" for p in everyone()])
 
 
 def home_counts() -> tuple[Column, Column]:
@@ -71,7 +71,7 @@ def home_counts() -> tuple[Column, Column]:
 
 def nearest_player() -> Column:
     """struct(d2, team, slot) of the closest player; ties go to the lowest team, slot."""
-    entries = [f"if({p} is null, null, named_struct('d2', {_squared(p)}, 'team', {k // SQUAD}L,"
+    entries = [f"if({p} is null, null, named_struct('d2', {squared_sql(p)}, 'team', {k // SQUAD}L,"
                f" 'slot', {k % SQUAD}L))" for k, p in enumerate(everyone())]
     return F.expr(f"array_min(array({', '.join(entries)}))")
 

@@ -9,9 +9,6 @@ from matchlens import config as C
 from matchlens.functions import geometry as G
 from matchlens.operators import chunks
 
-FEATURES = ("loose", "apex", "dnear", "path", "max_step", "goal_touch", "award_inside")
-
-
 def flags(unit: float) -> list[Column]:
     """Per-frame ingredients of every window test; needs one frame of context."""
     w = chunks.along()
@@ -21,46 +18,37 @@ def flags(unit: float) -> list[Column]:
             (mode.between(1, 6) & (mode != F.coalesce(before, mode))).alias("award")]
 
 
-def sliding(trace: DataFrame, *, clip: int = C.CLIP_FRAMES, stride: int = C.STRIDE,
-            first: int = C.SKIP_START, last_start: bool = False, unit: float = 1.0,
-            near: bool = True) -> DataFrame:
-    """Every window of ``clip`` frames starting at first, first + stride, ...
+def _to_panes(rows: DataFrame, keys: list[str], offset: Column, pane: int, near: bool
+              ) -> DataFrame:
+    """Reduce frames to blocks of ``pane`` frames, counted from ``offset`` zero.
 
-    Frames are first reduced to panes (the largest block all windows are made of), then
-    clip / pane panes are combined per window: one shuffle, and no frame is touched once per
-    window it belongs to. ``last_start`` keeps the window that ends with the match.
-    Coherence inputs: loose share, apex, median nearest distance in metres, path.
+    Steps and awards belong to the later of two frames, so a block keeps them twice: with and
+    without its opening frame, for blocks inside a window and blocks that open one.
     """
-    pane = gcd(gcd(stride, clip), first)
-    per = clip // pane
-    cols = ["match_id", "frame", "ball_x", "ball_y", "ball_z", "owned_team", "game_mode",
-            chunks.CHUNK]
-    body = trace
-    if near:
-        body = trace.withColumn("near_m", G.nearest_metres(unit))
-        cols.append("near_m")
-    body = chunks.reach(body.select(*cols[:7], *(["near_m"] if near else [])), 1, clip)
-    body = body.select(*cols, *flags(unit))
-    body = body.withColumn("pane", F.expr(f"frame div {pane}"))
-    opens = F.col("frame") % pane == 0
-    panes = body.groupBy("match_id", chunks.CHUNK, "pane").agg(
+    rows = rows.withColumn("pane", F.floor(offset / pane).cast("bigint")).withColumn(
+        "opens", offset % pane == 0)
+    return rows.groupBy(*keys, "pane").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((F.col("owned_team") == -1).cast("bigint")).alias("loose"),
         F.max("ball_z").alias("apex"),
         F.sum("step").alias("steps"), F.max("step").alias("top"),
-        F.sum(F.when(~opens, F.col("step"))).alias("steps_in"),
-        F.max(F.when(~opens, F.col("step"))).alias("top_in"),
+        F.sum(F.when(~F.col("opens"), F.col("step"))).alias("steps_in"),
+        F.max(F.when(~F.col("opens"), F.col("step"))).alias("top_in"),
         F.max("goal_touch").alias("goal_touch"),
-        F.max("award").alias("award"), F.max(F.when(~opens, F.col("award"))).alias("award_in"),
+        F.max("award").alias("award"),
+        F.max(F.when(~F.col("opens"), F.col("award"))).alias("award_in"),
         *([F.collect_list("near_m").alias("near")] if near else []))
-    w = Window.partitionBy("match_id", chunks.CHUNK).orderBy("pane")
+
+
+def _over_panes(panes: DataFrame, keys: list[str], per: int, near: bool) -> DataFrame:
+    """Features of the window that opens with each pane and spans ``per`` of them."""
+    w = Window.partitionBy(*keys).orderBy("pane")
     whole, tail = w.rowsBetween(0, per - 1), w.rowsBetween(1, per - 1)
 
     def over_tail(agg: Column, default) -> Column:
         return F.coalesce(agg.over(tail), F.lit(default)) if per > 1 else F.lit(default)
-    out = panes.select(
-        "match_id", chunks.CHUNK, (F.col("pane") * pane).alias("start"),
-        F.sum("n").over(whole).alias("frames"),
+    return panes.select(
+        *keys, "pane", F.sum("n").over(whole).alias("frames"),
         F.sum("n").over(w.rowsBetween(0, per)).alias("frames_next"),
         F.sum("loose").over(whole).alias("loose_n"),
         F.max("apex").over(whole).alias("apex"),
@@ -71,19 +59,81 @@ def sliding(trace: DataFrame, *, clip: int = C.CLIP_FRAMES, stride: int = C.STRI
         (F.coalesce("award_in", F.lit(False)) | over_tail(F.max("award"), False))
         .alias("award_inside"),
         *([F.collect_list("near").over(whole).alias("near")] if near else []))
-    reach_ok = F.col("frames") == clip
+
+
+def _features(clip: int, unit: float, near: bool) -> list[Column]:
+    u = F.lit(float(unit))
+    return [(F.col("loose_n").cast("double") / F.lit(float(clip))).alias("loose"),
+            (F.col("apex") / u).alias("apex"), F.round(F.col("path") / u, 6).alias("path"),
+            (F.col("max_step") / u).alias("max_step"), F.col("goal_touch"),
+            F.col("award_inside"),
+            *([F.round(middle(F.flatten("near"), clip), 6).alias("dnear")] if near else [])]
+
+
+NEEDED = ["match_id", "frame", "ball_x", "ball_y", "ball_z", "owned_team", "game_mode"]
+
+
+def _measured(trace: DataFrame, after: int, unit: float, near: bool) -> DataFrame:
+    body = trace.select(*NEEDED, *([G.nearest_metres(unit).alias("near_m")] if near else []))
+    return chunks.reach(body, 1, after).select(
+        *NEEDED, chunks.CHUNK, *(["near_m"] if near else []), *flags(unit))
+
+
+def sliding(trace: DataFrame, *, clip: int = C.CLIP_FRAMES, stride: int = C.STRIDE,
+            first: int = C.SKIP_START, last_start: bool = False, unit: float = 1.0,
+            near: bool = True) -> DataFrame:
+    """Every window of ``clip`` frames starting at first, first + stride, ...
+
+    Frames are first reduced to panes (the largest block all windows are made of), then
+    clip / pane panes are combined per window: one shuffle, and no frame is touched once per
+    window it belongs to. ``last_start`` keeps the window that ends with the match.
+    Coherence inputs: loose share, apex, median nearest distance in metres, path.
+    """
+    pane = gcd(gcd(stride, clip), first)
+    keys = ["match_id", chunks.CHUNK]
+    panes = _to_panes(_measured(trace, clip, unit, near), keys, F.col("frame"), pane, near)
+    out = _over_panes(panes, keys, clip // pane, near).withColumn("start", F.col("pane") * pane)
+    whole = F.col("frames") == clip
     if not last_start:
-        reach_ok = reach_ok & (F.col("frames_next") > clip)
-    out = chunks.core(out.where(reach_ok & (F.col("start") >= first) &
+        whole = whole & (F.col("frames_next") > clip)
+    out = chunks.core(out.where(whole & (F.col("start") >= first) &
                                 ((F.col("start") - first) % stride == 0)), "start")
-    return out.select(
-        "match_id", "start", (F.col("start") + clip).alias("end"),
-        (F.col("loose_n").cast("double") / F.lit(float(clip))).alias("loose"),
-        (F.col("apex") / F.lit(float(unit))).alias("apex"),
-        F.round(F.col("path") / F.lit(float(unit)), 6).alias("path"),
-        (F.col("max_step") / F.lit(float(unit))).alias("max_step"),
-        "goal_touch", "award_inside",
-        *([F.round(middle(F.flatten("near"), clip), 6).alias("dnear")] if near else []))
+    return out.select("match_id", "start", (F.col("start") + clip).alias("end"),
+                      *_features(clip, unit, near))
+
+
+def slides(trace: DataFrame, events: DataFrame, lengths: DataFrame, *,
+           clip: int = C.CLIP_FRAMES, stride: int = C.STRIDE, unit: float = 1.0) -> DataFrame:
+    """Windows around anchors, every legal slide of each, with their features.
+
+    ``events`` holds kind, match_id, anchor, min_start. A window opens at the anchor less the
+    lead of its kind (never before min_start) and slides later up to the anchor, within the
+    trace. The frames of all slides of an anchor are read once, reduced to panes, and the
+    slides are combined from those; a group is one anchor, so its size is fixed.
+    """
+    lead, slide = F.lit(0), F.lit(0)
+    for k in C.SLIDE:
+        lead = F.when(F.col("kind") == k, C.LEAD[k]).otherwise(lead)
+        slide = F.when(F.col("kind") == k, C.SLIDE[k]).otherwise(slide)
+    spots = events.select("kind", "match_id", "anchor", F.greatest(
+        F.col("anchor") - lead, F.col("min_start")).alias("base"), slide.alias("slide"))
+    spots = spots.join(lengths, "match_id").withColumn("room", F.least(
+        F.col("slide"), F.col("anchor") - F.col("base"), F.col("n") - clip - F.col("base")))
+    spots = spots.where((F.col("base") >= 0) & (F.col("room") >= 0)).select(
+        "kind", "match_id", "anchor", "base", "room")
+    keys = ["kind", "match_id", "anchor", "base", "room"]
+    frames = spots.select(*keys, F.explode(F.sequence(
+        "base", F.col("base") + F.col("room") + clip - 1)).alias("frame"))
+    body = chunks.core(_measured(trace.select(*NEEDED, "left", "right"), 0, unit, True))
+    rows = frames.join(body, ["match_id", "frame"])
+    pane = gcd(stride, clip)
+    panes = _to_panes(rows, keys, F.col("frame") - F.col("base"), pane, True)
+    out = _over_panes(panes, keys, clip // pane, True).withColumn("slid", F.col("pane") * pane)
+    out = out.where((F.col("frames") == clip) & (F.col("slid") % stride == 0)
+                    & (F.col("slid") <= F.col("room")))
+    start = F.col("base") + F.col("slid")
+    return out.select("kind", "match_id", "anchor", start.alias("start"),
+                      (start + clip).alias("end"), *_features(clip, unit, True))
 
 
 def middle(values: Column, n: int) -> Column:
@@ -122,36 +172,6 @@ def coherence() -> Column:
     return F.round(F.col("loose") * 2.0 + F.col("apex") / 3.2 + F.col("dnear") / 4.0, 4)
 
 
-def measure(trace: DataFrame, windows: DataFrame, *, unit: float = 1.0,
-            clip: int = C.CLIP_FRAMES) -> DataFrame:
-    """Features of explicitly placed windows (match_id, start, end, ...).
-
-    Only the frames that some window covers are measured: windows unfold to frames and meet
-    the trace on (match_id, frame), so a long match spreads over all tasks.
-    """
-    spots = windows.select("match_id", "start", "end").distinct()
-    body = chunks.core(chunks.reach(trace, 1, 0).select(
-        "match_id", "frame", "ball_z", "owned_team", "left", "right", "ball_x", "ball_y",
-        chunks.CHUNK, *flags(unit)))
-    unfolded = spots.select("match_id", "start", "end", F.explode(
-        F.sequence("start", F.col("end") - 1)).alias("frame"))
-    inner = F.col("frame") > F.col("start")
-    rows = unfolded.join(body, ["match_id", "frame"]).select(
-        "match_id", "start", "end", "ball_z", "owned_team", "goal_touch",
-        F.when(inner, F.col("step")).alias("step"), (inner & F.col("award")).alias("award"),
-        G.nearest_metres(unit).alias("near_m"))
-    agg = rows.groupBy("match_id", "start", "end").agg(
-        F.count(F.lit(1)).alias("frames"),
-        F.avg((F.col("owned_team") == -1).cast("double")).alias("loose"),
-        (F.max("ball_z") / F.lit(float(unit))).alias("apex"),
-        F.round(F.sum("step") / F.lit(float(unit)), 6).alias("path"),
-        (F.max("step") / F.lit(float(unit))).alias("max_step"),
-        F.max("goal_touch").alias("goal_touch"), F.max("award").alias("award_inside"),
-        F.round(middle(F.collect_list("near_m"), clip), 6).alias("dnear"))
-    return (windows.join(agg, ["match_id", "start", "end"])
-            .where(F.col("frames") == F.col("end") - F.col("start")).drop("frames"))
-
-
 def spread(candidates: DataFrame, *, keep: int = C.MAX_WINDOWS, apart: int = C.MIN_SEPARATION,
            stride: int = C.STRIDE) -> DataFrame:
     """Greedy thinning per match: best first, at least ``apart`` frames between kept starts.

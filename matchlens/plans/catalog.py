@@ -6,3 +6,4 @@ from matchlens.plans import q_grading, q_grid  # noqa: F401
 from matchlens.plans import q_joins, q_measure  # noqa: F401
 from matchlens.plans import q_report  # noqa: F401
 from matchlens.plans import q_episode  # noqa: F401
+from matchlens.plans import q_select  # noqa: F401

@@ -267,15 +267,11 @@ VIEWS["restart_candidates"] = """SELECT kind, match_id, anchor, start, "end", lo
 
 
 def restart_candidates(spark, sf):
-    tr, n = X.trace(spark, sf), X.lengths(spark, sf)
-    out = None
-    for k in ("corner", "kickoff", "gk_throw"):
-        w = E.place(E.DETECTORS[k](tr, unit=U), n, k).select(
-            F.lit(k).alias("kind"), "match_id", "anchor", "start", "end")
-        out = w if out is None else out.unionByName(w)
-    legal = out.where((F.col("kind") == "kickoff") | (F.col("start") >= C.SKIP_START))
-    return W.measure(tr, legal, unit=U).where(
-        W.continuous() & W.no_restart() & W.engaged(F.col("kind"))).select(
+    tr = X.trace(spark, sf)
+    ev = E.detect(tr, ["corner", "kickoff", "gk_throw"], unit=U)
+    w = W.slides(tr, ev, X.lengths(spark, sf), unit=U)
+    legal = (F.col("kind") == "kickoff") | (F.col("start") >= C.SKIP_START)
+    return w.where(legal & W.continuous() & W.no_restart() & W.engaged(F.col("kind"))).select(
         "kind", "match_id", "anchor", "start", "end", "loose", "apex", "dnear", "path",
         W.coherence().alias("coh"))
 
