@@ -5,7 +5,7 @@ look a bounded number of frames around, except keeper holds, whose runs have no
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlens import config as C
 from matchlens.functions import geometry as G
@@ -28,6 +28,17 @@ def awards(trace: DataFrame, modes=C.SET_PIECES) -> DataFrame:
         (F.col("frame") == 0).alias("opens"))
 
 
+def next_frame_where(test: Column) -> Column:
+    """First frame at or after each row where ``test`` holds, within the chunk.
+
+    Read backwards as a running value: a forward frame of fixed length would be scanned again
+    for every row.
+    """
+    back = (Window.partitionBy("match_id", chunks.CHUNK).orderBy(F.col("frame").desc())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    return F.last(F.when(test, F.col("frame")), ignorenulls=True).over(back)
+
+
 def deliveries(trace: DataFrame, mode: int = C.CORNER, *, quiet: float = 0.0048,
                search: int = 225, unit: float = 1.0) -> DataFrame:
     """First frame after an award whose following ball step exceeds ``quiet``."""
@@ -38,12 +49,11 @@ def deliveries(trace: DataFrame, mode: int = C.CORNER, *, quiet: float = 0.0048,
                        F.lag("game_mode").over(w).alias("before"),
                        G.step_to_next(w).alias("next_step"),
                        F.lead("frame", 2).over(w).isNotNull().alias("long_enough"))
-    moved = F.when(F.col("next_step") > quiet * unit, F.col("frame"))
-    body = body.withColumn("anchor", F.min(moved).over(w.rowsBetween(0, search - 2)))
+    body = body.withColumn("anchor", next_frame_where(F.col("next_step") > quiet * unit))
     hit = (F.col("game_mode") == mode) & (
         (F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
     return chunks.core(body.where(
-        hit & F.col("long_enough") & F.col("anchor").isNotNull())).select(
+        hit & F.col("long_enough") & (F.col("anchor") <= F.col("frame") + search - 2))).select(
         "match_id", "anchor", F.col("frame").alias("award"),
         (F.col("frame") + 1).alias("min_start"))
 
@@ -63,9 +73,9 @@ def kickoffs(trace: DataFrame, *, spot: float = 0.03, own_half: int = 10,
          | (F.lag("score_r").over(w) != F.col("score_r"))).alias("restart"),
         G.step_to_next(w).alias("next_step"),
         F.lead("frame", 2).over(w).isNotNull().alias("long_enough"))
-    moved = F.when(F.col("next_step") > quiet * unit, F.col("frame"))
-    body = body.withColumn("anchor", F.min(moved).over(w.rowsBetween(0, search - 2)))
-    hit = (F.col("restart") & F.col("long_enough") & F.col("anchor").isNotNull()
+    body = body.withColumn("anchor", next_frame_where(F.col("next_step") > quiet * unit))
+    hit = (F.col("restart") & F.col("long_enough")
+           & (F.col("anchor") <= F.col("frame") + search - 2)
            & (G.planar(F.col("ball_x"), F.col("ball_y")) <= spot * unit)
            & (F.col("left_home") >= own_half) & (F.col("right_home") >= own_half))
     return chunks.core(body.where(hit)).select(
@@ -100,13 +110,17 @@ def keeper_holds(trace: DataFrame, *, hold_min: int = 10, z_lo: float = 1.15,
     far = ahead + from_release
     body = chunks.reach(trace.select("match_id", "frame", "ball_x", "ball_y", "ball_z",
                                      "owned_team", "owned_player"), 0, far)
-    later = w.rowsBetween(0, far)
+    end = Window.partitionBy("match_id", chunks.CHUNK).orderBy("frame").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+
+    def later(c):
+        # no frame that far ahead means the trace ends inside this chunk's reach
+        return F.coalesce(F.lead(c, far).over(w), F.last(c).over(end))
     body = chunks.core(body.select(
         "match_id", "frame", chunks.CHUNK, "ball_z", "owned_team", "owned_player",
         F.lead("frame").over(w).isNotNull().alias("goes_on"),
-        (F.round(G.planar(F.last("ball_x").over(later) - F.col("ball_x"),
-                 F.last("ball_y").over(later) - F.col("ball_y")) / F.lit(float(unit)), 6))
-        .alias("travel"),
+        F.round(G.planar(later("ball_x") - F.col("ball_x"), later("ball_y") - F.col("ball_y"))
+                / F.lit(float(unit)), 6).alias("travel"),
         F.max("ball_z").over(w.rowsBetween(0, max(far - 1, 0))).alias("apex")))
     held = (F.col("owned_player") == 0) & F.col("owned_team").isin(0, 1)
     tagged = runs(body, held, ["owned_team"])
@@ -115,14 +129,14 @@ def keeper_holds(trace: DataFrame, *, hold_min: int = 10, z_lo: float = 1.15,
         F.max("frame").alias("release"), F.max("owned_team").alias("team"),
         F.count(F.lit(1)).alias("hold_frames"),
         F.sum(F.when(hand, 1).otherwise(0)).alias("hand_frames"),
-        F.max_by(F.struct("goes_on", "travel", "apex"), "frame").alias("end"))
+        *[F.max_by(c, "frame").alias(c) for c in ("goes_on", "travel", "apex")])
     enough = F.col("hand_frames") if in_hand else F.col("hold_frames")
-    return per_run.where((enough >= hold_min) & F.col("end.goes_on")
-                         & (F.col("end.travel") >= travel_min)).select(
+    return per_run.where((enough >= hold_min) & F.col("goes_on")
+                         & (F.col("travel") >= travel_min)).select(
         "match_id", F.col("release").alias("anchor"), F.col("release").alias("award"),
         F.lit(0).cast("bigint").alias("min_start"), F.col("run_start").alias("caught"),
-        "team", "hold_frames", "hand_frames", F.col("end.travel").alias("travel"),
-        (F.col("end.apex") / F.lit(float(unit))).alias("apex"))
+        "team", "hold_frames", "hand_frames", "travel",
+        (F.col("apex") / F.lit(float(unit))).alias("apex"))
 
 
 def headers(trace: DataFrame, *, z_min: float = 1.35, z_max: float | None = 2.9,
@@ -158,6 +172,15 @@ def headers(trace: DataFrame, *, z_min: float = 1.35, z_max: float | None = 2.9,
         (F.col("contested") * 10 + F.col("apex_in") / u).alias("score"))
 
 
+def _around_hits(body: DataFrame, hit: Column, span: int) -> DataFrame:
+    """Keep only frames up to ``span`` after a hit. Events are rare: the costly frames below are
+    then only evaluated around them. What follows must count frames by value, not by row."""
+    upto = chunks.along().rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("hit", hit)
+    since = F.last(F.when(F.col("hit"), F.col("frame")), ignorenulls=True).over(upto)
+    return body.withColumn("since", since).where(F.col("frame") - F.col("since") <= span)
+
+
 def aftermath(trace: DataFrame, mode: int, *, window: int, unit: float,
               drop_from: int, anchor: str = "award", quiet: float = 0.012,
               search: int = 90) -> DataFrame:
@@ -172,7 +195,10 @@ def aftermath(trace: DataFrame, mode: int, *, window: int, unit: float,
     body = chunks.reach(body, 1, search + window + 1)
     body = body.select("*", G.step_from(w).alias("step"), G.step_to_next(w).alias("next_step"),
                        F.lag("game_mode").over(w).alias("before"))
-    ahead = w.rowsBetween(0, window - 1)
+    hit = (F.col("game_mode") == mode) & (
+        (F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
+    body = _around_hits(body, hit, search + window)
+    ahead = w.rangeBetween(0, window - 1)
     low = (F.col("ball_z") < 1.5 * unit) & (F.abs("ball_x") > 0.82 * unit)
     # the last frame of the trace never counts: segments are cut one frame before it
     inner = F.col("next_step").isNotNull()
@@ -181,20 +207,19 @@ def aftermath(trace: DataFrame, mode: int, *, window: int, unit: float,
         F.max(F.when(inner, F.abs("ball_x"))).over(ahead).alias("deepest"),
         F.max(F.when(inner, F.col("ball_x"))).over(ahead).alias("x_hi"),
         F.min(F.when(inner, F.col("ball_x"))).over(ahead).alias("x_lo"),
-        F.max("step").over(w.rowsBetween(2, window - 1)).alias("jump"),
-        F.sum(F.lit(1)).over(w.rowsBetween(1, window - 1)).alias("ahead_n"),
+        F.max("step").over(w.rangeBetween(2, window - 1)).alias("jump"),
+        F.count("frame").over(w.rangeBetween(1, window - 1)).alias("ahead_n"),
         F.collect_list(F.when(low & inner, F.col("near_n"))).over(
-            w.rowsBetween(drop_from, window - 1)).alias("drops"))
+            w.rangeBetween(drop_from, window - 1)).alias("drops"))
     body = body.withColumn("contest", F.coalesce(
         F.array_max(F.slice("drops", 1, 6)), F.lit(0)).cast("bigint"))
-    hit = (F.col("game_mode") == mode) & (
-        (F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
+    hit = F.col("hit")
     fields = ["apex", "deepest", "x_hi", "x_lo", "jump", "ahead_n", "contest", "ball_x",
               "ball_y"]
     if anchor == "delivery":
         here = F.when(F.col("next_step") > quiet * unit,
                       F.struct("frame", *fields))
-        body = body.withColumn("at", F.min(here).over(w.rowsBetween(0, search - 2)))
+        body = body.withColumn("at", F.min(here).over(w.rangeBetween(0, search - 2)))
         hit = hit & (F.col("frame") > 0) & F.col("at").isNotNull()
     else:
         body = body.withColumn("at", F.struct("frame", *fields))
@@ -228,7 +253,10 @@ def freekick_quality(trace: DataFrame, *, unit: float = 1.0, window: int = 60,
     inner = F.lead("frame").over(w).isNotNull()
     body = body.select("*", G.step_from(w).alias("step"), inner.alias("inner"),
                        F.lag("game_mode").over(w).alias("before"))
-    seg = w.rowsBetween(0, 34)
+    hit = (F.col("game_mode") == C.FREEKICK) & (
+        (F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
+    body = _around_hits(body, hit, reachf)
+    seg = w.rangeBetween(0, 34)
 
     def within(agg, c):
         return agg(F.when(F.col("inner"), c)).over(seg)
@@ -236,15 +264,13 @@ def freekick_quality(trace: DataFrame, *, unit: float = 1.0, window: int = 60,
         "*", within(F.max, F.col("ball_z")).alias("apex"),
         within(F.max, F.abs("ball_x")).alias("deepest"),
         within(F.max, F.col("ball_x")).alias("x_hi"), within(F.min, F.col("ball_x")).alias("x_lo"),
-        F.max("step").over(w.rowsBetween(2, window - 1)).alias("jump"),
-        F.count("frame").over(w.rowsBetween(1, window - 1)).alias("ahead_n"),
-        F.coalesce(F.max(F.when(F.col("inner"), F.col("near_n"))).over(w.rowsBetween(8, 29)),
+        F.max("step").over(w.rangeBetween(2, window - 1)).alias("jump"),
+        F.count("frame").over(w.rangeBetween(1, window - 1)).alias("ahead_n"),
+        F.coalesce(F.max(F.when(F.col("inner"), F.col("near_n"))).over(w.rangeBetween(8, 29)),
                    F.lit(0)).cast("bigint").alias("contest"))
-    hit = (F.col("game_mode") == C.FREEKICK) & (
-        (F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
     ok = (F.col("ahead_n") >= 3) & (F.col("jump") < C.TELEPORT * unit) & F.col("inner")
     u = F.lit(float(unit))
-    out = chunks.core(body.where(hit & ok))
+    out = chunks.core(body.where(F.col("hit") & ok))
     towards = F.when(F.col("ball_x") >= 0, F.col("x_hi") - F.col("ball_x")).otherwise(
         F.col("ball_x") - F.col("x_lo")) / u
     dist = F.lit(1.0) - F.abs("ball_x") / u
