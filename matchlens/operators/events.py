@@ -390,21 +390,17 @@ def place(events: DataFrame, lengths: DataFrame, kind: str, *, clip: int = C.CLI
             .drop("n", "base"))
 
 
-DETECTORS = {
-    "corner": lambda trace, unit=1.0: deliveries(trace, C.CORNER, unit=unit),
-    "kickoff": lambda trace, unit=1.0: kickoffs(trace, unit=unit),
-    "gk_throw": lambda trace, unit=1.0: keeper_holds(trace, unit=unit),
-    "header": lambda trace, unit=1.0: headers(trace, unit=unit),
-}
+# kind -> detector; add an entry to detect another situation
+DETECTORS = {"corner": deliveries, "kickoff": kickoffs, "gk_throw": keeper_holds,
+             "header": headers}
 
 
-def detect(trace: DataFrame, kinds: list[str], unit: float = 1.0) -> DataFrame:
+def detect(trace: DataFrame, kinds: list[str], unit: float = 1.0,
+           options: dict[str, dict] | None = None) -> DataFrame:
     """Run registered detectors; one row per anchor with its kind."""
     out = None
     for k in kinds:
-        found = DETECTORS[k](trace, unit=unit).select(
+        found = DETECTORS[k](trace, unit=unit, **(options or {}).get(k, {})).select(
             "match_id", F.lit(k).alias("kind"), "anchor", "award", "min_start")
         out = found if out is None else out.unionByName(found)
     return out
-
-

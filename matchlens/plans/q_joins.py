@@ -117,7 +117,7 @@ def _(spark, sf):
     i.match_id=k.match_id AND i.frame=k.anchor AND i.slot=n.team*11+n.slot"""))
 def _(spark, sf):
     tr = X.trace(spark, sf)
-    ev = E.deliveries(tr, unit=U).select("match_id", "anchor")
+    ev = E.deliveries(tr, quiet=0.002, unit=U).select("match_id", "anchor")
     return L.taker_in_shot(ev, tr, X.inshot(spark, sf))
 
 

@@ -3,11 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchlens import config as C
+from matchlens import config as C, session
 from matchlens.operators import events as E, gates as Ga, measure as M, select as S, windows as W
 from matchlens.plans import fixtures as X, q_joins as J
 from matchlens.plans.oracle import VIEWS, with_views
-from matchlens.plans.q_events import restart_candidates, throws_sql
+from matchlens.plans.q_events import events, restart_candidates, throws_sql
 from matchlens.plans.q_grading import cell_sql
 from matchlens.plans.q_windows import open_windows
 from matchlens.plans.registry import query
@@ -86,27 +86,27 @@ VIEWS["corner_windows"] = """SELECT * FROM (SELECT k.match_id, greatest(k.anchor
 
 
 def corner_windows(spark, sf):
-    ev = E.deliveries(X.trace(spark, sf), unit=U)
+    ev = events(X.trace(spark, sf), "corner")
     return E.place(ev, X.lengths(spark, sf), "corner", stride=1000).select("match_id", "start",
                                                                            "end")
 
 
 @query("corner_third_gate", "F7", with_views("""SELECT c.match_id, c.start, c."end",
     min(abs(ball_x))/1000.0::DOUBLE AS min_x FROM corner_windows c JOIN trace t ON t.match_id=c.match_id AND
-    t.frame>=c.start AND t.frame<c."end" GROUP BY 1,2,3 HAVING min(abs(ball_x))>=50 AND
+    t.frame>=c.start AND t.frame<c."end" GROUP BY 1,2,3 HAVING min(abs(ball_x))>=500 AND
     min(sign(ball_x))=max(sign(ball_x))"""))
 def _(spark, sf):
-    return Ga.in_own_third(corner_windows(spark, sf), X.trace(spark, sf), unit=U, min_x=0.05)
+    return Ga.in_own_third(corner_windows(spark, sf), X.trace(spark, sf), unit=U, min_x=0.50)
 
 
 @query("longest_slide", "W12", with_views("""SELECT c.match_id, c.start, c."end", coalesce(least(50,
     min(CASE WHEN s.bad THEN s.frame END)-c."end", max(s.frame)+1-c."end"),0) AS max_slide
     FROM corner_windows c LEFT JOIN (SELECT *, coalesce(step>=350,false) OR goal_touch OR
-    abs(ball_x)<300 OR coalesce(sign(ball_x)<>sign(lag(ball_x) OVER (PARTITION BY match_id ORDER BY
+    abs(ball_x)<500 OR coalesce(sign(ball_x)<>sign(lag(ball_x) OVER (PARTITION BY match_id ORDER BY
     frame)),false) OR award AS bad FROM steps) s ON s.match_id=c.match_id AND s.frame>=c."end" AND
     s.frame<c."end"+50 GROUP BY 1,2,3"""))
 def _(spark, sf):
-    return Ga.longest_slide(corner_windows(spark, sf), X.trace(spark, sf), unit=U, min_x=0.30)
+    return Ga.longest_slide(corner_windows(spark, sf), X.trace(spark, sf), unit=U, min_x=0.50)
 
 
 VIEWS["balls"] = """SELECT match_id, frame, greatest(0,abs((frame+31*match_id)%200-100)-60) AS
@@ -288,6 +288,11 @@ def kpool(spark, sf):
         "count_last", "level").select(*KPOOL)
 
 
+def shared_pool(spark, sf):
+    """The pool as a written table, for queries that read it more than once."""
+    return session.cut_lineage(kpool(spark, sf))
+
+
 @query("candidates_by_kind", "T6", with_views(
     "SELECT kind, count(*) AS windows, count(DISTINCT match_id) AS matches FROM candidates GROUP BY 1"))
 def _(spark, sf):
@@ -348,7 +353,7 @@ def _(spark, sf):
     tr = X.trace(spark, sf)
     m = X.named(X.lengths(spark, sf)).withColumn("can_open", F.lit(True))
     for kind in ("corner", "gk_throw", "kickoff"):
-        have = E.DETECTORS[kind](tr, unit=U).select("match_id").distinct().withColumn(
+        have = events(tr, kind).select("match_id").distinct().withColumn(
             f"can_{kind}", F.lit(True))
         m = m.join(have, "match_id", "left").fillna(False, [f"can_{kind}"])
     old = E.awards(tr, [C.FREEKICK]).select("match_id").distinct()
@@ -386,7 +391,7 @@ def _(spark, sf):
       level=l AND startown=CASE t WHEN 'blue' THEN 0 ELSE 1 END) FROM (SELECT unnest(range(8,20)) AS l),
       (SELECT unnest(['blue','red']) AS t))"""))
 def _(spark, sf):
-    return S.shortages(kpool(spark, sf))
+    return S.shortages(shared_pool(spark, sf))
 
 
 @query("supply_per_level", "A21", with_views("""SELECT level, startown, coalesce(m,0) AS matches,
@@ -410,7 +415,7 @@ def _(spark, sf):
     FROM kpool) p WHERE k<=3 AND level BETWEEN 8 AND 19 AND NOT EXISTS (SELECT 1 FROM clips c WHERE
     c.match_id=p.match_id AND c.start=p.start)"""))
 def _(spark, sf):
-    pool = kpool(spark, sf)
+    pool = shared_pool(spark, sf)
     slots = pool.where(F.col("level").between(8, 19)).select("level", "startown", "kind")
     return S.alternates(pool, J.clips(spark, sf), slots, 3).select(
         "match_id", "start", "level", "startown", "kind", "coh")
@@ -421,7 +426,7 @@ def _(spark, sf):
     FROM kpool) p WHERE k<=6 AND startown=1 AND NOT EXISTS (SELECT 1 FROM clips c WHERE
     c.match_id=p.match_id AND c.start=p.start)"""))
 def _(spark, sf):
-    pool = kpool(spark, sf)
+    pool = shared_pool(spark, sf)
     slots = pool.where("startown = 1").select("level", "startown", "kind")
     return S.alternates(pool, J.clips(spark, sf), slots, 6).select(
         "match_id", "start", "level", "startown", "kind", "coh")
@@ -463,7 +468,7 @@ def _(spark, sf):
 
 @query("reselection", "T13")
 def _(spark, sf):
-    pool = kpool(spark, sf)
+    pool = shared_pool(spark, sf)
     old = S.top(pool.where("level between 8 and 19"), ["level"], ["coh", "match_id", "start"], 1)
     return S.reselect(old, pool)
 
