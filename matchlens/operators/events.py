@@ -63,12 +63,14 @@ def kickoffs(trace: DataFrame, *, spot: float = 0.03, own_half: int = 10,
     """Restarts from the centre mark, recognised by behaviour: opening or changed score, ball on
     the mark, both sides at home, then the first movement."""
     w = chunks.along()
-    body = chunks.reach(trace.select("match_id", "frame", "ball_x", "ball_y", "score_l",
-                                     "score_r", "left", "right"), 1, search)
+    # counting 22 players is only worth it on the few frames with the ball on the mark
+    on_mark = G.planar(F.col("ball_x"), F.col("ball_y")) <= spot * unit
     left, right = G.home_counts()
+    home = F.when(on_mark, (left >= own_half) & (right >= own_half)).otherwise(False)
+    body = chunks.reach(trace.select("match_id", "frame", "ball_x", "ball_y", "score_l",
+                                     "score_r", home.alias("home")), 1, search)
     body = body.select(
-        "match_id", "frame", chunks.CHUNK, "ball_x", "ball_y",
-        left.alias("left_home"), right.alias("right_home"),
+        "match_id", "frame", chunks.CHUNK, "home",
         ((F.col("frame") == 0) | (F.lag("score_l").over(w) != F.col("score_l"))
          | (F.lag("score_r").over(w) != F.col("score_r"))).alias("restart"),
         G.step_to_next(w).alias("next_step"),
@@ -76,8 +78,7 @@ def kickoffs(trace: DataFrame, *, spot: float = 0.03, own_half: int = 10,
     body = body.withColumn("anchor", next_frame_where(F.col("next_step") > quiet * unit))
     hit = (F.col("restart") & F.col("long_enough")
            & (F.col("anchor") <= F.col("frame") + search - 2)
-           & (G.planar(F.col("ball_x"), F.col("ball_y")) <= spot * unit)
-           & (F.col("left_home") >= own_half) & (F.col("right_home") >= own_half))
+           & F.col("home"))
     return chunks.core(body.where(hit)).select(
         "match_id", "anchor", F.col("frame").alias("award"),
         F.col("frame").alias("min_start"), (F.col("frame") == 0).alias("opening"))

@@ -42,29 +42,35 @@ def outside_spans(windows: DataFrame, spans: DataFrame, rule: str = "ends",
     "ends": the first or the last frame lies in a span (a window inside one span satisfies this
     too); "overlap": any frame does. Spans are cut at bucket borders and only the longest
     piece per start is kept, so a bucket holds at most ``bucket`` pieces whatever the number
-    of recorded spans.
+    of recorded spans. Windows are no longer than a bucket, so they look up two.
     """
+    if rule not in ("ends", "overlap"):
+        raise ValueError(f"unknown rule {rule}")
     pieces = spans.select("match_id", "lo", "hi", F.explode(F.sequence(
-        F.expr(f"lo div {bucket}"), F.expr(f"hi div {bucket}"))).alias("__b"))
+        F.expr(f"lo div {bucket}"), F.expr(f"hi div {bucket}"))).alias("b"))
     pieces = pieces.select(
-        "match_id", "__b", F.greatest("lo", F.col("__b") * bucket).alias("lo"),
-        F.least("hi", (F.col("__b") + 1) * bucket - 1).alias("hi")).groupBy(
-        "match_id", "__b", "lo").agg(F.max("hi").alias("hi"))
+        "match_id", "b", F.greatest("lo", F.col("b") * bucket).alias("lo"),
+        F.least("hi", (F.col("b") + 1) * bucket - 1).alias("hi")).groupBy(
+        "match_id", "b", "lo").agg(F.max("hi").alias("hi"))
+    gone = pieces.groupBy("match_id", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
     last = F.col("end") - 1
+    fits = F.when(F.col("end") - F.col("start") <= bucket, F.expr(f"start div {bucket}")
+                  ).otherwise(F.raise_error(F.lit(f"window longer than {bucket} frames")))
+    out = windows.select("*", fits.cast("bigint").alias("__b0"),
+                         F.expr(f"(end - 1) div {bucket}").alias("__b1"))
+    for i in (0, 1):
+        side = gone.select("match_id", F.col("b").alias(f"__b{i}"),
+                           F.col("gone").alias(f"__g{i}"))
+        out = out.join(side, ["match_id", f"__b{i}"], "left")
+
+    def touches(list_, lo, hi):
+        return F.coalesce(F.exists(list_, lambda s: (lo <= s["hi"]) & (s["lo"] <= hi)),
+                          F.lit(False))
     if rule == "ends":
-        probes = windows.select(*WINDOW_KEY, F.explode(F.array("start", last)).alias("from"))
-        probes = probes.withColumn("to", F.col("from")).withColumn(
-            "__b", F.expr(f"`from` div {bucket}"))
-    elif rule == "overlap":
-        probes = windows.select(*WINDOW_KEY, F.explode(F.sequence(
-            F.expr(f"start div {bucket}"), F.expr(f"(end - 1) div {bucket}"))).alias("__b"),
-            F.col("start").alias("from"), last.alias("to"))
+        hit = touches("__g0", F.col("start"), F.col("start")) | touches("__g1", last, last)
     else:
-        raise ValueError(f"unknown rule {rule}")
-    hit = probes.join(pieces, ["match_id", "__b"]).where(
-        (F.col("from") <= F.col("hi")) & (F.col("lo") <= F.col("to"))).select(
-        *WINDOW_KEY).distinct()
-    return windows.join(hit, WINDOW_KEY, "left_anti")
+        hit = (touches("__g0", F.col("start"), last) | touches("__g1", F.col("start"), last))
+    return out.where(~hit).select(*windows.columns)
 
 
 def possession(trace: DataFrame, clip: int = C.CLIP_FRAMES) -> DataFrame:

@@ -44,14 +44,15 @@ def frames(spark, sf) -> DataFrame:
 
 
 def _side(team: int) -> Column:
-    s = -1 if team == 0 else 1
-    spots = [f"named_struct('x', {s * 950}L, 'y', 0L)"] + [
-        f"named_struct('x', {s}L * ({50 + 70 * i} - 3 * __ph), 'y', ({97 * i} + 13 * __m) % 801"
-        " - 400)" for i in range(1, 11)]
-    all_spots = f"array({', '.join(spots)})"
-    return F.expr(f"""case when owned_team = {team} then transform({all_spots}, (p, i) ->
-        case when i = owned_player then named_struct('x', ball_x + 5, 'y', ball_y + 5) else p
-        end) else {all_spots} end""")
+    """The eleven points of one side; the owner (slot __o0 or __o1) stands at the ball."""
+    s, owner = (-1 if team == 0 else 1), f"__o{team}"
+    spots = []
+    for i in range(11):
+        x = f"{s * 950}L" if i == 0 else f"{s}L * ({50 + 70 * i} - 3 * __ph)"
+        y = "0L" if i == 0 else f"({97 * i} + 13 * __m) % 801 - 400"
+        spots.append(f"named_struct('x', if({owner} = {i}, ball_x + 5, {x}),"
+                     f" 'y', if({owner} = {i}, ball_y + 5, {y}))")
+    return F.expr(f"array({', '.join(spots)})")
 
 
 def track(df: DataFrame, play: str = "match_id") -> DataFrame:
@@ -78,6 +79,8 @@ def track(df: DataFrame, play: str = "match_id") -> DataFrame:
                " (__m % 6)) - (1500 + 300 * (__m % 6))) end").alias("ball_z"),
         F.expr("case when __held then 0L when owned_team = -1 then -1L else"
                " 1 + ((frame + __m) div 7) % 10 end").alias("owned_player"))
+    df = df.select("*", *[F.expr(f"if(owned_team = {t}, owned_player, -1L)").alias(f"__o{t}")
+                          for t in (0, 1)])
     # A goal opens every third leg at alternating ends, so the score counts the multiples of
     # the double leg cycle passed since the first frame.
     return df.select(

@@ -6,20 +6,33 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
+    # no stack capture per Column call: it makes building a plan several times slower
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+# Settings that may change in a running session.
+RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    # no stack capture per Column call: it makes building a plan several times slower
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # The JVM never compiles methods above 8000 bytes of bytecode. Expressions over 22 players
+    # reach that when fused in one method; split operators are then several times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    for k, v in RUNTIME.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def build(master: str | None = None, shuffle_partitions: int | None = None,
           **extra: str) -> SparkSession:
     b = SparkSession.builder.appName("matchlens")
     if master:
         b = b.master(master)
-    for k, v in SETTINGS.items():
+    for k, v in {**SETTINGS, **RUNTIME}.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
