@@ -176,6 +176,37 @@ def drop_close(events: DataFrame, apart: int = 40, key: str = "match_id") -> Dat
             return kept
 
 
+def score_changes(trace: DataFrame) -> DataFrame:
+    """match_id, frame, event: steps that score or concede exactly one goal."""
+    w = chunks.along()
+    diff = F.col("score_l") - F.col("score_r")
+    body = chunks.reach(trace.select("match_id", "frame", "score_l", "score_r"), 1, 0)
+    body = body.select("match_id", "frame", chunks.CHUNK, (
+        diff - F.coalesce(F.lag(diff).over(w), F.lit(0))).alias("reward"))
+    return chunks.core(body.where(F.abs("reward") == 1)).select(
+        "match_id", "frame", F.when(F.col("reward") == 1, "score").otherwise("lost_score")
+        .alias("event"))
+
+
+def spaced_triggers(events: DataFrame, every: int) -> DataFrame:
+    """Take an event unless one of its kind was taken less than ``every`` frames before.
+
+    An event with no predecessor that close is always taken, so each stretch that starts with
+    one is decided on its own: the folded list is one such stretch, not a whole match.
+    """
+    key = ["match_id", "event"]
+    body = chunks.reach(events, every, 0)
+    close = chunks.along(key).rangeBetween(-(every - 1), -1)
+    body = body.withColumn("__near", F.count("frame").over(close))
+    starts = chunks.carry_last(body.where(chunks.is_core()), {"stretch": F.when(
+        F.col("__near") == 0, F.col("frame"))}, key=key)
+    lists = starts.groupBy(*key, "stretch").agg(F.array_sort(F.collect_list("frame")).alias("f"))
+    taken = F.aggregate("f", F.filter("f", lambda x: F.lit(False)), lambda acc, x: F.when(
+        (F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= every),
+        F.concat(acc, F.array(x))).otherwise(acc))
+    return lists.select(*key, F.explode(taken).alias("frame"))
+
+
 # --- joint selection ---
 def _row_col(cell: Column) -> tuple[Column, Column]:
     return F.substring(cell, 1, 1), F.substring(cell, 2, 2).cast("bigint")

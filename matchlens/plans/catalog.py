@@ -8,3 +8,4 @@ from matchlens.plans import q_report  # noqa: F401
 from matchlens.plans import q_episode  # noqa: F401
 from matchlens.plans import q_select  # noqa: F401
 from matchlens.plans import q_quality  # noqa: F401
+from matchlens.plans import q_sources  # noqa: F401
