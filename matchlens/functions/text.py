@@ -21,8 +21,9 @@ def strip(c: Column) -> Column:
 
 
 def _answer_part(text: Column) -> Column:
+    # a plain search is much cheaper than the pattern on the long texts that have no label
     part = F.regexp_extract(text, LABELLED, 1)
-    return F.when(part != "", part).otherwise(text)
+    return F.when(F.lower(text).contains("ball position:") & (part != ""), part).otherwise(text)
 
 
 def _cell(row: Column, col: Column, ok: Column) -> Column:
@@ -56,8 +57,9 @@ def parse_cell_tolerant(text: Column, cols: int, rows: int) -> Column:
     b = F.get(nums, F.lit(1)).try_cast("bigint")
     by_number = a.between(1, rows) & b.between(1, cols)
     number_row = F.char(F.lit(64) + a)
-    return F.when(by_letter, _cell(row, col, F.lit(True))).otherwise(
-        _cell(number_row, b, F.coalesce(by_number, F.lit(False))))
+    # without a digit there is no cell, and the patterns need not walk the text
+    return F.when(part.rlike("[0-9]"), F.when(by_letter, _cell(row, col, F.lit(True))).otherwise(
+        _cell(number_row, b, F.coalesce(by_number, F.lit(False)))))
 
 
 def parse_bin(text: Column) -> tuple[Column, Column]:

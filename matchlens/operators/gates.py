@@ -44,22 +44,6 @@ def clean_drill(windows: DataFrame, lo: float = 0.12, hi: float = 4.0) -> DataFr
                          & (F.col("path") > lo) & (F.col("path") < hi))
 
 
-def watchability(windows: DataFrame, trace: DataFrame, *, unit: float = 1.0,
-                 clip: int = C.CLIP_FRAMES) -> DataFrame:
-    """Adds changes of possession, x range, largest |y| and whether the score stayed."""
-    u = F.lit(float(unit))
-    rows = R.clip_frames(windows, trace.select("match_id", "frame", "ball_x", "ball_y",
-                                               "owned_team", "score_l", "score_r"),
-                         clip - 1, [R.previous_holder(clip).alias("prev_held")])
-    score = F.struct("score_l", "score_r")
-    agg = rows.groupBy(*KEY).agg(
-        R.possession_changes().alias("changes"),
-        ((F.max("ball_x") - F.min("ball_x")) / u).alias("travel"),
-        (F.max(F.abs("ball_y")) / u).alias("ymax"),
-        (R.at_first(score) == R.at_last(score)).alias("same_score"))
-    return windows.join(agg, KEY)
-
-
 def watchable(windows: DataFrame, changes: int = 3, travel: float = 0.50, ymax: float = 0.38
               ) -> DataFrame:
     return windows.where((F.col("changes") >= changes) & (F.col("travel") >= travel)
@@ -69,7 +53,7 @@ def watchable(windows: DataFrame, changes: int = 3, travel: float = 0.50, ymax:
 def in_own_third(windows: DataFrame, trace: DataFrame, *, unit: float = 1.0,
                  min_x: float = 0.50) -> DataFrame:
     """Windows whose ball never leaves one end of the pitch."""
-    rows = R.clip_frames(windows, trace.select("match_id", "frame", "ball_x"), 0)
+    rows = R.clip_frames(windows, trace.select("match_id", "frame", "ball_x"))
     agg = rows.groupBy(*KEY).agg((F.min(F.abs("ball_x")) / F.lit(float(unit))).alias("min_x"),
                                  F.min(F.signum("ball_x")).alias("s0"),
                                  F.max(F.signum("ball_x")).alias("s1"))

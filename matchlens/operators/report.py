@@ -10,32 +10,42 @@ from matchlens.operators import chunks, measure as M
 CLIP = ["match_id", "start", "end"]
 
 
-def clip_frames(clips: DataFrame, trace: DataFrame, before: int = 1,
+def clip_frames(clips: DataFrame, trace: DataFrame, before: int = 0,
                 derived: list[Column] | None = None) -> DataFrame:
-    """Clip rows joined to their trace frames. ``derived`` may use windows that look back up
-    to ``before`` frames, also across the start of the clip."""
-    body = chunks.core(chunks.reach(trace, before, 0).select("*", *(derived or [])))
-    spots = clips.select(*CLIP, F.explode(F.sequence("start", F.col("end") - 1)).alias("frame"))
-    return spots.join(body, ["match_id", "frame"])
+    """Clip rows joined to their trace frames, on (match, frame).
+
+    ``derived`` columns may use windows over ``along()``, which also sees the ``before`` frames
+    ahead of the clip. A window group is one clip, so only frames of clips are ever sorted.
+    """
+    spots = clips.select(*CLIP, F.explode(F.sequence(
+        F.greatest(F.lit(0), F.col("start") - before), F.col("end") - 1)).alias("frame"))
+    rows = spots.join(trace, ["match_id", "frame"])
+    if derived:
+        rows = rows.select("*", *derived)
+    return rows.where(F.col("frame") >= F.col("start")) if before else rows
+
+
+def along():
+    return Window.partitionBy(*CLIP).orderBy("frame")
 
 
 def metre_step() -> Column:
-    w = chunks.along()
+    w = along()
     dx = (F.col("ball_x") - F.lag("ball_x").over(w)) * F.lit(C.METRES_X)
     dy = (F.col("ball_y") - F.lag("ball_y").over(w)) * F.lit(C.METRES_Y)
     return F.sqrt(dx * dx + dy * dy)
 
 
-def previous_holder(clip: int) -> Column:
-    """struct(frame, team) of the last held frame before this one, looking back one clip."""
-    held = F.when(F.col("owned_team") >= 0, F.struct("frame", "owned_team"))
-    return F.last(held, ignorenulls=True).over(chunks.along().rowsBetween(-(clip - 1), -1))
+def previous_holder() -> Column:
+    """The team of the last held frame before this one inside the clip."""
+    held = F.when(F.col("owned_team") >= 0, F.col("owned_team"))
+    return F.last(held, ignorenulls=True).over(
+        along().rowsBetween(Window.unboundedPreceding, -1))
 
 
 def possession_changes() -> Column:
-    """Changes between consecutive held frames inside the clip (needs ``prev_held``)."""
-    change = ((F.col("owned_team") >= 0) & (F.col("prev_held.frame") >= F.col("start"))
-              & (F.col("prev_held.owned_team") != F.col("owned_team")))
+    """Changes between consecutive held frames (needs ``prev_held``)."""
+    change = (F.col("owned_team") >= 0) & (F.col("prev_held") != F.col("owned_team"))
     return F.count(F.when(change, 1))
 
 
@@ -48,12 +58,12 @@ def at_last(c) -> Column:
 
 
 def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: float = 1.0,
-             clip: int = C.CLIP_FRAMES, body_px: int = 20) -> DataFrame:
+             body_px: int = 20) -> DataFrame:
     """One row of measured facts per clip. ``clips`` needs kind and anchor."""
     u = F.lit(float(unit))
-    rows = clip_frames(
-        clips, trace.withColumn("near_n", G.near_count(C.NEAR_RADIUS, unit)), clip - 1,
-        [metre_step().alias("step_m"), previous_holder(clip).alias("prev_held")])
+    rows = clip_frames(clips, trace, 0, [
+        metre_step().alias("step_m"), previous_holder().alias("prev_held"),
+        G.near_count(C.NEAR_RADIUS, unit).alias("near_n")])
     shown = inshot.select("match_id", "frame", M.count_over("body", body_px).alias("people"))
     rows = rows.join(shown, ["match_id", "frame"], "left")
     point = F.struct("ball_x", "ball_y")
@@ -136,7 +146,7 @@ def passes(clips: DataFrame, trace: DataFrame, *, visible: int = C.VISIBLE_FRAME
            min_hold: int = 2) -> DataFrame:
     """Passes and turnovers after the visible part: consecutive different holders, each holding
     for at least ``min_hold`` frames; loose frames break a run. Groups are single clips."""
-    rows = clip_frames(clips, trace.select("match_id", "frame", "owned_team", "owned_player"), 0)
+    rows = clip_frames(clips, trace.select("match_id", "frame", "owned_team", "owned_player"))
     rows = rows.where(F.col("frame") >= F.col("start") + visible - 1)
     w = Window.partitionBy(*CLIP).orderBy("frame")
     fresh = ((F.col("owned_team") != F.lag("owned_team", 1, -2).over(w))
@@ -169,7 +179,7 @@ def velocities(trace: DataFrame, fps: int = C.FPS, unit: float = 1.0) -> DataFra
 def scene_frames(clips: DataFrame, trace: DataFrame, *, unit: float = 1.0, fps: int = C.FPS,
                  hide_after: int | None = None, digits: int = 4) -> DataFrame:
     """clip key, frame in clip, and a struct with everything known about that frame."""
-    w = chunks.along()
+    w = along()
     u = F.lit(float(unit))
     rows = clip_frames(clips, trace, 1, [
         F.coalesce(F.lag(c).over(w), F.col(c)).alias(f"was_{c}")

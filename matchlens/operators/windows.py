@@ -18,8 +18,39 @@ def flags(unit: float) -> list[Column]:
             (mode.between(1, 6) & (mode != F.coalesce(before, mode))).alias("award")]
 
 
-def _to_panes(rows: DataFrame, keys: list[str], offset: Column, pane: int, near: bool
-              ) -> DataFrame:
+WATCH = ["score_l", "score_r"]
+
+
+def _watch_flags(keys: list[str]) -> list[Column]:
+    """Does the holder change on this (held) frame? Null on loose frames."""
+    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.when(F.col("owned_team") >= 0, F.col("owned_team"))
+    before = F.last(held, ignorenulls=True).over(w)
+    return [F.when(held.isNotNull(), F.coalesce(before != held, F.lit(False)).cast("int"))
+            .alias("switch")]
+
+
+def _watch_panes() -> list[Column]:
+    score = F.struct(*WATCH)
+    return [F.min("ball_x").alias("x_lo"), F.max("ball_x").alias("x_hi"),
+            F.max(F.abs("ball_y")).alias("y_hi"), F.sum("switch").alias("switches"),
+            F.min_by("switch", F.when(F.col("switch").isNotNull(), F.col("frame")))
+            .alias("first_switch"),
+            F.min_by(score, "frame").alias("score0"), F.max_by(score, "frame").alias("score1")]
+
+
+def _watch_over(whole) -> list[Column]:
+    # the first held frame of a window has no holder before it inside the window
+    return [(F.max("x_hi").over(whole) - F.min("x_lo").over(whole)).alias("x_range"),
+            F.max("y_hi").over(whole).alias("y_hi"),
+            (F.coalesce(F.sum("switches").over(whole), F.lit(0)) - F.coalesce(
+                F.first("first_switch", ignorenulls=True).over(whole), F.lit(0)))
+            .alias("changes"),
+            (F.col("score0") == F.last("score1").over(whole)).alias("same_score")]
+
+
+def _to_panes(rows: DataFrame, keys: list[str], offset: Column, pane: int, near: bool,
+              watch: bool = False) -> DataFrame:
     """Reduce frames to blocks of ``pane`` frames, counted from ``offset`` zero.
 
     Steps and awards belong to the later of two frames, so a block keeps them twice: with and
@@ -37,10 +68,12 @@ def _to_panes(rows: DataFrame, keys: list[str], offset: Column, pane: int, near:
         F.max("goal_touch").alias("goal_touch"),
         F.max("award").alias("award"),
         F.max(F.when(~F.col("opens"), F.col("award"))).alias("award_in"),
-        *([F.collect_list("near_m").alias("near")] if near else []))
+        *([F.collect_list("near_m").alias("near")] if near else []),
+        *(_watch_panes() if watch else []))
 
 
-def _over_panes(panes: DataFrame, keys: list[str], per: int, near: bool) -> DataFrame:
+def _over_panes(panes: DataFrame, keys: list[str], per: int, near: bool,
+                watch: bool = False) -> DataFrame:
     """Features of the window that opens with each pane and spans ``per`` of them."""
     w = Window.partitionBy(*keys).orderBy("pane")
     whole, tail = w.rowsBetween(0, per - 1), w.rowsBetween(1, per - 1)
@@ -58,7 +91,8 @@ def _over_panes(panes: DataFrame, keys: list[str], per: int, near: bool) -> Data
         F.max("goal_touch").over(whole).alias("goal_touch"),
         (F.coalesce("award_in", F.lit(False)) | over_tail(F.max("award"), False))
         .alias("award_inside"),
-        *([F.collect_list("near").over(whole).alias("near")] if near else []))
+        *([F.collect_list("near").over(whole).alias("near")] if near else []),
+        *(_watch_over(whole) if watch else []))
 
 
 def _features(clip: int, unit: float, near: bool) -> list[Column]:
@@ -73,33 +107,43 @@ def _features(clip: int, unit: float, near: bool) -> list[Column]:
 NEEDED = ["match_id", "frame", "ball_x", "ball_y", "ball_z", "owned_team", "game_mode"]
 
 
-def _measured(trace: DataFrame, after: int, unit: float, near: bool) -> DataFrame:
-    body = trace.select(*NEEDED, *([G.nearest_metres(unit).alias("near_m")] if near else []))
+def _measured(trace: DataFrame, after: int, unit: float, near: bool, watch: bool = False
+              ) -> DataFrame:
+    cols = [*NEEDED, *(WATCH if watch else [])]
+    body = trace.select(*cols, *([G.nearest_metres(unit).alias("near_m")] if near else []))
     return chunks.reach(body, 1, after).select(
-        *NEEDED, chunks.CHUNK, *(["near_m"] if near else []), *flags(unit))
+        *cols, chunks.CHUNK, *(["near_m"] if near else []), *flags(unit),
+        *(_watch_flags(["match_id", chunks.CHUNK]) if watch else []))
 
 
 def sliding(trace: DataFrame, *, clip: int = C.CLIP_FRAMES, stride: int = C.STRIDE,
             first: int = C.SKIP_START, last_start: bool = False, unit: float = 1.0,
-            near: bool = True) -> DataFrame:
+            near: bool = True, watch: bool = False) -> DataFrame:
     """Every window of ``clip`` frames starting at first, first + stride, ...
 
     Frames are first reduced to panes (the largest block all windows are made of), then
     clip / pane panes are combined per window: one shuffle, and no frame is touched once per
     window it belongs to. ``last_start`` keeps the window that ends with the match.
-    Coherence inputs: loose share, apex, median nearest distance in metres, path.
+    Coherence inputs: loose share, apex, median nearest distance in metres, path. ``watch`` adds
+    changes of possession, x range (travel), largest |y| (ymax) and whether the score stayed.
     """
     pane = gcd(gcd(stride, clip), first)
     keys = ["match_id", chunks.CHUNK]
-    panes = _to_panes(_measured(trace, clip, unit, near), keys, F.col("frame"), pane, near)
-    out = _over_panes(panes, keys, clip // pane, near).withColumn("start", F.col("pane") * pane)
+    panes = _to_panes(_measured(trace, clip, unit, near, watch), keys, F.col("frame"), pane,
+                      near, watch)
+    out = _over_panes(panes, keys, clip // pane, near, watch).withColumn(
+        "start", F.col("pane") * pane)
     whole = F.col("frames") == clip
     if not last_start:
         whole = whole & (F.col("frames_next") > clip)
     out = chunks.core(out.where(whole & (F.col("start") >= first) &
                                 ((F.col("start") - first) % stride == 0)), "start")
+    u = F.lit(float(unit))
+    seen = [F.col("changes").cast("bigint").alias("changes"),
+            (F.col("x_range") / u).alias("travel"), (F.col("y_hi") / u).alias("ymax"),
+            F.col("same_score")] if watch else []
     return out.select("match_id", "start", (F.col("start") + clip).alias("end"),
-                      *_features(clip, unit, near))
+                      *_features(clip, unit, near), *seen)
 
 
 def slides(trace: DataFrame, events: DataFrame, lengths: DataFrame, *,

@@ -381,7 +381,7 @@ def _(spark, sf):
     t.match_id=k.match_id AND t.frame>=k.start AND t.frame<k."end", (SELECT unnest(range(0,5)) AS
     visible) v GROUP BY 1,2,3"""))
 def _(spark, sf):
-    rows = R.clip_frames(J.clips(spark, sf), X.trace(spark, sf).select("match_id", "frame"), 0)
+    rows = R.clip_frames(J.clips(spark, sf), X.trace(spark, sf).select("match_id", "frame"))
     rows = rows.select("match_id", "start", "frame", F.explode(F.expr("sequence(0L, 4L)"))
                        .alias("visible"))
     shown = F.col("frame") - F.col("start") < F.col("visible") * C.FPS

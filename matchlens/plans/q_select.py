@@ -53,11 +53,9 @@ VIEWS["scan"] = """SELECT w.*, max_step<0.35 AND NOT goal_touch AS is_continuous
 
 
 def scan(spark, sf):
-    tr = X.trace(spark, sf)
-    w = W.sliding(tr, last_start=True, unit=U).select(
+    return W.sliding(X.trace(spark, sf), last_start=True, unit=U, watch=True).select(
         "*", W.continuous().alias("is_continuous"), W.no_restart().alias("no_restart"),
         W.engaged("open").alias("is_engaged"))
-    return Ga.watchability(w, tr, unit=U)
 
 
 @query("scan_funnel", "F11 F8 W1", with_views("""SELECT unnest([0,1,2,3,4])::BIGINT AS step, unnest([

@@ -220,7 +220,7 @@ def _(spark, sf):
 
 
 @query("online_keeper_sessions", "St4", with_views("""SELECT match_id, team, caught, release,
-    hold_frames FROM held_runs, (SELECT max(frame) AS top FROM trace) WHERE release<=top-52"""))
+    hold_frames FROM held_runs, (SELECT max(release) AS top FROM held_runs) WHERE release<=top-52"""))
 def _(spark, sf):
     feed = online.with_time(X.trace(spark, sf).select(
         "match_id", "frame", "owned_team", "owned_player"))
