@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from matchlens import session
+
 CHUNK = "__chunk"
 DEFAULT_FRAMES = 8192
 
@@ -100,6 +102,30 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]],
                   F.col(f"__c_{n}")).alias(n) for n, (how, _) in values.items()])
 
 
+SMALL_RANGES = 50_000
+
+
+def covering(trace: DataFrame, ranges: DataFrame, lo: Column, hi: Column, bucket: int = 128
+             ) -> DataFrame:
+    """Join each range row (match_id, ...) to the trace frames lo..hi, both included.
+
+    Ranges are usually few (clips, events). They are written once and counted: up to
+    ``SMALL_RANGES`` rows they are broadcast by (match, time bucket), so the trace is filtered
+    where it lies and never shuffled; above that they unfold to frames and meet the trace in a
+    shuffled join on (match, frame).
+    """
+    kept = session.cut_lineage(ranges.select("*", lo.alias("__lo"), hi.alias("__hi")))
+    if kept.count() <= SMALL_RANGES:
+        cut = kept.withColumn("__b", F.explode(F.sequence(
+            _index(F.col("__lo"), bucket), _index(F.col("__hi"), bucket))))
+        hit = trace.withColumn("__b", _index(F.col("frame"), bucket)).join(
+            F.broadcast(cut), ["match_id", "__b"])
+        return hit.where(F.col("frame").between(F.col("__lo"), F.col("__hi"))).drop(
+            "__lo", "__hi", "__b")
+    spots = kept.withColumn("frame", F.explode(F.sequence("__lo", "__hi")))
+    return spots.drop("__lo", "__hi").join(trace, ["match_id", "frame"])
+
+
 def number_rows(df: DataFrame, order: list[str], bucket: Column, name: str = "k",
                 key: list[str] | None = None) -> DataFrame:
     """Zero-based position in the order of ``order`` (within ``key``), without one big sort.

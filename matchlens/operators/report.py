@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from matchlens import config as C
+from matchlens import config as C, session
 from matchlens.functions import geometry as G, grid
 from matchlens.operators import chunks, measure as M
 
@@ -12,14 +12,13 @@ CLIP = ["match_id", "start", "end"]
 
 def clip_frames(clips: DataFrame, trace: DataFrame, before: int = 0,
                 derived: list[Column] | None = None) -> DataFrame:
-    """Clip rows joined to their trace frames, on (match, frame).
+    """Clip rows joined to their trace frames.
 
     ``derived`` columns may use windows over ``along()``, which also sees the ``before`` frames
     ahead of the clip. A window group is one clip, so only frames of clips are ever sorted.
     """
-    spots = clips.select(*CLIP, F.explode(F.sequence(
-        F.greatest(F.lit(0), F.col("start") - before), F.col("end") - 1)).alias("frame"))
-    rows = spots.join(trace, ["match_id", "frame"])
+    rows = chunks.covering(trace, clips.select(*CLIP),
+                           F.greatest(F.lit(0), F.col("start") - before), F.col("end") - 1)
     if derived:
         rows = rows.select("*", *derived)
     return rows.where(F.col("frame") >= F.col("start")) if before else rows
@@ -61,9 +60,9 @@ def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: flo
              body_px: int = 20) -> DataFrame:
     """One row of measured facts per clip. ``clips`` needs kind and anchor."""
     u = F.lit(float(unit))
-    rows = clip_frames(clips, trace, 0, [
-        metre_step().alias("step_m"), previous_holder().alias("prev_held"),
-        G.near_count(C.NEAR_RADIUS, unit).alias("near_n")])
+    clips = session.cut_lineage(clips)
+    rows = clip_frames(clips, trace.withColumn("near_n", G.near_count(C.NEAR_RADIUS, unit)), 0, [
+        metre_step().alias("step_m"), previous_holder().alias("prev_held")])
     shown = inshot.select("match_id", "frame", M.count_over("body", body_px).alias("people"))
     rows = rows.join(shown, ["match_id", "frame"], "left")
     point = F.struct("ball_x", "ball_y")
@@ -146,6 +145,7 @@ def passes(clips: DataFrame, trace: DataFrame, *, visible: int = C.VISIBLE_FRAME
            min_hold: int = 2) -> DataFrame:
     """Passes and turnovers after the visible part: consecutive different holders, each holding
     for at least ``min_hold`` frames; loose frames break a run. Groups are single clips."""
+    clips = session.cut_lineage(clips)
     rows = clip_frames(clips, trace.select("match_id", "frame", "owned_team", "owned_player"))
     rows = rows.where(F.col("frame") >= F.col("start") + visible - 1)
     w = Window.partitionBy(*CLIP).orderBy("frame")
@@ -229,6 +229,7 @@ def scene_documents(clips: DataFrame, trace: DataFrame, **how) -> DataFrame:
 
     A document holds one clip, so the collected list has a fixed length.
     """
+    clips = session.cut_lineage(clips)
     frames = scene_frames(clips, trace, **how).groupBy(*CLIP).agg(
         F.array_sort(F.collect_list("f")).alias("frames"))
     head = [c for c in clips.columns if c not in CLIP]

@@ -9,9 +9,9 @@ from matchlens import config as C
 from matchlens.functions import geometry as G
 from matchlens.operators import chunks
 
-def flags(unit: float) -> list[Column]:
-    """Per-frame ingredients of every window test; needs one frame of context."""
-    w = chunks.along()
+def flags(unit: float, keys: list[str] | None = None) -> list[Column]:
+    """Per-frame ingredients of every window test, along the time chunk or along ``keys``."""
+    w = Window.partitionBy(*keys).orderBy("frame") if keys else chunks.along()
     mode, before = F.col("game_mode"), F.lag("game_mode").over(w)
     return [G.step_from(w).alias("step"),
             G.in_goal(unit).alias("goal_touch"),
@@ -166,10 +166,12 @@ def slides(trace: DataFrame, events: DataFrame, lengths: DataFrame, *,
     spots = spots.where((F.col("base") >= 0) & (F.col("room") >= 0)).select(
         "kind", "match_id", "anchor", "base", "room")
     keys = ["kind", "match_id", "anchor", "base", "room"]
-    frames = spots.select(*keys, F.explode(F.sequence(
-        "base", F.col("base") + F.col("room") + clip - 1)).alias("frame"))
-    body = chunks.core(_measured(trace.select(*NEEDED, "left", "right"), 0, unit, True))
-    rows = frames.join(body, ["match_id", "frame"])
+    rows = chunks.covering(trace.select(*NEEDED, "left", "right"), spots, F.col("base"),
+                           F.col("base") + F.col("room") + clip - 1)
+    # no context before the first frame: a window never counts the step into its opening frame
+    rows = rows.select(*keys, *[c for c in NEEDED if c != "match_id"],
+                       G.nearest_metres(unit).alias("near_m"))
+    rows = rows.select("*", *flags(unit, keys))
     pane = gcd(stride, clip)
     panes = _to_panes(rows, keys, F.col("frame") - F.col("base"), pane, True)
     out = _over_panes(panes, keys, clip // pane, True).withColumn("slid", F.col("pane") * pane)
