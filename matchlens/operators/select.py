@@ -21,6 +21,7 @@ def top(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
 def thin_evenly(df: DataFrame, limit: int, key: str = "match_id", order: str = "frame"
                 ) -> DataFrame:
     """At most ``limit`` rows per key, evenly spread: positions floor(i * n / limit)."""
+    df = session.cut_lineage(df)
     numbered = chunks.number_rows(df, [order], F.expr(f"{order} div 4096"), "__k", [key])
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     j = numbered.join(sizes, key)
@@ -215,6 +216,7 @@ def _row_col(cell: Column) -> tuple[Column, Column]:
 def spread_cost(picks: DataFrame, weight: float = 0.06) -> DataFrame:
     """Mean coherence plus weighted unevenness over the occupied cells, rows and columns."""
     r, c = _row_col(F.col("cell"))
+    picks = session.cut_lineage(picks.select("cell", "coh"))
     rows = picks.select("cell", "coh", r.alias("row"), c.alias("col"))
     base = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("coh").alias("s"),
                     F.countDistinct("cell").alias("cells"))

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from matchlens import session
 from matchlens.functions import grid as Gr
-from matchlens.operators import events as E, lookups as L
+from matchlens.operators import chunks, events as E, lookups as L
 from matchlens.plans import fixtures as X
 from matchlens.plans.oracle import VIEWS, with_views
 from matchlens.plans.q_grading import cell_sql
@@ -51,9 +52,7 @@ POOL_COLUMNS = ["match_id", "start", "end", "loose", "apex", "dnear", "path", "c
 
 
 def clips(spark, sf):
-    best = Window.partitionBy("match_id").orderBy("coh", "start")
-    return (pool(spark, sf).withColumn("k", F.row_number().over(best)).where("k = 1")
-            .select(*POOL_COLUMNS))
+    return best(pool(spark, sf))
 
 
 @query("pool", "J2 J3 J4 J7", with_views("SELECT * FROM pool"))
@@ -179,23 +178,33 @@ VIEWS["new_picks"] = """SELECT match_id, start, "end", count_last, cell, px, py,
     w.start<=hi AND lo<=w."end"-1)) WHERE k=1"""
 
 
-def numbered(df, order=("count_last", "match_id")):
-    from matchlens.operators import chunks
-    out = chunks.number_rows(df, list(order), F.struct("count_last",
-                                                       F.expr("match_id div 4096")), "k")
-    return out.withColumn("clip", F.concat(F.lit("clip_"), F.when(
-        F.col("k") < 9, F.lpad((F.col("k") + 1).cast("string"), 2, "0")).otherwise(
-        (F.col("k") + 1).cast("string")))).drop("k")
+def numbered(df):
+    """Clip names in (count, match) order."""
+    out = chunks.number_rows(session.cut_lineage(df), ["count_last", "match_id"],
+                             F.struct("count_last", F.expr("match_id div 4096")), "k")
+    name = F.when(F.col("k") < 9, F.lpad((F.col("k") + 1).cast("string"), 2, "0")).otherwise(
+        (F.col("k") + 1).cast("string"))
+    return out.withColumn("clip", F.concat(F.lit("clip_"), name)).drop("k")
 
 
-def old_picks(spark, sf):
-    return numbered(clips(spark, sf))
+def best(df):
+    w = Window.partitionBy("match_id").orderBy("coh", "start")
+    return df.withColumn("k", F.row_number().over(w)).where("k = 1").select(*POOL_COLUMNS)
 
 
-def new_picks(spark, sf):
-    w = L.outside_spans(pool(spark, sf), X.absent(spark, sf), "overlap")
-    best = Window.partitionBy("match_id").orderBy("coh", "start")
-    return numbered(w.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r"))
+def old_picks(spark, sf, p=None):
+    return numbered(best(pool(spark, sf) if p is None else p))
+
+
+def new_picks(spark, sf, p=None):
+    p = pool(spark, sf) if p is None else p
+    return numbered(best(L.outside_spans(p, X.absent(spark, sf), "overlap")))
+
+
+def both_picks(spark, sf):
+    """The two versions of the batch, from one written pool."""
+    p = session.cut_lineage(pool(spark, sf))
+    return old_picks(spark, sf, p), new_picks(spark, sf, p)
 
 
 for _v in ("old_picks", "new_picks"):
@@ -217,14 +226,14 @@ def _(spark, sf):
     ON o.match_id=n.match_id AND o.start=n.start"""))
 def _(spark, sf):
     why = F.when(~F.col("count_last").between(8, 19), "outside the range")
-    return L.renumbering(old_picks(spark, sf), new_picks(spark, sf), why, ["match_id", "start"])
+    return L.renumbering(*both_picks(spark, sf), why, ["match_id", "start"])
 
 
 @query("carried_measurements", "J12", with_views("""SELECT n.match_id, n.start, n.clip,
     o.count_last AS measured, o.clip IS NOT NULL AS moved FROM new_picks n LEFT JOIN old_picks o
     ON o.match_id=n.match_id AND o.start=n.start"""))
 def _(spark, sf):
-    old, new = old_picks(spark, sf), new_picks(spark, sf)
+    old, new = both_picks(spark, sf)
     got, gone = L.carry_over(old.select("clip", F.col("count_last").alias("measured")), old, new,
                              ["match_id", "start"])
     return got.select("match_id", "start", "clip", "measured", F.lit(True).alias("moved")
@@ -254,7 +263,7 @@ def _(spark, sf):
       CAST(n.startown AS VARCHAR)]) AS b
     FROM old_picks o JOIN new_picks n ON o.match_id=n.match_id)"""))
 def _(spark, sf):
-    return L.compare_fields(old_picks(spark, sf), new_picks(spark, sf), ["match_id"],
+    return L.compare_fields(*both_picks(spark, sf), ["match_id"],
                             ["start", "count_last", "cell", "startown"])
 
 
@@ -285,7 +294,7 @@ def _(spark, sf):
     old_picks o FULL JOIN new_picks n ON o.match_id=n.match_id AND o.start=n.start AND
     o.count_last=n.count_last) GROUP BY 1"""))
 def _(spark, sf):
-    return L.coverage(old_picks(spark, sf), new_picks(spark, sf), ["match_id", "start"],
+    return L.coverage(*both_picks(spark, sf), ["match_id", "start"],
                       "count_last")
 
 
@@ -294,9 +303,10 @@ def _(spark, sf):
     FROM clips o LEFT JOIN (SELECT * FROM pool WHERE startown=0) n ON n.match_id=o.match_id AND
     n.start=o.start"""))
 def _(spark, sf):
-    better = pool(spark, sf).where("startown = 0").select(
-        "match_id", "start", F.col("count_first").alias("count_last"))
-    return L.first_known(clips(spark, sf).select("match_id", "start", "count_last"), better,
+    p = session.cut_lineage(pool(spark, sf))
+    better = p.where("startown = 0").select("match_id", "start",
+                                            F.col("count_first").alias("count_last"))
+    return L.first_known(best(p).select("match_id", "start", "count_last"), better,
                          ["match_id", "start"], "count_last")
 
 

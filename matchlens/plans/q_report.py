@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matchlens import config as C
+from matchlens import config as C, session
 from matchlens.functions import grid as Gr
 from matchlens.operators import lookups as L, report as R
 from matchlens.plans import fixtures as X, q_joins as J
@@ -247,8 +247,9 @@ def _(spark, sf):
     FROM old_picks UNION ALL SELECT 'after', px, py FROM new_picks))"""))
 def _(spark, sf):
     r, c = Gr.cell_index(F.col("px"), F.col("py"))
-    rows = J.old_picks(spark, sf).select(F.lit("before").alias("batch"), "px", "py").unionByName(
-        J.new_picks(spark, sf).select(F.lit("after").alias("batch"), "px", "py"))
+    old, new = J.both_picks(spark, sf)
+    rows = old.select(F.lit("before").alias("batch"), "px", "py").unionByName(
+        new.select(F.lit("after").alias("batch"), "px", "py"))
     return R.spread_stats(rows.select("batch", "px", "py", r.alias("row"), c.alias("col")),
                           ["batch"])
 
@@ -272,9 +273,9 @@ def _(spark, sf):
         F.min("count_last").alias("fewest"), F.max("count_last").alias("most"))
 
 
-def final_slots(spark, sf):
-    """clip, slot, pix, body_pix of the last frame of each old pick."""
-    last = J.old_picks(spark, sf).select("match_id", "clip", (F.col("end") - 1).alias("frame"))
+def final_slots(spark, sf, picks):
+    """clip, slot, pix, body_pix of the last frame of each pick."""
+    last = picks.select("match_id", "clip", (F.col("end") - 1).alias("frame"))
     j = last.join(X.inshot(spark, sf), ["match_id", "frame"])
     return j.select("clip", F.posexplode(F.arrays_zip("body", "shadow"))
                     .alias("slot", "p")).select(
@@ -293,8 +294,9 @@ def final_slots(spark, sf):
     (SELECT *, body_px+shadow_px*5 AS pix FROM inshot) i ON i.match_id=o.match_id AND
     i.frame=o."end"-1 GROUP BY 1,2)"""))
 def _(spark, sf):
-    pub = J.old_picks(spark, sf).select("clip", F.col("count_last").alias("players"))
-    return R.final_frame_verdict(final_slots(spark, sf), pub, sliver=60)
+    picks = session.cut_lineage(J.old_picks(spark, sf))
+    pub = picks.select("clip", F.col("count_last").alias("players"))
+    return R.final_frame_verdict(final_slots(spark, sf, picks), pub, sliver=60)
 
 
 @query("one_sided_clips", "A27", with_views("""SELECT o.match_id, o.start, s.team_blue AS blue,

@@ -512,8 +512,9 @@ def _(spark, sf):
                                            ).union(E.goals(tr, unit=U).select("match_id", "frame")
                                                    ).distinct()
     key = ["match_id", "start"]
-    only_old = J.old_picks(spark, sf).select(*key).exceptAll(J.new_picks(spark, sf).select(*key))
-    levels = J.clips(spark, sf).select("count_last").intersect(
+    old, new = J.both_picks(spark, sf)
+    only_old = old.select(*key).exceptAll(new.select(*key))
+    levels = old.select("count_last").intersect(
         spark.range(8, 20).select(F.col("id").alias("count_last")))
     plays = X.named(X.lengths(spark, sf)).withColumn(
         "play", Gr.canonical_match(F.col("match"))).dropDuplicates(["play"])
