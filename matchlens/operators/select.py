@@ -32,6 +32,7 @@ def thin_evenly(df: DataFrame, limit: int, key: str = "match_id", order: str = "
 
 def scarcest_class(candidates: DataFrame, order: list[str] = C.CLASS_ORDER) -> DataFrame:
     """Spend every match on the scarcest class it can supply."""
+    candidates = session.cut_lineage(candidates)  # read twice below
     rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("kind"))
     best = candidates.groupBy("match_id").agg(F.min(rank).alias("__r"))
     return candidates.withColumn("__r", rank).join(best, ["match_id", "__r"]).drop("__r")

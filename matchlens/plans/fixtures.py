@@ -131,7 +131,8 @@ def inshot_columns() -> list[Column]:
 
 
 def ballpix(spark, sf) -> DataFrame:
-    """match_id, frame, px, py, with one frame in eleven not measured."""
+    """match_id, frame, px, py over all matches; one frame in eleven has no measurement, which is
+    what the unmatched-window reports look for."""
     return (frames(spark, sf).where("(frame + match_id) % 11 <> 0").select(
         "match_id", "frame", F.expr("(389 * match_id + 17 * frame + 211) % 1280").alias("px"),
         F.expr("(157 * match_id + 7 * frame + 97) % 480").alias("py")))

@@ -249,6 +249,7 @@ def _(spark, sf):
 def _(spark, sf):
     old = old_picks(spark, sf).select("clip", "match_id", "start")
     d = L.digest(X.trace(spark, sf), DIGEST_COLUMNS)
+    # some clips have no provenance on record; their fields must come out empty
     prov = old.join(d, "match_id").where("match_id % 4 <> 0").select(
         "clip", F.col("digest").alias("play_sha"), "steps")
     return L.recipe(old, prov, ["play_sha", "steps"])

@@ -118,6 +118,7 @@ def balls(spark, sf):
 
 
 def plates(spark, sf):
+    # every fourth match has no plate evidence: that is the case the status reports on
     return X.frames(spark, sf).where("match_id % 4 <> 0").select("match_id", "frame", F.expr(
         "greatest(0L, abs((frame + 17 * match_id) % 150 - 75) - 10)").alias("plate_px"))
 
