@@ -1,9 +1,10 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
-from . import mixing, rules
+from . import mixing, pii, rules
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op8_quality_rules": rules.query,
     "op10_mix_sources": mixing.query,
 }

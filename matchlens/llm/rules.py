@@ -47,7 +47,7 @@ def rules() -> dict[str, Column]:
         "length": _by(F.col("n_words"), F.col("n_words") < 20, F.col("n_words") >= 50),
         "repeated_passages": _rule(_share("n_repeat_words", "n_words"), 0.3, 0.1),
         "symbols": _rule(_share("n_symbols", "n_words"), 0.15, 0.03),
-        "repeated_lines": _rule(_share("n_dup_lines", "n_lines"), 0.3, 0.05),
+        "repeated_lines": _rule(_share("n_dup_lines", "n_lines"), 0.5, 0.1),
         "word_length": _by(length, (length < 2.5) | (length > 12), length.between(3, 9)),
         "capitals": _rule(_share("n_capitals", "n_letters"), 0.4, 0.15),
         "letters": _by(letters, letters < 0.7, letters >= 0.85),
