@@ -1,9 +1,10 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
-from . import mixing, pii, rules
+from . import mixing, packing, pii, rules
 
 QUERIES = {
+    "op7_packing": packing.query,
     "op2_pii": pii.query,
     "op8_quality_rules": rules.query,
     "op10_mix_sources": mixing.query,
