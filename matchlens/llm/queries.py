@@ -1,9 +1,11 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
-from . import mixing, packing, pii, rules
+from . import classifier, language, mixing, packing, pii, rules
 
 QUERIES = {
+    "op1_quality_classifier": classifier.query,
+    "op5_language_id": language.query,
     "op7_packing": packing.query,
     "op2_pii": pii.query,
     "op8_quality_rules": rules.query,
