@@ -1,9 +1,10 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
-from . import classifier, language, mixing, packing, pii, rules
+from . import classifier, language, mixing, packing, pii, rules, topk
 
 QUERIES = {
+    "op3_exact_top_k": topk.query,
     "op1_quality_classifier": classifier.query,
     "op5_language_id": language.query,
     "op7_packing": packing.query,
@@ -12,4 +13,6 @@ QUERIES = {
     "op10_mix_sources": mixing.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_top_k": topk.SQL,
+}

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,3 +41,15 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> D
     base = F.element_at(F.map_from_entries(F.array(*[F.struct(F.lit(p), F.lit(b).cast("long")) for p, b in offsets])), F.col("__part"))
     n = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return dealt.withColumn(name, n + base).drop("__part")
+
+
+@contextmanager
+def small_batches(spark, rows: int):
+    """Tables with large rows go to Python a few rows at a time while this holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
