@@ -1,9 +1,10 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
-from . import classifier, language, mixing, packing, pii, rules, topk
+from . import classifier, language, mixing, near, packing, pii, rules, topk
 
 QUERIES = {
+    "op6_near_duplicates": near.query,
     "op3_exact_top_k": topk.query,
     "op1_quality_classifier": classifier.query,
     "op5_language_id": language.query,
