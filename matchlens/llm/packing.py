@@ -182,7 +182,7 @@ def slots(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
 
 def pack(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """Every piece with its sequence and its offset there."""
-    cut = numbered(pieces(docs, path, size), [F.col(c) for c in ("length", "doc_id", "start", "ids_crc32")], "n")
+    cut = numbered(staged(pieces(docs, path, size)), [F.col(c) for c in ("length", "doc_id", "start", "ids_crc32")], "n")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # `size` rows at most
     plan = docs.sparkSession.createDataFrame(
         slots(histogram, size), "slot_length long, first long, end long, times long, sequence long, at long")

@@ -26,7 +26,7 @@ def staged(df: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
     """df with consecutive numbers in the given order, without one task seeing all rows.
 
-    Rows are dealt by ranges of the order; the counts of the ranges, one number for each
+    Finding the ranges reads df once more, so stage what is costly to make. Rows are dealt by ranges of the order; the counts of the ranges, one number for each
     partition, are summed on the driver. Rows that tie in the whole order get any of their numbers."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
