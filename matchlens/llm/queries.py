@@ -1,9 +1,10 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
-from . import classifier, language, lines, mixing, near, packing, pii, rules, topk
+from . import classifier, language, lines, mixing, near, packing, passages, pii, rules, topk
 
 QUERIES = {
+    "op4_repeated_passages": passages.query,
     "op9_line_dedup": lines.query,
     "op6_near_duplicates": near.query,
     "op3_exact_top_k": topk.query,
