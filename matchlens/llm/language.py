@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .packing import CHUNK_BYTES, chunks
 from .store import staged, table
@@ -146,8 +147,8 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}        # by model, kept between the tasks of a worker
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; only the text is looked at."""
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score under the given names; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     text, key = columns.index("text"), uuid.uuid4().hex
@@ -162,13 +163,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 langs, scores = _SCORERS[key](texts[part])
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(i) for i in range(len(columns)) if columns[i] not in ("lang_pred", "score")]
-                    + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[c for c in columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"])
-    schema = docs.drop("lang_pred", "score").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+                    [*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *names])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(score, schema)
 
 
+def recognised(docs: DataFrame, at_least: float = 0.4) -> DataFrame:
+    """docs in a known language; learned from those of docs that say theirs."""
+    scored = predict(docs, learned(docs), ("__language", "__sure"))
+    return scored.where((F.col("__language") != UNDETERMINED) & (F.col("__sure") >= at_least)).drop("__language", "__sure")
+
+
 def learned(docs: DataFrame, **params) -> Model:
     return fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), **params)
 

@@ -1,9 +1,12 @@
 """The registered queries of the text operators and their SQL twins."""
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import classifier, language, lines, mixing, near, packing, passages, pii, rules, topk
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op4_repeated_passages": passages.query,
     "op9_line_dedup": lines.query,
     "op6_near_duplicates": near.query,
