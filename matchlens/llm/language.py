@@ -2,7 +2,8 @@
 words by the longest character n-grams that are known.
 
 The model is fitted on at most `per_language` labelled documents a language, picked by a hash of the
-id, and keeps at most WORDS words and GRAMS n-grams, shared evenly by the languages. Every document is scored, whole.
+id, in at most LANGUAGES languages, and keeps at most WORDS words and GRAMS n-grams, shared evenly by
+the languages. Every document is scored, whole.
 
 Defined results: null text, and text without a letter, is `und` with score 0; so is all text if
 there is nothing to learn from. Text whose letters the model has never seen gets the first language
@@ -26,6 +27,7 @@ from .packing import CHUNK_BYTES, chunks
 from .store import staged, table
 
 PER_LANGUAGE = 4000
+LANGUAGES = 1000                    # the most frequent ones; others are not learned
 WORDS, GRAMS = 160_000, 160_000     # model entries over all languages
 LONGEST = 4                         # n-gram length that unseen words start with
 LEARNED_WORD = 40                   # longer words are scored, but not learned
@@ -50,9 +52,10 @@ class Model(NamedTuple):
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """docs(doc_id, text, lang), those to learn from."""
     docs = docs.where("lang is not null and text is not null")
-    rate = docs.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
+    rate = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select(
+        "lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count")).alias("rate"))
     draw = F.xxhash64(F.col("doc_id"), F.lit(5)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    some = docs.join(rate, "lang").where(draw < F.col("rate"))
+    some = docs.join(F.broadcast(rate), "lang").where(draw < F.col("rate"))
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = staged(some.select("lang", word.alias("gram")).where(F.length("gram") <= LEARNED_WORD)
                    .groupBy("lang", "gram").count())
