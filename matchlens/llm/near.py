@@ -34,6 +34,7 @@ from .packing import CHUNK_BYTES, chunks
 from .store import staged, table
 
 SKETCH = 64
+FILTER = 160                    # values of a union that decide which pairs are verified
 MISS = 1e-9
 STAR_ROUNDS = 2
 WORDS, PERCENT = 5, 80          # what the stages of a pipeline use
@@ -109,26 +110,29 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
         "cls = of").dropDuplicates(["cls"]).select("cls", "set")
 
 
-def _least_shared(n: Column, percent: int) -> Column:
-    return F.least(F.ceil(n * percent / 100), F.lit(shared(percent / 100)))
+def _least_shared(n: Column, percent: int, size: int) -> Column:
+    return F.least(F.ceil(n * percent / 100), F.lit(shared(percent / 100, size)))
 
 
 def inverted(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, cls, n): the inverted lists that a class is found in; lists of one class are left out."""
+    """(value, cls, n, prefix): the inverted lists that a class is found in; lists of one class are left out."""
     values = classes.select("cls", "n", F.explode("sketch").alias("value"))
     met = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     some = values.join(met, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     alone = F.least(F.col("n"), F.lit(SKETCH)) - F.size("v")    # the rarest: they come first and meet nobody
-    prefix = F.least(F.col("n"), F.lit(SKETCH)) - _least_shared(F.col("n"), percent) + 1 - alone
-    first = F.slice("v", F.lit(1), F.greatest(F.lit(0), prefix).cast("int"))
-    return some.select("cls", "n", F.explode(F.transform(first, lambda x: x["value"])).alias("value"))
+    length = F.least(F.col("n"), F.lit(SKETCH)) - _least_shared(F.col("n"), percent, SKETCH) + 1 - alone
+    first = F.slice("v", F.lit(1), F.greatest(F.lit(0), length).cast("int"))
+    return some.select("cls", "n", F.transform(first, lambda x: x["value"]).alias("prefix")).withColumn("value", F.explode("prefix"))
 
 
-def _alike(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
-    """Union-sketch estimate: may the pair be as similar as asked?"""
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
+def _alike(a: Column, b: Column, n_a: Column, n_b: Column, percent: int, size: int) -> Column:
+    """May a pair with these smallest hashes be as similar as asked? Judged on those of its union."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
     common = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return common >= F.least(_least_shared(F.greatest(n_a, n_b), percent), F.size(union))
+    whole = (n_a <= size) & (n_b <= size)
+    both = F.size(F.array_intersect(a, b))
+    return F.when(whole, 100 * both >= percent * (n_a + n_b - both)).otherwise(
+        common >= _least_shared(F.greatest(n_a, n_b), percent, size))
 
 
 def _sized(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -142,7 +146,7 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
             pairs = pairs.join(t.select(F.col("cls").alias(side), F.struct(*column.split()).alias(f"x{side}")), side)
         return pairs
     near = two(classes, "sketch n", pairs).where(_alike(
-        F.col("xa.sketch"), F.col("xb.sketch"), F.col("xa.n"), F.col("xb.n"), percent)).select("a", "b")
+        F.col("xa.sketch"), F.col("xb.sketch"), F.col("xa.n"), F.col("xb.n"), percent, SKETCH)).select("a", "b")
     both = F.size(F.array_intersect("xa.set", "xb.set"))
     either = F.size("xa.set") + F.size("xb.set") - both
     return staged(two(sets, "set", staged(near)).where(100 * both >= percent * either).select("a", "b"))
@@ -178,7 +182,8 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     lists = staged(inverted(reps, percent))
     lists = lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value"), "value", "left_semi")
     lists = staged(lists)
-    sets = staged(full_sets(docs, reps.join(lists.select("cls").distinct(), "cls", "left_semi"), words))
+    listed = staged(reps.join(lists.select("cls").distinct(), "cls", "left_semi"))
+    sets = staged(full_sets(docs, listed, words))
     roots, links = None, None
 
     def across(lists: DataFrame) -> DataFrame:
@@ -193,13 +198,18 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         if k < STAR_ROUNDS:
             centre = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), F.struct("cls", "n", "root"))).alias("c")).select(
                 "value", F.col("c.col2").alias("o"))
-            met = open_.join(centre, "value")
+            pairs = open_.drop("prefix").join(centre, "value").where(
+                (F.col("root") != F.col("o.root")) & _sized(F.col("n"), F.col("o.n"), percent))
         else:
-            other = open_.select("value", F.struct("cls", "n", "root").alias("o"))
-            met = open_.join(other, "value").where(F.col("cls") < F.col("o.cls"))
-        pairs = met.where((F.col("root") != F.col("o.root")) & _sized(F.col("n"), F.col("o.n"), percent)).select(
-            F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct()
-        found = linked(staged(pairs), reps, sets, percent)
+            # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
+            smallest = sets.select("cls", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
+            own = open_.join(smallest, "cls").select("value", F.struct("cls", "n", "root", "prefix", "low").alias("x"))
+            pairs = own.join(own.withColumnRenamed("x", "o"), "value").where(
+                (F.col("x.cls") < F.col("o.cls")) & (F.col("x.root") != F.col("o.root")) & _sized(F.col("x.n"), F.col("o.n"), percent)
+                & (F.array_intersect("x.prefix", "o.prefix")[0] == F.col("value"))
+                & _alike(F.col("x.low"), F.col("o.low"), F.col("x.n"), F.col("o.n"), percent, FILTER)).select("x.cls", "o")
+        pairs = pairs.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct()
+        found = linked(staged(pairs), listed, sets, percent)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
     named = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
