@@ -48,6 +48,9 @@ NEAR_RADIUS = 0.06
 LEVELS = list(range(8, 20))
 PER_LEVEL = 2
 CLASS_QUOTA = {"corner": 5, "gk_throw": 5, "kickoff": 5, "open": 9}
+SPREAD_WEIGHT = 0.06
+SPREAD_CELL, SPREAD_ROW, SPREAD_COLUMN = 3.0, 0.25, 0.12
+KEPT_BONUS = 100.0
 PROBE_BUDGET = {"corner": 999, "gk_throw": 18, "kickoff": 16, "open": 26}
 MAX_END = 1900
 SCARCE = ("corner", "gk_throw")

@@ -71,9 +71,11 @@ def parse_bin(text: Column) -> tuple[Column, Column]:
 
 
 def first_number(text: Column) -> Column:
-    """First standalone whole number; null when there is none (or it exceeds 18 digits)."""
+    """First standalone whole number, as its digits without leading zeros; null without one.
+
+    Digits keep numbers of any length; compare them with other numbers as text."""
     s = F.regexp_extract(text, WHOLE_NUMBER, 1)
-    return F.when((s != "") & (F.length(s) <= 18), s.try_cast("bigint"))
+    return F.when(s != "", F.regexp_replace(s, "^0+([0-9])", "$1"))
 
 
 def first_choice(text: Column) -> Column:
@@ -81,11 +83,15 @@ def first_choice(text: Column) -> Column:
     return F.when(s != "", s)
 
 
-def reasoning(text: Column, keep: int = 200) -> Column:
-    """The reasoning line; without one, the opening of the answer."""
+def reasoning(text: Column) -> Column:
+    """The reasoning line; without one, the whole answer on one line."""
     s = F.regexp_extract(text, r"(?i)Reasoning:\s*([^\n]+)", 1)
-    return F.when(s != "", strip(s)).otherwise(
-        F.substring(F.regexp_replace(text, "\n", " "), 1, keep))
+    return F.when(s != "", strip(s)).otherwise(F.regexp_replace(text, "\n", " "))
+
+
+def shortened(text: Column, keep: int) -> Column:
+    """For display beside the whole text."""
+    return F.substring(text, 1, keep)
 
 
 def position(text: Column) -> Column:

@@ -1,0 +1,109 @@
+"""Filling the slots of a batch from a short list whose length the design of the batch bounds.
+
+A slot is a (level, starting team). A pick takes one slot, one match and one place of its class.
+Three kinds of places at once make this harder than a flow, so slots are filled by chains: the
+slot takes an option, the picks that stand in its way are moved to other options, and so on, until
+every displaced slot has a place again. Then picks are exchanged, one at a time, as long as that
+makes the batch calmer or more even.
+"""
+from __future__ import annotations
+
+from collections import Counter, defaultdict
+
+from matchlens import config as C
+
+
+class Batch:
+    """Picks by slot. An option is a dict with slot, kind, match_id, cell, coh and any further fields."""
+
+    def __init__(self, options: list[dict], quota: dict[str, int], weight: float):
+        self.quota, self.weight = quota, weight
+        self.options = defaultdict(list)
+        for o in sorted(options, key=lambda o: (o["coh"], o["match_id"], o["kind"], o["cell"])):
+            self.options[o["slot"]].append(o)
+        # the calmest window of each (match, class) is all that filling looks at
+        self.first = {s: list({(o["match_id"], o["kind"]): o for o in reversed(own)}.values())[::-1]
+                      for s, own in self.options.items()}
+        self.picks: dict = {}
+
+    def put(self, option: dict) -> None:
+        self.picks[option["slot"]] = option
+
+    def in_the_way(self, option: dict, picks: dict) -> list[list]:
+        """The alternatives of slots that must be given up for an option, cheapest first."""
+        holder = [s for s, p in picks.items() if p["match_id"] == option["match_id"] and s != option["slot"]]
+        used = Counter(p["kind"] for s, p in picks.items() if s != option["slot"] and s not in holder)
+        if used[option["kind"]] < self.quota[option["kind"]]:
+            return [holder]
+        same = [s for s, p in picks.items() if p["kind"] == option["kind"] and s != option["slot"] and s not in holder]
+        return [holder + [s] for s in sorted(same, key=lambda s: -picks[s]["coh"])]
+
+    def chain(self, open_: list, picks: dict, depth: int, fixed: frozenset) -> dict | None:
+        """Picks with all open slots filled, or None; a chain moves a slot once."""
+        if not open_:
+            return picks
+        if depth < len(open_):
+            return None
+        slot, rest = open_[0], open_[1:]
+        for option in self.first.get(slot, ()):
+            for given in self.in_the_way(option, picks):
+                if any(s in fixed for s in given):
+                    continue
+                if depth - 1 < len(rest) + len(given):
+                    continue
+                after = {s: p for s, p in picks.items() if s not in given}
+                after[slot] = option
+                done = self.chain(rest + given, after, depth - 1, fixed | {slot})
+                if done is not None:
+                    return done
+        return None
+
+    def fill(self, slots: list, longest: int = 4) -> None:
+        """Scarce slots first; every slot that a chain of at most ``longest`` moves can fill."""
+        order = sorted(slots, key=lambda s: (len(self.options.get(s, ())), s))
+        for depth in range(1, longest + 1):
+            for s in order:
+                if s not in self.picks:
+                    done = self.chain([s], self.picks, depth, frozenset())
+                    if done is not None:
+                        self.picks = done
+
+    def cost(self, picks: dict) -> float:
+        """Mean coherence and weighted unevenness over cells, rows and columns."""
+        n = len(picks)
+        cells = Counter(p["cell"] for p in picks.values())
+        rows = Counter(p["cell"][0] for p in picks.values())
+        columns = Counter(p["cell"][1:] for p in picks.values())
+        uneven = (C.SPREAD_CELL * (n - len(cells))
+                  + C.SPREAD_ROW * sum((v - n / C.GRID_ROWS) ** 2 for v in rows.values())
+                  + C.SPREAD_COLUMN * sum((v - n / C.GRID_COLS) ** 2 for v in columns.values()))
+        return sum(p["coh"] for p in picks.values()) / n + self.weight * uneven
+
+    def improve(self) -> None:
+        """Exchanges the pick whose exchange gains most, until none gains."""
+        while self.picks:
+            now, gain, found = self.cost(self.picks), 1e-9, None
+            used = {p["match_id"]: s for s, p in self.picks.items()}
+            for slot, pick in self.picks.items():
+                seen = set()
+                for o in self.options[slot]:
+                    if o["kind"] != pick["kind"] or used.get(o["match_id"], slot) != slot or o["cell"] in seen:
+                        continue
+                    seen.add(o["cell"])     # the calmest free window of a cell is enough
+                    better = now - self.cost({**self.picks, slot: o})
+                    if better > gain:
+                        gain, found = better, o
+            if found is None:
+                return
+            self.put(found)
+
+
+def batch(options: list[dict], slots: list, quota: dict[str, int], weight: float, start: list[dict] = ()) -> list[dict]:
+    """The picks; ``start``: options to begin with, as far as they go together."""
+    b = Batch(options, quota, weight)
+    for o in start:
+        if o["slot"] not in b.picks and b.in_the_way(o, b.picks) == [[]]:
+            b.put(o)
+    b.fill(slots)
+    b.improve()
+    return list(b.picks.values())

@@ -30,9 +30,10 @@ def _index(frame: Column, size: int) -> Column:
     return F.floor(frame / F.lit(size)).cast("bigint")
 
 
-def reach(df: DataFrame, before: int = 0, after: int = 0, frame: str = "frame") -> DataFrame:
+def reach(df: DataFrame, before: int = 0, after: int = 0, frame: str = "frame",
+          size: int | None = None) -> DataFrame:
     """Copy each row into every chunk that has a core frame within reach of it."""
-    size = chunk_frames()
+    size = size or chunk_frames()
     f = F.col(frame)
     if not before and not after:
         return df.withColumn(CHUNK, _index(f, size))
@@ -40,8 +41,8 @@ def reach(df: DataFrame, before: int = 0, after: int = 0, frame: str = "frame")
     return df.withColumn(CHUNK, F.explode(F.sequence(first, _index(f + before, size))))
 
 
-def is_core(frame: str = "frame") -> Column:
-    return F.col(CHUNK) == _index(F.col(frame), chunk_frames())
+def is_core(frame: str = "frame", size: int | None = None) -> Column:
+    return F.col(CHUNK) == _index(F.col(frame), size or chunk_frames())
 
 
 def core(df: DataFrame, frame: str = "frame") -> DataFrame:
@@ -102,28 +103,19 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]],
                   F.col(f"__c_{n}")).alias(n) for n, (how, _) in values.items()])
 
 
-SMALL_RANGES = 50_000
-
-
 def covering(trace: DataFrame, ranges: DataFrame, lo: Column, hi: Column, bucket: int = 128
              ) -> DataFrame:
     """Join each range row (match_id, ...) to the trace frames lo..hi, both included.
 
-    Ranges are usually few (clips, events). They are written once and counted: up to
-    ``SMALL_RANGES`` rows they are broadcast by (match, time bucket), so the trace is filtered
-    where it lies and never shuffled; above that they unfold to frames and meet the trace in a
-    shuffled join on (match, frame).
+    Ranges are cut at time buckets and meet the trace on (match, bucket), so a range of any
+    length is a few rows for each bucket it touches. Whether few ranges are broadcast, so that
+    the trace stays where it lies, is left to Spark.
     """
-    kept = session.cut_lineage(ranges.select("*", lo.alias("__lo"), hi.alias("__hi")))
-    if kept.count() <= SMALL_RANGES:
-        cut = kept.withColumn("__b", F.explode(F.sequence(
-            _index(F.col("__lo"), bucket), _index(F.col("__hi"), bucket))))
-        hit = trace.withColumn("__b", _index(F.col("frame"), bucket)).join(
-            F.broadcast(cut), ["match_id", "__b"])
-        return hit.where(F.col("frame").between(F.col("__lo"), F.col("__hi"))).drop(
-            "__lo", "__hi", "__b")
-    spots = kept.withColumn("frame", F.explode(F.sequence("__lo", "__hi")))
-    return spots.drop("__lo", "__hi").join(trace, ["match_id", "frame"])
+    cut = ranges.select("*", lo.alias("__lo"), hi.alias("__hi")).withColumn("__b", F.explode(
+        F.sequence(_index(F.col("__lo"), bucket), _index(F.col("__hi"), bucket))))
+    hit = trace.withColumn("__b", _index(F.col("frame"), bucket)).join(cut, ["match_id", "__b"])
+    return hit.where(F.col("frame").between(F.col("__lo"), F.col("__hi"))).drop(
+        "__lo", "__hi", "__b")
 
 
 def number_rows(df: DataFrame, order: list[str], bucket: Column, name: str = "k",

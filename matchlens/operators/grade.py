@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from matchlens.functions import text as T
+from matchlens.functions import grid, text as T
 
 
 def with_truth(answers: DataFrame, truth: DataFrame, key: str = "clip") -> DataFrame:
@@ -38,6 +38,24 @@ def scoreboard(graded: DataFrame, by: list[str], total: bool = True) -> DataFram
     return graded.rollup(*by).agg(*aggs) if total else graded.groupBy(*by).agg(*aggs)
 
 
+def batch_scores(answers: DataFrame, truth: DataFrame, grids: dict[str, tuple[int, int]]) -> DataFrame:
+    """batch, answers, parsed and exact per registered batch, in one pass over the answers.
+
+    A batch (``model``) has its own grid; the truth in pixels is turned into the cells of each."""
+    pred = F.lit(None).cast("struct<cell:string,row:string,col:bigint>")
+    want = F.lit(None).cast("struct<row:string,col:bigint>")
+    for batch, (cols, rows) in grids.items():
+        r, c = grid.cell_index(F.col("px"), F.col("py"), cols, rows)
+        mine = F.col("model") == batch
+        pred = F.when(mine, T.parse_cell(F.col("raw"), cols, rows)).otherwise(pred)
+        want = F.when(mine, F.struct(grid.letter(r).alias("row"), (c + 1).cast("bigint").alias("col"))).otherwise(want)
+    known = answers.where(F.col("model").isin(*grids)).withColumn("pred", pred)
+    j = with_truth(known, truth).withColumn("want", want)
+    exact = (F.col("pred.row") == F.col("want.row")) & (F.col("pred.col") == F.col("want.col"))
+    return j.groupBy(F.col("model").alias("batch")).agg(
+        F.count(F.lit(1)).alias("answers"), F.count("pred.cell").alias("parsed"), F.count(F.when(exact, 1)).alias("exact"))
+
+
 def category_summary(graded: DataFrame, by: list[str]) -> DataFrame:
     correct = F.count(F.when(F.col("correct"), 1))
     wrong = F.count(F.when(~F.col("correct"), 1))
@@ -54,6 +72,10 @@ def category_summary(graded: DataFrame, by: list[str]) -> DataFrame:
 Grader = Callable[[Column, Column, Column, Column], tuple[Column, Column, Column]]
 
 
+# --- fixed value: what is expected of an open region question ---
+OPEN_REGION = "coordinate/bin"
+
+
 def _as_text(c: Column) -> Column:
     return c.cast("string")
 
@@ -63,7 +85,7 @@ def grade_count(answer, question, subtask, truth):
     q = F.lower(question)
     want = (F.when(q.contains("left"), truth["n_left"])
             .when(q.contains("right"), truth["n_right"]).otherwise(truth["n_total"]))
-    return _as_text(pred), _as_text(want), F.coalesce(pred == want, F.lit(False))
+    return pred, _as_text(want), F.coalesce(pred == _as_text(want), F.lit(False))
 
 
 def grade_score(answer, question, subtask, truth):
@@ -71,7 +93,7 @@ def grade_score(answer, question, subtask, truth):
     yes = low.contains("yes") | low.contains("will score") | low.contains("goal")
     want = truth["left_scored"] | truth["right_scored"]
     about = F.lower(question).contains("score")
-    return (F.when(about, _as_text(yes)).otherwise(F.substring(answer, 1, 80)),
+    return (F.when(about, _as_text(yes)).otherwise(answer),
             F.when(about, _as_text(want)).otherwise(truth["end_bin"]),
             F.when(about, yes == want))
 
@@ -79,12 +101,14 @@ def grade_score(answer, question, subtask, truth):
 def grade_region(answer, question, subtask, truth):
     pred = T.first_number(answer)
     about = subtask == "region_occluded"
-    return (F.when(about, _as_text(pred)).otherwise(F.substring(answer, 1, 80)),
-            F.when(about, _as_text(truth["region_count"])).otherwise(F.lit("coordinate/bin")),
-            F.when(about, F.coalesce(pred == truth["region_count"], F.lit(False))))
+    want = _as_text(truth["region_count"])
+    return (F.when(about, pred).otherwise(answer),
+            F.when(about, want).otherwise(F.lit(OPEN_REGION)),
+            F.when(about, F.coalesce(pred == want, F.lit(False))))
 
 
-# --- fixed values: intervention labels ---
+# --- fixed values: intervention labels, question suffix ---
+CHOICE_SUFFIX = "\nA=add attacker  B=remove defender  C=ball forward  D=no change\nANSWER: "
 CHOICES = {"a_add_attacker": "A", "b_remove_defender": "B", "c_ball_forward": "C",
            "d_no_change": "D"}
 
@@ -98,8 +122,7 @@ def grade_choice(answer, question, subtask, truth):
 
 
 def grade_pass_through(answer, question, subtask, truth):
-    return (F.substring(answer, 1, 120), truth["responsibility_rank"],
-            F.lit(None).cast("boolean"))
+    return answer, truth["responsibility_rank"], F.lit(None).cast("boolean")
 
 
 GRADERS: dict[str, Grader] = {
@@ -139,9 +162,8 @@ def _map_probes(items: DataFrame) -> DataFrame:
 
 
 def _choice_probes(items: DataFrame) -> DataFrame:
-    suffix = "\nA=add attacker  B=remove defender  C=ball forward  D=no change\nANSWER: "
     return items.select("category", "item_id", F.lit("").alias("subtask"),
-                        F.concat(F.get("questions", F.lit(0)), F.lit(suffix)).alias("question"))
+                        F.concat(F.get("questions", F.lit(0)), F.lit(CHOICE_SUFFIX)).alias("question"))
 
 
 def _open_probes(items: DataFrame) -> DataFrame:

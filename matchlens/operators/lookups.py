@@ -42,7 +42,8 @@ def outside_spans(windows: DataFrame, spans: DataFrame, rule: str = "ends",
     "ends": the first or the last frame lies in a span (a window inside one span satisfies this
     too); "overlap": any frame does. Spans are cut at bucket borders and only the longest
     piece per start is kept, so a bucket holds at most ``bucket`` pieces whatever the number
-    of recorded spans. Windows are no longer than a bucket, so they look up two.
+    of recorded spans. A window of any length looks in the buckets it touches ("overlap") or
+    that hold its ends, and goes if one of them says so.
     """
     if rule not in ("ends", "overlap"):
         raise ValueError(f"unknown rule {rule}")
@@ -54,23 +55,17 @@ def outside_spans(windows: DataFrame, spans: DataFrame, rule: str = "ends",
         "match_id", "b", "lo").agg(F.max("hi").alias("hi"))
     gone = pieces.groupBy("match_id", "b").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
     last = F.col("end") - 1
-    fits = F.when(F.col("end") - F.col("start") <= bucket, F.expr(f"start div {bucket}")
-                  ).otherwise(F.raise_error(F.lit(f"window longer than {bucket} frames")))
-    out = windows.select("*", fits.cast("bigint").alias("__b0"),
-                         F.expr(f"(end - 1) div {bucket}").alias("__b1"))
-    for i in (0, 1):
-        side = gone.select("match_id", F.col("b").alias(f"__b{i}"),
-                           F.col("gone").alias(f"__g{i}"))
-        out = out.join(side, ["match_id", f"__b{i}"], "left")
-
-    def touches(list_, lo, hi):
-        return F.coalesce(F.exists(list_, lambda s: (lo <= s["hi"]) & (s["lo"] <= hi)),
-                          F.lit(False))
-    if rule == "ends":
-        hit = touches("__g0", F.col("start"), F.col("start")) | touches("__g1", last, last)
-    else:
-        hit = (touches("__g0", F.col("start"), last) | touches("__g1", F.col("start"), last))
-    return out.where(~hit).select(*windows.columns)
+
+    def buckets(lo, hi):
+        return F.sequence(F.floor(lo / bucket).cast("bigint"), F.floor(hi / bucket).cast("bigint"))
+    ends = F.array(F.struct(F.col("start").alias("lo"), F.col("start").alias("hi")),
+                   F.struct(last.alias("lo"), last.alias("hi")))
+    whole = F.array(F.struct(F.col("start").alias("lo"), last.alias("hi")))
+    looked = windows.select(*WINDOW_KEY, F.explode(ends if rule == "ends" else whole).alias("p"))
+    looked = looked.select(*WINDOW_KEY, "p", F.explode(buckets(F.col("p.lo"), F.col("p.hi"))).alias("b"))
+    hit = F.exists("gone", lambda s: (F.col("p.lo") <= s["hi"]) & (s["lo"] <= F.col("p.hi")))
+    touched = looked.join(gone, ["match_id", "b"]).where(hit).select(*WINDOW_KEY)
+    return windows.join(touched, WINDOW_KEY, "left_anti").select(*windows.columns)
 
 
 def possession(trace: DataFrame, clip: int = C.CLIP_FRAMES) -> DataFrame:

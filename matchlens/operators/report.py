@@ -110,7 +110,8 @@ def sentence() -> Column:
         return F.format_string("%.0f", F.bround(c, 0))
 
     def tenth(c):
-        return F.format_string("%.1f", c)
+        # half to even on the value as stored: 2.25 is 2.2, 0.25 is 0.2
+        return F.format_string("%.1f", F.bround(c, 1))
     t = F.col("restart_s")
     what = grid.names(F.col("kind"), RESTART_PHRASES)
     opening = (F.when(F.col("kind") == "open", F.concat(F.lit("Open play in the "), "zone_start"))

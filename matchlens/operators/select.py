@@ -6,11 +6,12 @@ applies before shuffling), with a stated bound on its length; only that list is
 """
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlens import config as C
 from matchlens import session
-from matchlens.operators import chunks
+from matchlens.operators import assign, chunks
 
 
 def top(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -148,34 +149,51 @@ def contrasting_pair(candidates: DataFrame) -> DataFrame:
 def drop_close(events: DataFrame, apart: int = 40, key: str = "match_id") -> DataFrame:
     """Best score first, drop events of the same trace closer than ``apart`` frames to a kept one.
 
-    Rounds over all traces at once: an event that beats every undecided neighbour within reach
-    is kept, its neighbours go, and the rest is looked at again. That is exactly what the
-    sequential pass does, whatever the length of a trace. Each round is a window over
-    overlapping time chunks and a written table; rounds end when nothing is undecided.
+    Of events on one frame only the best can be kept (then by the other columns, in order). The
+    rest is decided in time chunks: inside a chunk the sequential pass is done as far as nothing
+    outside can change it; an event is left open if a better one within reach is open, or lies in
+    a neighbouring chunk. Open events meet again in chunks twice as long, so that a chain of any
+    length takes as many rounds as its logarithm in chunks, and each round only holds the events
+    that the last one left open.
     """
-    better = F.struct(F.col("score"), -F.col("frame"))
-    open_ = events.withColumn("__s", better)
-    kept = None
+    ties = [F.col(c) for c in events.columns if c not in (key, "frame", "score")]
+    on_frame = Window.partitionBy(key, "frame").orderBy(F.col("score").desc(), *ties)
+    all_ = session.cut_lineage(events.withColumn("__k", F.row_number().over(on_frame)).where("__k = 1").drop("__k"))
+    open_, kept = all_.select(key, "frame", "score"), None
+    size = max(chunks.chunk_frames(), 4 * apart)
+    none = F.filter(F.array(F.lit(0).cast("bigint")), lambda x: F.lit(False))
     while True:
-        body = chunks.reach(open_, apart, apart)
-        near = chunks.along(key).rangeBetween(-(apart - 1), apart - 1)
-        body = body.withColumn("__win", F.col("__s") == F.max("__s").over(near))
-        # a winner can sit up to apart - 1 frames outside the core; it is certain there only if
-        # its whole neighbourhood was copied, so winners are recomputed from the core
-        winners = chunks.core(body).where("__win").drop("__win")
-        marks = chunks.reach(winners.select(key, "frame", F.lit(1).alias("__w")).unionByName(
-            open_.select(key, "frame", F.lit(0).alias("__w"))), apart, apart)
-        marks = chunks.core(marks.withColumn("__hit", F.max("__w").over(near)))
-        left = open_.join(marks.where("__w = 0 and __hit = 0").select(key, "frame"),
-                          [key, "frame"])
-        state = session.cut_lineage(
-            winners.withColumn("__kept", F.lit(True)).unionByName(
-                left.withColumn("__kept", F.lit(False))))
-        won = state.where("__kept").drop("__kept", "__s")
+        item = F.struct((-F.col("score")).alias("s"), F.col("frame").cast("bigint").alias("frame"),
+                        chunks.is_core(size=size).alias("core"))
+        lists = chunks.reach(open_, apart, apart, size=size).groupBy(key, chunks.CHUNK).agg(
+            F.array_sort(F.collect_list(item)).alias("w"))
+
+        def near(frames, x):
+            return F.exists(frames, lambda f: F.abs(f - x["frame"]) < apart)
+
+        def step(acc, x):
+            sure = x["core"] & ~near(acc["open"], x)
+            return F.when(near(acc["kept"], x), acc).otherwise(F.struct(
+                F.when(sure, F.concat(acc["kept"], F.array(x["frame"]))).otherwise(acc["kept"]).alias("kept"),
+                F.when(sure, acc["open"]).otherwise(F.concat(acc["open"], F.array(x["frame"]))).alias("open")))
+        decided = lists.select(key, F.aggregate("w", F.struct(none.alias("kept"), none.alias("open")), step).alias("d"), "w")
+        inside = F.transform(F.filter("w", lambda x: x["core"]), lambda x: x["frame"])
+        marked = decided.select(key, F.explode(F.concat(
+            F.transform("d.kept", lambda f: F.struct(f.alias("frame"), F.lit(True).alias("kept"))),
+            F.transform(F.array_intersect("d.open", inside), lambda f: F.struct(f.alias("frame"), F.lit(False).alias("kept"))))).alias("x"))
+        state = session.cut_lineage(marked.select(key, "x.frame", "x.kept"))
+        won = state.where("kept").select(key, "frame")
         kept = won if kept is None else kept.unionByName(won)
-        open_ = state.where("not __kept").drop("__kept")
-        if open_.isEmpty():
-            return kept
+        left = state.where("not kept").select(key, "frame")
+        if left.isEmpty():
+            return all_.join(kept, [key, "frame"], "left_semi")
+        # what a kept event of a neighbouring chunk rules out
+        around = chunks.along(key).rangeBetween(-(apart - 1), apart - 1)
+        both = won.withColumn("won", F.lit(1)).unionByName(left.withColumn("won", F.lit(0)))
+        free = chunks.reach(both, apart, apart).withColumn("hit", F.max("won").over(around)).where(
+            chunks.is_core() & (F.col("won") == 0) & (F.col("hit") == 0))
+        open_ = session.cut_lineage(open_.join(free.select(key, "frame"), [key, "frame"], "left_semi"))
+        size *= 2
 
 
 def score_changes(trace: DataFrame) -> DataFrame:
@@ -214,7 +232,7 @@ def _row_col(cell: Column) -> tuple[Column, Column]:
     return F.substring(cell, 1, 1), F.substring(cell, 2, 2).cast("bigint")
 
 
-def spread_cost(picks: DataFrame, weight: float = 0.06) -> DataFrame:
+def spread_cost(picks: DataFrame, weight: float = C.SPREAD_WEIGHT) -> DataFrame:
     """Mean coherence plus weighted unevenness over the occupied cells, rows and columns."""
     r, c = _row_col(F.col("cell"))
     picks = session.cut_lineage(picks.select("cell", "coh"))
@@ -234,113 +252,70 @@ def spread_cost(picks: DataFrame, weight: float = 0.06) -> DataFrame:
     def var(col, k):
         share = F.col("n") / k
         return F.col(f"{col}_sq") - 2 * share * F.col("n") + F.col(f"{col}_used") * share * share
-    cost = (F.col("n") - F.col("cells")) * 3.0 + var("row", 6.0) * 0.25 + var("col", 16.0) * 0.12
+    cost = ((F.col("n") - F.col("cells")) * C.SPREAD_CELL + var("row", float(C.GRID_ROWS)) * C.SPREAD_ROW
+            + var("col", float(C.GRID_COLS)) * C.SPREAD_COLUMN)
     return j.select("n", F.round(F.col("s") / F.col("n"), 6).alias("mean_coh"),
                     F.round(cost, 6).alias("spread_cost"),
                     F.round(F.col("s") / F.col("n") + F.lit(weight) * cost, 6)
                     .alias("objective"))
 
 
-def _price_map(prices: dict, key: Column) -> Column:
-    if not prices:
-        return F.lit(0.0)
-    m = F.create_map(*[F.lit(x) for kv in prices.items() for x in kv])
-    return F.coalesce(m[key], F.lit(0.0))
-
-
-def _accept(rows: list, quota: dict[str, int], capacity: int) -> list:
-    """Deferred acceptance over a short list: matches propose to their cheapest slot, a slot
-    keeps its cheapest proposers, classes keep within their quota."""
-    options: dict = {}
-    for r in sorted(rows, key=lambda r: (r["price"], r["match_id"], r["start"])):
-        options.setdefault(r["match_id"], []).append(r)
-    held: list = []
-    waiting = sorted(options)
-    turn = {m: 0 for m in options}
-    while waiting:
-        m = waiting.pop()
-        if turn[m] >= len(options[m]):
-            continue
-        offer = options[m][turn[m]]
-        turn[m] += 1
-        held.append(offer)
-        for field, room in ((("level", "startown"), capacity), (("kind",), quota[offer["kind"]])):
-            same = [h for h in held if all(h[f] == offer[f] for f in field)]
-            if len(same) > room:
-                worst = max(same, key=lambda h: (h["price"], h["match_id"], h["start"]))
-                held.remove(worst)
-                waiting.append(worst["match_id"])
-    return held
+PICK = ["match_id", "kind", "start", "end", "level", "startown", "cell", "coh"]
 
 
 def joint_selection(pool: DataFrame, *, levels=tuple(C.LEVELS), per_level: int = C.PER_LEVEL,
-                    quota: dict[str, int] | None = None, rounds: int = 6, step: float = 8.0,
-                    weight: float = 0.06) -> DataFrame:
+                    quota: dict[str, int] | None = None, weight: float = C.SPREAD_WEIGHT) -> DataFrame:
     """A batch with both teams at every level, class quotas, one clip per match, spread cells.
 
-    Every round is one job over the whole pool: windows are repriced (coherence plus charges on
-    crowded cells, rows and columns), each (match, slot) keeps its best window, and each slot
-    and class its best ``target`` matches, which is all any assignment of ``target`` clips can
-    use. That short list (slots x classes x target rows at most) is assigned, the charges are
-    raised where it crowds, and the best round by mean coherence and spread is returned.
+    Of all windows of a (slot, class, cell) only the calmest of ``target`` matches can matter:
+    whatever the other picks are, one of them is free. Two ranked reductions over the pool
+    leave that short list, of slots x classes x cells x target rows at most; ``assign`` fills
+    and improves the batch in one task from it.
     """
     quota = quota or C.CLASS_QUOTA
     target = per_level * len(levels)
     usable = pool.where(F.col("level").isin(*levels) & F.col("startown").isin(0, 1)
                         & F.col("kind").isin(*quota))
-    base = session.cut_lineage(usable.select("match_id", "kind", "start", "end", "level",
-                                             "startown", "cell", "coh"))
-    row, col = _row_col(F.col("cell"))
-    used: dict[str, dict] = {"cell": {}, "row": {}, "col": {}}
-    charges: dict[str, dict] = {"cell": {}, "row": {}, "col": {}}
-    best, best_cost = [], None
-    for it in range(rounds):
-        price = (F.col("coh") * 1000 + _price_map(charges["cell"], F.col("cell"))
-                 + _price_map(charges["row"], row) + _price_map(charges["col"], col))
-        slot = ["level", "startown", "kind"]
-        priced = base.withColumn("price", F.round(price, 6))
-        one = top(priced, ["match_id", *slot], ["price", "start"], 1)
-        short = top(one, slot, ["price", "match_id"], target).collect()
-        picks = _accept(short, quota, per_level // 2)
-        if not picks:
-            break
-        n = len(picks)
-        for r in picks:
-            for name, v in (("cell", r["cell"]), ("row", r["cell"][:1]),
-                            ("col", int(r["cell"][1:]))):
-                used[name][v] = used[name].get(v, 0) + 1
-        now = {name: {} for name in used}
-        for r in picks:
-            for name, v in (("cell", r["cell"]), ("row", r["cell"][:1]), ("col", r["cell"][1:])):
-                now[name][v] = now[name].get(v, 0) + 1
-        cost = sum(r["coh"] for r in picks) / n + weight * (
-            3.0 * (n - len(now["cell"])) + 0.25 * sum((v - n / 6) ** 2 for v in now["row"].values())
-            + 0.12 * sum((v - n / 16) ** 2 for v in now["col"].values()))
-        # more filled slots first, then the lower cost
-        if best_cost is None or (-n, cost) < best_cost:
-            best, best_cost = picks, (-n, cost)
-        s, seen = step / (it + 1), it + 1
-        for name, rate, share in (("cell", 900, 1.0), ("row", 260, target / 6.0),
-                                  ("col", 150, target / 16.0)):
-            charges[name] = {v: float(s * rate * max(0.0, k - seen * share))
-                             for v, k in used[name].items()}
-    keys = base.sparkSession.createDataFrame(
-        [(r["match_id"], r["start"], r["kind"]) for r in best],
-        "match_id bigint, start bigint, kind string")
-    return base.join(keys, ["match_id", "start", "kind"]).dropDuplicates(["match_id"])
-
-
-def reselect(existing: DataFrame, candidates: DataFrame, *, bonus: float = 100.0, **how
+    kept = F.col("kept") if "kept" in pool.columns else F.lit(False)
+    order = [F.col("kept").desc(), "coh", "match_id", "start", "end"]
+    cell = ["level", "startown", "kind", "cell"]
+    rows = usable.select(*PICK, kept.alias("kept"))
+    one = top(rows, ["match_id", *cell], order, 1)
+    short = top(one, cell, order, target)
+    slots = [(level, team, k) for level in levels for team in (0, 1) for k in range(per_level // 2)]
+    schema = rows.schema
+    names = rows.columns
+
+    def choose(rows):
+        listed = rows.to_dict("records")
+        options = [{**r, "slot": (r["level"], r["startown"], k)} for r in listed for k in range(per_level // 2)]
+        start = sorted((o for o in options if o["kept"]), key=lambda o: (o["coh"], o["match_id"], o["slot"]))
+        return pd.DataFrame(assign.batch(options, slots, quota, weight, start), columns=names)
+    return short.groupBy().applyInPandas(choose, schema).select(
+        *PICK, *(["kept"] if "kept" in pool.columns else []))
+
+
+def reselect(existing: DataFrame, candidates: DataFrame, *, bonus: float = C.KEPT_BONUS, **how
              ) -> DataFrame:
-    """Joint selection that prefers the clips already there: their coherence gets a bonus."""
-    cols = ["match_id", "kind", "start", "end", "level", "startown", "cell", "coh"]
-    keep = existing.select(*cols).withColumn("coh", F.col("coh") - bonus)
-    fresh = candidates.select(*cols).join(existing.select("match_id", "start", "kind"),
+    """Joint selection that starts from the clips already there; their coherence gets a bonus."""
+    keep = existing.select(*PICK).withColumn("coh", F.col("coh") - bonus)
+    fresh = candidates.select(*PICK).join(existing.select("match_id", "start", "kind"),
                                           ["match_id", "start", "kind"], "left_anti")
-    out = joint_selection(keep.unionByName(fresh.select(*cols)), **how)
-    kept = F.col("coh") < -bonus / 2
-    return out.withColumn("kept", kept).withColumn(
-        "coh", F.when(kept, F.round(F.col("coh") + bonus, 4)).otherwise(F.col("coh")))
+    out = joint_selection(keep.withColumn("kept", F.lit(True)).unionByName(
+        fresh.withColumn("kept", F.lit(False))), **how)
+    return out.withColumn("coh", F.when(F.col("kept"), F.round(F.col("coh") + bonus, 4)).otherwise(F.col("coh")))
+
+
+def selection_counts(picks: DataFrame) -> DataFrame:
+    """(what, name, n): size, distinct matches, and picks per class, level, team and slot."""
+    n = F.count(F.lit(1))
+    out = picks.agg(n.alias("n")).select(F.lit("size").alias("what"), F.lit("").alias("name"), "n").unionByName(
+        picks.agg(F.countDistinct("match_id").alias("n")).select(F.lit("matches").alias("what"), F.lit("").alias("name"), "n"))
+    text = {"class": F.col("kind"), "level": F.col("level").cast("string"), "team": F.col("startown").cast("string"),
+            "slot": F.concat_ws("/", "level", "startown")}
+    for what, name in text.items():
+        out = out.unionByName(picks.groupBy(name.alias("name")).agg(n.alias("n")).select(F.lit(what).alias("what"), "name", "n"))
+    return out
 
 
 def shortages(pool: DataFrame, *, levels=tuple(C.LEVELS), per_level: int = C.PER_LEVEL,

@@ -218,19 +218,22 @@ def coherence() -> Column:
     return F.round(F.col("loose") * 2.0 + F.col("apex") / 3.2 + F.col("dnear") / 4.0, 4)
 
 
-def spread(candidates: DataFrame, *, keep: int = C.MAX_WINDOWS, apart: int = C.MIN_SEPARATION,
-           stride: int = C.STRIDE) -> DataFrame:
+def spread(candidates: DataFrame, *, keep: int = C.MAX_WINDOWS, apart: int = C.MIN_SEPARATION
+           ) -> DataFrame:
     """Greedy thinning per match: best first, at least ``apart`` frames between kept starts.
 
-    A kept window can only rule out the 2 * ceil(apart / stride) - 2 others on the stride grid
-    around it, so the first ``keep`` survivors are always among the best keep * (that + 1)
-    windows: the fold sees a bounded list however long the match is.
+    Of windows with the same start only the best can be kept. A kept window rules out the
+    2 * apart - 2 starts around its own, so the first ``keep`` survivors are always among the
+    best keep * (2 * apart - 1) starts: the fold sees a bounded list however long the match is
+    and wherever its windows start.
     """
-    blocked = 2 * (-(-apart // stride) - 1) + 1
-    best = Window.partitionBy("match_id").orderBy("coh", "start")
-    short = candidates.withColumn("__r", F.row_number().over(best)).where(
-        F.col("__r") <= keep * blocked).drop("__r")
     fields = [c for c in candidates.columns if c != "match_id"]
+    ties = [f for f in fields if f not in ("coh", "start")]
+    one = candidates.withColumn("__r", F.row_number().over(
+        Window.partitionBy("match_id", "start").orderBy("coh", *ties))).where("__r = 1")
+    best = Window.partitionBy("match_id").orderBy("coh", "start")
+    short = one.withColumn("__r", F.row_number().over(best)).where(
+        F.col("__r") <= keep * (2 * apart - 1)).drop("__r")
     lists = short.groupBy("match_id").agg(F.array_sort(F.collect_list(
         F.struct("coh", "start", *[f for f in fields if f not in ("coh", "start")])))
         .alias("w"))

@@ -154,7 +154,7 @@ def answers(spark, sf) -> DataFrame:
     """event_id, model, clip, raw: one stored free-text answer per event."""
     ev = table(spark, sf, "events").select(
         F.col("event_id").cast("bigint").alias("event_id"), F.col("event_type").alias("model"))
-    total = lengths(spark, sf).count()
+    total = lengths(spark, sf).agg(F.count(F.lit(1))).scalar()
     letter = F.expr("char(65 + (7 * event_id) % 8)")
     col = F.expr("cast((11 * event_id) % 18 + 1 as string)")
     kind = F.col("event_id") % 6
@@ -168,7 +168,7 @@ def answers(spark, sf) -> DataFrame:
            .when(kind == 4, F.concat(F.lit("I think it is near "), letter, col,
                                      F.lit(" or B2")))
            .otherwise(F.lit("ERROR: timeout")))
-    return ev.select("event_id", "model", (F.col("event_id") % F.lit(total)).alias("clip"),
+    return ev.select("event_id", "model", (F.col("event_id") % total).alias("clip"),
                      raw.alias("raw"))
 
 

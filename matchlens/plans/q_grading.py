@@ -121,7 +121,7 @@ def _(spark, sf):
 
 
 SPLIT_SQL = r"""CASE WHEN rs<>'' THEN regexp_replace(rs,'^\s+|\s+$','','g')
-    ELSE substr(replace(raw,chr(10),' '),1,200) END AS reasoning,
+    ELSE replace(raw,chr(10),' ') END AS reasoning,
     CASE WHEN ps<>'' THEN regexp_replace(ps,'^\s+|\s+$','','g') ELSE '(not in expected format)'
     END AS position"""
 
@@ -167,23 +167,23 @@ VIEWS["category_answers"] = """SELECT item_id, category, CASE WHEN category='inf
     [(item_id//4)%5+1] AS category FROM (SELECT CAST(conv_id*64+turn AS BIGINT) AS item_id, text
     FROM conversations))"""
 VIEWS["category_grades"] = r"""SELECT item_id, category, CASE category
-    WHEN 'description' THEN CAST(num AS VARCHAR)
-    WHEN 'prediction' THEN CASE WHEN about THEN CAST(yes AS VARCHAR) ELSE substr(answer,1,80) END
-    WHEN 'inference' THEN CASE WHEN subtask='region_occluded' THEN CAST(num AS VARCHAR)
-      ELSE substr(answer,1,80) END
-    WHEN 'hypothetical' THEN pick ELSE substr(answer,1,120) END AS predicted, CASE category
+    WHEN 'description' THEN num
+    WHEN 'prediction' THEN CASE WHEN about THEN CAST(yes AS VARCHAR) ELSE answer END
+    WHEN 'inference' THEN CASE WHEN subtask='region_occluded' THEN num
+      ELSE answer END
+    WHEN 'hypothetical' THEN pick ELSE answer END AS predicted, CASE category
     WHEN 'description' THEN CAST(want AS VARCHAR)
     WHEN 'prediction' THEN CASE WHEN about THEN CAST(left_scored OR right_scored AS VARCHAR)
       ELSE end_bin END
     WHEN 'inference' THEN CASE WHEN subtask='region_occluded' THEN CAST(region_count AS VARCHAR)
       ELSE 'coordinate/bin' END
     WHEN 'hypothetical' THEN best ELSE responsibility_rank END AS expected, CASE category
-    WHEN 'description' THEN coalesce(num=want,false)
+    WHEN 'description' THEN coalesce(num=CAST(want AS VARCHAR),false)
     WHEN 'prediction' THEN CASE WHEN about THEN yes=(left_scored OR right_scored) END
-    WHEN 'inference' THEN CASE WHEN subtask='region_occluded' THEN coalesce(num=region_count,false)
+    WHEN 'inference' THEN CASE WHEN subtask='region_occluded' THEN coalesce(num=CAST(region_count AS VARCHAR),false)
       END WHEN 'hypothetical' THEN pick=best END AS correct FROM (SELECT *,
-    TRY_CAST(regexp_extract(answer,'(?:^|[^\p{L}\p{N}_])([0-9]+)(?:[^\p{L}\p{N}_]|$)',1)
-      AS BIGINT) AS num,
+    nullif(regexp_replace(regexp_extract(answer,'(?:^|[^\p{L}\p{N}_])([0-9]+)(?:[^\p{L}\p{N}_]|$)',1),
+      '^0+([0-9])','\1'),'') AS num,
     nullif(regexp_extract(upper(answer),'(?:^|[^\p{L}\p{N}_])([ABCD])(?:[^\p{L}\p{N}_]|$)',1),'')
       AS pick, contains(lower(question),'score') AS about,
     contains(lower(answer),'yes') OR contains(lower(answer),'will score') OR
@@ -292,13 +292,8 @@ def _(spark, sf):
             .select("model", "clip", "event_id"))
 
 
-# One pluggable truth loader per batch of answers: its own key, or the key of another grid.
-BATCHES = {
-    "click": lambda spark, sf: keyed(spark, sf, 16, 6),
-    "view": lambda spark, sf: keyed(spark, sf, 32, 12),
-    "purchase": lambda spark, sf: keyed(spark, sf, 28, 8),
-}
-GRIDS = {"click": (16, 6), "view": (32, 12), "purchase": (28, 8)}
+# Batches of answers by event type, each with the grid of its truth.
+GRIDS = {"click": (16, 6), "view": (32, 12), "purchase": (28, 8), "signup": (8, 3), "error": (16, 6)}
 
 
 def batch_scores_sql() -> str:
@@ -317,15 +312,4 @@ def batch_scores_sql() -> str:
 
 @query("batch_scores", "U4 J1", batch_scores_sql())
 def _(spark, sf):
-    out = None
-    for b, load in BATCHES.items():
-        cols, rows = GRIDS[b]
-        ans = (X.answers(spark, sf).where(F.col("model") == b)
-               .withColumn("pred", T.parse_cell(F.col("raw"), cols, rows)))
-        j = A.with_truth(ans, load(spark, sf))
-        part = j.agg(F.lit(b).alias("batch"), F.count(F.lit(1)).alias("answers"),
-                     F.count("pred.cell").alias("parsed"),
-                     F.count(F.when((F.col("pred.row") == F.col("grow"))
-                                    & (F.col("pred.col") == F.col("gcol")), 1)).alias("exact"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return A.batch_scores(X.answers(spark, sf), X.truth(spark, sf), GRIDS)

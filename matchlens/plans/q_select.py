@@ -324,10 +324,10 @@ VIEWS["classed"] = """SELECT * FROM (SELECT *, list_position(['corner','gk_throw
     row_number() OVER (ORDER BY list_position(['corner','gk_throw','kickoff','open'],kind), r)-1 AS
     position FROM (SELECT kind, match_id, min(coh) AS coh, count(*) AS windows, row_number() OVER
     (PARTITION BY kind ORDER BY min(coh), match_id) AS r FROM classed WHERE kind IN ('corner',
-    'gk_throw') OR "end"<=400 GROUP BY 1,2) WHERE r<=CASE kind WHEN 'corner' THEN 999 WHEN 'gk_throw'
+    'gk_throw') OR "end"<=1900 GROUP BY 1,2) WHERE r<=CASE kind WHEN 'corner' THEN 999 WHEN 'gk_throw'
     THEN 18 WHEN 'kickoff' THEN 16 ELSE 26 END)"""))
 def _(spark, sf):
-    return S.probe_plan(S.scarcest_class(candidates(spark, sf)), max_end=400)
+    return S.probe_plan(S.scarcest_class(candidates(spark, sf)))
 
 
 @query("incremental_plan", "T5", with_views("""SELECT coalesce(p.match_id,o.match_id) AS match_id,
@@ -465,11 +465,37 @@ def _(spark, sf):
     return S.joint_selection(kpool(spark, sf))
 
 
+def old_selection(pool):
+    return S.top(pool.where("level between 8 and 19"), ["level"], ["coh", "match_id", "start"], 1)
+
+
 @query("reselection", "T13")
 def _(spark, sf):
     pool = shared_pool(spark, sf)
-    old = S.top(pool.where("level between 8 and 19"), ["level"], ["coh", "match_id", "start"], 1)
-    return S.reselect(old, pool)
+    return S.reselect(old_selection(pool), pool)
+
+
+# What a complete selection must look like; the pool, so that it is one the pool allows.
+DESIGN = """
+    SELECT 'size' AS what, '' AS name, CAST(24 AS BIGINT) AS n UNION ALL SELECT 'matches', '', 24 UNION ALL
+    SELECT 'class', k, n FROM (VALUES ('corner',5),('gk_throw',5),('kickoff',5),('open',9)) q(k,n) UNION ALL
+    SELECT 'level', CAST(level AS VARCHAR), 2 FROM slots GROUP BY level UNION ALL
+    SELECT 'team', CAST(startown AS VARCHAR), 12 FROM slots GROUP BY startown UNION ALL
+    SELECT 'slot', level || '/' || startown, 1 FROM slots"""
+SLOTS = "SELECT DISTINCT level, startown FROM kpool WHERE level BETWEEN 8 AND 19 AND startown IN (0,1)"
+
+
+@query("joint_selection_counts", "T10", with_views(DESIGN, slots=SLOTS))
+def _(spark, sf):
+    pool = shared_pool(spark, sf)
+    picks = session.cut_lineage(S.joint_selection(pool))
+    return S.selection_counts(picks.join(pool.select(*S.PICK).distinct(), S.PICK, "left_semi"))
+
+
+@query("reselection_counts", "T13", with_views(DESIGN, slots=SLOTS))
+def _(spark, sf):
+    pool = shared_pool(spark, sf)
+    return S.selection_counts(session.cut_lineage(S.reselect(old_selection(pool), pool)))
 
 
 # --- job lists ---

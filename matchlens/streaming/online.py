@@ -59,10 +59,10 @@ CAPTURES = "match_id long, event string, frame long, first_frame long, last_fram
 TRIGGERS = ["score", "lost_score"]
 
 
-def captures(events: DataFrame, *, before: int = 100, after: int = 1, max_count: int = 100000,
+def captures(events: DataFrame, *, before: int = 100, after: int = 1, max_count: int | None = None,
              every: int = 300) -> DataFrame:
     """Context of events, as frame ranges: ``before`` steps before the event and ``after`` steps
-    from it on; at most ``max_count`` per match and event name, ``every`` frames apart, and none
+    from it on; at most ``max_count`` (if given) per match and event name, ``every`` frames apart, and none
     while one of the same name is pending."""
     gap = max(every, after)
 
@@ -71,7 +71,7 @@ def captures(events: DataFrame, *, before: int = 100, after: int = 1, max_count:
         taken, last = state.get if state.exists else (0, -1)
         out = []
         for f in sorted(f for p in parts for f in p["frame"]):
-            if taken < max_count and (last < 0 or f - last >= gap):
+            if (max_count is None or taken < max_count) and (last < 0 or f - last >= gap):
                 out.append(f)
                 taken, last = taken + 1, f
         state.update((int(taken), int(last)))

@@ -1,9 +1,11 @@
 """Choices against brute force on small pools."""
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from matchlens.operators import chunks, lookups as L, select as S, windows as W
+from matchlens.operators import assign, chunks, lookups as L, select as S, windows as W
 
 
 def test_close_events_like_the_sequential_pass(spark, small_chunks):
@@ -74,20 +76,30 @@ def pool(spark, matches=120):
 
 
 def test_joint_selection_keeps_every_constraint(spark):
-    got = S.joint_selection(pool(spark), rounds=3).collect()
+    got = S.joint_selection(pool(spark)).collect()
     assert len({r.match_id for r in got}) == len(got)
     slots = [(r.level, r.startown) for r in got]
     assert len(set(slots)) == len(slots)
     for kind, n in {"corner": 5, "gk_throw": 5, "kickoff": 5, "open": 9}.items():
-        assert sum(r.kind == kind for r in got) <= n
-    assert len(got) >= 20
+        assert sum(r.kind == kind for r in got) == n
+    assert len(got) == 24
+
+
+def test_a_slot_is_filled_by_moving_others():
+    """One match is all that slot 3 can use; its holder has to move, and so has the next."""
+    def o(slot, match, kind="open", coh=1.0):
+        return {"slot": slot, "match_id": match, "kind": kind, "cell": f"A{match}", "coh": coh}
+    options = [o(1, "a", coh=0.1), o(1, "b"), o(2, "b", coh=0.1), o(2, "c"), o(3, "a"), o(4, "d", "corner"), o(4, "e"),
+               o(5, "f", "corner")]
+    got = assign.batch(options, [1, 2, 3, 4, 5], {"open": 4, "corner": 1}, 0.06)
+    assert sorted((p["slot"], p["match_id"]) for p in got) == [(1, "b"), (2, "c"), (3, "a"), (4, "e"), (5, "f")]
 
 
 def test_reselection_prefers_what_is_there(spark):
     p = pool(spark)
     old = p.where("match_id in (4, 5, 6, 7) and start = 0")
-    got = S.reselect(old, p, rounds=2)
-    assert got.where("kept").count() >= 3
+    got = S.reselect(old, p)
+    assert got.count() == 24 and got.where("kept").count() >= 3
     assert got.agg(F.min("coh")).first()[0] > 0
 
 
@@ -117,15 +129,57 @@ def test_numbering_without_one_big_sort(spark):
     assert got == {v: i for i, v in enumerate(sorted(vals))}
 
 
-def test_covering_is_the_same_both_ways(spark, monkeypatch):
+def test_covering_ranges_of_any_length(spark):
     trace = spark.range(600).select(F.lit(1).cast("long").alias("match_id"),
                                     F.col("id").alias("frame"))
     ranges = spark.createDataFrame([(1, 5, 140), (1, 127, 129), (1, 590, 700)],
                                    "match_id long, a long, b long")
+    rows = [(r.a, r.frame) for r in chunks.covering(trace, ranges, F.col("a"), F.col("b")).collect()]
+    assert sorted(rows) == sorted((a, f) for a, b in ((5, 140), (127, 129), (590, 700)) for f in range(a, min(b, 599) + 1))
+
+
+def close(rows, apart=40):
+    kept = []
+    for f, s in sorted(rows, key=lambda r: (-r[1], r[0])):
+        if all(abs(f - k) >= apart for k, _ in kept):
+            kept.append((f, s))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("frames", [16, 400, 8192])
+def test_close_events_as_lists(spark, frames):
+    rnd = random.Random(frames)
+    rows = {1: [(100, 9), (130, 5), (160, 3), (160, 2), (160, 3)], 2: [(rnd.randint(0, 3000), rnd.randint(0, 20)) for _ in range(300)],
+            3: [(30 * i, i) for i in range(1000)], 4: [(30 * i, -i) for i in range(200)], 5: []}
+    spark.conf.set("matchlens.chunk.frames", str(frames))
+    try:
+        df = spark.createDataFrame([(m, f, float(s)) for m, r in rows.items() for f, s in r], "match_id long, frame long, score double")
+        got = S.drop_close(df).collect()
+    finally:
+        spark.conf.unset("matchlens.chunk.frames")
+    assert sorted((r.match_id, r.frame, r.score) for r in got) == [(m, f, s) for m, r in rows.items() for f, s in close(r)]
+
+
+def test_spread_off_the_stride_grid(spark):
+    rnd = random.Random(3)
+    rows = [(1, s, round(rnd.random(), 2)) for s in range(25, 800)] + [(2, 25 + rnd.randint(0, 90), float(i)) for i in range(50)]
+    got = W.spread(spark.createDataFrame(rows, "match_id long, start long, coh double"), keep=10).collect()
+    for m in (1, 2):
+        kept = []
+        for _, s, c in sorted((r for r in rows if r[0] == m), key=lambda r: (r[2], r[1])):
+            if len(kept) < 10 and all(abs(s - k) >= 25 for k, _ in kept):
+                kept.append((s, c))
+        assert sorted((r["rank"], r["start"], r["coh"]) for r in got if r["match_id"] == m) == [(i + 1, s, c) for i, (s, c) in enumerate(kept)]
+
 
-    def rows():
-        return sorted((r.a, r.frame) for r in chunks.covering(
-            trace, ranges, F.col("a"), F.col("b")).collect())
-    small = rows()
-    monkeypatch.setattr(chunks, "SMALL_RANGES", 0)
-    assert rows() == small and len(small) == 136 + 3 + 10
+def test_windows_of_any_length_against_spans(spark):
+    rnd = random.Random(5)
+    windows = [(1, s, s + n) for s, n in ((rnd.randint(0, 3000), rnd.choice([1, 100, 700, 2000])) for _ in range(200))]
+    spans = [(1, lo, lo + rnd.randint(0, 60)) for lo in (rnd.randint(0, 5000) for _ in range(6))]
+    w = spark.createDataFrame(windows, "match_id long, start long, end long")
+    s = spark.createDataFrame(spans, "match_id long, lo long, hi long")
+    tests = {"overlap": lambda a, b, lo, hi: a <= hi and lo <= b - 1,
+             "ends": lambda a, b, lo, hi: lo <= a <= hi or lo <= b - 1 <= hi}
+    for rule, hit in tests.items():
+        want = sorted((a, b) for _, a, b in windows if not any(hit(a, b, lo, hi) for _, lo, hi in spans))
+        assert sorted((r.start, r.end) for r in L.outside_spans(w, s, rule).collect()) == want
