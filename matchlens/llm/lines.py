@@ -1,11 +1,12 @@
 """Near-equal lines: an exact set-similarity join over lines (DataFrame functions only).
 
-1. A line is the set of its words. Words are ordered by rarity: the counts of all words, in RARITY
-   hashed cells, give the order, and the hash decides among words of a cell; any fixed order is exact.
-   Equal sets form a class, from here on one row, with the place of its first line.
+1. A line is the set of its words. Words are ordered by rarity: the counts of all words, in CELLS
+   hashed cells, give the order in steps, and the hash decides within a step; any fixed order is
+   exact. Equal sets form a class, from here on one row, with the place of its first line.
 2. Prefix filter: two sets as similar as asked share one of their first n - ceil(s n) + 1 words.
    Rows (word, class) of the prefixes are joined on the word. A pair must pass the length filter, the
-   positional filter, and a bound on the difference of the sets: 64 parities of hashed words.
+   positional filter, and a bound on the difference of the sets: 64 parities of hashed words, 128
+   for sets of more than LONG words.
 3. Jaccard is verified on the full sets, read again from the first line of each class.
 4. A class is removed if an earlier one matches it, and so are all lines of a class but the first.
 
@@ -28,56 +29,70 @@ from pyspark.sql import functions as F
 from .store import staged, table
 
 PERCENT = 80
-RARITY = 1 << 16
+CELLS = 1 << 18
+STEPS = 4                   # of rarity, for each doubling of the count
 LEADING = 4
+LONG = 90
 SPACE = r"[\x20\x09-\x0D]+"
 READ_AGAIN = 500_000        # documents that a broadcast may ask for; beyond, a shuffled join
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.lower(text), "\n", -1)
+def _plain(text: Column) -> Column:
+    """In lower case, with blanks for all white space but line ends."""
+    other = r"[\x09\x0B-\x0D]"
+    return F.lower(F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text))
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(line, SPACE, -1), lambda w: w != ""), lambda w: F.xxhash64(w)))
+def _words(line: Column) -> Column:
+    return F.filter(F.split(line, " ", -1), lambda w: w != "")
 
 
-def rarity(docs: DataFrame) -> bytes:
-    """Two bytes for each cell of words: its place when cells are sorted by their count."""
-    word = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), SPACE, -1)).alias("w")).where("w != ''")
-    counts = np.zeros(RARITY, np.int64)
-    for r in word.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY)).alias("cell")).count().collect():     # RARITY rows at most
+def rarity(docs: DataFrame) -> Column:
+    """An array of CELLS numbers, as a scalar subquery: the step of rarity of each cell of words, 0 for the rarest."""
+    word = F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1))
+    words = docs.where("text is not null").select(word.alias("w")).where("w != ''")
+    counts = np.zeros(CELLS, np.int64)
+    for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).count().collect():      # CELLS rows at most
         counts[r["cell"]] = r["count"]
-    place = np.empty(RARITY, ">u2")
-    place[np.argsort(counts, kind="stable")] = np.arange(RARITY)
-    return place.tobytes()
+    steps = np.minimum(255, STEPS * np.log2(np.maximum(1, counts))).astype(int)
+    row = docs.sparkSession.createDataFrame([(",".join(map(str, steps)),)], "steps string")
+    return staged(row.select(F.split("steps", ",").cast("array<int>").alias("steps"))).scalar()
 
 
-def _parities(hashes: Column) -> Column:
-    """Bit b: whether an odd number of words has hash bits b. Sets that differ in d words differ in d bits at most."""
-    def flip(acc, h):
-        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
-    return F.aggregate(hashes, F.lit(0).cast("long"), flip)
+def _keys(line: Column) -> Column:
+    """The distinct words of a line as numbers, rarest first: eight bits of rarity (from `steps`), 55 of the hash."""
+    def key(w):
+        step = F.get("steps", F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")).cast("long")
+        return F.shiftleft(step, 55).bitwiseXOR(F.shiftrightunsigned(F.xxhash64(w), 9))
+    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+
+
+def _parities(keys: Column) -> tuple[Column, Column]:
+    """In each of 64 cells, whether it has an odd number of words: sets that differ in d words differ in d
+    cells at most. Of long sets twice, for the words of two halves; their sum is that of all."""
+    def flips(some):
+        def flip(acc, k):
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 40).bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(some(k), acc.bitwiseXOR(bit)).otherwise(acc) if some else acc.bitwiseXOR(bit)
+        return F.aggregate(keys, F.lit(0).cast("long"), flip)
+    half = lambda odd: lambda k: F.shiftright(k, 46).bitwiseAND(F.lit(1)) == odd
+    long_ = F.size(keys) > LONG
+    return F.when(long_, flips(half(0))).otherwise(flips(None)), F.when(long_, flips(half(1))).otherwise(F.lit(0).cast("long"))
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
 
-def signed(docs: DataFrame, order: bytes, percent: int) -> DataFrame:
-    """(doc_id, pos, d, b, n, prefix) for every line with a word; (d, b) stand for the set."""
-    places = F.lit(order)
-
-    def ranked(h):
-        cell = F.pmod(h, F.lit(RARITY)).cast("int")
-        return F.struct(F.substring(places, cell * 2 + 1, F.lit(2)).alias("place"), h.alias("h"))
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    sets = lines.select("doc_id", "pos", F.sort_array(_hashes(F.col("line"))).alias("set")).where(F.size("set") > 0)
-    t = sets.select("doc_id", "pos", F.xxhash64("set").alias("d"), _parities(F.col("set")).alias("b"), F.size("set").alias("n"),
-                    F.sort_array(F.transform("set", ranked)).alias("ranked"))
+def signed(docs: DataFrame, steps: Column, percent: int) -> DataFrame:
+    """(doc_id, pos, d, b, c, n, prefix) for every line with a word; (d, b, c) stand for the set."""
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("pos", "line"))
+    sets = lines.withColumn("steps", steps).select("doc_id", "pos", _keys(F.col("line")).alias("set")).where(F.size("set") > 0)
+    b, c = _parities(F.col("set"))
+    t = sets.select("doc_id", "pos", F.xxhash64("set").alias("d"), b.alias("b"), c.alias("c"), F.size("set").alias("n"), "set")
     first = F.when(F.col("n") * (100 - percent) >= percent, F.slice(
-        "ranked", F.lit(1), _prefix_length(F.col("n"), percent))).otherwise(F.array().cast("array<struct<place:binary,h:bigint>>"))
-    return t.select("doc_id", "pos", "d", "b", "n", F.transform(first, lambda x: F.shiftright(x["h"], 32).cast("int")).alias("prefix"))
+        "set", F.lit(1), _prefix_length(F.col("n"), percent))).otherwise(F.array().cast("array<bigint>"))
+    return t.select("doc_id", "pos", "d", "b", "c", "n", F.transform(first, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
 def _least_common(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -85,34 +100,45 @@ def _least_common(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.ceil((n_a + n_b) * percent / (100 + percent))
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
-    n_a, n_b, least = F.col(f"{a}.n"), F.col(f"{b}.n"), _least_common(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
-    differ = F.bit_count(F.col(f"{a}.b").bitwiseXOR(F.col(f"{b}.b")))
+#: What a prefix row knows of its class: two parities, and its number of words with the word's place in `at`.
+ROW = ["d", "b", "c", "at"]
+
+
+def _possible(percent: int) -> Column:
+    """Of a row and another one, whose columns have a 2 in front."""
+    n_a, n_b = F.shiftright("at", 32), F.shiftright("2at", 32)
+    i_a, i_b = F.col("at").bitwiseAND(F.lit(0xFFFFFFF)), F.col("2at").bitwiseAND(F.lit(0xFFFFFFF))
+    b, c = F.col("b").bitwiseXOR(F.col("2b")), F.col("c").bitwiseXOR(F.col("2c"))
+    differ = F.when((n_a > LONG) & (n_b > LONG), F.bit_count(b) + F.bit_count(c)).otherwise(F.bit_count(b.bitwiseXOR(c)))
+    least = _least_common(n_a, n_b, percent)
     return ((F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
-            & (F.least(n_a - F.col(f"{a}.i"), n_b - F.col(f"{b}.i")) >= least)
-            & (n_a + n_b - differ >= 2 * least))
+            & (F.least(n_a - i_a, n_b - i_b) >= least) & (n_a + n_b - differ >= 2 * least))
+
+
+CLASS = ["d", "b", "c"]
 
 
-def full_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(d, b, set) of the classes (d, b, doc_id, pos), from one line each."""
-    asked = staged(classes.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "d", "b")).alias("asked")))
+def full_sets(docs: DataFrame, classes: DataFrame, steps: Column) -> DataFrame:
+    """(d, b, c, set) of the classes (d, b, c, doc_id, pos), from one line each."""
+    asked = staged(classes.groupBy("doc_id").agg(F.collect_list(F.struct("pos", *CLASS)).alias("asked")))
     asked = asked.withColumnRenamed("doc_id", "__id")
     if asked.count() <= READ_AGAIN:
         asked = F.broadcast(asked)
     t = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select(
-        _lines(F.col("text")).alias("lines"), "asked")
-    t = t.select("lines", F.explode("asked").alias("x")).select(
-        "x.d", "x.b", F.sort_array(_hashes(F.get("lines", F.col("x.pos")))).alias("set"))
-    return t.where((F.xxhash64("set") == F.col("d")) & (_parities(F.col("set")) == F.col("b"))).dropDuplicates(["d", "b"])
+        F.split(_plain(F.col("text")), "\n", -1).alias("lines"), "asked")
+    t = t.select("lines", F.explode("asked").alias("x")).withColumn("steps", steps).select(
+        *[f"x.{k}" for k in CLASS], _keys(F.get("lines", F.col("x.pos"))).alias("set"))
+    b, c = _parities(F.col("set"))
+    return t.where((F.xxhash64("set") == F.col("d")) & (b == F.col("b")) & (c == F.col("c"))).dropDuplicates(CLASS)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The classes (d, b) that an earlier one of a pair (x, y), of structs (d, b), matches."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, steps: Column, percent: int) -> DataFrame:
+    """The classes that an earlier one of a pair (x, y), of structs of CLASS, matches."""
     pairs = staged(pairs.distinct())
     ends = pairs.select("x").union(pairs.select("y")).distinct().select("x.*")
-    known = staged(classes.select("d", "b", "doc_id", "pos").join(ends, ["d", "b"], "left_semi"))
-    sets = staged(known.join(full_sets(docs, known), ["d", "b"]).select(
-        F.struct("d", "b").alias("key"), F.struct("doc_id", "pos").alias("at"), "set"))
+    known = staged(classes.select(*CLASS, "doc_id", "pos").join(ends, CLASS, "left_semi"))
+    sets = staged(known.join(full_sets(docs, known, steps), CLASS).select(
+        F.struct(*CLASS).alias("key"), F.struct("doc_id", "pos").alias("at"), "set"))
     for side in "xy":
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.struct("at", "set").alias(f"of_{side}")), side)
     both = F.size(F.array_intersect("of_x.set", "of_y.set"))
@@ -121,36 +147,39 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
     return staged(pairs.where(100 * both >= percent * either).select(later.alias("key")).distinct().select("key.*"))
 
 
-def removed(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, pos, goes) with a word, and the table of removed classes (d, b)."""
-    lines = staged(signed(docs, rarity(docs), percent))
-    classes = staged(lines.groupBy("d", "b", "n").agg(F.min(F.struct("doc_id", "pos", "prefix")).alias("first")).select(
-        "d", "b", "n", "first.*"))
-    words = classes.select("d", "b", "n", "doc_id", "pos", F.posexplode("prefix").alias("i", "word"))
+def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Lines (doc_id, pos, goes) with a word."""
+    steps = rarity(docs)
+    lines = staged(signed(docs, steps, percent))
+    classes = staged(lines.groupBy(*CLASS, "n").agg(F.min(F.struct("doc_id", "pos", "prefix")).alias("first")).select(
+        *CLASS, "n", "first.*"))
+    at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
+    words = classes.select(*CLASS, "n", "doc_id", "pos", F.posexplode("prefix").alias("i", "word")).withColumn("at", at)
+    pair = (F.struct(*CLASS).alias("x"), F.struct(*[F.col(f"2{k}").alias(k) for k in CLASS]).alias("y"))
     # every class with the first class that has one of its rarest words
     by_word = Window.partitionBy("word").orderBy("doc_id", "pos")
-    led = words.where(F.col("i") < LEADING).select(
-        F.struct("d", "b", "n", "i").alias("x"), F.first(F.struct("d", "b", "n", "i")).over(by_word).alias("y")).where(
-            (F.col("x.d") != F.col("y.d")) | (F.col("x.b") != F.col("y.b")))
-    key = lambda c: F.struct(F.col(f"{c}.d").alias("d"), F.col(f"{c}.b").alias("b")).alias(c)
-    led = verified(led.where(_possible("x", "y", percent)).select(key("x"), key("y")), classes, docs, percent)
-    # all pairs, but those of two that go already
-    rows = words.select("word", "d", "b", "n", "i").join(led.withColumn("gone", F.lit(1)), ["d", "b"], "left").select(
-        "word", F.struct("d", "b", "n", "i", F.coalesce("gone", F.lit(0)).alias("gone")).alias("x"))
-    met = rows.join(rows.withColumnRenamed("x", "y"), "word").where(
-        ((F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.b") < F.col("y.b"))))
-        & (F.col("x.gone") + F.col("y.gone") < 2) & _possible("x", "y", percent))
-    rest = verified(met.select(key("x"), key("y")), classes, docs, percent)
+    led = words.where(F.col("i") < LEADING).select(*ROW, *[F.first(k).over(by_word).alias(f"2{k}") for k in ROW])
+    other = (F.col("d") != F.col("2d")) | (F.col("b") != F.col("2b")) | (F.col("c") != F.col("2c"))
+    led = verified(led.where(other & _possible(percent)).select(*pair), classes, docs, steps, percent)
+    # all pairs, but those of two that go already: bit 31 of `at` says so
+    gone = F.when(F.col("gone").isNotNull(), F.lit(1 << 31)).otherwise(F.lit(0))
+    marked = classes.join(led.withColumn("gone", F.lit(1)), CLASS, "left").withColumn("gone", gone)
+    rows = marked.select(*CLASS, "n", "gone", F.posexplode("prefix").alias("i", "word")).select(
+        "word", *CLASS, (at + F.col("gone")).alias("at"))
+    twin = rows.select(F.col("word").alias("2word"), *[F.col(k).alias(f"2{k}") for k in ROW])
+    before = (F.col("d") < F.col("2d")) | ((F.col("d") == F.col("2d")) & (F.struct("b", "c") < F.struct("2b", "2c")))
+    both_go = F.col("at").bitwiseAND(F.col("2at")).bitwiseAND(F.lit(1 << 31)) != 0
+    met = rows.join(twin, F.col("word") == F.col("2word")).where(before & ~both_go & _possible(percent))
+    rest = verified(met.select(*pair), classes, docs, steps, percent)
     gone = staged(led.union(rest).distinct())
-    decided = classes.select("d", "b", F.struct("doc_id", "pos").alias("first")).join(gone.withColumn("gone", F.lit(True)), ["d", "b"], "left")
+    decided = classes.select(*CLASS, F.struct("doc_id", "pos").alias("first")).join(gone.withColumn("gone", F.lit(True)), CLASS, "left")
     goes = F.coalesce("gone", F.lit(False)) | ~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
-    return lines.select("doc_id", "pos", "d", "b").join(decided, ["d", "b"]).select("doc_id", "pos", goes.alias("goes")), gone
+    return lines.select("doc_id", "pos", *CLASS).join(decided, CLASS).select("doc_id", "pos", goes.alias("goes"))
 
 
 def _by_document(docs: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n_worded, gone): the lines with a word and the places of those that go."""
-    lines, _ = removed(docs, percent)
-    return lines.distinct().groupBy("doc_id").agg(
+    return removed(docs, percent).distinct().groupBy("doc_id").agg(
         F.count("*").alias("n_worded"), F.sort_array(F.collect_list(F.when(F.col("goes"), F.col("pos")))).alias("gone"))
 
 
