@@ -93,6 +93,13 @@ VIEWS: dict[str, str] = {
 }
 
 
+def slot_sql(team: str, slot: str) -> tuple[str, str]:
+    """x and y of one player of a row of `trace`, without unfolding all 22."""
+    own = f"CASE WHEN owned_team={team} AND owned_player={slot} THEN"
+    return (f"({own} ball_x+5 WHEN {slot}=0 THEN (2*({team})-1)*950 ELSE (2*({team})-1)*(50+70*({slot})-3*ph) END)",
+            f"({own} ball_y+5 WHEN {slot}=0 THEN 0 ELSE (97*({slot})+13*play)%801-400 END)")
+
+
 def with_views(body: str, **extra: str) -> str:
     """Prefix ``body`` with the views it mentions, directly or through other views.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from matchlens.functions import observation as O
 from matchlens.operators import episode as Ep
 from matchlens.plans import fixtures as X
-from matchlens.plans.oracle import VIEWS, with_views
+from matchlens.plans.oracle import VIEWS, slot_sql, with_views
 from matchlens.plans.registry import query
 
 U = X.UNIT
@@ -32,16 +32,18 @@ def _weighted(side: str, axis: str):
     return F.expr(f"aggregate(transform({side}, (p, i) -> p.{axis} * (i + 1)), 0L, (a, v) -> a + v)")
 
 
-@query("flipped_observations", "P15", with_views("""SELECT o.match_id, o.frame, -o.ball_x AS ball_x,
-    -o.ball_y AS ball_y, o.ball_z, CASE WHEN o.owned_team>-1 THEN 1-o.owned_team ELSE -1 END AS
-    owned_team, score_r AS score_l, score_l AS score_r, -p.rx AS left_x, -p.ry AS left_y,
-    -p.lx AS right_x, -p.ly AS right_y, -p.rd AS left_dir_x, array_to_string(list_transform(
-    [4,5,6,7,0,1,2,3,8,9], lambda i: (o.frame//(1<<i))%2),'') AS sticky, true AS involution
-    FROM observed o JOIN (SELECT match_id, frame,
-    sum(x*(slot+1)) FILTER (team=0)::BIGINT AS lx, sum(y*(slot+1)) FILTER (team=0)::BIGINT AS ly,
-    sum(x*(slot+1)) FILTER (team=1)::BIGINT AS rx, sum(y*(slot+1)) FILTER (team=1)::BIGINT AS ry,
-    sum((x%5)*(slot+1)) FILTER (team=1)::BIGINT AS rd FROM players GROUP BY 1,2) p
-    ON p.match_id=o.match_id AND p.frame=o.frame"""))
+def _weighted_sql(team: int, axis: int, mod: str = "") -> str:
+    value = slot_sql(str(team), "s")[axis]
+    return f"CAST(list_sum(list_transform(range(0,11), lambda s: {value}{mod}*(s+1))) AS BIGINT)"
+
+
+@query("flipped_observations", "P15", with_views(f"""SELECT match_id, frame, -ball_x AS ball_x,
+    -ball_y AS ball_y, ball_z, CASE WHEN owned_team>-1 THEN 1-owned_team ELSE -1 END AS
+    owned_team, score_r AS score_l, score_l AS score_r, -{_weighted_sql(1, 0)} AS left_x,
+    -{_weighted_sql(1, 1)} AS left_y, -{_weighted_sql(0, 0)} AS right_x, -{_weighted_sql(0, 1)} AS right_y,
+    -{_weighted_sql(1, 0, "%5")} AS left_dir_x, array_to_string(list_transform(
+    [4,5,6,7,0,1,2,3,8,9], lambda i: (frame//(1<<i))%2),'') AS sticky, true AS involution
+    FROM observed"""))
 def _(spark, sf):
     o = observed(spark, sf)
     once = O.flip(o.withColumn("original", F.struct(*o.columns)))

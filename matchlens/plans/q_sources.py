@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchlens import schemas, session
 from matchlens.operators import measure as M, report as R, select as S
 from matchlens.plans import fixtures as X, q_grading as Q, q_joins as J
-from matchlens.plans.oracle import with_views
+from matchlens.plans.oracle import slot_sql, with_views
 from matchlens.plans.registry import query
 from matchlens.sources import readers, writers
 from matchlens.streaming import online
@@ -21,10 +21,10 @@ def fresh(spark, name: str) -> str:
     return f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("match_array_ingest", "S1", with_views("""SELECT match, shape, seed, frame,
+@query("match_array_ingest", "S1", with_views(f"""SELECT match, shape, seed, frame,
     round(ball_x/1000.0::DOUBLE,3) AS ball_x, round(ball_z/1000.0::DOUBLE,3) AS ball_z, owned_team, owned_player,
-    game_mode, score_l, score_r, round(p.lx/1000.0::DOUBLE,3) AS left3_x FROM trace t JOIN named USING (match_id)
-    JOIN (SELECT match_id, frame, x AS lx FROM players WHERE team=0 AND slot=3) p USING (match_id, frame)"""))
+    game_mode, score_l, score_r, round({slot_sql("0", "3")[0]}/1000.0::DOUBLE,3) AS left3_x
+    FROM trace t JOIN named USING (match_id)"""))
 def _(spark, sf):
     tr = X.named(X.trace(spark, sf))
     real = tr.select(
@@ -41,10 +41,9 @@ def _(spark, sf):
                        F.round(F.get("left", F.lit(3))["x"], 3).alias("left3_x"))
 
 
-@query("step_log_reader", "S2", with_views("""SELECT match_id, frame, ball_x::DOUBLE AS ball_x,
+@query("step_log_reader", "S2", with_views(f"""SELECT match_id, frame, ball_x::DOUBLE AS ball_x,
     ball_z::DOUBLE AS ball_z, owned_team, owned_player, game_mode, score_l, score_r,
-    p.y::DOUBLE AS right7_y FROM trace JOIN (SELECT match_id, frame, y FROM players WHERE team=1 AND
-    slot=7) p USING (match_id, frame)"""))
+    {slot_sql("1", "7")[1]}::DOUBLE AS right7_y FROM trace"""))
 def _(spark, sf):
     path = fresh(spark, "steps")
     writers.step_logs(X.trace(spark, sf), path)
