@@ -43,16 +43,12 @@ def _plain(text: Column) -> Column:
     return F.lower(F.when(text.rlike(other), F.regexp_replace(text, other, " ")).otherwise(text))
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, " ", -1), lambda w: w != "")
-
-
 def rarity(docs: DataFrame) -> Column:
     """An array of CELLS numbers, as a scalar subquery: the step of rarity of each cell of words, 0 for the rarest."""
     word = F.explode(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ", -1))
     words = docs.where("text is not null").select(word.alias("w")).where("w != ''")
     counts = np.zeros(CELLS, np.int64)
-    for r in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(CELLS)).alias("cell")).count().collect():      # CELLS rows at most
+    for r in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).count().collect():      # CELLS rows at most
         counts[r["cell"]] = r["count"]
     steps = np.minimum(255, STEPS * np.log2(np.maximum(1, counts))).astype(int)
     row = docs.sparkSession.createDataFrame([(",".join(map(str, steps)),)], "steps string")
@@ -61,10 +57,11 @@ def rarity(docs: DataFrame) -> Column:
 
 def _keys(line: Column) -> Column:
     """The distinct words of a line as numbers, rarest first: eight bits of rarity (from `steps`), 55 of the hash."""
-    def key(w):
-        step = F.get("steps", F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")).cast("long")
-        return F.shiftleft(step, 55).bitwiseXOR(F.shiftrightunsigned(F.xxhash64(w), 9))
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    def key(h):
+        step = F.get("steps", h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+        return F.shiftleft(step, 55).bitwiseXOR(F.shiftrightunsigned(h, 9))
+    hashes = F.array_distinct(F.transform(F.split(line, " ", -1), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def _parities(keys: Column) -> tuple[Column, Column]:
@@ -100,8 +97,8 @@ def _least_common(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.ceil((n_a + n_b) * percent / (100 + percent))
 
 
-#: What a prefix row knows of its class: two parities, and its number of words with the word's place in `at`.
-ROW = ["d", "b", "c", "at"]
+#: What a prefix row knows of its class: its number, two parities, its number of words and the word's place.
+ROW = ["id", "b", "c", "at"]
 
 
 def _possible(percent: int) -> Column:
@@ -119,60 +116,59 @@ CLASS = ["d", "b", "c"]
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, steps: Column) -> DataFrame:
-    """(d, b, c, set) of the classes (d, b, c, doc_id, pos), from one line each."""
-    asked = staged(classes.groupBy("doc_id").agg(F.collect_list(F.struct("pos", *CLASS)).alias("asked")))
+    """(id, set) of the classes (id, d, b, c, doc_id, pos), from one line each."""
+    asked = staged(classes.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "id", *CLASS)).alias("asked")))
     asked = asked.withColumnRenamed("doc_id", "__id")
     if asked.count() <= READ_AGAIN:
         asked = F.broadcast(asked)
     t = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select(
         F.split(_plain(F.col("text")), "\n", -1).alias("lines"), "asked")
     t = t.select("lines", F.explode("asked").alias("x")).withColumn("steps", steps).select(
-        *[f"x.{k}" for k in CLASS], _keys(F.get("lines", F.col("x.pos"))).alias("set"))
+        "x.*", _keys(F.get("lines", F.col("x.pos"))).alias("set"))
     b, c = _parities(F.col("set"))
-    return t.where((F.xxhash64("set") == F.col("d")) & (b == F.col("b")) & (c == F.col("c"))).dropDuplicates(CLASS)
+    same = (F.xxhash64("set") == F.col("d")) & (b == F.col("b")) & (c == F.col("c"))    # else another row of that id
+    return t.where(same).dropDuplicates(["id"]).select("id", "set")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, steps: Column, percent: int) -> DataFrame:
-    """The classes that an earlier one of a pair (x, y), of structs of CLASS, matches."""
+    """The classes (id) that an earlier one of a pair (x, y) matches."""
     pairs = staged(pairs.distinct())
-    ends = pairs.select("x").union(pairs.select("y")).distinct().select("x.*")
-    known = staged(classes.select(*CLASS, "doc_id", "pos").join(ends, CLASS, "left_semi"))
-    sets = staged(known.join(full_sets(docs, known, steps), CLASS).select(
-        F.struct(*CLASS).alias("key"), F.struct("doc_id", "pos").alias("at"), "set"))
+    ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    known = staged(classes.select("id", *CLASS, "doc_id", "pos").join(ends, "id", "left_semi"))
+    sets = staged(known.join(full_sets(docs, known, steps), "id").select("id", F.struct("doc_id", "pos").alias("at"), "set"))
     for side in "xy":
-        pairs = pairs.join(sets.select(F.col("key").alias(side), F.struct("at", "set").alias(f"of_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.struct("at", "set").alias(f"of_{side}")), side)
     both = F.size(F.array_intersect("of_x.set", "of_y.set"))
     either = F.size("of_x.set") + F.size("of_y.set") - both
     later = F.when(F.col("of_x.at") > F.col("of_y.at"), F.col("x")).otherwise(F.col("y"))
-    return staged(pairs.where(100 * both >= percent * either).select(later.alias("key")).distinct().select("key.*"))
+    return staged(pairs.where(100 * both >= percent * either).select(later.alias("id")).distinct())
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Lines (doc_id, pos, goes) with a word."""
     steps = rarity(docs)
     lines = staged(signed(docs, steps, percent))
-    classes = staged(lines.groupBy(*CLASS, "n").agg(F.min(F.struct("doc_id", "pos", "prefix")).alias("first")).select(
-        *CLASS, "n", "first.*"))
+    classes = lines.groupBy(*CLASS, "n").agg(F.min(F.struct("doc_id", "pos", "prefix")).alias("first"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), *CLASS, "n", "first.*"))
     at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
-    words = classes.select(*CLASS, "n", "doc_id", "pos", F.posexplode("prefix").alias("i", "word")).withColumn("at", at)
-    pair = (F.struct(*CLASS).alias("x"), F.struct(*[F.col(f"2{k}").alias(k) for k in CLASS]).alias("y"))
+    pair = (F.col("id").alias("x"), F.col("2id").alias("y"))
     # every class with the first class that has one of its rarest words
+    words = classes.select("id", "b", "c", "n", "doc_id", "pos", F.posexplode(F.slice("prefix", 1, LEADING)).alias("i", "word"))
     by_word = Window.partitionBy("word").orderBy("doc_id", "pos")
-    led = words.where(F.col("i") < LEADING).select(*ROW, *[F.first(k).over(by_word).alias(f"2{k}") for k in ROW])
-    other = (F.col("d") != F.col("2d")) | (F.col("b") != F.col("2b")) | (F.col("c") != F.col("2c"))
-    led = verified(led.where(other & _possible(percent)).select(*pair), classes, docs, steps, percent)
+    led = words.withColumn("at", at).select(*ROW, *[F.first(k).over(by_word).alias(f"2{k}") for k in ROW])
+    led = verified(led.where((F.col("id") != F.col("2id")) & _possible(percent)).select(*pair), classes, docs, steps, percent)
     # all pairs, but those of two that go already: bit 31 of `at` says so
     gone = F.when(F.col("gone").isNotNull(), F.lit(1 << 31)).otherwise(F.lit(0))
-    marked = classes.join(led.withColumn("gone", F.lit(1)), CLASS, "left").withColumn("gone", gone)
-    rows = marked.select(*CLASS, "n", "gone", F.posexplode("prefix").alias("i", "word")).select(
-        "word", *CLASS, (at + F.col("gone")).alias("at"))
+    marked = classes.where(F.size("prefix") > 0).join(led.withColumn("gone", F.lit(1)), "id", "left").withColumn("gone", gone)
+    rows = marked.select("id", "b", "c", "n", "gone", F.posexplode("prefix").alias("i", "word")).select(
+        "word", "id", "b", "c", (at + F.col("gone")).alias("at"))
     twin = rows.select(F.col("word").alias("2word"), *[F.col(k).alias(f"2{k}") for k in ROW])
-    before = (F.col("d") < F.col("2d")) | ((F.col("d") == F.col("2d")) & (F.struct("b", "c") < F.struct("2b", "2c")))
     both_go = F.col("at").bitwiseAND(F.col("2at")).bitwiseAND(F.lit(1 << 31)) != 0
-    met = rows.join(twin, F.col("word") == F.col("2word")).where(before & ~both_go & _possible(percent))
+    met = rows.join(twin, F.col("word") == F.col("2word")).where((F.col("id") < F.col("2id")) & ~both_go & _possible(percent))
     rest = verified(met.select(*pair), classes, docs, steps, percent)
     gone = staged(led.union(rest).distinct())
-    decided = classes.select(*CLASS, F.struct("doc_id", "pos").alias("first")).join(gone.withColumn("gone", F.lit(True)), CLASS, "left")
+    decided = classes.select("id", *CLASS, F.struct("doc_id", "pos").alias("first")).join(
+        gone.withColumn("gone", F.lit(True)), "id", "left").drop("id")
     goes = F.coalesce("gone", F.lit(False)) | ~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
     return lines.select("doc_id", "pos", *CLASS).join(decided, CLASS).select("doc_id", "pos", goes.alias("goes"))
 
