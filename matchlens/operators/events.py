@@ -145,10 +145,14 @@ def headers(trace: DataFrame, *, z_min: float = 1.35, z_max: float | None = 2.9,
             min_step: float = 0.02, contested_min: int = 1, unit: float = 1.0) -> DataFrame:
     """A high ball that turns sharply with a player under it."""
     w = chunks.along()
+    tall = F.col("ball_z") >= z_min * unit
+    if z_max is not None:
+        tall = tall & (F.col("ball_z") <= z_max * unit)
+    # 22 players are looked at on frames with a high ball only
     body = trace.select(
         "match_id", "frame", "ball_x", "ball_y", "ball_z",
-        G.nearest_squared().alias("near2"),
-        G.near_count(C.NEAR_RADIUS, unit).alias("contested"))
+        F.when(tall, G.nearest_squared()).alias("near2"),
+        F.when(tall, G.near_count(C.NEAR_RADIUS, unit)).alias("contested"))
     body = chunks.reach(body, max(gap, look_back), gap)
     x, y = F.col("ball_x"), F.col("ball_y")
     body = body.select(
@@ -158,9 +162,6 @@ def headers(trace: DataFrame, *, z_min: float = 1.35, z_max: float | None = 2.9,
         F.max("ball_z").over(w.rowsBetween(-look_back, 0)).alias("apex_in"))
     n_in, n_out = G.planar(F.col("ix"), F.col("iy")), G.planar(F.col("ox"), F.col("oy"))
     cos = (F.col("ix") * F.col("ox") + F.col("iy") * F.col("oy")) / (n_in * n_out)
-    tall = F.col("ball_z") >= z_min * unit
-    if z_max is not None:
-        tall = tall & (F.col("ball_z") <= z_max * unit)
     out = body.where(tall & (n_in >= min_step * unit) & (n_out >= min_step * unit)
                      & (F.sqrt(F.col("near2").cast("double")) <= near * unit)
                      & (F.col("contested") >= contested_min)).withColumn("turn_cos", cos)
@@ -191,8 +192,9 @@ def aftermath(trace: DataFrame, mode: int, *, window: int, unit: float,
     the first six frames, from ``drop_from`` on, where it is low and deep in the box.
     """
     w = chunks.along()
+    low = (F.col("ball_z") < 1.5 * unit) & (F.abs("ball_x") > 0.82 * unit)
     body = trace.select("match_id", "frame", "game_mode", "ball_x", "ball_y", "ball_z",
-                        G.near_count(C.NEAR_RADIUS, unit).alias("near_n"))
+                        F.when(low, G.near_count(C.NEAR_RADIUS, unit)).alias("near_n"))
     body = chunks.reach(body, 1, search + window + 1)
     body = body.select("*", G.step_from(w).alias("step"), G.step_to_next(w).alias("next_step"),
                        F.lag("game_mode").over(w).alias("before"))
@@ -200,7 +202,6 @@ def aftermath(trace: DataFrame, mode: int, *, window: int, unit: float,
         (F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
     body = _around_hits(body, hit, search + window)
     ahead = w.rangeBetween(0, window - 1)
-    low = (F.col("ball_z") < 1.5 * unit) & (F.abs("ball_x") > 0.82 * unit)
     # the last frame of the trace never counts: segments are cut one frame before it
     inner = F.col("next_step").isNotNull()
     body = body.select(

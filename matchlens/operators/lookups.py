@@ -16,8 +16,9 @@ WINDOW_KEY = ["match_id", "start", "end"]
 
 def with_end_counts(windows: DataFrame, inshot: DataFrame, threshold: int = 25) -> DataFrame:
     """People in shot on the first and on the last frame; windows missing either are dropped."""
-    counts = inshot.select("match_id", "frame", M.count_over("body", threshold)
-                           .alias("n"))
+    ends = windows.select("match_id", F.explode(F.array("start", F.col("end") - 1)).alias("frame"))
+    counts = inshot.join(ends.distinct(), ["match_id", "frame"], "left_semi").select(
+        "match_id", "frame", M.count_over("body", threshold).alias("n"))
     first = counts.select("match_id", F.col("frame").alias("start"),
                           F.col("n").alias("count_first"))
     last = counts.select("match_id", (F.col("frame") + 1).alias("end"),

@@ -61,8 +61,10 @@ def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: flo
     """One row of measured facts per clip. ``clips`` needs kind and anchor."""
     u = F.lit(float(unit))
     clips = session.cut_lineage(clips)
-    rows = clip_frames(clips, trace.withColumn("near_n", G.near_count(C.NEAR_RADIUS, unit)), 0, [
-        metre_step().alias("step_m"), previous_holder().alias("prev_held")])
+    # counted on the frames of clips only
+    rows = clip_frames(clips, trace, 0, [
+        metre_step().alias("step_m"), previous_holder().alias("prev_held"),
+        G.near_count(C.NEAR_RADIUS, unit).alias("near_n")])
     shown = inshot.select("match_id", "frame", M.count_over("body", body_px).alias("people"))
     rows = rows.join(shown, ["match_id", "frame"], "left")
     point = F.struct("ball_x", "ball_y")
@@ -99,19 +101,34 @@ def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: flo
                & (F.col("anchor") < F.col("end"))).alias("restart_visible"))
 
 
-# --- fixed values: restart phrases ---
+# --- fixed values: the wording of the sentence, here and in `sentence` ---
 RESTART_PHRASES = {"corner": "Corner kick taken", "gk_throw": "Keeper releases the ball",
                    "kickoff": "Kick-off restart"}
 
 
+def parts_of(c: Column, parts: int) -> Column:
+    """A value from 0 to 2047 in whole tenths, hundredths, .., rounded as it is stored: a double is a
+    binary fraction, so that only true halves are ties, which go to the even digit (2.25 is 22
+    tenths, 2.45 is 25)."""
+    one = F.lit(1 << 52).cast("decimal(20,0)")
+    some = (c * F.lit(float(1 << 52))).cast("bigint").cast("decimal(20,0)") * parts
+    rest = some % one
+    k = ((some - rest) / one).cast("bigint")
+    return k + F.when((rest * 2 > one) | ((rest * 2 == one) & (k % 2 == 1)), 1).otherwise(0)
+
+
+def in_tenths(c: Column) -> Column:
+    k = parts_of(c, 10)
+    return F.concat(F.floor(k / 10).cast("string"), F.lit("."), (k % 10).cast("string"))
+
+
 def sentence() -> Column:
     """One sentence per classified clip, from its measured fields."""
     def whole(c):
         return F.format_string("%.0f", F.bround(c, 0))
 
     def tenth(c):
-        # half to even on the value as stored: 2.25 is 2.2, 0.25 is 0.2
-        return F.format_string("%.1f", F.bround(c, 1))
+        return in_tenths(c)
     t = F.col("restart_s")
     what = grid.names(F.col("kind"), RESTART_PHRASES)
     opening = (F.when(F.col("kind") == "open", F.concat(F.lit("Open play in the "), "zone_start"))

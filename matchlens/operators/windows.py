@@ -190,9 +190,15 @@ def middle(values: Column, n: int) -> Column:
     return (F.element_at(s, n // 2) + F.element_at(s, n // 2 + 1)) / 2
 
 
-def continuous() -> Column:
-    """No jump of the ball and no frame between the posts behind the line."""
-    return (F.col("max_step") < C.TELEPORT) & ~F.col("goal_touch")
+def continuous(goal_test: bool = True, frames: str | None = None, clip: int = C.CLIP_FRAMES, missing: int = 0) -> Column:
+    """No jump of the ball and, with ``goal_test``, no frame between the posts behind the line.
+
+    ``frames`` names a column with the frames a window has, where a trace may end inside it: up
+    to ``missing`` of its last frames may be gone."""
+    ok = F.col("max_step") < C.TELEPORT
+    if goal_test:
+        ok = ok & ~F.col("goal_touch")
+    return ok & (F.col(frames) >= clip - missing) if frames else ok
 
 
 def no_restart() -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from matchlens import config as C, session
 from matchlens.functions import grid as Gr
-from matchlens.operators import lookups as L, report as R
+from matchlens.operators import lookups as L, report as R, select as S
 from matchlens.plans import fixtures as X, q_joins as J
 from matchlens.plans.oracle import VIEWS, with_views
 from matchlens.plans.q_grading import cell_sql
@@ -77,7 +77,7 @@ def _(spark, sf):
     return classified(spark, sf)
 
 
-@query("clip_sentences", "P18", with_views("""SELECT match_id, start, concat_ws('; ',
+VIEWS["sentences"] = """SELECT match_id, start, concat_ws('; ',
     CASE WHEN kind='open' THEN 'Open play in the ' || zone_start WHEN restart_visible THEN
       verb || ' ' || printf('%.1f',restart_s) || ' s into the clip' ELSE verb || ' ' ||
       printf('%.1f',abs(restart_s)) || ' s before the clip opens, so the clip shows what followed'
@@ -95,34 +95,83 @@ def _(spark, sf):
       CASE WHEN count_delta=0 THEN 'unchanged' WHEN count_delta>0 THEN '+' || count_delta ELSE
       CAST(count_delta AS VARCHAR) END || ')') || '.' AS description FROM (SELECT *, CASE kind WHEN
     'corner' THEN 'Corner kick taken' WHEN 'gk_throw' THEN 'Keeper releases the ball' ELSE
-    'Kick-off restart' END AS verb FROM classified)"""))
+    'Kick-off restart' END AS verb FROM classified)"""
+
+
+@query("clip_sentences", "P18", with_views("SELECT * FROM sentences"))
 def _(spark, sf):
     return classified(spark, sf).select("match_id", "start", R.sentence().alias("description"))
 
 
+def _or_blank(c):
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def _open(value):
+    return F.when(F.col("kind") == "open", F.lit("")).otherwise(value)
+
+
 # Columns of the shipped classification table, in order: (name, builder) pairs.
 REPORT_FIELDS = [
     ("clip", lambda: F.concat(F.lit("clip_"), F.col("match_id").cast("string"))),
-    ("restart_visible_in_clip", lambda: F.coalesce(F.col("restart_visible").cast("string"),
-                                                   F.lit(""))),
+    ("situation", lambda: F.col("situation")), ("description", R.sentence),
+    *[(name, lambda c=c: F.col(c)) for name, c in (
+        ("players_in_frame_start", "count_start"), ("players_in_frame_end", "count_end"),
+        ("players_in_frame_delta", "count_delta"), ("players_in_frame_min", "count_min"),
+        ("players_in_frame_max", "count_max"), ("ball_start_cell", "start_cell"),
+        ("ball_final_cell", "cell"), ("zone_start", "zone_start"), ("zone_end", "zone_end"),
+        ("ball_direction", "direction"))],
+    *[(name, lambda c=c, n=n: R.parts_of(F.col(c), 10 ** n) / float(10 ** n)) for name, c, n in (
+        ("ball_travel_m", "travel_m", 1), ("ball_net_m", "net_m", 1), ("ball_apex_m", "apex_m", 2),
+        ("airborne_fraction", "airborne_frac", 3))],
+    *[(name, lambda c=c: F.col(c)) for name, c in (
+        ("possession_start", "possession_start"), ("possession_end", "possession_end"),
+        ("possession_changes", "possession_changes"), ("players_near_ball_start", "near_start"),
+        ("players_near_ball_end", "near_end"), ("crowding_end", "crowding_end"))],
+    ("restart_seconds_into_clip", lambda: _open(_or_blank(F.round("restart_s", 2)))),
+    ("restart_visible_in_clip", lambda: _open(_or_blank(F.col("restart_visible")))),
     *[(name, lambda c=c: F.col(c)) for name, c in (
-        ("situation", "situation"), ("players_in_frame_start", "count_start"),
-        ("players_in_frame_end", "count_end"), ("players_in_frame_delta", "count_delta"),
-        ("players_in_frame_min", "count_min"), ("players_in_frame_max", "count_max"),
-        ("zone_start", "zone_start"), ("zone_end", "zone_end"), ("ball_direction", "direction"),
-        ("ball_apex_m", "apex_m"), ("possession_start", "possession_start"),
-        ("possession_end", "possession_end"))],
+        ("shape", "shape"), ("seed", "seed"), ("match", "match"), ("start_frame", "start"),
+        ("end_frame", "end"), ("camera_offset_x", "offset_x"), ("camera_offset_y", "offset_y"))],
+    ("same_play_as", lambda: F.when(F.col("same_play") > 0, F.concat(
+        F.col("same_play").cast("string"), F.lit(" other clips"))).otherwise(F.lit(""))),
 ]
 
 
-@query("classification_columns", "U5", with_views("""SELECT 'clip_' || match_id AS clip, situation,
-    count_start AS players_in_frame_start, count_end AS players_in_frame_end, count_delta AS
+@query("classification_columns", "U5 W16", with_views("""SELECT 'clip_' || c.match_id AS clip, situation,
+    description, count_start AS players_in_frame_start, count_end AS players_in_frame_end, count_delta AS
     players_in_frame_delta, count_min AS players_in_frame_min, count_max AS players_in_frame_max,
-    zone_start, zone_end, direction AS ball_direction, apex_m AS ball_apex_m, possession_start,
-    possession_end, coalesce(CAST(restart_visible AS VARCHAR),'') AS restart_visible_in_clip
-    FROM classified"""))
+    b.srow || b.scol AS ball_start_cell, k.cell AS ball_final_cell, zone_start, zone_end,
+    direction AS ball_direction, CAST(printf('%.1f',travel_m) AS DOUBLE) AS ball_travel_m, CAST(printf('%.1f',net_m) AS DOUBLE) AS ball_net_m,
+    CAST(printf('%.2f',apex_m) AS DOUBLE) AS ball_apex_m, CAST(printf('%.3f',airborne_frac) AS DOUBLE) AS airborne_fraction, possession_start,
+    possession_end, possession_changes, near_start AS players_near_ball_start, near_end AS
+    players_near_ball_end, crowding_end, CASE WHEN c.kind='open' THEN '' ELSE
+    CAST(round(restart_s,2) AS VARCHAR) END AS restart_seconds_into_clip, CASE WHEN c.kind='open' THEN ''
+    ELSE CAST(restart_visible AS VARCHAR) END AS restart_visible_in_clip, shape, seed, match,
+    c.start AS start_frame, c."end" AS end_frame,
+    ([0.0,-12.0,12.0,-20.0,20.0,-6.0,6.0,-24.0,24.0,-16.0,16.0])[c.match_id%11+1]::DOUBLE AS camera_offset_x,
+    ([0.0,6.0,-5.0,10.0,-9.0,3.0,-2.0,8.0,-7.0])[c.match_id%9+1]::DOUBLE AS camera_offset_y,
+    CASE WHEN s.n>0 THEN s.n || ' other clips' ELSE '' END AS same_play_as
+    FROM classified c JOIN named USING (match_id) JOIN sentences d ON d.match_id=c.match_id AND d.start=c.start
+    JOIN kinded k ON k.match_id=c.match_id AND k.start=c.start
+    LEFT JOIN starts b ON b.match_id=c.match_id AND b.frame=c.start
+    JOIN (SELECT x.match_id, count(y.match_id) AS n FROM plays x LEFT JOIN plays y ON y.play=x.play AND
+      y.match_id<>x.match_id AND x.start<y."end" AND y.start<x."end" GROUP BY 1) s ON s.match_id=c.match_id""",
+    plays="""SELECT match_id, start, "end", match_id%7 AS play FROM clips""",
+    starts=f"SELECT match_id, frame, {cell_sql(prefix='s')} FROM ballpix"))
 def _(spark, sf):
-    return classified(spark, sf).select(*[build().alias(n) for n, build in REPORT_FIELDS])
+    rows = session.cut_lineage(kinded(spark, sf))
+    facts = R.classify(rows.select(*CLASS_KEY), X.trace(spark, sf), X.inshot(spark, sf), unit=U)
+    pixels = X.ballpix(spark, sf).select("match_id", F.col("frame").alias("start"), Gr.cell_of(
+        F.col("px"), F.col("py")).alias("start_cell"))
+    # some matches replay the play of others
+    play = rows.select("match_id", (F.col("match_id") % 7).cast("string").alias("digest"))
+    same = L.same_play(rows.select("match_id", "start", "end"), play).select("match_id", "same_play")
+    full = (X.named(facts).join(rows.select("match_id", "start", "cell"), ["match_id", "start"])
+            .join(rows.select("match_id", "start").join(pixels, ["match_id", "start"]), ["match_id", "start"], "left")
+            .join(same, "match_id"))
+    full = S.scheduled(full, "match_id")
+    return full.select(*[build().alias(n) for n, build in REPORT_FIELDS])
 
 
 @query("passes_while_hidden", "W15", with_views("""SELECT c.match_id, c.start, c."end",
