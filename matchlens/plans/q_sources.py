@@ -65,6 +65,87 @@ def _(spark, sf):
     return readers.cell_key(spark, path)
 
 
+# --- the published layouts ---
+def _files(df, path, key="match"):
+    """One text file (or a few) per folder match=NAME."""
+    df.select(key, "value").write.partitionBy(key).text(path)
+
+
+@query("published_step_lists", "S2", with_views(f"""SELECT match, frame, ball_x::DOUBLE AS ball_x,
+    owned_team, game_mode, score_l, {slot_sql("1", "7")[1]}::DOUBLE AS right7_y
+    FROM trace JOIN named USING (match_id) WHERE frame<200"""))
+def _(spark, sf):
+    path, lists = fresh(spark, "steps"), fresh(spark, "lists")
+    # the format holds a match in one list: the first frames of each are written so
+    writers.step_logs(X.trace(spark, sf).where("frame < 200"), path)
+    steps = X.named(spark.read.schema(schemas.STEP_LOG).json(path)).select(
+        "match", F.to_json("steps").alias("value"))
+    _files(steps, lists)
+    return readers.match_step_lists(spark, lists).select(
+        "match", "frame", "ball_x", "owned_team", "game_mode", "score_l",
+        F.get("right", F.lit(7))["y"].alias("right7_y"))
+
+
+@query("published_maps", "S5", with_views("""SELECT 'pixel' AS kind, match, frame AS a, px::DOUBLE AS x,
+    py::DOUBLE AS y FROM ballpix JOIN named USING (match_id) UNION ALL SELECT 'span', match, lo, hi::DOUBLE,
+    NULL FROM absent JOIN named USING (match_id)"""))
+def _(spark, sf):
+    p, s = fresh(spark, "pixels"), fresh(spark, "spans")
+    entry = F.struct(F.col("frame").cast("string").alias("k"), F.array(
+        F.col("px").cast("double"), F.col("py").cast("double")).alias("v"))
+    px = X.named(X.ballpix(spark, sf).groupBy("match_id", F.expr("frame div 4096")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")))
+    _files(px.repartition("match", F.xxhash64("value")), p)     # a file for each 4096 frames
+    _files(X.named(X.absent(spark, sf)).select("match", F.to_json(
+        F.create_map("match", F.array(F.array("lo", "hi")))).alias("value")), s)
+    none = F.lit(None).cast("double")
+    return readers.match_pixels(spark, p).select(F.lit("pixel").alias("kind"), "match", F.col("frame").alias("a"),
+                                                 F.col("px").alias("x"), F.col("py").alias("y")).unionByName(
+        readers.match_spans(spark, s).select(F.lit("span").alias("kind"), "match", F.col("lo").alias("a"),
+                                             F.col("hi").cast("double").alias("x"), none.alias("y")))
+
+
+@query("published_key", "S3", with_views("""SELECT clip, count_last AS players_in_frame_last, cell AS
+    ball_final_cell, px::DOUBLE AS final_px, shape, seed, match, start AS start_frame, CAST(regexp_extract(
+    clip,'([0-9]+)$',1) AS BIGINT) AS number FROM old_picks JOIN named USING (match_id)"""))
+def _(spark, sf):
+    path = fresh(spark, "key")
+    known = {"players_in_frame_last": "count_last", "ball_final_cell": "cell", "final_px": "px", "final_py": "py",
+             "start_frame": "start", "end_frame": "end", "coherence": "coh"}
+    picks = X.named(J.old_picks(spark, sf))
+    writers.csv(picks.select(*[
+        (F.col(known.get(c, c)) if known.get(c, c) in picks.columns else F.lit(None)).cast("string").alias(c)
+        for c in schemas.CLIP_KEY.names]), path, schemas.CLIP_KEY.names)
+    return readers.clip_key(spark, path).select(
+        "clip", "players_in_frame_last", "ball_final_cell", "final_px", "shape", "seed", "match", "start_frame", "number")
+
+
+@query("published_lists", "S5", with_views("""SELECT 'plan' AS what, match, shape, seed, NULL::VARCHAR AS clip, start,
+    coh FROM old_picks JOIN named USING (match_id) UNION ALL SELECT 'picks', match, shape, seed, clip, start, coh
+    FROM old_picks JOIN named USING (match_id)"""))
+def _(spark, sf):
+    plan, picks = fresh(spark, "plan"), fresh(spark, "picks")
+    rows = session.cut_lineage(X.named(J.old_picks(spark, sf)))
+    one = F.struct("match", "shape", "seed", F.array(F.struct("start", "end", "coh")).alias("windows"))
+    _files(rows.select("match", F.to_json(F.array(one)).alias("value")), plan)
+    _files(rows.select("match", F.to_json(F.array(F.struct("clip", "match", "shape", "seed", "start", "end", "coh")))
+                       .alias("value")), picks)
+    a = readers.plan(spark, plan).select(F.lit("plan").alias("what"), "match", "shape", "seed",
+                                         F.lit(None).cast("string").alias("clip"), F.explode("windows").alias("w"))
+    b = readers.picks(spark, picks).select(F.lit("picks").alias("what"), "match", "shape", "seed", "clip", "start", "coh")
+    return a.select("what", "match", "shape", "seed", "clip", "w.start", "w.coh").unionByName(b)
+
+
+@query("published_category_answers", "S6", with_views("SELECT item_id, category, predicted, expected, correct FROM category_grades"))
+def _(spark, sf):
+    path = fresh(spark, "categories")
+    g = Q.category_grades(spark, sf).select("category", F.col("item_id").cast("string").alias("item_id"), F.struct(
+        "predicted", "expected", "correct").alias("grade"))
+    g.select(F.explode(F.array(F.to_json(F.struct("category", "item_id", "grade")), F.lit(""))).alias("value")).write.text(path)
+    return readers.category_answers(spark, path).select(
+        F.col("item_id").cast("bigint").alias("item_id"), "category", "grade.predicted", "grade.expected", "grade.correct")
+
+
 @query("detail_column", "S4", """SELECT CAST(event_id AS BIGINT) AS event_id,
     CAST(props->>'k' AS BIGINT) AS k, CAST(round(value*100) AS BIGINT) AS z, event_type AS kind
     FROM events""")

@@ -92,6 +92,75 @@ def absent_spans(spark: SparkSession, path: str) -> DataFrame:
         "match_id", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
 
 
+# --- the published layouts: one document per file, named after its match ---
+def _documents(spark: SparkSession, path: str, schema: str, layout: str) -> DataFrame:
+    """(match, doc) of whole JSON files; a file of another layout is an error, not no rows.
+
+    The match is the file's name, or that of a folder ``match=NAME``."""
+    files = spark.read.text(path, wholetext=True).select(
+        "value", F.col("_metadata.file_path").alias("path"))
+    name = F.coalesce(F.nullif(F.regexp_extract("path", "/match=([^/]+)/", 1), F.lit("")),
+                      F.regexp_extract("path", r"([^/]+?)(?:\.[^/.]*)?$", 1))
+    doc = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return files.select(name.alias("match"), F.when(doc.isNull(), F.raise_error(F.concat(
+        F.lit(f"not {layout}: "), "path"))).otherwise(doc).alias("doc"))
+
+
+def match_step_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Files with a list of steps each; the position in the list is the frame."""
+    docs = _documents(spark, path, f"array<{schemas.STEP.simpleString()}>", "a list of steps")
+    s = docs.select("match", F.posexplode("doc").alias("frame", "s"))
+
+    def points(side):
+        return F.transform(F.col(f"s.{side}_team"), lambda p: F.struct(
+            p[0].alias("x"), p[1].alias("y"))).alias(side)
+    return s.select(
+        "match", F.col("frame").cast("bigint").alias("frame"),
+        *[F.col("s.ball")[i].alias(f"ball_{a}") for i, a in enumerate("xyz")],
+        F.col("s.ball_owned_team").alias("owned_team"), F.col("s.ball_owned_player").alias("owned_player"),
+        F.col("s.game_mode").alias("game_mode"), F.col("s.score")[0].alias("score_l"),
+        F.col("s.score")[1].alias("score_r"), points("left"), points("right"))
+
+
+def match_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """Files {frame: [px, py]} per match to (match, frame, px, py)."""
+    docs = _documents(spark, path, "map<string,array<double>>", "a map of frames to pixels")
+    return docs.select("match", F.explode("doc").alias("f", "p")).select(
+        "match", F.col("f").cast("bigint").alias("frame"), F.col("p")[0].alias("px"), F.col("p")[1].alias("py"))
+
+
+def match_spans(spark: SparkSession, path: str) -> DataFrame:
+    """A file {match: [[lo, hi], ...]} to (match, lo, hi)."""
+    docs = _documents(spark, path, "map<string,array<array<bigint>>>", "a map of matches to spans")
+    return docs.select(F.explode("doc").alias("match", "s")).select("match", F.explode("s").alias("s")).select(
+        "match", F.col("s")[0].alias("lo"), F.col("s")[1].alias("hi"))
+
+
+def _listed(spark: SparkSession, path: str, schema, layout: str) -> DataFrame:
+    return _documents(spark, path, f"array<{schema.simpleString()}>", layout).select(F.explode("doc").alias("x")).select("x.*")
+
+
+def plan(spark: SparkSession, path: str) -> DataFrame:
+    """The probe plan: one row per match, its windows nested."""
+    return _listed(spark, path, schemas.PLAN, "a plan")
+
+
+def picks(spark: SparkSession, path: str) -> DataFrame:
+    """The picked clips."""
+    return _listed(spark, path, schemas.PICKS, "a list of picks")
+
+
+def clip_key(spark: SparkSession, path: str) -> DataFrame:
+    """The key of finished clips, 27 columns; another header is an error. ``number`` is that of the clip."""
+    key = spark.read.schema(schemas.CLIP_KEY).option("header", True).option("enforceSchema", False).csv(path)
+    return key.withColumn("number", F.regexp_extract("clip", "([0-9]+)$", 1).try_cast("bigint"))
+
+
+def category_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Stored answers of all categories, one JSON object per line; blank lines are no rows."""
+    return spark.read.schema(schemas.CATEGORY_ANSWERS).json(path).where("category is not null")
+
+
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """Stored answers, one JSON object per line; blank lines are no rows."""
     return spark.read.schema(schemas.ANSWERS).json(path).where(

@@ -89,3 +89,47 @@ def test_ball_centroid_of_an_empty_pair_is_null(spark):
                                      "vis_b long, inv_r long, inv_g long, inv_b long")
     got = {r.clip: (r.px, r.py) for r in M.ball_centroid(px, ["clip"]).collect()}
     assert got == {0: (None, None), 1: (2.0, 1.0)}
+
+
+def test_published_layouts(spark, tmp_path):
+    step = '{"ball":[0.1,0.2,0.3],"ball_owned_team":-1,"ball_owned_player":-1,"game_mode":0,"left_team":[[0.0,0.1]],"right_team":[[0.5,0.6]],"score":[1,0]}'
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "boxL_s318.json").write_text(f"[{step},\n{step}]")
+    rows = readers.match_step_lists(spark, str(tmp_path / "log")).orderBy("frame").collect()
+    assert [(r.match, r.frame, r.ball_z, r.score_l, r.right[0].y) for r in rows] == [("boxL_s318", 0, 0.3, 1, 0.6), ("boxL_s318", 1, 0.3, 1, 0.6)]
+    (tmp_path / "pix").mkdir()
+    (tmp_path / "pix" / "wideR_s339.json").write_text('{"269": [932.4, 245.9], "300": [1.0, 2.5]}')
+    assert sorted(tuple(r) for r in readers.match_pixels(spark, str(tmp_path / "pix")).collect()) == [("wideR_s339", 269, 932.4, 245.9), ("wideR_s339", 300, 1.0, 2.5)]
+    (tmp_path / "absent.json").write_text('{\n "boxL_s318": [[5, 9], [20, 20]],\n "mid_r_s300": []}')
+    assert sorted(tuple(r) for r in readers.match_spans(spark, str(tmp_path / "absent.json")).collect()) == [("boxL_s318", 5, 9), ("boxL_s318", 20, 20)]
+    (tmp_path / "plan.json").write_text('[{"match": "a_s1", "shape": "a", "seed": 1, "kind": "open", "offset_x": -12.0, "offset_y": 6.0, "windows": [{"start": 25, "end": 150, "anchor": 25, "coh": 0.5}]}]')
+    p = readers.plan(spark, str(tmp_path / "plan.json")).first()
+    assert (p.match, p.offset_x, p.windows[0].start, p.windows[0].coh) == ("a_s1", -12.0, 25, 0.5)
+    (tmp_path / "picks.json").write_text('[{"clip": "clip_01", "match": "a_s1", "count": 8, "cell": "D5", "px": 321.7}]')
+    assert readers.picks(spark, str(tmp_path / "picks.json")).first()["clip"] == "clip_01"
+    header = ",".join(readers.schemas.CLIP_KEY.names)
+    (tmp_path / "key.csv").write_text(header + "\nclip_01,gk_throw,8,22,0,A,blue,D5,321.7,245.8,B5,356.2,116.1,0.0,-7.0,boxL,318,boxL_s318,2227,2352,125,5.0,0.432,4.433,0.461,0.394,2.3647\n")
+    k = readers.clip_key(spark, str(tmp_path / "key.csv")).first()
+    assert (k.clip, k.number, k.ball_final_cell, k.coherence) == ("clip_01", 1, "D5", 2.3647)
+    (tmp_path / "ans.jsonl").write_text('{"model": "m", "category": "description", "item_id": "x", "grade": {"predicted": 5, "expected": 7, "correct": false}}\n\n{"category": "prediction", "grade": {"predicted": true, "expected": "bin", "correct": null}}\n')
+    a = readers.category_answers(spark, str(tmp_path / "ans.jsonl")).collect()
+    assert [(r.grade.predicted, r.grade.expected, r.grade.correct) for r in a] == [("5", "7", False), ("true", "bin", None)]
+
+
+def test_other_layouts_are_errors(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"match_id": 1, "steps": []}')
+    with pytest.raises(Exception):
+        readers.match_step_lists(spark, str(tmp_path / "x.json")).collect()
+    (tmp_path / "y.json").write_text("[1, 2]")
+    with pytest.raises(Exception):
+        readers.match_spans(spark, str(tmp_path / "y.json")).collect()
+    (tmp_path / "key.csv").write_text("clip,ball_cell\n1,D5\n")
+    with pytest.raises(Exception):
+        readers.clip_key(spark, str(tmp_path / "key.csv")).collect()
+
+
+def test_tenths_as_stored(spark):
+    values = [0.25, 2.25, 2.35, 2.45, 2.65, 0.35, 1.0, 0.04, 12.05, 3.3, 0.0]
+    from matchlens.operators import report
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(report.in_tenths(F.col("v"))).collect()
+    assert [r[0] for r in got] == [f"{v:.1f}" for v in values]
