@@ -102,7 +102,9 @@ def _documents(spark: SparkSession, path: str, schema: str, layout: str) -> Data
     name = F.coalesce(F.nullif(F.regexp_extract("path", "/match=([^/]+)/", 1), F.lit("")),
                       F.regexp_extract("path", r"([^/]+?)(?:\.[^/.]*)?$", 1))
     doc = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return files.select(name.alias("match"), F.when(doc.isNull(), F.raise_error(F.concat(
+    opening = "[" if schema.startswith("array") else "{"
+    other = doc.isNull() | ~F.ltrim("value").startswith(opening)
+    return files.select(name.alias("match"), F.when(other, F.raise_error(F.concat(
         F.lit(f"not {layout}: "), "path"))).otherwise(doc).alias("doc"))
 
 
