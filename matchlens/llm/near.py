@@ -8,8 +8,11 @@
    of one class meet nobody and are dropped; values of many come last.
 3. A list is not turned into all its pairs. In STAR_ROUNDS rounds every list pairs its members with
    one of them; pairs are filtered by the union of their sketches and verified on the full sets,
-   and linked classes merge. Then the lists, short of members already merged with all the others,
-   are paired in full across components.
+   and linked classes merge. What is left of the lists, where they span several components, meets
+   in full across them. A bound on how far two sets differ, 128 parities of their hashes, and their
+   sizes keep most pairs out of that join. In lists of more than `SHORT` members a pair counts in
+   the first list that both are in, and only if the `FILTER` smallest hashes of its union allow a
+   link; sets within that size are decided at once.
 4. Components by alternating large and small stars, whose edges never outnumber the links.
 
 Links between different texts are lost only where step 2 misses a pair, which is improbable by
@@ -37,6 +40,7 @@ SKETCH = 64
 FILTER = 160                    # values of a union that decide which pairs are verified
 MISS = 1e-9
 STAR_ROUNDS = 2
+SHORT = 16
 WORDS, PERCENT = 5, 80          # what the stages of a pipeline use
 
 
@@ -64,6 +68,13 @@ def digest(shingle_set: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingle_set.tobytes()) if len(shingle_set) else None
 
 
+def parities(shingle_set: np.ndarray) -> tuple[int, int]:
+    """Of the hashes in each of 128 cells, whether their number is odd. Sets that differ in d hashes
+    differ in d cells at most."""
+    odd = np.bincount((shingle_set.view(np.uint64) >> np.uint64(57)).astype(np.int64), minlength=128) & 1
+    return tuple(int(x) for x in np.packbits(odd.astype(np.uint8)).view(np.int64))
+
+
 def shared(similarity: float, size: int = SKETCH, miss: float = MISS) -> int:
     """The most values t such that a pair of the given similarity has fewer than t in common among
     the `size` smallest hashes of its union only with a probability of `miss` at most."""
@@ -77,23 +88,26 @@ def shared(similarity: float, size: int = SKETCH, miss: float = MISS) -> int:
 
 
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cls, sketch): cls is a digest of the whole set, null for empty sets."""
+    """(doc_id, n, cls, p, q, sketch): cls is a digest of the whole set, null for empty sets; p, q its parities."""
+    names = ["doc_id", "n", "cls", "p", "q", "sketch"]
+
     def sketch(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for part in chunks([len(t or "") for t in texts], CHUNK_BYTES):
                     sets = [shingles(t, words) for t in texts[part]]
-                    digests = [digest(s) for s in sets]
+                    p, q = zip(*map(parities, sets))
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                        pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "sketch"])
+                        batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([digest(s) for s in sets], pa.binary()), pa.array(p, pa.int64()), pa.array(q, pa.int64()),
+                        pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], names=names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(
-        sketch, "doc_id long, n long, cls binary, sketch array<long>")
+        sketch, "doc_id long, n long, cls binary, p long, q long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(cls, n, set) of the classes (cls, rep): read again from the text of one document each."""
+    """(id, set) of the classes (id, cls, rep): read again from the text of one document each."""
     def sets(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -101,13 +115,12 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                 for part in chunks([len(t or "") for t in texts], CHUNK_BYTES):
                     found = [shingles(t, words) for t in texts[part]]
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0)[part],
-                        pa.array([digest(s) for s in found], pa.binary()),
-                        pa.array(found, pa.list_(pa.int64()))], names=["cls", "of", "set"])
-    read = classes.select("cls", "rep").join(
+                        batch.column(0)[part], batch.column(2)[part], pa.array([digest(s) for s in found], pa.binary()),
+                        pa.array(found, pa.list_(pa.int64()))], names=["id", "cls", "of", "set"])
+    read = classes.select("id", "cls", "rep").join(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("rep").eqNullSafe(F.col("doc_id")))
-    return read.select("cls", "text").mapInArrow(sets, "cls binary, of binary, set array<long>").where(
-        "cls = of").dropDuplicates(["cls"]).select("cls", "set")
+    return read.select("id", "text", "cls").mapInArrow(sets, "id long, cls binary, of binary, set array<long>").where(
+        "cls = of").dropDuplicates(["id"]).select("id", "set")      # another text may have the same doc_id
 
 
 def _least_shared(n: Column, percent: int, size: int) -> Column:
@@ -115,14 +128,14 @@ def _least_shared(n: Column, percent: int, size: int) -> Column:
 
 
 def inverted(classes: DataFrame, percent: int) -> DataFrame:
-    """(value, cls, n, prefix): the inverted lists that a class is found in; lists of one class are left out."""
-    values = classes.select("cls", "n", F.explode("sketch").alias("value"))
+    """(value, id, n, prefix): the inverted lists that a class is found in; lists of one class are left out."""
+    values = classes.select("id", "n", F.explode("sketch").alias("value"))
     met = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    some = values.join(met, "value").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
+    some = values.join(met, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     alone = F.least(F.col("n"), F.lit(SKETCH)) - F.size("v")    # the rarest: they come first and meet nobody
     length = F.least(F.col("n"), F.lit(SKETCH)) - _least_shared(F.col("n"), percent, SKETCH) + 1 - alone
     first = F.slice("v", F.lit(1), F.greatest(F.lit(0), length).cast("int"))
-    return some.select("cls", "n", F.transform(first, lambda x: x["value"]).alias("prefix")).withColumn("value", F.explode("prefix"))
+    return some.select("id", "n", F.transform(first, lambda x: x["value"]).alias("prefix")).withColumn("value", F.explode("prefix"))
 
 
 def _alike(a: Column, b: Column, n_a: Column, n_b: Column, percent: int, size: int) -> Column:
@@ -139,11 +152,18 @@ def _sized(n_a: Column, n_b: Column, percent: int) -> Column:
     return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
+def _close(a: str, b: str, percent: int) -> Column:
+    """Do sizes and parities (n, p, q) allow a link?"""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    p, q = (F.bit_count(F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))) for k in "pq")
+    return _sized(n_a, n_b, percent) & (n_a + n_b - p - q >= 2 * F.ceil((n_a + n_b) * percent / (100 + percent)))
+
+
 def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: first by sketch, then by full set."""
     def two(t: DataFrame, column: str, pairs: DataFrame) -> DataFrame:
         for side in "ab":
-            pairs = pairs.join(t.select(F.col("cls").alias(side), F.struct(*column.split()).alias(f"x{side}")), side)
+            pairs = pairs.join(t.select(F.col("id").alias(side), F.struct(*column.split()).alias(f"x{side}")), side)
         return pairs
     near = two(classes, "sketch n", pairs).where(_alike(
         F.col("xa.sketch"), F.col("xb.sketch"), F.col("xa.n"), F.col("xb.n"), percent, SKETCH)).select("a", "b")
@@ -153,7 +173,7 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(cls, root): the smallest member of the component, for every class on an edge."""
+    """(id, root): the smallest member of the component, for every class on an edge (a, b)."""
     def mark(e):
         r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
@@ -169,50 +189,62 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
         edges = staged(small.where("u != v").distinct())
-    return staged(edges.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root")))
+    return staged(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
+
+
+def _across(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The lists that span several components, with each member's root and the list's length m."""
+    lists = lists.withColumn("root", F.col("id")) if roots is None else lists.join(roots, "id", "left").withColumn(
+        "root", F.coalesce("root", "id"))
+    mixed = lists.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x != y")
+    return lists.join(mixed.select("value", "m"), "value")
+
+
+def _starred(lists: DataFrame, draw: int, percent: int) -> DataFrame:
+    """Every member of a list with one of them."""
+    one = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("draw"), F.struct(
+        "id", "n", "root", "p", "q").alias("c"))).alias("one"))
+    one = one.select("value", *[F.col(f"one.c.{k}").alias(f"2{k}") for k in ("id", "n", "root", "p", "q")])
+    return lists.join(one, "value").where((F.col("root") != F.col("2root")) & _close("", "2", percent)).select("id", "2id")
+
+
+def _met(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All members of a list with all others, across components."""
+    light = ["id", "n", "root", "p", "q"]
+
+    def twice(t: DataFrame, columns: list[str], also: Column) -> DataFrame:
+        other = t.select(F.col("value").alias("2value"), *[F.col(c).alias(f"2{c}") for c in columns])
+        return t.select("value", *columns).join(other, F.col("value") == F.col("2value")).where(
+            (F.col("id") < F.col("2id")) & (F.col("root") != F.col("2root")) & _close("", "2", percent) & also).select("id", "2id")
+    short = twice(lists.where(F.col("m") <= SHORT), light, F.lit(True))
+    # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
+    low = sets.select("id", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
+    first = F.array_intersect("prefix", "2prefix")[0] == F.col("value")
+    long_ = twice(lists.where(F.col("m") > SHORT).join(low, "id"), [*light, "prefix", "low"], first & _alike(
+        F.col("low"), F.col("2low"), F.col("n"), F.col("2n"), percent, FILTER))
+    return short.unionByName(long_)
 
 
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     all_ = staged(sketched(docs, words))
-    classes = staged(all_.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    reps = all_.select("doc_id", "n", "cls", "sketch").join(classes, "cls").where(
-        F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cls"]).select("cls", "n", "sketch", "rep")
-    reps = staged(reps)
+    classes = all_.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    reps = all_.join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cls"])
+    reps = staged(reps.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "p", "q", "sketch", "rep"))
     lists = staged(inverted(reps, percent))
     lists = lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value"), "value", "left_semi")
-    lists = staged(lists)
-    listed = staged(reps.join(lists.select("cls").distinct(), "cls", "left_semi"))
+    listed = staged(reps.join(lists.select("id").distinct(), "id", "left_semi"))
+    lists = staged(lists.join(listed.select("id", "p", "q"), "id"))
     sets = staged(full_sets(docs, listed, words))
-    roots, links = None, None
-
-    def across(lists: DataFrame) -> DataFrame:
-        """With the component so far, only lists that span several."""
-        if roots is None:
-            return lists.withColumn("root", F.col("cls"))
-        lists = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        mixed = lists.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("value")
-        return lists.join(mixed, "value", "left_semi")
+    roots = links = None
     for k in range(STAR_ROUNDS + 1):
-        open_ = staged(across(lists))
-        if k < STAR_ROUNDS:
-            centre = open_.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls", F.lit(k)), F.struct("cls", "n", "root"))).alias("c")).select(
-                "value", F.col("c.col2").alias("o"))
-            pairs = open_.drop("prefix").join(centre, "value").where(
-                (F.col("root") != F.col("o.root")) & _sized(F.col("n"), F.col("o.n"), percent))
-        else:
-            # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
-            smallest = sets.select("cls", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
-            own = open_.join(smallest, "cls").select("value", F.struct("cls", "n", "root", "prefix", "low").alias("x"))
-            pairs = own.join(own.withColumnRenamed("x", "o"), "value").where(
-                (F.col("x.cls") < F.col("o.cls")) & (F.col("x.root") != F.col("o.root")) & _sized(F.col("x.n"), F.col("o.n"), percent)
-                & (F.array_intersect("x.prefix", "o.prefix")[0] == F.col("value"))
-                & _alike(F.col("x.low"), F.col("o.low"), F.col("x.n"), F.col("o.n"), percent, FILTER)).select("x.cls", "o")
-        pairs = pairs.select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b")).distinct()
-        found = linked(staged(pairs), listed, sets, percent)
+        open_ = staged(_across(lists, roots))
+        pairs = _starred(open_, k, percent) if k < STAR_ROUNDS else _met(open_, sets, percent)
+        pairs = staged(pairs.select(F.least("id", "2id").alias("a"), F.greatest("id", "2id").alias("b")).distinct())
+        found = linked(pairs, listed, sets, percent)
         links = found if links is None else links.unionByName(found)
         roots = components(links)
-    named = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = reps.select("cls", "id", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "root").select("cls", "component_id")
     return all_.select("doc_id", "n", "cls").join(named, "cls", "left").select(
