@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,24 @@ CHUNK_BYTES = 4 << 20           # text that a worker holds as words at a time
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+class Places(dict):
+    """word -> place; a word asked for the first time gets the next place and waits to be learned."""
+
+    def __init__(self):
+        self.new = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self) + 1      # place 0 is the end of a document
+        self.new.append(word)
+        return place
+
+
 class WordIds:
     """Token ids by white-space-separated word.
 
-    The tokenizer never joins what ASCII white space separates, so a text's ids are those of its
-    words in order; each distinct word is tokenized once, together with other new words."""
+    The tokenizer never joins what ASCII white space separates, nor letters with a comma or full stop,
+    and it drops case. So a text's ids are those of its lower-cased words in order, and each
+    distinct word without its stop is tokenized once, together with other new words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,45 +58,62 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.at = {}                                    # word -> its place in first and count
+        self.at = Places()
         self.first, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.ids = np.full(1, END, np.uint32)           # place 0 is the end of a document
-
-    def learn(self, words: list[bytes]) -> None:
-        first, counts, ids = len(self.ids), [], []
-        for k in range(0, len(words), TOGETHER):
-            texts = [w.decode() for w in words[k:k + TOGETHER]]
+        self.ids = np.full(1, END, np.uint32)
+
+    def learn(self) -> None:
+        """Finds the ids of the new words, by place."""
+        known, at = len(self.count), self.at
+        stems = {}      # place of a word with a stop -> places of the word and of the stop
+        for word in at.new[:]:
+            if word[-1:] in (b".", b",") and word[:-1].decode().isalpha():
+                stems[at[word]] = at[word[:-1]], at[word[-1:]]
+        words = at.new
+        at.new = []
+        whole = [w for i, w in enumerate(words, known) if i not in stems]
+        counts, ids = [], []
+        for k in range(0, len(whole), TOGETHER):
+            texts = [w.decode() for w in whole[k:k + TOGETHER]]
             got = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
             starts = np.cumsum([0] + [len(t) + 1 for t in texts])
             owner = np.searchsorted(starts, np.fromiter((o[0] for o in got.offsets), np.int64, len(got)), "right") - 1
             counts.append(np.bincount(owner, minlength=len(texts)).astype(np.int64))
             ids.append(np.array(got.ids, np.uint32))
-        count = np.concatenate(counts)
-        place = len(self.count)
-        self.first = np.concatenate([self.first, first + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
+        count, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        apart = np.ones(len(words), np.bool_)
+        apart[np.array([*stems], np.int64) - known] = False
+        count[apart] = np.concatenate(counts)
+        first[apart] = len(self.ids) + np.cumsum(count[apart]) - count[apart]
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, *ids])
-        self.at.update(zip(words, range(place, place + len(words))))
+        if stems:
+            own = np.array([*stems], np.int64)
+            parts = np.array([*stems.values()], np.int64)
+            n = self.count[parts]
+            self.count[own] = n.sum(axis=1)
+            self.first[own] = len(self.ids) + np.cumsum(n.sum(axis=1)) - n.sum(axis=1)
+            self.ids = np.concatenate([self.ids, self.joined(parts.ravel())])
+
+    def joined(self, places: np.ndarray) -> np.ndarray:
+        count = self.count[places]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.first[places] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, with END."""
-        split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.at)
-        if len(self.at) + len(new) > KNOWN_WORDS:       # then all words of this chunk are new
+        if len(self.at) > KNOWN_WORDS:
             self.forget()
-            new = set().union(*split)
-        if new:
-            self.learn(sorted(new))
-        places = []
-        for words in split:
-            places.extend(map(self.at.__getitem__, words))
-            places.append(0)
-        places = np.array(places, np.int64)
-        count = self.count[places]
-        ends = np.cumsum(count)
-        flat = self.ids[np.repeat(self.first[places] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-        last = ends[np.cumsum([len(w) + 1 for w in split]) - 1]
-        return np.split(flat, last[:-1])
+        split = [t.encode().lower().split() for t in texts]
+        sizes = np.array([len(w) + 1 for w in split], np.int64)
+        places = np.zeros(sizes.sum(), np.int64)
+        of_word = np.ones(len(places), np.bool_)
+        of_word[np.cumsum(sizes) - 1] = False
+        places[of_word] = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, len(places) - len(texts))
+        if self.at.new:
+            self.learn()
+        flat = self.joined(places)
+        return np.split(flat, np.cumsum(self.count[places])[np.cumsum(sizes) - 1][:-1])
 
 
 _WORD_IDS: dict[str, WordIds] = {}      # kept between the tasks of a worker
