@@ -208,13 +208,14 @@ def score_changes(trace: DataFrame) -> DataFrame:
         .alias("event"))
 
 
-def spaced_triggers(events: DataFrame, every: int) -> DataFrame:
-    """Take an event unless one of its kind was taken less than ``every`` frames before.
+def spaced_triggers(events: DataFrame, every: int, after: int = 1, max_count: int | None = None) -> DataFrame:
+    """Take an event unless one of its kind was taken less than ``every`` frames before, or is still
+    pending (``after`` frames); at most ``max_count`` of a kind, if given. As ``online.captures``.
 
     An event with no predecessor that close is always taken, so each stretch that starts with
     one is decided on its own: the folded list is one such stretch, not a whole match.
     """
-    key = ["match_id", "event"]
+    key, every = ["match_id", "event"], max(every, after)
     body = chunks.reach(events, every, 0)
     close = chunks.along(key).rangeBetween(-(every - 1), -1)
     body = body.withColumn("__near", F.count("frame").over(close))
@@ -224,7 +225,8 @@ def spaced_triggers(events: DataFrame, every: int) -> DataFrame:
     taken = F.aggregate("f", F.filter("f", lambda x: F.lit(False)), lambda acc, x: F.when(
         (F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) >= every),
         F.concat(acc, F.array(x))).otherwise(acc))
-    return lists.select(*key, F.explode(taken).alias("frame"))
+    out = lists.select(*key, F.explode(taken).alias("frame"))
+    return out if max_count is None else top(out, key, ["frame"], max_count)
 
 
 # --- joint selection ---
@@ -422,11 +424,18 @@ def target_cells(draws: DataFrame, *, cols: int = C.GRID_COLS, rows: int = C.GRI
                  cap: int = 2, first_row: int = 1, seed: int = 20260807) -> DataFrame:
     """Centre-weighted target cells, at most ``cap`` per cell.
 
-    One candidate draw per input row (seeded); draws outside the grid or in the excluded top
-    rows are dropped, and each cell keeps its first ``cap`` draws by ``draw``.
+    One candidate draw per input row: the sum of twelve uniform numbers, taken from hashes of the
+    seed and ``draw``, so that any engine and any partitioning draws the same. Draws outside the
+    grid or in the excluded top rows are dropped, and each cell keeps its first ``cap`` draws.
     """
-    c = F.bround(F.randn(seed) * 3.7 + 7.5).cast("bigint")
-    r = F.bround(F.randn(seed + 1) * 1.30 + 2.7).cast("bigint")
+    def normal(axis):
+        parts = []
+        for k in range(3):
+            digest = F.md5(F.concat_ws("-", F.lit(f"{seed}{axis}{k}"), F.col("draw").cast("string")))
+            parts += [F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("bigint") for j in range(4)]
+        return sum(parts[1:], parts[0]) / float(1 << 32) - 6.0
+    c = F.floor(normal("x") * 3.7 + 8.0).cast("bigint")
+    r = F.floor(normal("y") * 1.30 + 3.2).cast("bigint")
     inside = draws.select("draw", r.alias("row"), c.alias("col")).where(
         F.col("col").between(0, cols - 1) & F.col("row").between(first_row, rows - 1))
     return top(inside, ["row", "col"], ["draw"], cap)

@@ -454,7 +454,15 @@ def _(spark, sf):
             "shown")).cast("bigint").alias("shown"))
 
 
-@query("target_cells", "T16")
+def _normal_sql(axis: str, seed: int = 20260807) -> str:
+    parts = [f"CAST('0x' || substr(md5('{seed}{axis}{k}-' || draw),{8 * j + 1},8) AS BIGINT)" for k in range(3) for j in range(4)]
+    return f"(({'+'.join(parts)})/4294967296.0::DOUBLE-6.0::DOUBLE)"
+
+
+@query("target_cells", "T16", with_views(f"""SELECT draw, "row", col FROM (SELECT *, row_number() OVER (PARTITION BY
+    "row", col ORDER BY draw) AS k FROM (SELECT draw, CAST(floor({_normal_sql("y")}*1.3::DOUBLE+3.2::DOUBLE) AS BIGINT) AS "row",
+    CAST(floor({_normal_sql("x")}*3.7::DOUBLE+8.0::DOUBLE) AS BIGINT) AS col FROM (SELECT match_id*100000+frame AS draw
+    FROM frames)) WHERE col BETWEEN 0 AND 15 AND "row" BETWEEN 1 AND 5) WHERE k<=2"""))
 def _(spark, sf):
     return S.target_cells(X.frames(spark, sf).select(
         (F.col("match_id") * 100000 + F.col("frame")).alias("draw")))

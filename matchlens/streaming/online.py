@@ -27,29 +27,28 @@ _EVENT_STATE = "frame long, mode long, owner long, diff long"
 def step_events(feed: DataFrame) -> DataFrame:
     """Goal, lost goal, set piece and possession change events, step by step."""
     def scan(key, parts, state):
+        import numpy as np
         import pandas as pd
         last, mode, owner, diff = state.get if state.exists else (-1, -1, -1, 0)
-        steps = pd.concat(list(parts)).sort_values("frame")
-        out = []
-        cols = ("frame", "game_mode", "owned_team", "score_l", "score_r")
-        for f, m, o, sl, sr in steps[list(cols)].itertuples(index=False):
-            if f <= last:
-                continue
-            reward = (sl - sr) - diff
-            if reward == 1:
-                out.append((f, "score"))
-            elif reward == -1:
-                out.append((f, "lost_score"))
-            if m != C.NORMAL and mode == C.NORMAL:
-                out.append((f, "set_piece"))
-            if o != -1 and owner != -1 and o != owner:
-                out.append((f, "possession_change"))
-            last, mode, diff = f, m, sl - sr
-            owner = o if o != -1 else owner
-        state.update((int(last), int(mode), int(owner), int(diff)))
-        if out:
-            yield pd.DataFrame({"match_id": key[0], "frame": [f for f, _ in out],
-                                "event": [e for _, e in out]})
+        steps = pd.concat(list(parts)).sort_values("frame").drop_duplicates("frame")
+        steps = steps[steps["frame"] > last]
+        if not len(steps):
+            return
+        f, m, o = (steps[c].to_numpy() for c in ("frame", "game_mode", "owned_team"))
+        lead = (steps["score_l"] - steps["score_r"]).to_numpy()
+        reward = lead - np.r_[diff, lead[:-1]]
+        # the last owner at or before each step; what was before the first is in the state
+        at = np.maximum.accumulate(np.where(o != -1, np.arange(len(o)), -1))
+        known = np.where(at >= 0, o[at], owner)
+        before = np.r_[owner, known[:-1]]
+        hits = {"score": reward == 1, "lost_score": reward == -1,
+                "set_piece": (m != C.NORMAL) & (np.r_[mode, m[:-1]] == C.NORMAL),
+                "possession_change": (o != -1) & (before != -1) & (o != before)}
+        state.update((int(f[-1]), int(m[-1]), int(known[-1]), int(lead[-1])))
+        found = [(f[hit], name) for name, hit in hits.items() if hit.any()]
+        if found:
+            yield pd.concat([pd.DataFrame({"match_id": key[0], "frame": frames, "event": name})
+                             for frames, name in found])
     cols = feed.select("match_id", "frame", "game_mode", "owned_team", "score_l", "score_r")
     return cols.groupBy("match_id").applyInPandasWithState(
         scan, EVENTS, _EVENT_STATE, "append", "NoTimeout")
@@ -106,6 +105,16 @@ def keeper_sessions(feed: DataFrame, fps: int = C.FPS, late: str = "2 seconds")
         "match_id", F.col("owned_team").alias("team"), "caught", "release", "hold_frames")
 
 
+def closing(feed: DataFrame, after: str = "1 day") -> DataFrame:
+    """The row that ends a feed: a step of match -1, so late that the watermark closes every window and
+    session before it; its own is never emitted. Its other fields are 0, which no filter here drops.
+    Without it the last windows stay open, as more steps may come."""
+    last = feed.agg((F.max("event_time") + F.expr(f"interval {after}")).alias("event_time"))
+    other = {"match_id": -1}
+    return last.select(*[F.col("event_time") if f.name == "event_time" else F.lit(other.get(f.name, 0)).cast(
+        f.dataType).alias(f.name) for f in feed.schema.fields])
+
+
 def run_available(query: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available and stop; a later call goes on where this one ended."""
     q = (query.writeStream.format("parquet").option("path", out)
