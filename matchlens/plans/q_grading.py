@@ -73,7 +73,7 @@ def _(spark, sf):
         "event_id", T.parse_cell_tolerant(F.col("raw"), 16, 6)["cell"].alias("pred_cell"))
 
 
-@query("parse_cells_in_documents", "R1 R2", with_views(TOLERANT.format(
+@query("parse_cells_in_documents", "R2", with_views(TOLERANT.format(
     key="doc_id", src="(SELECT CAST(doc_id AS BIGINT) AS doc_id, text AS raw FROM documents)")))
 def _(spark, sf):
     return X.table(spark, sf, "documents").select(

@@ -42,6 +42,19 @@ def _(spark, sf):
     return Q.batch_spec(b)
 
 
+@query("check_selected_batch", "V1 T10", """SELECT * FROM (VALUES ('batch size', true, '24'),
+    ('situation quota', true, 'corner=5 gk_throw=5 kickoff=5 open=9'), ('team totals', true, '12/12'),
+    ('nobody hidden', true, '0'), ('restart shown', true, '0'), ('levels filled exactly', true, '12/0'),
+    ('two-clip levels split by team', true, '0')) t("check", pass, detail)""")
+def _(spark, sf):
+    from matchlens import session
+    pool = Sel.shared_pool(spark, sf)
+    key = Sel.S.PICK
+    picks = session.cut_lineage(Sel.S.joint_selection(pool).join(
+        pool.groupBy(*key).agg(F.min("anchor").alias("anchor")), key).withColumn("hidden", F.lit(0)))
+    return Q.batch_spec(picks)
+
+
 @query("check_distinct_passages", "V2 J10", with_views("""SELECT 'one clip per passage of play' AS
     "check", count(*) FILTER (EXISTS (SELECT 1 FROM cc b WHERE b.digest=a.digest AND
     b.match_id<>a.match_id AND a.start<b."end" AND b.start<a."end"))=0 AS pass, CAST(count(*) FILTER (

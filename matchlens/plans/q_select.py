@@ -318,7 +318,7 @@ VIEWS["classed"] = """SELECT * FROM (SELECT *, list_position(['corner','gk_throw
     match_id) AS cm FROM candidates) WHERE cr=cm"""
 
 
-@query("probe_plan", "T5 P19 S5", with_views("""SELECT position, kind, match_id, coh, windows,
+@query("probe_plan", "T5 P19", with_views("""SELECT position, kind, match_id, coh, windows,
     ([0.0,-12.0,12.0,-20.0,20.0,-6.0,6.0,-24.0,24.0,-16.0,16.0])[position%11+1]::DOUBLE AS offset_x,
     ([0.0,6.0,-5.0,10.0,-9.0,3.0,-2.0,8.0,-7.0])[position%9+1]::DOUBLE AS offset_y FROM (SELECT *,
     row_number() OVER (ORDER BY list_position(['corner','gk_throw','kickoff','open'],kind), r)-1 AS
