@@ -396,13 +396,57 @@ def place(events: DataFrame, lengths: DataFrame, kind: str, *, clip: int = C.CLI
 DETECTORS = {"corner": deliveries, "kickoff": kickoffs, "gk_throw": keeper_holds,
              "header": headers}
 
+# What the two detectors that wait for a first movement look for, with their defaults.
+WAITING = {"corner": dict(mode=C.CORNER, quiet=0.0048, search=225),
+           "kickoff": dict(spot=0.03, own_half=10, quiet=0.0015, search=225)}
+
+
+def _waiting(trace: DataFrame, kinds: list[str], unit: float, options: dict[str, dict]) -> DataFrame:
+    """Corners and kick-offs in one pass: one copy of the trace in chunks, read backwards once.
+
+    Both are moments after which the ball's first movement is searched, so they share the chunks
+    with the widest look-around, the steps, and the running searches; a frame gives one row for
+    each kind that it is a moment of."""
+    how = {k: {**WAITING[k], **options.get(k, {})} for k in kinds}
+    w = chunks.along()
+    cols = ["match_id", "frame", "ball_x", "ball_y"]
+    body = trace.select(*cols, *(["game_mode"] if "corner" in how else []), *(
+        ["score_l", "score_r", _at_home(how["kickoff"], unit).alias("home")] if "kickoff" in how else []))
+    body = chunks.reach(body, 1, max(h["search"] for h in how.values()))
+    moment, first = {}, {}
+    step = G.step_to_next(w)
+    body = body.select("*", step.alias("next_step"), F.lead("frame", 2).over(w).isNotNull().alias("long_enough"), *(
+        [F.lag("game_mode").over(w).alias("before")] if "corner" in how else []), *(
+        [((F.col("frame") == 0) | (F.lag("score_l").over(w) != F.col("score_l"))
+          | (F.lag("score_r").over(w) != F.col("score_r"))).alias("restart")] if "kickoff" in how else []))
+    for k, h in how.items():
+        body = body.withColumn(f"anchor_{k}", next_frame_where(F.col("next_step") > h["quiet"] * unit))
+        moment[k] = ((F.col("game_mode") == h["mode"]) & ((F.col("frame") == 0) | (F.col("before") != F.col("game_mode")))
+                     if k == "corner" else F.col("restart") & F.col("home"))
+        moment[k] = moment[k] & F.col("long_enough") & (F.col(f"anchor_{k}") <= F.col("frame") + h["search"] - 2)
+        first[k] = F.col("frame") + (1 if k == "corner" else 0)
+    found = F.filter(F.array(*[F.when(F.coalesce(moment[k], F.lit(False)), F.struct(
+        F.lit(k).alias("kind"), F.col(f"anchor_{k}").alias("anchor"), first[k].alias("min_start"))) for k in how]),
+        lambda x: x.isNotNull())
+    return chunks.core(body.select("match_id", "frame", chunks.CHUNK, F.explode(found).alias("x"))).select(
+        "match_id", "x.kind", "x.anchor", F.col("frame").alias("award"), "x.min_start")
+
+
+def _at_home(how: dict, unit: float) -> Column:
+    on_mark = G.planar(F.col("ball_x"), F.col("ball_y")) <= how["spot"] * unit
+    left, right = G.home_counts()
+    return F.when(on_mark, (left >= how["own_half"]) & (right >= how["own_half"])).otherwise(False)
+
 
 def detect(trace: DataFrame, kinds: list[str], unit: float = 1.0,
            options: dict[str, dict] | None = None) -> DataFrame:
-    """Run registered detectors; one row per anchor with its kind."""
-    out = None
+    """Run registered detectors; one row per anchor with its kind. Those of one form share a pass."""
+    options = options or {}
+    together = [k for k in kinds if DETECTORS[k] in (deliveries, kickoffs)]
+    out = _waiting(trace, together, unit, options) if together else None
     for k in kinds:
-        found = DETECTORS[k](trace, unit=unit, **(options or {}).get(k, {})).select(
-            "match_id", F.lit(k).alias("kind"), "anchor", "award", "min_start")
-        out = found if out is None else out.unionByName(found)
+        if k not in together:
+            found = DETECTORS[k](trace, unit=unit, **options.get(k, {})).select(
+                "match_id", F.lit(k).alias("kind"), "anchor", "award", "min_start")
+            out = found if out is None else out.unionByName(found)
     return out

@@ -100,14 +100,15 @@ def _(spark, sf):
       FROM truth UNION ALL
     SELECT 'counts equal targets', count(*) FILTER (clip%12<>clip%11)=0, CAST(count(*) FILTER
       (clip%12<>clip%11) AS VARCHAR) FROM truth UNION ALL
-    SELECT 'all players in play', true, '0' FROM (SELECT 1)"""))
+    SELECT 'all players in play', count(*) FILTER (clip%23=0)=0, CAST(count(*) FILTER (clip%23=0) AS VARCHAR)
+      FROM truth"""))
 def _(spark, sf):
     from matchlens.functions import grid as Gr
     t = X.truth(spark, sf)
     cell = Gr.cell_of(F.col("px"), F.col("py"))
     key = t.select("clip", F.when(F.expr("clip % 19 <> 0"), cell).otherwise("").alias("start_cell"),
                    cell.alias("final_cell"), F.expr("clip % 12").alias("measured"),
-                   F.expr("clip % 11").alias("target"), F.lit(22).alias("in_play"))
+                   F.expr("clip % 11").alias("target"), F.expr("if(clip % 23 = 0, 21, 22)").alias("in_play"))
     files = t.where("clip % 13 <> 0").select("clip").unionByName(
         t.where("clip % 17 = 0").select((-F.col("clip") - 1).alias("clip")))
     return Q.key_completeness(key, files)
