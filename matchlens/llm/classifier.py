@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .language import held_out
 from .packing import CHUNK_BYTES, chunks
-from .store import staged, table
+from .store import kept, staged, table
 
 PER_LABEL = 5000
 VOCABULARY = 8000
@@ -196,9 +196,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     return Model(words, vectors, layers)
 
 
-_POOLERS: dict[str, Pooler] = {}        # by model, kept between the tasks of a worker
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, ..) with score; only the text is looked at, and not returned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -207,10 +204,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches):
         own = shared.value
-        if key not in _POOLERS:
-            _POOLERS.clear()
-            _POOLERS[key] = Pooler(own.words, own.vectors)
-        pooler = _POOLERS[key]
+        pooler = kept(key, lambda: Pooler(own.words, own.vectors))
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for part in chunks([len(t or "") for t in texts], CHUNK_BYTES):

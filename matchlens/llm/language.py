@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packing import CHUNK_BYTES, chunks
-from .store import staged, table
+from .store import kept, staged, table
 
 PER_LANGUAGE = 4000
 LANGUAGES = 1000                    # the most frequent ones; others are not learned
@@ -33,7 +33,7 @@ LONGEST = 4                         # n-gram length that unseen words start with
 LEARNED_WORD = 40                   # longer words are scored, but not learned
 UNSEEN_WEIGHT = 0.5                 # of a word scored by n-grams, against a known word
 SOFTEN = 0.25                       # of the summed evidence, as words are not independent
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 600_000
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -147,9 +147,6 @@ class Scorer:
         return langs, scores
 
 
-_SCORERS: dict[str, Scorer] = {}        # by model, kept between the tasks of a worker
-
-
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with the language and its score under the given names; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -157,13 +154,11 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     text, key = columns.index("text"), uuid.uuid4().hex
 
     def score(batches):
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
+        scorer = kept(key, lambda: Scorer(shared.value))
         for batch in batches:
             texts = batch.column(text).to_pylist()
             for part in chunks([len(t or "") for t in texts], CHUNK_BYTES):
-                langs, scores = _SCORERS[key](texts[part])
+                langs, scores = scorer(texts[part])
                 rows = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
                     [*rows.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *names])

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import numbered, staged, table
+from .store import kept, numbered, staged, table
 
 SIZE = 2048
 END = 1
-KNOWN_WORDS = 1_000_000          # words whose ids a worker remembers
+KNOWN_WORDS = 600_000            # words whose ids a worker remembers
 TOGETHER = 2000                 # new words given to the tokenizer at a time
 CHUNK_BYTES = 4 << 20           # text that a worker holds as words at a time
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -116,13 +116,8 @@ class WordIds:
         return np.split(flat, np.cumsum(self.count[places])[np.cumsum(sizes) - 1][:-1])
 
 
-_WORD_IDS: dict[str, WordIds] = {}      # kept between the tasks of a worker
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
-    return _WORD_IDS[path]
+    return kept(path, lambda: WordIds(path))
 
 
 def chunks(sizes: list[int], most: int) -> Iterator[slice]:

@@ -43,6 +43,18 @@ def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> D
     return dealt.withColumn(name, n + base).drop("__part")
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """What make() made in this Python worker, kept between tasks; one thing at a time, as workers live
+    on through the stages and their memory with them."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 @contextmanager
 def small_batches(spark, rows: int):
     """Tables with large rows go to Python a few rows at a time while this holds."""
