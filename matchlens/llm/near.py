@@ -6,13 +6,13 @@
    of their sketches at least (all but 1e-9 of such pairs; surely, for sets within a sketch), so it
    is enough that they meet in one of the first |sketch| - shared + 1 values, rarest first. Values
    of one class meet nobody and are dropped; values of many come last.
-3. A list is not turned into all its pairs. In STAR_ROUNDS rounds every list pairs its members with
-   one of them; pairs are filtered by the union of their sketches and verified on the full sets,
-   and linked classes merge. What is left of the lists, where they span several components, meets
-   in full across them. A bound on how far two sets differ, 128 parities of their hashes, and their
-   sizes keep most pairs out of that join. In lists of more than `SHORT` members a pair counts in
-   the first list that both are in, and only if the `FILTER` smallest hashes of its union allow a
-   link; sets within that size are decided at once.
+3. A list is not turned into all its pairs. First every list pairs its members with STARS of them;
+   pairs are filtered by the union of their sketches and verified on the full sets, and linked
+   classes merge. What is left of the lists, where they span several components, meets in full
+   across them. A bound on how far two sets differ, 128 parities of their hashes, and their sizes
+   keep most pairs out of that join. In lists of more than `SHORT` members a pair counts in the
+   first list that both are in, and only if the `FILTER` smallest hashes of its union allow a link;
+   sets within that size are decided at once.
 4. Components by alternating large and small stars, whose edges never outnumber the links.
 
 Links between different texts are lost only where step 2 misses a pair, which is improbable by
@@ -39,7 +39,7 @@ from .store import staged, table
 SKETCH = 64
 FILTER = 160                    # values of a union that decide which pairs are verified
 MISS = 1e-9
-STAR_ROUNDS = 2
+STARS = 2
 SHORT = 16
 WORDS, PERCENT = 5, 80          # what the stages of a pipeline use
 
@@ -169,18 +169,18 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
         F.col("xa.sketch"), F.col("xb.sketch"), F.col("xa.n"), F.col("xb.n"), percent, SKETCH)).select("a", "b")
     both = F.size(F.array_intersect("xa.set", "xb.set"))
     either = F.size("xa.set") + F.size("xb.set") - both
-    return staged(two(sets, "set", staged(near)).where(100 * both >= percent * either).select("a", "b"))
+    return staged(two(sets, "set", near).where(100 * both >= percent * either).select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest member of the component, for every class on an edge (a, b)."""
-    def mark(e):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        return r["n"], r["s"]
+    def stars(e: DataFrame) -> bool:
+        """Does every u stand once, and never as a v?"""
+        seen = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n")))
+        seen = seen.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("v"))
+        return seen.where((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("v") == 0))).isEmpty()
     edges = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = staged(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
         edges = staged(small.where("u != v").distinct())
-    return staged(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def _across(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -236,14 +236,17 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     listed = staged(reps.join(lists.select("id").distinct(), "id", "left_semi"))
     lists = staged(lists.join(listed.select("id", "p", "q"), "id"))
     sets = staged(full_sets(docs, listed, words))
-    roots = links = None
-    for k in range(STAR_ROUNDS + 1):
-        open_ = staged(_across(lists, roots))
-        pairs = _starred(open_, k, percent) if k < STAR_ROUNDS else _met(open_, sets, percent)
-        pairs = staged(pairs.select(F.least("id", "2id").alias("a"), F.greatest("id", "2id").alias("b")).distinct())
-        found = linked(pairs, listed, sets, percent)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("id", "2id").alias("a"), F.greatest("id", "2id").alias("b")).distinct()
+        return linked(pairs, listed, sets, percent)
+    open_ = staged(_across(lists, None))
+    starred = _starred(open_, 0, percent)
+    for draw in range(1, STARS):
+        starred = starred.unionByName(_starred(open_, draw, percent))
+    found = links(starred)
+    rest = links(_met(staged(_across(lists, components(found))), sets, percent))
+    roots = components(found.unionByName(rest))
     named = reps.select("cls", "id", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "root").select("cls", "component_id")
