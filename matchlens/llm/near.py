@@ -6,13 +6,13 @@
    of their sketches at least (all but 1e-9 of such pairs; surely, for sets within a sketch), so it
    is enough that they meet in one of the first |sketch| - shared + 1 values, rarest first. Values
    of one class meet nobody and are dropped; values of many come last.
-3. A list is not turned into all its pairs. First every list pairs its members with STARS of them;
-   pairs are filtered by the union of their sketches and verified on the full sets, and linked
-   classes merge. What is left of the lists, where they span several components, meets in full
-   across them. A bound on how far two sets differ, 128 parities of their hashes, and their sizes
-   keep most pairs out of that join. In lists of more than `SHORT` members a pair counts in the
-   first list that both are in, and only if the `FILTER` smallest hashes of its union allow a link;
-   sets within that size are decided at once.
+3. Lists of up to SHORT members are turned into their pairs. Longer ones first pair their members
+   with STARS of them; pairs are filtered by the union of their sketches and verified on the full
+   sets, and linked classes merge. What is left of the long lists, where they span several
+   components, then meets in full across them: a pair counts in the first list that both are in,
+   and only if the `FILTER` smallest hashes of its union allow a link (sets within that size are
+   decided by it). A bound on how far two sets differ, 128 parities of their hashes, and their sizes
+   keep most pairs out of all these joins.
 4. Components by alternating large and small stars, whose edges never outnumber the links.
 
 Links between different texts are lost only where step 2 misses a pair, which is improbable by
@@ -30,7 +30,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packing import CHUNK_BYTES, chunks
@@ -39,8 +39,8 @@ from .store import staged, table
 SKETCH = 64
 FILTER = 160                    # values of a union that decide which pairs are verified
 MISS = 1e-9
-STARS = 2
-SHORT = 16
+SHORT = 16                      # lists of up to so many members are paired in full at once
+STARS = 8
 WORDS, PERCENT = 5, 80          # what the stages of a pipeline use
 
 
@@ -200,29 +200,22 @@ def _across(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(mixed.select("value", "m"), "value")
 
 
-def _starred(lists: DataFrame, draw: int, percent: int) -> DataFrame:
-    """Every member of a list with one of them."""
-    one = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", F.lit(draw)).alias("draw"), F.struct(
-        "id", "n", "root", "p", "q").alias("c"))).alias("one"))
-    one = one.select("value", *[F.col(f"one.c.{k}").alias(f"2{k}") for k in ("id", "n", "root", "p", "q")])
-    return lists.join(one, "value").where((F.col("root") != F.col("2root")) & _close("", "2", percent)).select("id", "2id")
+LIGHT = ["id", "n", "root", "p", "q"]
 
 
-def _met(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All members of a list with all others, across components."""
-    light = ["id", "n", "root", "p", "q"]
+def _starred(lists: DataFrame, percent: int) -> DataFrame:
+    """Every member of a list with STARS of them."""
+    drawn = F.row_number().over(Window.partitionBy("value").orderBy(F.xxhash64("id"), "id"))
+    some = lists.withColumn("k", drawn).where(F.col("k") <= STARS).select("value", *[F.col(c).alias(f"2{c}") for c in LIGHT])
+    return lists.join(some, "value").where((F.col("id") != F.col("2id")) & _close("", "2", percent)).select("id", "2id")
 
-    def twice(t: DataFrame, columns: list[str], also: Column) -> DataFrame:
-        other = t.select(F.col("value").alias("2value"), *[F.col(c).alias(f"2{c}") for c in columns])
-        return t.select("value", *columns).join(other, F.col("value") == F.col("2value")).where(
-            (F.col("id") < F.col("2id")) & (F.col("root") != F.col("2root")) & _close("", "2", percent) & also).select("id", "2id")
-    short = twice(lists.where(F.col("m") <= SHORT), light, F.lit(True))
-    # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
-    low = sets.select("id", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
-    first = F.array_intersect("prefix", "2prefix")[0] == F.col("value")
-    long_ = twice(lists.where(F.col("m") > SHORT).join(low, "id"), [*light, "prefix", "low"], first & _alike(
-        F.col("low"), F.col("2low"), F.col("n"), F.col("2n"), percent, FILTER))
-    return short.unionByName(long_)
+
+def _met(lists: DataFrame, columns: list[str], percent: int, also: Column | None = None) -> DataFrame:
+    """All members of a list with all others, across components."""
+    other = lists.select(F.col("value").alias("2value"), *[F.col(c).alias(f"2{c}") for c in columns])
+    cond = (F.col("id") < F.col("2id")) & (F.col("root") != F.col("2root")) & _close("", "2", percent)
+    return lists.select("value", *columns).join(other, F.col("value") == F.col("2value")).where(
+        cond if also is None else cond & also).select("id", "2id")
 
 
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -241,11 +234,13 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
         pairs = pairs.select(F.least("id", "2id").alias("a"), F.greatest("id", "2id").alias("b")).distinct()
         return linked(pairs, listed, sets, percent)
     open_ = staged(_across(lists, None))
-    starred = _starred(open_, 0, percent)
-    for draw in range(1, STARS):
-        starred = starred.unionByName(_starred(open_, draw, percent))
-    found = links(starred)
-    rest = links(_met(staged(_across(lists, components(found))), sets, percent))
+    short, long_ = open_.where(F.col("m") <= SHORT), open_.where(F.col("m") > SHORT)
+    found = links(_met(short, LIGHT, percent).unionByName(_starred(long_, percent)))
+    # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
+    low = sets.select("id", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
+    left = staged(_across(long_.drop("root", "m"), components(found)).join(low, "id"))
+    rest = links(_met(left, [*LIGHT, "prefix", "low"], percent, (F.array_intersect("prefix", "2prefix")[0] == F.col("value")) & _alike(
+        F.col("low"), F.col("2low"), F.col("n"), F.col("2n"), percent, FILTER)))
     roots = components(found.unionByName(rest))
     named = reps.select("cls", "id", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
