@@ -14,12 +14,23 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STAGED: list[str] = []
+
+
+def clear(spark) -> None:
+    """Removes the tables that this driver staged, once no DataFrame needs them any more."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the folder all executors share and read again.
 
     Cuts the lineage: a lost executor costs the tasks it ran, not the stages before."""
     path = f"{session.shared_folder(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
