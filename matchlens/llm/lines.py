@@ -101,11 +101,11 @@ def _least_common(n_a: Column, n_b: Column, percent: int) -> Column:
 ROW = ["id", "b", "c", "at"]
 
 
-def _possible(percent: int) -> Column:
-    """Of a row and another one, whose columns have a 2 in front."""
-    n_a, n_b = F.shiftright("at", 32), F.shiftright("2at", 32)
-    i_a, i_b = F.col("at").bitwiseAND(F.lit(0xFFFFFFF)), F.col("2at").bitwiseAND(F.lit(0xFFFFFFF))
-    b, c = F.col("b").bitwiseXOR(F.col("2b")), F.col("c").bitwiseXOR(F.col("2c"))
+def _possible(percent: int, x: str = "", y: str = "2") -> Column:
+    """Of a row and another one, whose columns have these in front."""
+    n_a, n_b = F.shiftright(f"{x}at", 32), F.shiftright(f"{y}at", 32)
+    i_a, i_b = F.col(f"{x}at").bitwiseAND(F.lit(0xFFFFFFF)), F.col(f"{y}at").bitwiseAND(F.lit(0xFFFFFFF))
+    b, c = F.col(f"{x}b").bitwiseXOR(F.col(f"{y}b")), F.col(f"{x}c").bitwiseXOR(F.col(f"{y}c"))
     differ = F.when((n_a > LONG) & (n_b > LONG), F.bit_count(b) + F.bit_count(c)).otherwise(F.bit_count(b.bitwiseXOR(c)))
     least = _least_common(n_a, n_b, percent)
     return ((F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
@@ -162,10 +162,11 @@ def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marked = classes.where(F.size("prefix") > 0).join(led.withColumn("gone", F.lit(1)), "id", "left").withColumn("gone", gone)
     rows = marked.select("id", "b", "c", "n", "gone", F.posexplode("prefix").alias("i", "word")).select(
         "word", "id", "b", "c", (at + F.col("gone")).alias("at"))
-    twin = rows.select(F.col("word").alias("2word"), *[F.col(k).alias(f"2{k}") for k in ROW])
-    both_go = F.col("at").bitwiseAND(F.col("2at")).bitwiseAND(F.lit(1 << 31)) != 0
-    met = rows.join(twin, F.col("word") == F.col("2word")).where((F.col("id") < F.col("2id")) & ~both_go & _possible(percent))
-    rest = verified(met.select(*pair), classes, docs, steps, percent)
+    both_go = F.col("x.at").bitwiseAND(F.col("y.at")).bitwiseAND(F.lit(1 << 31)) != 0
+    # the same rows on both sides, under the same names: they are shuffled once
+    met = rows.alias("x").join(rows.alias("y"), F.col("x.word") == F.col("y.word")).where(
+        (F.col("x.id") < F.col("y.id")) & ~both_go & _possible(percent, "x.", "y."))
+    rest = verified(met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), classes, docs, steps, percent)
     gone = staged(led.union(rest).distinct())
     decided = classes.select("id", *CLASS, F.struct("doc_id", "pos").alias("first")).join(
         gone.withColumn("gone", F.lit(True)), "id", "left").drop("id")

@@ -212,10 +212,11 @@ def _starred(lists: DataFrame, percent: int) -> DataFrame:
 
 def _met(lists: DataFrame, columns: list[str], percent: int, also: Column | None = None) -> DataFrame:
     """All members of a list with all others, across components."""
-    other = lists.select(F.col("value").alias("2value"), *[F.col(c).alias(f"2{c}") for c in columns])
-    cond = (F.col("id") < F.col("2id")) & (F.col("root") != F.col("2root")) & _close("", "2", percent)
-    return lists.select("value", *columns).join(other, F.col("value") == F.col("2value")).where(
-        cond if also is None else cond & also).select("id", "2id")
+    lists = lists.select("value", *columns)
+    cond = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _close("x.", "y.", percent)
+    # the same rows on both sides, under the same names: they are shuffled once
+    return lists.alias("x").join(lists.alias("y"), F.col("x.value") == F.col("y.value")).where(
+        cond if also is None else cond & also).select("x.id", F.col("y.id").alias("2id"))
 
 
 def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -239,8 +240,8 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
     low = sets.select("id", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
     left = staged(_across(long_.drop("root", "m"), components(found)).join(low, "id"))
-    rest = links(_met(left, [*LIGHT, "prefix", "low"], percent, (F.array_intersect("prefix", "2prefix")[0] == F.col("value")) & _alike(
-        F.col("low"), F.col("2low"), F.col("n"), F.col("2n"), percent, FILTER)))
+    rest = links(_met(left, [*LIGHT, "prefix", "low"], percent, (F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.value")) & _alike(
+        F.col("x.low"), F.col("y.low"), F.col("x.n"), F.col("y.n"), percent, FILTER)))
     roots = components(found.unionByName(rest))
     named = reps.select("cls", "id", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
