@@ -19,9 +19,11 @@ Links between different texts are lost only where step 2 misses a pair, which is
 construction, not by a limit; there is no limit on the partners of a document.
 
 Defined results: null text, or text without a word, has an empty set, is linked with nothing and
-kept; with fewer words than a shingle the whole sequence is the one shingle; repeated rows are in
-one class (`deduplicated` keeps one of them); a null id never names a component that has another;
-an empty table gives no rows; columns other than doc_id and text are not read.
+kept, all its rows; with fewer words than a shingle the whole sequence is the one shingle; repeated
+rows are in one class; a null id never names a component that has another; `deduplicated` keeps one
+row of each component, of the text with the smallest hash among those with the smallest id, so rows
+without an id, or with one id and different texts, are decided one by one; an empty table gives no
+rows; columns other than doc_id and text are not read.
 """
 from __future__ import annotations
 
@@ -87,27 +89,35 @@ def shared(similarity: float, size: int = SKETCH, miss: float = MISS) -> int:
     return t
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, x, text): x tells texts of one id, or of none, apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash(docs).alias("x"), "text")
+
+
+def _hash(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
 def sketched(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, cls, p, q, sketch): cls is a digest of the whole set, null for empty sets; p, q its parities."""
-    names = ["doc_id", "n", "cls", "p", "q", "sketch"]
+    """(doc_id, x, n, cls, p, q, sketch): cls is a digest of the whole set, null for empty sets; p, q its parities."""
+    names = ["doc_id", "x", "n", "cls", "p", "q", "sketch"]
 
     def sketch(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts = batch.column(1).to_pylist()
+                texts = batch.column(2).to_pylist()
                 for part in chunks([len(t or "") for t in texts], CHUNK_BYTES):
                     sets = [shingles(t, words) for t in texts[part]]
                     p, q = zip(*map(parities, sets))
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0)[part], pa.array([len(s) for s in sets], pa.int64()),
+                        batch.column(0)[part], batch.column(1)[part], pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([digest(s) for s in sets], pa.binary()), pa.array(p, pa.int64()), pa.array(q, pa.int64()),
                         pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))], names=names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(
-        sketch, "doc_id long, n long, cls binary, p long, q long, sketch array<long>")
+    return keyed(docs).mapInArrow(sketch, "doc_id long, x long, n long, cls binary, p long, q long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the classes (id, cls, rep): read again from the text of one document each."""
+    """(id, set) of the classes (id, cls, rep, x): read again from the text of one document each."""
     def sets(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -117,10 +127,11 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([
                         batch.column(0)[part], batch.column(2)[part], pa.array([digest(s) for s in found], pa.binary()),
                         pa.array(found, pa.list_(pa.int64()))], names=["id", "cls", "of", "set"])
-    read = classes.select("id", "cls", "rep").join(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("rep").eqNullSafe(F.col("doc_id")))
+    text = keyed(docs)
+    read = classes.select("id", "cls", "rep", F.col("x").alias("__x")).join(
+        text, F.col("rep").eqNullSafe(F.col("doc_id")) & (F.col("__x") == F.col("x")))
     return read.select("id", "text", "cls").mapInArrow(sets, "id long, cls binary, of binary, set array<long>").where(
-        "cls = of").dropDuplicates(["id"]).select("id", "set")      # another text may have the same doc_id
+        "cls = of").dropDuplicates(["id"]).select("id", "set")      # rows may be repeated
 
 
 def _least_shared(n: Column, percent: int, size: int) -> Column:
@@ -219,12 +230,17 @@ def _met(lists: DataFrame, columns: list[str], percent: int, also: Column | None
         cond if also is None else cond & also).select("x.id", F.col("y.id").alias("2id"))
 
 
-def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+def _first(doc_id: str) -> Column:
+    """The smallest of rows (doc_id, x); those without an id come last."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("rep"), "x")).alias("first")
+
+
+def _decided(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, x, n, worded, component_id, stays) for every row of docs; repeated rows are decided alike."""
     all_ = staged(sketched(docs, words))
-    classes = all_.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    reps = all_.join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["cls"])
-    reps = staged(reps.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "p", "q", "sketch", "rep"))
+    classes = all_.where("cls is not null").groupBy("cls").agg(_first("doc_id"))
+    reps = all_.join(classes, "cls").where(F.col("doc_id").eqNullSafe(F.col("first.rep")) & (F.col("x") == F.col("first.x"))).dropDuplicates(["cls"])
+    reps = staged(reps.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "p", "q", "sketch", F.col("doc_id").alias("rep"), "x"))
     lists = staged(inverted(reps, percent))
     lists = lists.join(lists.groupBy("value").agg(F.count("*").alias("m")).where("m > 1").select("value"), "value", "left_semi")
     listed = staged(reps.join(lists.select("id").distinct(), "id", "left_semi"))
@@ -243,21 +259,29 @@ def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     rest = links(_met(left, [*LIGHT, "prefix", "low"], percent, (F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.value")) & _alike(
         F.col("x.low"), F.col("y.low"), F.col("x.n"), F.col("y.n"), percent, FILTER)))
     roots = components(found.unionByName(rest))
-    named = reps.select("cls", "id", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "root").select("cls", "component_id")
-    return all_.select("doc_id", "n", "cls").join(named, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = reps.select("cls", "id", "rep", "x").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = named.groupBy("root").agg(_first("rep"))
+    named = named.join(smallest, "root").select("cls", "first")
+    worded = F.col("cls").isNotNull()
+    stays = F.col("doc_id").eqNullSafe(F.col("first.rep")) & (F.col("x") == F.col("first.x"))
+    return all_.select("doc_id", "x", "n", "cls").join(named, "cls", "left").select(
+        "doc_id", "x", "n", worded.alias("worded"), F.when(worded, F.col("first.rep")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(worded, stays).otherwise(True).alias("stays"))
+
+
+def grouped(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs."""
+    return _decided(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without those that another document of their group stands for."""
-    stays = grouped(docs, words, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = staged(stays.groupBy("doc_id").agg(F.count("*").alias("n"))).select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__id")))
-    once = kept.where("__n = 1").drop("__id", "__n")
-    again = kept.where("__n > 1").drop("__id", "__n")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    stays = _decided(docs, words, percent).where("stays").groupBy("doc_id", "x", "worded").agg(F.count("*").alias("n"))
+    again = F.col("worded") & (F.col("n") > 1)
+    stays = staged(stays.select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), again.alias("__again")))
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("__id")) & (_hash(docs) == F.col("__x")))
+    once, again = (kept.where(c).drop("__id", "__again") for c in ("not __again", "__again"))
+    return once.unionByName(again.dropDuplicates(["doc_id", "__x"])).drop("__x")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -87,6 +87,17 @@ def test_one_of_each_group_stays(odd):
     assert ids[7] == 1 and set(ids) >= {1, 2, 3, 4, 5, 6, 7, 8, 9}
 
 
+def test_texts_of_one_id_are_decided_apart(spark):
+    """No row is lost for its id, and no copy stays for it."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(12)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, b), (None, d), (None, None), (None, " "), (3, c), (5, c), (5, a), (5, d), (6, d), (8, None), (8, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in near.deduplicated(table).collect())
+    assert got == Counter([(None, b), (None, None), (None, " "), (3, c), (5, a), (5, d), (8, None), (8, None)])
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.grouped(table).collect())
+    assert got == components(rows, 5, 80)
+
+
 def test_shared_values_bound():
     t = near.shared(0.85)
     p = sum(math.comb(64, k) * 0.85 ** k * 0.15 ** (64 - k) for k in range(t))
