@@ -16,8 +16,9 @@ join. What goes and what stays is judged on the input, not on what is left.
 
 Defined results: lines end at \\n only; lines without a word are left alone; null text has no line
 and stays null; empty text has one line without a word; sets of fewer than 5 words match equal
-sets only (at 0.8); words are compared in lower case; rows that repeat a doc_id keep the same lines;
-rows without an id come first; an empty table gives no rows; `deduplicated` drops documents of which
+sets only (at 0.8); words are compared in lower case; rows that repeat a doc_id and its text keep the
+same lines; rows without an id come first, and rows with the same id, or without, are ordered by a hash
+of their text; an empty table gives no rows; `deduplicated` drops documents of which
 no line with a word is left, and keeps all columns as they are but text and n_chars.
 """
 from __future__ import annotations
@@ -81,15 +82,24 @@ def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100).cast("int") + 1
 
 
+#: A row of docs: its id, and a hash that tells texts of one id, or of none, apart.
+KEY = ["doc_id", "x"]
+PLACE = [*KEY, "pos"]
+
+
+def _hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
+
+
 def signed(docs: DataFrame, steps: Column, percent: int) -> DataFrame:
-    """(doc_id, pos, d, b, c, n, prefix) for every line with a word; (d, b, c) stand for the set."""
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("pos", "line"))
-    sets = lines.withColumn("steps", steps).select("doc_id", "pos", _keys(F.col("line")).alias("set")).where(F.size("set") > 0)
+    """(doc_id, x, pos, d, b, c, n, prefix) for every line with a word; (d, b, c) stand for the set."""
+    lines = docs.where("text is not null").select("doc_id", _hash(docs).alias("x"), F.posexplode(F.split(_plain(F.col("text")), "\n", -1)).alias("pos", "line"))
+    sets = lines.withColumn("steps", steps).select(*PLACE, _keys(F.col("line")).alias("set")).where(F.size("set") > 0)
     b, c = _parities(F.col("set"))
-    t = sets.select("doc_id", "pos", F.xxhash64("set").alias("d"), b.alias("b"), c.alias("c"), F.size("set").alias("n"), "set")
+    t = sets.select(*PLACE, F.xxhash64("set").alias("d"), b.alias("b"), c.alias("c"), F.size("set").alias("n"), "set")
     first = F.when(F.col("n") * (100 - percent) >= percent, F.slice(
         "set", F.lit(1), _prefix_length(F.col("n"), percent))).otherwise(F.array().cast("array<bigint>"))
-    return t.select("doc_id", "pos", "d", "b", "c", "n", F.transform(first, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
+    return t.select(*PLACE, "d", "b", "c", "n", F.transform(first, lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("prefix"))
 
 
 def _least_common(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -116,26 +126,27 @@ CLASS = ["d", "b", "c"]
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, steps: Column) -> DataFrame:
-    """(id, set) of the classes (id, d, b, c, doc_id, pos), from one line each."""
-    asked = staged(classes.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "id", *CLASS)).alias("asked")))
-    asked = asked.withColumnRenamed("doc_id", "__id")
+    """(id, set) of the classes (id, d, b, c, doc_id, x, pos), from one line each."""
+    asked = staged(classes.groupBy(*KEY).agg(F.collect_list(F.struct("pos", "id", *CLASS)).alias("asked")))
+    asked = asked.withColumnsRenamed({"doc_id": "__id", "x": "__x"})
     if asked.count() <= READ_AGAIN:
         asked = F.broadcast(asked)
-    t = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("__id"))).select(
-        F.split(_plain(F.col("text")), "\n", -1).alias("lines"), "asked")
+    t = docs.select("doc_id", _hash(docs).alias("x"), "text")
+    t = t.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__x"))).select(
+        F.split(_plain(F.col("text")), "\n", -1).alias("lines"), F.col("asked"))
     t = t.select("lines", F.explode("asked").alias("x")).withColumn("steps", steps).select(
         "x.*", _keys(F.get("lines", F.col("x.pos"))).alias("set"))
     b, c = _parities(F.col("set"))
-    same = (F.xxhash64("set") == F.col("d")) & (b == F.col("b")) & (c == F.col("c"))    # else another row of that id
-    return t.where(same).dropDuplicates(["id"]).select("id", "set")
+    same = (F.xxhash64("set") == F.col("d")) & (b == F.col("b")) & (c == F.col("c"))
+    return t.where(same).dropDuplicates(["id"]).select("id", "set")     # rows may be repeated
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, steps: Column, percent: int) -> DataFrame:
     """The classes (id) that an earlier one of a pair (x, y) matches."""
     pairs = staged(pairs.distinct())
     ends = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    known = staged(classes.select("id", *CLASS, "doc_id", "pos").join(ends, "id", "left_semi"))
-    sets = staged(known.join(full_sets(docs, known, steps), "id").select("id", F.struct("doc_id", "pos").alias("at"), "set"))
+    known = staged(classes.select("id", *CLASS, *PLACE).join(ends, "id", "left_semi"))
+    sets = staged(known.join(full_sets(docs, known, steps), "id").select("id", F.struct(*PLACE).alias("at"), "set"))
     for side in "xy":
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.struct("at", "set").alias(f"of_{side}")), side)
     both = F.size(F.array_intersect("of_x.set", "of_y.set"))
@@ -145,14 +156,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, steps: Colum
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Lines (doc_id, pos, goes) with a word."""
+    """Lines (doc_id, x, pos, goes) with a word."""
     steps = rarity(docs)
     lines = staged(signed(docs, steps, percent))
-    classes = lines.groupBy(*CLASS, "n").agg(F.min(F.struct("doc_id", "pos", "prefix")).alias("first"))
+    classes = lines.groupBy(*CLASS, "n").agg(F.min(F.struct(*PLACE, "prefix")).alias("first"))
     classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), *CLASS, "n", "first.*"))
     at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
     pair = (F.col("id").alias("x"), F.col("2id").alias("y"))
-    # every class with the first class that has one of its rarest words
+    # every class with a class that has one of its rarest words, an early one; `verified` compares whole places
     words = classes.select("id", "b", "c", "n", "doc_id", "pos", F.posexplode(F.slice("prefix", 1, LEADING)).alias("i", "word"))
     by_word = Window.partitionBy("word").orderBy("doc_id", "pos")
     led = words.withColumn("at", at).select(*ROW, *[F.first(k).over(by_word).alias(f"2{k}") for k in ROW])
@@ -168,23 +179,23 @@ def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         (F.col("x.id") < F.col("y.id")) & ~both_go & _possible(percent, "x.", "y."))
     rest = verified(met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), classes, docs, steps, percent)
     gone = staged(led.union(rest).distinct())
-    decided = classes.select("id", *CLASS, F.struct("doc_id", "pos").alias("first")).join(
+    decided = classes.select("id", *CLASS, F.struct(*PLACE).alias("first")).join(
         gone.withColumn("gone", F.lit(True)), "id", "left").drop("id")
-    goes = F.coalesce("gone", F.lit(False)) | ~F.struct("doc_id", "pos").eqNullSafe(F.col("first"))
-    return lines.select("doc_id", "pos", *CLASS).join(decided, CLASS).select("doc_id", "pos", goes.alias("goes"))
+    goes = F.coalesce("gone", F.lit(False)) | ~F.struct(*PLACE).eqNullSafe(F.col("first"))
+    return lines.select(*PLACE, *CLASS).join(decided, CLASS).select(*PLACE, goes.alias("goes"))
 
 
 def _by_document(docs: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n_worded, gone): the lines with a word and the places of those that go."""
-    return removed(docs, percent).distinct().groupBy("doc_id").agg(
+    """(doc_id, x, n_worded, gone): the lines with a word and the places of those that go."""
+    return removed(docs, percent).distinct().groupBy(*KEY).agg(
         F.count("*").alias("n_worded"), F.sort_array(F.collect_list(F.when(F.col("goes"), F.col("pos")))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the lines that match an earlier one."""
     found = staged(_by_document(docs, percent).where(F.size("gone") > 0)).select(
-        F.col("doc_id").alias("__id"), F.struct("n_worded", "gone").alias("__found"))
-    t = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+        F.col("doc_id").alias("__id"), F.col("x").alias("__x"), F.struct("n_worded", "gone").alias("__found"))
+    t = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__id")) & (_hash(docs) == F.col("__x")), "left")
     at = F.map_from_arrays(F.col("__found.gone"), F.col("__found.gone"))
     t = t.withColumn("__at", F.when(F.col("__found").isNotNull(), at))
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.col("__at")[i].isNull()), "\n")
@@ -199,10 +210,10 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """op9: the lines of every document, and those that go (places from 0, in order)."""
     docs = table(spark, sf_dir, "documents")
-    found = _by_document(docs, PERCENT).select(F.col("doc_id").alias("id"), "n_worded", "gone")
-    sizes = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(
+    found = _by_document(docs, PERCENT).select(F.col("doc_id").alias("id"), F.col("x").alias("of"), "n_worded", "gone")
+    sizes = docs.select("doc_id", _hash(docs).alias("x"), F.when(F.col("text").isNull(), 0).otherwise(
         F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("long").alias("n_lines"))
-    return sizes.join(found, sizes["doc_id"].eqNullSafe(F.col("id")), "left").select(
+    return sizes.join(found, sizes["doc_id"].eqNullSafe(F.col("id")) & (sizes["x"] == F.col("of")), "left").select(
         "doc_id", "n_lines", F.coalesce("n_worded", F.lit(0)).cast("long").alias("n_worded"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.transform("gone", lambda x: x.cast("string")), ","), F.lit("")).alias("removed"))

@@ -153,3 +153,14 @@ def test_lines_of_odd_documents(odd):
     assert got[7] == "other words stand here alone"
     assert all(r["n_chars"] == len(r["text"]) for r in kept.collect() if r["text"] is not None)
     assert [r["text"] for r in kept.collect() if r["doc_id"] is None and r["text"]] == [line]
+
+
+def test_lines_of_one_id_are_decided_apart(spark):
+    """Lines that occur once stay, and one of each other: also in rows without an id, or with one id and different texts."""
+    a, b, c, d, e, f = (" ".join(f"{k}{i}" for i in range(6)) for k in "abcdef")
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (4, f"{d}\n{e}"), (4, f"{f}\n{d}"), (4, f"{f}\n{d}"), (5, f"{b}\n{e}")]
+    kept = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = Counter((r["doc_id"], x) for r in kept for x in r["text"].split("\n"))
+    assert {(None, a), (None, b), (None, c), (4, d), (4, e), (4, f)} == set(left)
+    assert left[None, a] == left[None, b] == left[None, c] == left[4, e] == 1
+    assert left[4, f] == 2 and left[4, d] in (1, 2)     # the repeated row keeps the same lines twice
