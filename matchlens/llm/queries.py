@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import align, classifier, language, lines, mixing, near, packing, passages, phrases, pii, rules, topk
+from . import align, classifier, language, lines, mixing, near, overlap, packing, passages, phrases, pii, rules, topk
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_quality_rules": rules.query,
     "op10_mix_sources": mixing.query,
     "op11_phrase_collocations": phrases.query,
+    "op12_ngram_join": overlap.query,
     "op13_align_tokenizers": align.query,
 }
 
