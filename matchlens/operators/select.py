@@ -6,12 +6,11 @@ applies before shuffling), with a stated bound on its length; only that list is
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlens import config as C
 from matchlens import session
-from matchlens.operators import assign, chunks
+from matchlens.operators import chunks, matching
 
 
 def top(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
@@ -271,8 +270,8 @@ def joint_selection(pool: DataFrame, *, levels=tuple(C.LEVELS), per_level: int =
 
     Of all windows of a (slot, class, cell) only the calmest of ``target`` matches can matter:
     whatever the other picks are, one of them is free. Two ranked reductions over the pool
-    leave that short list, of slots x classes x cells x target rows at most; ``assign`` fills
-    and improves the batch in one task from it.
+    leave that short list, of slots x classes x cells x target rows at most, from which ``matching``
+    fills and improves the batch in rounds of joins.
     """
     quota = quota or C.CLASS_QUOTA
     target = per_level * len(levels)
@@ -284,16 +283,10 @@ def joint_selection(pool: DataFrame, *, levels=tuple(C.LEVELS), per_level: int =
     rows = usable.select(*PICK, kept.alias("kept"))
     one = top(rows, ["match_id", *cell], order, 1)
     short = top(one, cell, order, target)
-    slots = [(level, team, k) for level in levels for team in (0, 1) for k in range(per_level // 2)]
-    schema = rows.schema
-    names = rows.columns
-
-    def choose(rows):
-        listed = rows.to_dict("records")
-        options = [{**r, "slot": (r["level"], r["startown"], k)} for r in listed for k in range(per_level // 2)]
-        start = sorted((o for o in options if o["kept"]), key=lambda o: (o["coh"], o["match_id"], o["slot"]))
-        return pd.DataFrame(assign.batch(options, slots, quota, weight, start), columns=names)
-    return short.groupBy().applyInPandas(choose, schema).select(
+    each = F.explode(F.sequence(F.lit(1), F.lit(per_level // 2)))
+    options = short.withColumn("__n", each).withColumn(
+        "slot", F.format_string("%05d/%d/%05d", "level", "startown", "__n")).drop("__n")
+    return matching.batch(options, quota, weight).select(
         *PICK, *(["kept"] if "kept" in pool.columns else []))
 
 

@@ -1,11 +1,12 @@
 """Choices against brute force on small pools."""
 import random
+from collections import Counter
 
 import pytest
 
 from pyspark.sql import functions as F
 
-from matchlens.operators import assign, chunks, lookups as L, select as S, windows as W
+from matchlens.operators import chunks, lookups as L, matching, select as S, windows as W
 
 
 def test_close_events_like_the_sequential_pass(spark, small_chunks):
@@ -85,14 +86,85 @@ def test_joint_selection_keeps_every_constraint(spark):
     assert len(got) == 24
 
 
-def test_a_slot_is_filled_by_moving_others():
-    """One match is all that slot 3 can use; its holder has to move, and so has the next."""
-    def o(slot, match, kind="open", coh=1.0):
-        return {"slot": slot, "match_id": match, "kind": kind, "cell": f"A{match}", "coh": coh}
-    options = [o(1, "a", coh=0.1), o(1, "b"), o(2, "b", coh=0.1), o(2, "c"), o(3, "a"), o(4, "d", "corner"), o(4, "e"),
-               o(5, "f", "corner")]
-    got = assign.batch(options, [1, 2, 3, 4, 5], {"open": 4, "corner": 1}, 0.06)
-    assert sorted((p["slot"], p["match_id"]) for p in got) == [(1, "b"), (2, "c"), (3, "a"), (4, "e"), (5, "f")]
+def options(spark, rows):
+    """rows: (slot, match, kind, coh)."""
+    return spark.createDataFrame([(f"s{s}", m, k, "ABCDEF"[m % 6] + str(1 + m % 16), float(c)) for s, m, k, c in rows],
+                                 "slot string, match_id long, kind string, cell string, coh double")
+
+
+def most_slots(rows, quota):
+    """Maximum flow from slots over matches and classes, by plain depth-first search."""
+    room = {("slot", s): {("match", m): 1 for t, m, *_ in rows if t == s} for s, *_ in rows}
+    room |= {("match", m): {("class", k): 1} for _, m, k, _ in rows}
+    room |= {("class", k): {"end": n} for k, n in quota.items()} | {"start": {x: 1 for x in room if x[0] == "slot"}, "end": {}}
+
+    def push(x, seen):
+        if x == "end":
+            return True
+        seen.add(x)
+        for y in [y for y, n in room[x].items() if n and y not in seen]:
+            if push(y, seen):
+                room[x][y] -= 1
+                room[y][x] = room[y].get(x, 0) + 1
+                return True
+        return False
+    n = 0
+    while push("start", set()):
+        n += 1
+    return n
+
+
+def check_picks(picks, rows, quota):
+    for key in ("slot", "match_id"):
+        assert len({r[key] for r in picks}) == len(picks)
+    for k, n in quota.items():
+        assert sum(r["kind"] == k for r in picks) <= n
+    assert {(r["slot"], r["match_id"], r["kind"]) for r in picks} <= {(f"s{s}", m, k) for s, m, k, _ in rows}
+
+
+def test_a_slot_is_filled_by_a_chain_of_any_length(spark):
+    """Slot 0 can only use match 0, whose holder has to move, and so on: nine picks move for it."""
+    rows = [(0, 0, "open", 9.0)] + [x for s in range(1, 10) for x in ((s, s - 1, "open", 0.1), (s, s, "open", 5.0))]
+    rows += [(20, 100, "corner", 0.1), (20, 101, "open", 3.0), (21, 102, "corner", 1.0)]     # and a class with one place
+    quota = {"open": 11, "corner": 1}
+    got = matching.batch(options(spark, rows), quota, 0.0).collect()
+    check_picks(got, rows, quota)
+    assert sorted((r["slot"], r["match_id"]) for r in got) == sorted([(f"s{s}", s) for s in range(10)] + [("s20", 101), ("s21", 102)])
+
+
+def test_scarce_pools_are_filled_as_far_as_they_can(spark):
+    rnd = random.Random(4)
+    for case in range(3):
+        kinds = {m: rnd.choice("abc") for m in range(16)}
+        rows = [(s, m, kinds[m], round(rnd.random(), 3)) for s in range(12) for m in rnd.sample(range(16), rnd.randint(1, 2))]
+        quota = {"a": 4, "b": 3, "c": 5}
+        got = matching.batch(options(spark, rows), quota, 0.06).collect()
+        check_picks(got, rows, quota)
+        assert len(got) == most_slots(rows, quota), case
+
+
+def test_matches_of_several_classes_keep_the_quotas(spark):
+    rnd = random.Random(6)
+    rows = sorted({(s, rnd.randrange(14), rnd.choice("abc"), float(rnd.randint(1, 9))) for s in range(10) for _ in range(4)})
+    quota = {"a": 3, "b": 3, "c": 4}
+    check_picks(matching.batch(options(spark, rows), quota, 0.06).collect(), rows, quota)
+
+
+def test_exchanges_spread_the_cells(spark):
+    """No single exchange makes the result better."""
+    rnd = random.Random(8)
+    rows = [(s, m, "a", round(rnd.random(), 3)) for s in range(6) for m in rnd.sample(range(40), 12)]
+    df = options(spark, rows)
+    got = [r.asDict() for r in matching.batch(df, {"a": 6}, 0.06).collect()]
+    assert len(got) == 6
+
+    def cost(picks):
+        n, cells = len(picks), [p["cell"] for p in picks]
+        part = lambda f, k: sum((v - n / k) ** 2 for v in Counter(map(f, cells)).values())
+        return sum(p["coh"] for p in picks) / n + 0.06 * (3 * (n - len(set(cells))) + 0.25 * part(lambda c: c[0], 6) + 0.12 * part(lambda c: c[1:], 16))
+    for o in (r.asDict() for r in df.collect()):
+        if o["match_id"] not in {p["match_id"] for p in got if p["slot"] != o["slot"]}:
+            assert cost([o if p["slot"] == o["slot"] else p for p in got]) > cost(got) - 1e-6
 
 
 def test_reselection_prefers_what_is_there(spark):
