@@ -12,7 +12,7 @@
 4. In a list, members first pair with a few of them (ROUNDS), links are verified on the full sets, and linked
    classes merge; lists whose members are of one component by then are done. What is left meets in full across
    components. Sizes and PARITIES parities of the sets, which bound how far two sets differ, keep
-   most pairs from being verified. Full sets are read again for listed classes alone, found by a bitmap.
+   most pairs from being verified. Full sets are read again for classes of the other pairs alone, found by a bitmap.
 5. Components by alternating large and small stars.
 
 No step loses a link: the order, the cells, the bitmap and the boundary change the work, never the result.
@@ -196,13 +196,6 @@ def _tiny(n: Column, percent: int) -> Column:
     return n * percent <= 100
 
 
-def _close(a: str, b: str, percent: int) -> Column:
-    """Do sizes and parities allow a link?"""
-    n = F.col(f"{a}n") + F.col(f"{b}n")
-    apart = sum((F.bit_count(F.col(a + k).bitwiseXOR(F.col(b + k))) for k in P), F.lit(0))
-    return _sized(F.col(f"{a}n"), F.col(f"{b}n"), percent) & (n - apart >= 2 * F.ceil(n * percent / (100 + percent)))
-
-
 def _open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     """The lists whose members are of several components, with each member's root."""
     lists = lists.withColumn("root", F.col("id")) if roots is None else lists.drop("root").join(roots, "id", "left").withColumn(
@@ -212,19 +205,30 @@ def _open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, others: DataFrame, light: int, percent: int) -> DataFrame:
-    """Members of a list with `others` of it; in lists of single elements, one of the two is heavy."""
-    columns = ["id", "n", "root", *P]
-    y = others.select("key", *[F.col(c).alias(f"y{c}") for c in columns])
-    met = lists.join(y, "key").where((F.col("root") != F.col("yroot")) & (F.col("subset") | (F.greatest("n", "yn") > light) | _tiny(F.least("n", "yn"), percent)) & _close("", "y", percent))
+    """(a, b): members of a list with `others` of it, of a size that allows a link; in lists of single elements, one of the two is heavy."""
+    y = others.select("key", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "root")])
+    n = F.col("n"), F.col("yn")
+    met = lists.join(y, "key").where((F.col("root") != F.col("yroot")) & _sized(*n, percent) & (
+        F.col("subset") | (F.greatest(*n) > light) | _tiny(F.least(*n), percent)))
     return met.select(F.least("id", "yid").alias("a"), F.greatest("id", "yid").alias("b")).distinct()
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links by their full sets."""
+def _of_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("set").alias(f"set_{side}")), side)
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.where(100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)).select("a", "b")
+        pairs = pairs.join(table.select(F.col("id").alias(side), F.struct(*columns).alias(f"x{side}")), side)
+    return pairs
+
+
+def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links: first by their parities, then by their full sets."""
+    apart = sum((F.bit_count(F.col(f"xa.{k}").bitwiseXOR(F.col(f"xb.{k}"))) for k in P), F.lit(0))
+    n = F.col("xa.n") + F.col("xb.n")
+    near = staged(_of_both(pairs, classes, ["n", *P]).where(n - apart >= 2 * F.ceil(n * percent / (100 + percent))).select("a", "b"))
+    asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = full_sets(docs, classes.join(asked, "id", "left_semi"), words)
+    both = F.size(F.array_intersect("xa.set", "xb.set"))
+    return staged(_of_both(near, staged(sets), ["set"]).where(100 * both >= percent * (
+        F.size("xa.set") + F.size("xb.set") - both)).select("a", "b"))
 
 
 def _first() -> Column:
@@ -240,13 +244,12 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "first.doc_id", "first.x",
                                     *[F.col("p")[i].alias(k) for i, k in enumerate(P)], "prefix"))
     keys = staged(inverted(classes))
-    listed = staged(classes.drop("prefix").join(keys.select("id").distinct(), "id", "left_semi"))
-    lists = staged(keys.join(listed.select("id", "n"), "id"))
+    lists = staged(keys.join(classes.select("id", "n"), "id"))
     light = boundary(lists, percent)
-    heavy = lists.where((F.col("n") * 100 >= light * percent) | _tiny(F.col("n"), percent)).select("key", "id", F.lit(False).alias("subset"))
-    both = heavy.unionByName(_shared(subsets(lists, light)).withColumn("subset", F.lit(True)))
-    lists = both.join(listed.drop("cls", "doc_id", "x"), "id")
-    sets = staged(full_sets(docs, listed, words))
+    heavy = lists.where((F.col("n") * 100 >= light * percent) | _tiny(F.col("n"), percent)).withColumn("subset", F.lit(False))
+    small = lists.select("id", "n").where(F.col("n") <= light).distinct()
+    lists = heavy.unionByName(_shared(subsets(lists, light)).join(small, "id").withColumn("subset", F.lit(True)))
+    classes = classes.drop("prefix")
 
     roots, found = None, None
     for some in (*ROUNDS, None):
@@ -255,7 +258,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         if some:
             drawn = Window.partitionBy("key").orderBy((F.col("n") > light).desc(), F.xxhash64("id"), "id")
             others = lists.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= some)
-        links = staged(linked(_pairs(lists, others, light, percent), sets, percent))
+        links = linked(_pairs(lists, others, light, percent), docs, classes, words, percent)
         found = links if found is None else found.unionByName(links)
         roots = staged(components(found))
     named = classes.select("cls", "id", "doc_id", "x").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
