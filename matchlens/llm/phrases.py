@@ -9,9 +9,11 @@ others (the highest entry of a stripe, and of the entries that end alike).
 * Only phrases whose first and last k - 1 words are both frequent can be frequent. The frequent ones
   of a level reach the tasks of the next as a bitmap of their hashes, BITS bits whatever the
   corpus is: a chance hit costs an entry that turns out to be rare, and nothing is ever missed.
+  A pass over the texts may make the stripes of several levels from the bitmap of the level before them.
 * Tasks merge stripes in memory, ENTRIES at most, before they are shuffled, keyed by language and prefix.
-  Prefixes that hold more than 1 / HOT of all words, of which there are HOT at most, have their
-  stripes split by the next word into CELLS, so that no task holds the stripe of a frequent word.
+  Prefixes that hold more than 1 / HOT of all words, of which there are HOT at most, have their stripes
+  split by the next word into cells of about 1 / HOT of all words, so that no task holds the stripe of a
+  frequent word.
 * Phrases are compared as words, hashes only decide what is looked at.
 * Scores are exact: products as 38-digit decimals, for corpora up to 10^17 words.
 
@@ -36,13 +38,13 @@ from .store import staged, table
 BITS = 1 << 26
 PAGE = 1 << 15                  # bits in a row of a bitmap
 HOT = 4096
-CELLS = 64
 WORD_CELLS = 1024               # of the stripe of the empty prefix
+PASSES = ((1,), (2,), (3,), (4, 5))     # the levels that a pass over the texts makes; longer phrases take one pass each
 ENTRIES = 1_500_000
 KNOWN_WORDS = 400_000
 CHUNK_BYTES = 4 << 20
 BORDERS = bytes.maketrans(b".,;:!?\n\v\f\r", b"\n" * 10)
-STRIPE = "lang string, prefix string, cell int, next array<string>, n array<long>"
+STRIPE = "k int, lang string, prefix string, cell int, next array<string>, n array<long>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -103,16 +105,23 @@ def _groups(keys: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Stripes:
-    """The stripes of one task: entries (language, words of the prefix, next) with their times."""
+    """The stripes of one task: for each level, entries (language, words of the prefix, next) with their times.
 
-    def __init__(self, k: int, bitmap: np.ndarray | None, hot: np.ndarray, entries: int, known: int):
-        self.k, self.bitmap, self.hot, self.entries, self.known = k, bitmap, hot, entries, known
-        self.words, self.hashes = Words(), np.zeros(1, np.uint64)
+    base: the level of the bitmap; hot, cells: hashes of the hot prefixes of that level and their cells."""
+
+    def __init__(self, ks: tuple[int, ...], base: int, bitmap: np.ndarray | None, hot: np.ndarray, cells: np.ndarray, entries: int, known: int):
+        self.ks, self.base, self.bitmap, self.hot, self.cells = ks, base, bitmap, hot, cells
+        self.entries, self.known = entries, known
         self.langs: dict[str, int] = {}
+        self.forget()
         self.clear()
 
+    def forget(self) -> None:
+        self.words, self.hashes = Words(), np.zeros(1, np.uint64)
+
     def clear(self) -> None:
-        self.keys, self.columns, self.times, self.size = [], [], [], 0
+        self.held = {k: ([], [], []) for k in self.ks}      # hashes, columns, times
+        self.size = 0
 
     def _frequent(self, h: np.ndarray) -> np.ndarray:
         slot = h & np.uint64(8 * len(self.bitmap) - 1)
@@ -130,69 +139,78 @@ class Stripes:
             self.hashes = np.concatenate([self.hashes, _word_hash(names[len(self.hashes):])])
         lang = np.repeat(np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32), sizes)
         seeds = _word_hash([x.encode() for x in self.langs])
-        k, n = self.k, len(w)
         hashed, inside = self.hashes[w], w != 0
-        if k == 1:
-            at = np.flatnonzero(inside)
-            columns = np.stack([lang[at], w[at]])
-            self._take(_fold(seeds[columns[0]], hashed[at]), columns)
-            return
-        # where phrases of k - 1 words begin that may be frequent
         at = np.flatnonzero(inside)
         h = _fold(seeds[lang[at]], hashed[at])
-        for j in range(1, k - 1):
+        if self.base == 0:
+            self._take(1, h, np.stack([lang[at], w[at]]))
+            return
+        # where phrases of `base` words begin that may be frequent
+        for j in range(1, self.base):
             stay = inside[at + j]               # a text ends with a border, so at + j is a word or that border
             at, h = at[stay], h[stay]
             h = _fold(h, hashed[at + j])
         stay = self._frequent(h)
         at, h = at[stay], h[stay]
-        begins = np.zeros(n, np.bool_)
+        begins = np.zeros(len(w), np.bool_)
         begins[at] = True
-        goes_on = begins[at + 1] & inside[at + k - 1]
-        after = np.where(goes_on, w[at + k - 1], 0)         # 0: nothing, or nothing frequent
-        columns = np.stack([lang[at], *(w[at + j] for j in range(k - 1)), after])
-        self._take(_fold(h, np.where(goes_on, hashed[at + k - 1], np.uint64(0))), columns)
-
-    def _take(self, keys, columns, times=None) -> None:
+        for k in range(self.base + 1, self.ks[-1] + 1):     # at, h: prefixes of k - 1 words
+            goes_on = begins[at + k - self.base]            # no border comes before the end of a phrase that begins there
+            after = np.where(goes_on, w[at + k - 1], 0)     # 0: nothing, or nothing frequent
+            if k in self.ks:
+                columns = np.stack([lang[at], *(w[at + j] for j in range(k - 1)), after])
+                self._take(k, _fold(h, np.where(goes_on, hashed[at + k - 1], np.uint64(0))), columns)
+            at, h = at[goes_on], h[goes_on]
+            h = _fold(h, hashed[at + k - 1])
+
+    def _take(self, k, keys, columns, times=None) -> None:
         order, starts = _groups(keys, columns)
         if times is None:
             times = np.diff(np.r_[starts, len(order)])
         else:
             times = np.add.reduceat(times[order], starts) if len(starts) else times
         first = order[starts]
-        self.keys.append(keys[first])
-        self.columns.append(columns[:, first])
-        self.times.append(times)
+        for held, x in zip(self.held[k], (keys[first], columns[:, first], times)):
+            held.append(x)
         self.size += len(first)
 
     def full(self) -> bool:
         """Have the merged stripes outgrown the task's memory?"""
         if self.size < self.entries and len(self.words) < self.known:
             return False
-        keys, columns, times = np.concatenate(self.keys), np.concatenate(self.columns, axis=1), np.concatenate(self.times)
+        before = self.held
         self.clear()
-        self._take(keys, columns, times)
+        for k, (keys, columns, times) in before.items():
+            if keys:
+                self._take(k, np.concatenate(keys), np.concatenate(columns, axis=1), np.concatenate(times))
         return self.size > self.entries // 2 or len(self.words) >= self.known
 
     def rows(self):
         """The stripes, a row for each (prefix, cell), in batches."""
-        if not self.keys:
-            return
-        columns, times = np.concatenate(self.columns, axis=1), np.concatenate(self.times)
+        before = self.held
         self.clear()
+        names = pa.array([None, *(x.decode() for x in self.words.names[1:])], pa.string())
+        for k, (_, columns, times) in before.items():
+            if columns:
+                yield from self._rows(k, np.concatenate(columns, axis=1), np.concatenate(times), names)
+
+    def _rows(self, k, columns, times, names):
         langs, seeds = list(self.langs), _word_hash([x.encode() for x in self.langs])
-        h = seeds[columns[0]]
-        for c in columns[1:-1]:
+        h = of_base = seeds[columns[0]]
+        for j, c in enumerate(columns[1:-1], 1):
             h = _fold(h, self.hashes[c])
+            of_base = h if j == self.base else of_base
         after = self.hashes[columns[-1]]
-        if self.k == 1:
+        if k == 1:
             cell = (after % np.uint64(WORD_CELLS)).astype(np.int32)
-        else:
-            cell = np.where(np.isin(h, self.hot), (after % np.uint64(CELLS)).astype(np.int32), -1).astype(np.int32)
+        else:       # a hot prefix begins with a hot phrase
+            place = np.minimum(np.searchsorted(self.hot, of_base), max(len(self.hot) - 1, 0))
+            is_hot = self.hot[place] == of_base if len(self.hot) else np.zeros(len(of_base), np.bool_)
+            cell = np.full(len(is_hot), -1, np.int32)
+            cell[is_hot] = (after[is_hot] % self.cells[place[is_hot]]).astype(np.int32)
         head = np.concatenate([columns[:-1], cell[None, :]])
         order, starts = _groups(_fold(h, (cell.astype(np.int64) + 1).astype(np.uint64)), head)
         ends = np.r_[starts, len(order)]
-        names = pa.array([None, *(x.decode() for x in self.words.names[1:])], pa.string())
         step = 1 << 15
         for s in range(0, len(starts), step):
             some = starts[s:s + step]
@@ -202,20 +220,17 @@ class Stripes:
             parts = [names.take(pa.array(c[first])).to_pylist() for c in columns[1:-1]]
             prefix = [" ".join(x) for x in zip(*parts)] if parts else [""] * len(first)
             yield pa.RecordBatch.from_arrays([
-                pa.array([langs[i] for i in columns[0][first].tolist()], pa.string()), pa.array(prefix, pa.string()),
-                pa.array(cell[first], pa.int32()), pa.ListArray.from_arrays(offsets, names.take(pa.array(columns[-1][own]))),
+                pa.array(np.full(len(first), k, np.int32)), pa.array([langs[i] for i in columns[0][first].tolist()], pa.string()),
+                pa.array(prefix, pa.string()), pa.array(cell[first], pa.int32()), pa.ListArray.from_arrays(offsets, names.take(pa.array(columns[-1][own]))),
                 pa.ListArray.from_arrays(offsets, pa.array(times[own], pa.int64()))], names=[x.split()[0] for x in STRIPE.split(", ")])
 
-    def forget(self) -> None:
-        self.words, self.hashes = Words(), np.zeros(1, np.uint64)
-
 
-def stripes(docs: DataFrame, k: int, bitmap, hot: np.ndarray) -> DataFrame:
-    """The stripes of prefixes of k - 1 words, merged within tasks; bitmap: a broadcast one of level k - 1."""
+def stripes(docs: DataFrame, ks: tuple[int, ...], base: int, bitmap, hot: np.ndarray, cells: np.ndarray) -> DataFrame:
+    """The stripes of some levels, merged within tasks; bitmap: a broadcast one of level `base`."""
     limits = ENTRIES, KNOWN_WORDS
 
     def make(batches):
-        own = Stripes(k, None if bitmap is None else np.frombuffer(bitmap.value, np.uint8), hot, *limits)
+        own = Stripes(ks, base, None if bitmap is None else np.frombuffer(bitmap.value, np.uint8), hot, cells, *limits)
         with np.errstate(over="ignore"):
             for batch in batches:
                 langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -229,13 +244,14 @@ def stripes(docs: DataFrame, k: int, bitmap, hot: np.ndarray) -> DataFrame:
 
 
 def merged(made: DataFrame, least: int) -> DataFrame:
-    """(lang, prefix, cell, total, ext): stripes added up elementwise, with the entries of `least` at least."""
-    dealt = made.repartition("lang", "prefix", "cell")
-    entries = dealt.select("lang", "prefix", "cell", F.explode(F.arrays_zip("next", "n")).alias("x")).select(
-        "lang", "prefix", "cell", F.col("x.next").alias("next"), F.col("x.n").alias("n"))
-    entries = entries.groupBy("lang", "prefix", "cell", "next").agg(F.sum("n").alias("n"))
+    """(k, lang, prefix, cell, total, ext): stripes added up elementwise, with the entries of `least` at least."""
+    dealt = made.repartition("k", "lang", "prefix", "cell")
+    stripe = ["k", "lang", "prefix", "cell"]
+    entries = dealt.select(*stripe, F.explode(F.arrays_zip("next", "n")).alias("x")).select(
+        *stripe, F.col("x.next").alias("next"), F.col("x.n").alias("n"))
+    entries = entries.groupBy(*stripe, "next").agg(F.sum("n").alias("n"))
     kept = F.when(F.col("next").isNotNull() & (F.col("n") >= least), F.struct("next", "n"))
-    return entries.groupBy("lang", "prefix", "cell").agg(F.sum("n").alias("total"), F.collect_list(kept).alias("ext"))
+    return entries.groupBy(*stripe).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("ext"))
 
 
 def bitmap_of(phrases: DataFrame) -> bytes:
@@ -254,11 +270,19 @@ def bitmap_of(phrases: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def hot_hashes(phrases: DataFrame, total: int) -> np.ndarray:
-    """Hashes of the phrases that hold 1 / HOT of all words at least: HOT of them at most."""
-    rows = phrases.where(F.col("a") * HOT >= total).select("lang", "phrase").collect()
+def hot_hashes(phrases: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the phrases that hold 1 / HOT of all words at least, HOT of them at most, and how many
+    times that share they hold."""
+    rows = phrases.where(F.col("a") * HOT >= total).select("lang", "phrase", "a").collect()
     with np.errstate(over="ignore"):
-        return np.sort(phrase_hashes([r["lang"] for r in rows], [r["phrase"] for r in rows]))
+        hashes = phrase_hashes([r["lang"] for r in rows], [r["phrase"] for r in rows])
+    order = np.argsort(hashes)
+    return hashes[order], np.array([1 + r["a"] * HOT // max(total, 1) for r in rows], np.uint64)[order]
+
+
+def _passes(longest: int) -> list[tuple[int, ...]]:
+    some = [tuple(k for k in ks if k <= longest) for ks in PASSES]
+    return [ks for ks in some if ks] + [(k,) for k in range(PASSES[-1][-1] + 1, longest + 1)]
 
 
 def levels(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
@@ -266,35 +290,38 @@ def levels(docs: DataFrame, least: int, longest: int) -> list[DataFrame]:
     `least` at least, those of their first 1, 2, .. words, and those of what is left after these."""
     spark = docs.sparkSession
     out: list[DataFrame] = []
-    bitmap, hot, total = None, np.zeros(0, np.uint64), 0
-    for k in range(1, longest + 1):
-        rows = staged(merged(stripes(docs, k, bitmap, hot), least))
-        if k == 1:
+    bitmap, hot, cells, total = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+    for ks in _passes(longest):
+        rows = staged(merged(stripes(docs, ks, len(out), bitmap, hot, cells), least))
+        if ks[0] == 1:
             total = rows.agg(F.sum("total")).first()[0] or 0
-        # a stripe in one cell has its total, those of hot prefixes (and of the empty one) add it up
-        split = rows.where("cell >= 0")
-        sums = split.groupBy("lang", "prefix").agg(F.sum("total").alias("l"))
-        split = split.join(F.broadcast(sums) if k > 1 else sums, ["lang", "prefix"])     # HOT rows at most; one for each language
-        found = split.unionByName(rows.where("cell < 0").withColumn("l", F.col("total"))).select(
-            "lang", "prefix", "l", F.explode("ext").alias("x")).select("lang", "prefix", "l", F.col("x.next").alias("next"), F.col("x.n").alias("a"))
-        if k == 1:
-            none = F.array().cast("array<bigint>")
-            found = found.select("lang", F.col("next").alias("phrase"), "prefix", F.lit("").alias("suffix"), "a", F.col("l").alias("n"),
-                                 none.alias("lefts"), none.alias("rights"))
-        else:
-            phrase = F.concat_ws(" ", "prefix", "next")
-            found = found.select("lang", phrase.alias("phrase"), "prefix", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("suffix"), "a", "l")
-            before = out[-1].select("lang", F.col("phrase").alias("prefix"), "n", F.col("lefts").alias("ls"))
-            behind = out[-1].select("lang", F.col("phrase").alias("suffix"), F.array_prepend("rights", F.col("a")).alias("rights"))
-            found = found.join(before, ["lang", "prefix"]).join(behind, ["lang", "suffix"]).select(
-                "lang", "phrase", "prefix", "suffix", "a", "n", F.array_append("ls", F.col("l")).alias("lefts"), "rights")
-        found = staged(found)
-        out.append(found)
+        for k in ks:
+            out.append(staged(_level(rows.where(F.col("k") == k), k, out[-1] if out else None)))
         if k < longest:
-            bitmap, hot = spark.sparkContext.broadcast(bitmap_of(found)), hot_hashes(found, total)
+            bitmap = spark.sparkContext.broadcast(bitmap_of(out[-1]))
+            hot, cells = hot_hashes(out[-1], total)
     return out
 
 
+def _level(rows: DataFrame, k: int, last: DataFrame | None) -> DataFrame:
+    """The frequent phrases of k words from merged stripes; last: those of k - 1 words."""
+    # a stripe in one cell has its total, those of hot prefixes (and of the empty one) add it up
+    split = rows.where("cell >= 0")
+    split = split.join(split.groupBy("lang", "prefix").agg(F.sum("total").alias("l")), ["lang", "prefix"])
+    found = split.unionByName(rows.where("cell < 0").withColumn("l", F.col("total"))).select(
+        "lang", "prefix", "l", F.explode("ext").alias("x")).select("lang", "prefix", "l", F.col("x.next").alias("next"), F.col("x.n").alias("a"))
+    if k == 1:
+        none = F.array().cast("array<bigint>")
+        return found.select("lang", F.col("next").alias("phrase"), "prefix", F.lit("").alias("suffix"), "a", F.col("l").alias("n"),
+                            none.alias("lefts"), none.alias("rights"))
+    phrase = F.concat_ws(" ", "prefix", "next")
+    found = found.select("lang", phrase.alias("phrase"), "prefix", F.expr("substring(phrase, instr(phrase, ' ') + 1)").alias("suffix"), "a", "l")
+    before = last.select("lang", F.col("phrase").alias("prefix"), "n", F.col("lefts").alias("ls"))
+    behind = last.select("lang", F.col("phrase").alias("suffix"), F.array_prepend("rights", F.col("a")).alias("rights"))
+    return found.join(before, ["lang", "prefix"]).join(behind, ["lang", "suffix"]).select(
+        "lang", "phrase", "prefix", "suffix", "a", "n", F.array_append("ls", F.col("l")).alias("lefts"), "rights")
+
+
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2000) -> DataFrame:
     """The `first` best phrases of each language: lang, rank, phrase, a, l, r, n, score."""
     found = levels(docs, least, longest)

@@ -81,9 +81,13 @@ def test_small_memory_crowded_bitmaps_and_split_stripes(as_table, monkeypatch):
         monkeypatch.setattr(phrases, name, value)
     monkeypatch.setattr(phrases, "bitmap_of", lambda df: b"\xff" * (phrases.BITS // 8))
     assert got(phrases.collocations(as_table(rows), 4)) == want
+    for passes in ([(1,), (2,), (3,), (4,), (5,)], [(1,), (2, 3), (4, 5)], [(1,), (2, 3, 4, 5)]):
+        monkeypatch.setattr(phrases, "_passes", lambda longest, passes=passes: passes)
+        assert got(phrases.collocations(as_table(rows), 4)) == want
+    monkeypatch.undo()
     monkeypatch.setattr(phrases, "HOT", 10 ** 9)
     assert got(phrases.collocations(as_table(rows), 4)) == want
-    assert phrases.hot_hashes(as_table([("en", "x")]).selectExpr("lang", "text as phrase", "1L as a"), 10 ** 9).size == 1
+    assert phrases.hot_hashes(as_table([("en", "x")]).selectExpr("lang", "text as phrase", "1L as a"), 10 ** 9)[0].size == 1
 
 
 def test_equal_hashes_are_told_apart():
