@@ -11,7 +11,7 @@
    the size at which both together cost least, by the rows that either way would make of the actual lists.
 4. In a list, members first pair with a few of them (ROUNDS), links are verified on the full sets, and linked
    classes merge; lists whose members are of one component by then are done. What is left meets in full across
-   components. Sizes and PARITIES parities of the sets, which bound how far two sets differ, keep
+   components. Sizes, and parities of the elements in cells, which bound how far two sets differ, keep
    most pairs from being verified. Full sets are read again for classes of the other pairs alone, found by a bitmap.
 5. Components by alternating large and small stars.
 
@@ -40,10 +40,9 @@ CELLS = 1 << 21
 BLOCK = 1 << 15                 # cells in a row
 LARGEST = 512                   # sets above are heavy whatever they cost
 ROUNDS = (2, 8)                 # members of a list that all others pair with, before all pair with all
-PARITIES = 512
+PARITIES = 512                  # at least; doubled until a set has no more elements
 CHUNK_BYTES = 4 << 20
 WORDS, PERCENT = 5, 80
-P = [f"p{i}" for i in range(PARITIES // 64)]
 PREFIX = "doc_id long, x long, n long, cls binary, p array<long>, prefix array<long>"
 
 
@@ -58,9 +57,24 @@ def may_link(n: int, percent: int) -> bool:
 
 
 def parities(shingle_set: np.ndarray) -> np.ndarray:
-    """Of the hashes in each of PARITIES cells, whether their number is odd."""
-    cell = (shingle_set.view(np.uint64) % np.uint64(PARITIES)).astype(np.int64)
-    return np.packbits((np.bincount(cell, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+    """Of the hashes in each of some cells, whether their number is odd. Half as many cells are the halves, one on the other."""
+    cells = PARITIES
+    while cells < len(shingle_set):
+        cells *= 2
+    cell = (shingle_set.view(np.uint64) % np.uint64(cells)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=cells) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _apart(a: str, b: str) -> Column:
+    """By how many elements two sets differ at least, from their parities, one of them of at most twice the cells."""
+    def xor(x, y):
+        return F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+
+    def folded(x, other):
+        half = F.size(other)
+        return F.when(F.size(x) > half, xor(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half))).otherwise(x)
+    differ = xor(folded(F.col(a), F.col(b)), folded(F.col(b), F.col(a)))
+    return F.aggregate(differ, F.lit(0), lambda n, v: n + F.bit_count(v))
 
 
 def _cell(shingle_set: np.ndarray) -> np.ndarray:
@@ -221,9 +235,8 @@ def _of_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFram
 
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: first by their parities, then by their full sets."""
-    apart = sum((F.bit_count(F.col(f"xa.{k}").bitwiseXOR(F.col(f"xb.{k}"))) for k in P), F.lit(0))
     n = F.col("xa.n") + F.col("xb.n")
-    near = staged(_of_both(pairs, classes, ["n", *P]).where(n - apart >= 2 * F.ceil(n * percent / (100 + percent))).select("a", "b"))
+    near = staged(_of_both(pairs, classes, ["n", "p"]).where(n - _apart("xa.p", "xb.p") >= 2 * F.ceil(n * percent / (100 + percent))).select("a", "b"))
     asked = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = full_sets(docs, classes.join(asked, "id", "left_semi"), words)
     both = F.size(F.array_intersect("xa.set", "xb.set"))
@@ -242,7 +255,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     rows = staged(prefixes(docs, words, percent, order))
     classes = rows.where("cls is not null").groupBy("cls").agg(_first(), F.first("n").alias("n"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
     classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "first.doc_id", "first.x",
-                                    *[F.col("p")[i].alias(k) for i, k in enumerate(P)], "prefix"))
+                                    "p", "prefix"))
     keys = staged(inverted(classes))
     lists = staged(keys.join(classes.select("id", "n"), "id"))
     light = boundary(lists, percent)

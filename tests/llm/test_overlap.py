@@ -64,6 +64,19 @@ def test_prefixes_of_similar_sets_share_two():
             assert len(pre[0] & pre[1]) >= 2
 
 
+def test_parities_never_exceed_the_difference(spark):
+    draw = np.random.default_rng(3)
+    rows, want = [], []
+    for n in (3, 500, 513, 700, 1030, 5000):
+        a = np.unique(draw.integers(-2 ** 63, 2 ** 63 - 1, n))
+        for d in (0, 1, n // 10, n // 5):
+            b = np.unique(np.concatenate([a[d:], draw.integers(-2 ** 63, 2 ** 63 - 1, max(0, d - 2))]))
+            rows.append((overlap.parities(a).tolist(), overlap.parities(b).tolist()))
+            want.append(len(np.setxor1d(a, b)))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(overlap._apart("a", "b").alias("d")).collect()
+    assert all(r["d"] <= w and w - r["d"] <= 0.5 * w for r, w in zip(got, want))
+
+
 def test_boundary_is_where_rows_are_fewest(spark):
     """Short sets on long lists enumerate subsets; sets of many listed elements don't."""
     lists = [(k, i, 10) for i in range(100) for k in range(3)] + [(1000 + k, 200 + i, 300) for i in range(2) for k in range(80)]
