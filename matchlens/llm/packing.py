@@ -8,11 +8,14 @@ own ranges of these numbers, so that a join with the patterns gives every piece
 its offset there.
 
 Defined results: null and empty text is END alone; text of any length is cut, never shortened;
+strings of special tokens are these tokens;
 repeated rows are packed one by one; an empty table gives no rows; columns other than doc_id and
 text are not read. Which of equally long pieces goes where follows doc_id and start.
 """
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -44,19 +47,35 @@ class Places(dict):
         return place
 
 
+def ends_in_letter(stem: str) -> bool:
+    """Is a full stop after this word a token of its own? Only said of letters that every Unicode version has; a letter
+    whose lower case ends in a mark (as U+0130) joins its mark with the stop."""
+    last = unicodedata.normalize("NFC", stem).lower()[-1:]
+    return stem.isalpha() and last.isalpha() and last < "\u0250"
+
+
 class WordIds:
     """Token ids by white-space-separated word.
 
     The tokenizer never joins what ASCII white space separates, nor letters with a comma or full stop,
     and it drops case. So a text's ids are those of its lower-cased words in order, and each
-    distinct word without its stop is tokenized once, together with other new words."""
+    distinct word without its stop is tokenized once, together with other new words. The strings of special tokens, which
+    the tokenizer finds first and with case, part a text; a blank before them keeps them apart from words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = {b" " + t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.parts = re.compile("(" + "|".join(re.escape(x[1:].decode()) for x in self.special) + ")") if self.special else None
+        self.tokenizer.encode_special_tokens = True     # what words lower-case to is no special token
         self.forget()
 
+    def split(self, text: str) -> list[bytes]:
+        parts = self.parts.split(text) if self.parts else [text]
+        if len(parts) == 1:
+            return text.encode().lower().split()
+        return [w for i, x in enumerate(parts) for w in ([b" " + x.encode()] if i % 2 else x.encode().lower().split())]
+
     def forget(self) -> None:
         self.at = Places()
         self.first, self.count = np.zeros(1, np.int64), np.ones(1, np.int64)
@@ -67,12 +86,12 @@ class WordIds:
         known, at = len(self.count), self.at
         stems = {}      # place of a word with a stop -> places of the word and of the stop
         for word in at.new[:]:
-            if word[-1:] in (b".", b",") and word[:-1].decode().isalpha():
+            if word[-1:] in (b".", b",") and ends_in_letter(word[:-1].decode()):
                 stems[at[word]] = at[word[:-1]], at[word[-1:]]
         words = at.new
         at.new = []
-        whole = [w for i, w in enumerate(words, known) if i not in stems]
-        counts, ids = [], []
+        whole = [w for i, w in enumerate(words, known) if i not in stems and w not in self.special]
+        counts, ids = [np.zeros(0, np.int64)], []
         for k in range(0, len(whole), TOGETHER):
             texts = [w.decode() for w in whole[k:k + TOGETHER]]
             got = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
@@ -82,9 +101,14 @@ class WordIds:
             ids.append(np.array(got.ids, np.uint32))
         count, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         apart = np.ones(len(words), np.bool_)
+        special = {i: self.special[w] for i, w in enumerate(words) if w in self.special}
         apart[np.array([*stems], np.int64) - known] = False
+        apart[np.array([*special], np.int64)] = False
         count[apart] = np.concatenate(counts)
         first[apart] = len(self.ids) + np.cumsum(count[apart]) - count[apart]
+        for i, token in special.items():
+            count[i], first[i] = 1, len(self.ids) + sum(map(len, ids))
+            ids.append(np.array([token], np.uint32))
         self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, *ids])
         if stems:
@@ -104,7 +128,7 @@ class WordIds:
         """The ids of each text, with END."""
         if len(self.at) > KNOWN_WORDS:
             self.forget()
-        split = [t.encode().lower().split() for t in texts]
+        split = [self.split(t) for t in texts]
         sizes = np.array([len(w) + 1 for w in split], np.int64)
         places = np.zeros(sizes.sum(), np.int64)
         of_word = np.ones(len(places), np.bool_)

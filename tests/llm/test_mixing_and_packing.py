@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from matchlens.llm import mixing, packing, store
@@ -91,16 +92,43 @@ def test_patterns_place_every_piece(seed):
     assert placed == histogram
 
 
+def untouched(path=None):
+    return Tokenizer.from_file(path or packing.vocabulary())
+
+
 def test_words_give_the_tokenizer_s_ids(texts):
-    ids = packing.word_ids(packing.vocabulary())
+    ids = packing.WordIds(packing.vocabulary())
     odd = ["", "a b \x1c x y z q", "e ́a", "ΑΣ Σ", "<|endoftext|> hi", "1234 don't I'LL we've", "İstanbul ﬁ", " \n\t"]
     all_ = odd + list(texts.values())
-    plain = ids.tokenizer.encode_batch(all_, add_special_tokens=False)
+    plain = untouched().encode_batch(all_, add_special_tokens=False)
     assert [list(x) for x in ids(all_)] == [[*x.ids, 1] for x in plain]
 
 
+def test_known_words_with_a_stop():
+    """A chunk may bring nothing new but known words with a stop."""
+    ids = packing.WordIds(packing.vocabulary())
+    for t in ("hello world", ".", "hello world.", "world, hello.", "<|endoftext|>", "hello <|endoftext|>."):
+        assert list(ids([t])[0]) == [*untouched().encode(t, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_texts_one_at_a_time(seed):
+    """Special tokens in any case, Turkish capitals, marks and rare letters, in any order and any grouping."""
+    draw = random.Random(seed)
+    parts = ["a", "B", "İ", "ı", "é", "e\u0301", "\u0307", "Σ", "ǰ", "\u0345", "ᾳ", "\U0001e94a", "日", ".", ",", "..", "'s", "1", " ", "\n", "\x1c", "\u2028", "<|endoftext|>",
+             "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "K", "ﬁ", "ß", "ẞ", "\u0130\u0307"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 9))) for _ in range(700)]
+    ids, plain = packing.WordIds(packing.vocabulary()), untouched()
+    at = 0
+    while at < len(texts):
+        some = texts[at:at + draw.choice([1, 1, 2, 40])]
+        for t, got in zip(some, ids(some)):
+            assert list(got) == [*plain.encode(t, add_special_tokens=False).ids, 1], t
+        at += len(some)
+
+
 def check_pieces(rows, texts, path):
-    tokenizer = packing.word_ids(path).tokenizer
+    tokenizer = untouched(path)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
