@@ -38,7 +38,7 @@ def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v, dim, norm) of the rows that take part; v as doubles without fraction."""
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform("embedding", lambda x: (x.cast("double") * scale))
-    whole = F.transform("v", lambda x: x - F.pmod(x, F.lit(1.0)))
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x))    # beyond, all are whole
     t = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(sound).select(
         F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     t = t.withColumn("v", whole)

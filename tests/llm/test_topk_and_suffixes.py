@@ -28,6 +28,7 @@ def test_topk_edges(spark, monkeypatch, bucket, block):
     rows += [(1000, None), (1100, [None, 1.0, 2.0, 3.0]), (1200, [nan, 1.0, 1.0, 1.0]), (1300, [1.0, 2.0]), (1301, [2.0, 2.0]), (None, [9.0] * 4),
              (1400, []), (7, [3.0] * 4), (7, [3.0] * 4), (1500, [1e37, 1e37, 0.0, 0.0]), (1600, [0.0] * 4), (1601, [inf, 0.0, 0.0, 0.0])]
     rows += [(5000 + i, [1.0, 1.0, 0.0, 0.0]) for i in range(100)]       # ties
+    rows += [(6000, [-1e-21, 0.5, 0.0, 0.0]), (6001, [-1.0, 0.0, 0.0, 0.0]), (6100, [-1e-38, -1e-45, 0.0, -0.0])]      # just below 0
     table = spark.createDataFrame([(*r, "v", 1) for r in rows], "vec_id long, embedding array<float>, v string, norm int")
     own = [(i, [int(np.floor(1024.0 * float(np.float32(x)))) for x in v]) for i, v in rows
            if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
@@ -42,6 +43,15 @@ def test_topk_edges(spark, monkeypatch, bucket, block):
     assert topk.search(nothing, nothing, 10).count() == 0
 
 
+def test_floors_like_sql(spark):
+    """Numbers just below a whole one, tiny ones and ones beyond 2^53."""
+    draw = random.Random(5)
+    values = [-1e-21, 1e-21, -5e-324, -0.0, 1 / 1024, -1 / 1024, -1 / 1024 - 1e-18, 2.0 ** 43, -(2.0 ** 43) - 0.5, 2.0 ** 60, 1e300, -1e300]
+    values += [draw.uniform(-1, 1) * 10.0 ** draw.randint(-30, 3) for _ in range(500)]
+    table = spark.createDataFrame([(i, [x]) for i, x in enumerate(values)], "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["v"][0] for r in topk.integers(table).collect()} == {i: float(np.floor(1024.0 * x)) for i, x in enumerate(values)}
+
+
 def test_coordinate_pruning_is_exact():
     draw = np.random.default_rng(0)
     centre = draw.normal(size=16)
