@@ -253,8 +253,7 @@ def _decided(docs: DataFrame, words: int, percent: int) -> DataFrame:
     open_ = staged(_across(lists, None))
     short, long_ = open_.where(F.col("m") <= SHORT), open_.where(F.col("m") > SHORT)
     found = links(_met(short, LIGHT, percent).unionByName(_starred(long_, percent)))
-    # 32 of the 64 bits: what agrees by chance lets a pair through, never keeps one out
-    low = sets.select("id", F.transform(F.slice("set", 1, FILTER), lambda x: F.shiftright(x, 32).cast("int")).alias("low"))
+    low = sets.select("id", F.slice("set", 1, FILTER).alias("low"))
     left = staged(_across(long_.drop("root", "m"), components(found)).join(low, "id"))
     rest = links(_met(left, [*LIGHT, "prefix", "low"], percent, (F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.value")) & _alike(
         F.col("x.low"), F.col("y.low"), F.col("x.n"), F.col("y.n"), percent, FILTER)))
