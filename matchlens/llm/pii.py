@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .store import table
 
 CONTEXT_CHARS = 48
+BLOCK = 64                      # matches whose sizes are added up at once
 KEEP_AT = 0.5
 
 
@@ -77,17 +78,43 @@ KINDS = (
 )
 
 
-def _placed(text: Column, pattern: str, found: Column) -> Column:
-    """(start, end, text) of the matches `found` of a pattern: what lies between them gives the offsets."""
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _total(a: Column, first: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(a, first + 1, n), F.lit(0), lambda s, x: s + x)
+
 
-    def step(s, m):
-        start = s["at"] + F.get(s["gaps"], F.size(s["out"]))
-        return F.struct((start + F.length(m)).alias("at"), s["gaps"].alias("gaps"), F.concat(
-            s["out"], F.array(F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text")))).alias("out"))
-    placed = F.aggregate(found, F.struct(F.lit(0).alias("at"), between.alias("gaps"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(found) > 0, placed).otherwise(empty)
+def _sums(a: Column) -> Column:
+    """The sums of each BLOCK numbers of an array."""
+    starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: _total(a, i, F.lit(BLOCK)))
+
+
+def _placed(text: Column, pattern: str, found: Column) -> Column:
+    """(start, end, text, before) of the matches `found` of a pattern. What lies between them gives the offsets, as
+    sums over whole blocks and blocks of blocks: a match adds up some BLOCK numbers, however many there are.
+    `before`: the CONTEXT_CHARS characters before a match, from the pieces before it."""
+    def all_(s):
+        found, gaps = s["found"], s["gaps"]
+
+        def placed(t, whole):
+            def one(m, i):
+                big, block = F.floor(i / BLOCK ** 2).cast("int"), F.floor(i / BLOCK).cast("int")
+                start = (_total(whole, F.lit(0), big) + _total(t["sums"], big * BLOCK, block - big * BLOCK)
+                         + _total(t["sizes"], block * BLOCK, i - block * BLOCK) + F.length(F.get(gaps, i)))
+                first = F.greatest(i - (CONTEXT_CHARS // 2 + 1), F.lit(0))     # a match has two characters at least
+                pieces = F.transform(F.sequence(first, i), lambda j: F.concat(
+                    F.when(j > first, F.get(found, j - 1)).otherwise(F.lit("")), F.get(gaps, j)))
+                return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("text"),
+                                F.substring(F.array_join(pieces, ""), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"))
+            return F.transform(found, one)
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(F.get(gaps, i)))
+        return _let(sizes, lambda z: _let(F.struct(z.alias("sizes"), _sums(z).alias("sums")), lambda t: _let(_sums(t["sums"]), lambda whole: placed(t, whole))))
+    empty = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
+    return F.when(F.size(found) > 0, _let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), all_)).otherwise(empty)
 
 
 def find(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
@@ -97,13 +124,11 @@ def find(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     proposed = [F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0)) for k in KINDS]
     t = t.select("doc_id", "text", *[
         (F.when(F.instr("text", k.hint) > 0, p).otherwise(none) if k.hint else p).alias(k.name) for k, p in zip(KINDS, proposed)])
-    t = t.select("doc_id", "text", *[_placed(F.col("text"), k.pattern, F.col(k.name)).alias(k.name) for k in KINDS])
+    t = t.select("doc_id", *[_placed(F.col("text"), k.pattern, F.col(k.name)).alias(k.name) for k in KINDS])
 
     def scored(k: Kind) -> Column:
         def score(x):
-            before = F.lower(F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1,
-                                         F.least(x["start"], F.lit(CONTEXT_CHARS))))
-            near = before.rlike(rf"\b(?:{k.context})\b")
+            near = F.lower(x["before"]).rlike(rf"\b(?:{k.context})\b")
             return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"),
                             F.when(near, F.lit(min(1.0, k.score + 0.4))).otherwise(F.lit(k.score)).alias("score"))
         kept = F.transform(F.filter(k.name, lambda x: k.valid(x["text"])), score)

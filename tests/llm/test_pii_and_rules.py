@@ -1,6 +1,7 @@
 """op2 and op8 against Python's re and plain counts."""
 import hashlib
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -53,6 +54,28 @@ def test_hard_base_cases(spark):
     compare(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
 
 
+def test_many_matches_in_one_text(spark):
+    """Offsets and contexts of a text with 200,000 matches, in seconds."""
+    n = 200_000
+    mails = "".join(f"a{i}@b{'c' * (i % 7)}.de{' ' * (1 + i % 3)}" for i in range(n))
+    start = time.time()
+    compare(spark.createDataFrame([(1, mails), (2, "é 1.2.3.4 +1555010999 " * 3000), (3, "+155501099" * 5000)], "doc_id long, text string"))
+    assert time.time() - start < 120
+
+
+def test_contexts_before_matches(spark):
+    """The characters before a match, across earlier matches, decide what the added kinds keep."""
+    pad = "x" * 60
+    texts = ["ssn 123-45-6789", f"ssn {pad} 123-45-6789", "ssn 123-45-6789 123-45-6788", "ssn " + "123-45-6789 " * 6, "account 12345678 12345679", "12345678"]
+    for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.0).collect():
+        text = texts[r["doc_id"]]
+        for k in pii.KINDS:
+            for x in r[k.name]:
+                before = text[max(0, x["start"] - pii.CONTEXT_CHARS):x["start"]].lower()
+                near = re.search(rf"\b(?:{k.context})\b", before) is not None
+                assert x["text"] == text[x["start"]:x["end"]] and x["score"] == (min(1.0, k.score + 0.4) if near else k.score)
+
+
 def test_long_runs_take_linear_time(spark):
     big = spark.createDataFrame([(1, "a" * 300_000), (2, "1" * 300_000), (3, "1-" * 150_000)], "doc_id long, text string")
     assert [sum(len(r[k.name]) for k in pii.KINDS) for r in pii.find(big).collect()] == [0, 0, 0]
