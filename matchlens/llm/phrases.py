@@ -10,7 +10,7 @@ others (the highest entry of a stripe, and of the entries that end alike).
   of a level reach the tasks of the next as a bitmap of their hashes, BITS bits whatever the
   corpus is: a chance hit costs an entry that turns out to be rare, and nothing is ever missed.
   A pass over the texts may make the stripes of several levels from the bitmap of the level before them.
-* Tasks merge stripes in memory, ENTRIES at most, before they are shuffled, keyed by language and prefix.
+* Tasks merge stripes in memory, ENTRIES at most, before they are shuffled by prefix, many in a row.
   Prefixes that hold more than 1 / HOT of all words, of which there are HOT at most, have their stripes
   split by the next word into cells of about 1 / HOT of all words, so that no task holds the stripe of a
   frequent word.
@@ -44,7 +44,8 @@ ENTRIES = 1_500_000
 KNOWN_WORDS = 400_000
 CHUNK_BYTES = 4 << 20
 BORDERS = bytes.maketrans(b".,;:!?\n\v\f\r", b"\n" * 10)
-STRIPE = "k int, lang string, prefix string, cell int, next array<string>, n array<long>"
+SHARD_BITS = 12                 # stripes go in rows of 2 ** SHARD_BITS shards, by a hash of the prefix
+ROWS = "k int, shard int, stripes array<struct<lang:string,prefix:string,cell:int,next:array<string>,n:array<bigint>>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -186,7 +187,7 @@ class Stripes:
         return self.size > self.entries // 2 or len(self.words) >= self.known
 
     def rows(self):
-        """The stripes, a row for each (prefix, cell), in batches."""
+        """The stripes, those of a shard in one row, in batches."""
         before = self.held
         self.clear()
         names = pa.array([None, *(x.decode() for x in self.words.names[1:])], pa.string())
@@ -209,20 +210,26 @@ class Stripes:
             cell = np.full(len(is_hot), -1, np.int32)
             cell[is_hot] = (after[is_hot] % self.cells[place[is_hot]]).astype(np.int32)
         head = np.concatenate([columns[:-1], cell[None, :]])
-        order, starts = _groups(_fold(h, (cell.astype(np.int64) + 1).astype(np.uint64)), head)
+        keys = _fold(h, (cell.astype(np.int64) + 1).astype(np.uint64))
+        order, starts = _groups(keys, head)         # the first bits of a key are the shard
         ends = np.r_[starts, len(order)]
+        shards = (keys[order[starts]] >> np.uint64(64 - SHARD_BITS)).astype(np.int32)
         step = 1 << 15
         for s in range(0, len(starts), step):
-            some = starts[s:s + step]
+            some, shard = starts[s:s + step], shards[s:s + step]
             lo, hi = ends[s], ends[min(s + step, len(starts))]
             own, first = order[lo:hi], order[some]
             offsets = pa.array((np.r_[some, hi] - lo).astype(np.int32))
             parts = [names.take(pa.array(c[first])).to_pylist() for c in columns[1:-1]]
             prefix = [" ".join(x) for x in zip(*parts)] if parts else [""] * len(first)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(first), k, np.int32)), pa.array([langs[i] for i in columns[0][first].tolist()], pa.string()),
+            made = pa.StructArray.from_arrays([
+                pa.array([langs[i] for i in columns[0][first].tolist()], pa.string()),
                 pa.array(prefix, pa.string()), pa.array(cell[first], pa.int32()), pa.ListArray.from_arrays(offsets, names.take(pa.array(columns[-1][own]))),
-                pa.ListArray.from_arrays(offsets, pa.array(times[own], pa.int64()))], names=[x.split()[0] for x in STRIPE.split(", ")])
+                pa.ListArray.from_arrays(offsets, pa.array(times[own], pa.int64()))], names=["lang", "prefix", "cell", "next", "n"])
+            at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(at), k, np.int32)), pa.array(shard[at]),
+                pa.ListArray.from_arrays(pa.array(np.r_[at, len(shard)].astype(np.int32)), made)], names=["k", "shard", "stripes"])
 
 
 def stripes(docs: DataFrame, ks: tuple[int, ...], base: int, bitmap, hot: np.ndarray, cells: np.ndarray) -> DataFrame:
@@ -240,18 +247,18 @@ def stripes(docs: DataFrame, ks: tuple[int, ...], base: int, bitmap, hot: np.nda
                         yield from own.rows()
                         own.forget()
             yield from own.rows()
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(make, STRIPE)
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(make, ROWS)
 
 
 def merged(made: DataFrame, least: int) -> DataFrame:
-    """(k, lang, prefix, cell, total, ext): stripes added up elementwise, with the entries of `least` at least."""
-    dealt = made.repartition("k", "lang", "prefix", "cell")
-    stripe = ["k", "lang", "prefix", "cell"]
-    entries = dealt.select(*stripe, F.explode(F.arrays_zip("next", "n")).alias("x")).select(
-        *stripe, F.col("x.next").alias("next"), F.col("x.n").alias("n"))
-    entries = entries.groupBy(*stripe, "next").agg(F.sum("n").alias("n"))
+    """(k, shard, lang, prefix, cell, total, ext): stripes added up elementwise, with the entries of `least` at least."""
+    stripe = ["k", "shard", "lang", "prefix", "cell"]
+    entries = F.flatten(F.transform("stripes", lambda s: F.transform(s["next"], lambda w, i: F.struct(
+        s["lang"].alias("lang"), s["prefix"].alias("prefix"), s["cell"].alias("cell"), w.alias("next"), F.get(s["n"], i).alias("n")))))
+    dealt = made.repartition("k", "shard").select("k", "shard", F.explode(entries).alias("x")).select("k", "shard", "x.*")
+    dealt = dealt.groupBy(*stripe, "next").agg(F.sum("n").alias("n"))      # the shuffle by shard serves both
     kept = F.when(F.col("next").isNotNull() & (F.col("n") >= least), F.struct("next", "n"))
-    return entries.groupBy(*stripe).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("ext"))
+    return dealt.groupBy(*stripe).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("ext"))
 
 
 def bitmap_of(phrases: DataFrame) -> bytes:
