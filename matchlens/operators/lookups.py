@@ -5,9 +5,10 @@ Every join has an equality key that spreads with the data: (match, frame) for me
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from matchlens import config as C
+from matchlens import session
 from matchlens.functions import geometry as G
 from matchlens.operators import chunks, measure as M
 
@@ -159,6 +160,66 @@ def same_play(clips: DataFrame, digests: DataFrame) -> DataFrame:
             .drop("opened_before", "ended_by"))
 
 
+def near_plays(trace: DataFrame, columns: list[str], tolerance: float = 1e-6, key: str = "match_id") -> tuple[DataFrame, DataFrame]:
+    """(key, digest) and (digest, near): the traces of equal length whose columns differ by ``tolerance`` at most
+    on every frame, as pairs of digests; a digest is near itself.
+
+    Equal traces share a digest, so only one trace of each digest goes on. Two traces within the
+    tolerance have means within it, so they meet in a cell of (length, means) or, where a mean lies
+    that close to a border, in the next one. What meets is compared frame by frame.
+    """
+    of = digest(trace, columns, key)
+    first = of.groupBy("digest").agg(F.min(key).alias(key), F.first("steps").alias("steps"))
+    first = session.cut_lineage(first)
+    body = session.cut_lineage(trace.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in columns]).join(first, key))
+    cell = tolerance * (1 << 12)
+    means = body.groupBy("digest", "steps").agg(*[F.avg(c).alias(c) for c in columns])
+    for c in columns:       # one cell, or two next to a border
+        slack = F.lit(2 * tolerance)
+        means = means.withColumn(c, F.explode(F.array_distinct(F.array(
+            F.floor((F.col(c) - slack) / cell), F.floor((F.col(c) + slack) / cell)))))
+    met = means.withColumnRenamed("digest", "a").join(means.withColumnRenamed("digest", "b"), ["steps", *columns]).where("a < b")
+    met = session.cut_lineage(met.select("a", "b").distinct())
+    x = body.select(F.col("digest").alias("a"), "frame", *[F.col(c).alias(f"a_{c}") for c in columns]).join(met, "a")
+    y = body.select(F.col("digest").alias("b"), "frame", *[F.col(c).alias(f"b_{c}") for c in columns])
+    apart = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns], F.lit(0.0))
+    agreed = x.join(y, ["b", "frame"]).where(apart <= tolerance).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    agreed = agreed.join(first.select(F.col("digest").alias("a"), "steps"), "a").where("n = steps").select("a", "b")
+    both = agreed.select(F.col("a").alias("digest"), F.col("b").alias("near")).unionByName(
+        agreed.select(F.col("b").alias("digest"), F.col("a").alias("near")))
+    return of.select(key, "digest"), both.unionByName(first.select("digest", F.col("digest").alias("near")))
+
+
+def play_partners(clips: DataFrame, plays: DataFrame, near: DataFrame, clip: int = C.CLIP_FRAMES) -> DataFrame:
+    """Adds the clip of another match that shows most of the same play: partner, partner_start, shared (frames).
+
+    ``clips`` (match_id, start) are all ``clip`` frames long, ``plays`` and ``near`` as `near_plays` gives them. Of clips that share
+    equally many frames the one of the smallest match counts; without any, the three are null, null and 0.
+    Clips of a play are first reduced to the two smallest matches per start, and a clip looks at the starts
+    within its length: lists are bounded by the clip length, however often a play was copied.
+    """
+    named = clips.join(plays, "match_id")
+    # the smallest two matches: the least, and the least that is not it
+    one = named.groupBy("digest", "start").agg(F.min("match_id").alias("m"))
+    two = named.join(one, ["digest", "start"]).where("match_id != m").groupBy("digest", "start").agg(F.min("match_id").alias("m"))
+    starts = one.unionByName(two).withColumnRenamed("digest", "near").join(near, "near")
+    # the starts of all plays near one; those of equal start shrink to two matches again
+    w = Window.partitionBy("digest", "start").orderBy("m")
+    starts = starts.select("digest", "start", "m", F.row_number().over(w).alias("k")).where("k <= 2").groupBy("digest", "start").agg(
+        F.collect_list("m").alias("ms"))
+    asked = named.select("digest", "start").distinct()
+    starts = starts.join(asked.withColumn("asked", F.lit(True)), ["digest", "start"], "left")
+    w = Window.partitionBy("digest", chunks.CHUNK).orderBy("start").rangeBetween(-(clip - 1), clip - 1)
+    seen = chunks.reach(starts, clip, clip, "start").withColumn("seen", F.collect_list(F.struct("start", "ms")).over(w))
+    seen = chunks.core(seen.where("asked"), "start").select("digest", "start", "seen")
+    options = F.flatten(F.transform("seen", lambda s: F.transform(F.filter(s["ms"], lambda m: m != F.col("match_id")), lambda m: F.struct(
+        F.abs(s["start"] - F.col("start")).alias("apart"), m.alias("match"), s["start"].alias("start")))))
+    best = F.array_min(options)
+    return named.join(seen, ["digest", "start"]).withColumn("best", best).select(
+        *clips.columns, F.col("best.match").alias("partner"), F.col("best.start").alias("partner_start"),
+        F.coalesce(F.lit(clip) - F.col("best.apart"), F.lit(0)).cast("bigint").alias("shared"))
+
+
 def distinct_plays(matches: DataFrame, digests: DataFrame) -> DataFrame:
     """Keep the first match of every play."""
     firsts = digests.groupBy("digest").agg(F.min("match_id").alias("match_id"),

@@ -167,6 +167,30 @@ def _(spark, sf):
                                                           "same_play")
 
 
+# copies that differ by 6e-7: neighbours are the same play, the first and the third are not
+SHIFT = 6e-7
+
+
+@query("play_partners", "J10", with_views(f"""SELECT c.match_id, c.start, p.partner, p.partner_start,
+    coalesce(125-p.apart,0) AS shared FROM cc c LEFT JOIN (SELECT a.match_id, a.start, b.match_id AS partner,
+    b.start AS partner_start, abs(a.start-b.start) AS apart, row_number() OVER (PARTITION BY a.match_id, a.start
+    ORDER BY abs(a.start-b.start), b.match_id, b.start) AS k FROM cc a JOIN same s ON s.a=a.match_id JOIN cc b ON
+    b.match_id=s.b AND abs(a.start-b.start)<125) p ON p.match_id=c.match_id AND p.start=c.start AND p.k=1""",
+    **COPIES, moved=f"""SELECT match_id, frame, ball_x/1000.0::DOUBLE+(match_id%3)*{SHIFT!r}::DOUBLE AS x,
+    ball_y/1000.0::DOUBLE AS y, ball_z/1000.0::DOUBLE AS z FROM trace""",
+    same="""SELECT a.match_id AS a, b.match_id AS b FROM moved a JOIN moved b ON a.frame=b.frame AND a.match_id<>b.match_id
+    AND abs(a.x-b.x)<=1e-6::DOUBLE AND abs(a.y-b.y)<=1e-6::DOUBLE AND abs(a.z-b.z)<=1e-6::DOUBLE JOIN lengths3 l ON l.match_id=a.match_id JOIN
+    lengths3 m ON m.match_id=b.match_id AND m.n=l.n GROUP BY 1,2 HAVING count(*)=max(l.n)""",
+    lengths3="SELECT match_id, count(*) AS n FROM trace GROUP BY 1",
+    cc="SELECT 3*match_id+c AS match_id, ((3*match_id+c)*53)%300 AS start FROM lengths, (SELECT unnest(range(0,3)) AS c)"))
+def _(spark, sf):
+    real = [(F.col(f"ball_{a}") / U).alias(f"ball_{a}") for a in "yz"]
+    moved = copied_trace(spark, sf).select("match_id", "frame", (
+        F.col("ball_x") / U + F.col("match_id") % 3 * F.lit(SHIFT)).alias("ball_x"), *real)
+    plays, near = L.near_plays(session.cut_lineage(moved), ["ball_x", "ball_y", "ball_z"])
+    return L.play_partners(copied_clips(spark, sf).select("match_id", "start"), plays, near)
+
+
 # --- two versions of a batch: all best clips, and the best that never lose the ball ---
 VIEWS["old_picks"] = """SELECT match_id, start, "end", count_last, cell, px, py, coh, startown,
     'clip_' || lpad(CAST(row_number() OVER (ORDER BY count_last, match_id) AS VARCHAR),2,'0')

@@ -194,6 +194,30 @@ def test_same_play_counts_like_all_pairs(spark, small_chunks):
     assert {(r.match_id, r.start): r.same_play for r in got.collect()} == want
 
 
+def test_play_partners_like_all_pairs(spark, small_chunks):
+    """Tracks that wander by up to the tolerance, of several lengths; clips anywhere, several to a match."""
+    rnd = random.Random(12)
+    tracks = {}
+    for play in range(6):
+        n = rnd.choice([5, 6])
+        base = [(rnd.randint(-1000, 1000) / 1000, rnd.randint(-400, 400) / 1000) for _ in range(n)]
+        for copy in range(rnd.randint(1, 6)):
+            tracks[10 * play + copy] = [(x + copy * 4e-7 * rnd.choice([0, 1]), y) for x, y in base]
+    tracks[90], tracks[91] = [(0.0, 0.0)] * 5, [(5e-7, -5e-7)] * 5     # on both sides of a border
+    rows = [(m, f, x, y) for m, t in tracks.items() for f, (x, y) in enumerate(t)]
+    clips = sorted({(m, rnd.randint(0, 80)) for m in tracks for _ in range(3)})
+
+    def same(a, b):
+        return len(tracks[a]) == len(tracks[b]) and max(abs(p - q) for u, v in zip(tracks[a], tracks[b]) for p, q in zip(u, v)) <= 1e-6
+    want = set()
+    for m, s in clips:
+        found = min(((abs(s - t), n, t) for n, t in clips if n != m and abs(s - t) < 30 and same(m, n)), default=(30, None, None))
+        want.add((m, s, found[1], found[2], 30 - found[0]))
+    plays, near = L.near_plays(spark.createDataFrame(rows, "match_id long, frame long, x double, y double"), ["x", "y"])
+    got = L.play_partners(spark.createDataFrame(clips, "match_id long, start long"), plays, near, 30).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_numbering_without_one_big_sort(spark):
     vals = random.Random(1).sample(range(1000), 200)
     df = spark.createDataFrame([(v,) for v in vals], "v long")
