@@ -103,6 +103,30 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]],
                   F.col(f"__c_{n}")).alias(n) for n, (how, _) in values.items()])
 
 
+def range_sums(rows: DataFrame, ranges: DataFrame, values: dict[str, Column], pane: int = 1) -> DataFrame:
+    """ranges (match_id, start, end, ...) with the sum of each value over the frames of [start, end).
+
+    Frames are added up to panes of ``pane`` frames and panes to running totals, which are kept where a
+    range begins or ends; a range is the difference of two totals, however long it is and however many
+    ranges a frame lies in. Starts and ends must be multiples of ``pane``.
+    """
+    names = list(values)
+    whole = F.when((F.col("start") % pane != 0) | (F.col("end") % pane != 0), F.raise_error(F.lit(f"a range that does not fit panes of {pane} frames")))
+    ranges = ranges.withColumn("start", F.coalesce(whole.cast("bigint"), F.col("start")))
+    panes = rows.select("match_id", (F.expr(f"(frame div {pane} + 1) * {pane}")).alias("at"), F.lit(False).alias("asked"),
+                        *[v.cast("bigint").alias(n) for n, v in values.items()])
+    asked = ranges.select("match_id", F.explode(F.array("start", "end")).alias("at")).distinct().select(
+        "match_id", "at", F.lit(True).alias("asked"), *[F.lit(0).cast("bigint").alias(n) for n in names])
+    marks = panes.unionByName(asked).groupBy("match_id", "at").agg(
+        F.max("asked").alias("asked"), *[F.sum(n).alias(n) for n in names])
+    totals = running(reach(marks, frame="at"), {f"__t_{n}": ("sum", F.col(n)) for n in names}, frame="at").where("asked")
+    totals = totals.select("match_id", "at", F.array(*[f"__t_{n}" for n in names]).alias("t"))
+    first = totals.select("match_id", F.col("at").alias("start"), F.col("t").alias("__a"))
+    last = totals.select("match_id", F.col("at").alias("end"), F.col("t").alias("__b"))
+    out = ranges.join(first, ["match_id", "start"]).join(last, ["match_id", "end"])
+    return out.select(*ranges.columns, *[(F.col("__b")[i] - F.col("__a")[i]).alias(n) for i, n in enumerate(names)])
+
+
 def covering(trace: DataFrame, ranges: DataFrame, lo: Column, hi: Column, bucket: int = 128
              ) -> DataFrame:
     """Join each range row (match_id, ...) to the trace frames lo..hi, both included.

@@ -94,14 +94,26 @@ def second_matrix(counts: DataFrame, fps: int = 25) -> DataFrame:
                                   F.grouping_id().cast("bigint").alias("margin"))
 
 
-def occupancy(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Per window: fewest, median and tenth-percentile people over its frames."""
-    rows = windows.select("match_id", "start", "end", F.explode(
-        F.sequence("start", F.col("end") - 1)).alias("frame"))
-    return rows.join(counts.select("match_id", "frame", "people"), ["match_id", "frame"]).groupBy(
-        "match_id", "start", "end").agg(
-        F.min("people").alias("min"), F.percentile("people", F.lit(0.5)).alias("median"),
-        F.percentile("people", F.lit(0.1)).alias("p10"))
+def occupancy(windows: DataFrame, counts: DataFrame, pane: int = 1) -> DataFrame:
+    """Per window: fewest, median and tenth-percentile people over its frames.
+
+    From sliding histograms (one counter for each number of people), see `chunks.range_sums`.
+    """
+    at = {f"n{v}": (F.col("people") == v).cast("bigint") for v in range(SLOTS + 1)}
+    h = chunks.range_sums(counts, windows.select("match_id", "start", "end").distinct(), at, pane)
+    upto = [F.col("n0")]
+    for v in range(1, SLOTS + 1):
+        upto.append(upto[-1] + F.col(f"n{v}"))
+    h = h.select("match_id", "start", "end", F.array(*upto).alias("upto")).withColumn("n", F.col("upto")[SLOTS]).where("n > 0")
+
+    def ranked(r):      # the value of rank r: so many values have no more than r frames up to them
+        return F.size(F.filter("upto", lambda c: c <= r)).cast("bigint")
+
+    def quantile(q):
+        at = (F.col("n") - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        return F.when(low == high, ranked(low).cast("double")).otherwise((high - at) * ranked(low) + (at - low) * ranked(high))
+    return h.select("match_id", "start", "end", ranked(F.lit(0)).alias("min"), quantile(0.5).alias("median"), quantile(0.1).alias("p10"))
 
 
 def region_count(trace: DataFrame, y_lo: int, y_hi: int, unit: float = 1.0) -> DataFrame:

@@ -372,7 +372,7 @@ def slot_table(picks: DataFrame, levels=tuple(C.LEVELS), per_level: int = C.PER_
 
 
 def hide_sets(windows: DataFrame, inshot: DataFrame, *, first: int = 8, last: int = 6,
-              threshold: int = 25) -> DataFrame:
+              threshold: int = 25, pane: int = 1) -> DataFrame:
     """Which slots to show so that a clip opens with ``first`` and ends with ``last`` people.
 
     Keep a players seen at both ends, first - a seen only at the start and last - a only at the
@@ -380,16 +380,19 @@ def hide_sets(windows: DataFrame, inshot: DataFrame, *, first: int = 8, last: in
     hiding. Null where no split works.
     """
     key = ["match_id", "start", "end"]
-    rows = windows.select(*key, F.explode(F.sequence("start", F.col("end") - 1)).alias("frame"))
-    j = rows.join(inshot.select("match_id", "frame", "body"), ["match_id", "frame"])
-    on = [f"if(get(body, {i}) >= {threshold}, 1, 0)" for i in range(22)]
-    agg = j.groupBy(*key).agg(
-        F.array(*[F.sum(F.expr(e)) for e in on]).alias("dwell"),
-        F.min_by(F.col("body"), "frame").alias("b0"), F.max_by(F.col("body"), "frame").alias("b1"))
+    ranges = session.cut_lineage(windows.select(*key).distinct())
+    on = {f"s{i}": F.expr(f"if(get(body, {i}) >= {threshold}, 1, 0)") for i in range(22)}
+    agg = chunks.range_sums(inshot.select("match_id", "frame", "body"), ranges, {**on, "n": F.lit(1)}, pane).where("n > 0").select(
+        *key, F.array(*on).alias("dwell"))
+    # who is seen on the first and on the last frame: read at these frames only
+    ends = ranges.select("match_id", F.explode(F.array("start", F.col("end") - 1)).alias("frame")).distinct()
+    seen_at = inshot.join(ends, ["match_id", "frame"], "left_semi").select("match_id", "frame", "body")
+    agg = agg.join(seen_at.select("match_id", F.col("frame").alias("start"), F.col("body").alias("b0")), ["match_id", "start"], "left").join(
+        seen_at.select("match_id", (F.col("frame") + 1).alias("end"), F.col("body").alias("b1")), ["match_id", "end"], "left")
     seq = F.sequence(F.lit(0), F.lit(21))
 
     def seen(side, i):
-        return F.get(F.col(side), i) >= threshold
+        return F.coalesce(F.get(F.col(side), i) >= threshold, F.lit(False))
 
     def ranked(test):
         return F.transform(F.array_sort(F.transform(F.filter(seq, test), lambda i: F.struct(

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matchlens import config as C, session
 from matchlens.operators import measure as M
 from matchlens.plans import fixtures as X, q_joins  # noqa: F401
 from matchlens.plans.oracle import VIEWS, with_views
@@ -86,7 +87,7 @@ def _(spark, sf):
     FROM open_windows w JOIN shown s ON s.match_id=w.match_id AND s.frame>=w.start AND
     s.frame<w."end" GROUP BY 1,2,3"""))
 def _(spark, sf):
-    return M.occupancy(open_windows(spark, sf), people(spark, sf)).withColumn(
+    return M.occupancy(session.cut_lineage(open_windows(spark, sf)), people(spark, sf), C.STRIDE).withColumn(
         "p10", F.round("p10", 6))
 
 

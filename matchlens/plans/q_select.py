@@ -449,7 +449,7 @@ def _(spark, sf):
     (i.frame=c."end"-1) AS l FROM pool c JOIN inshot i ON i.match_id=c.match_id AND i.frame>=c.start
     AND i.frame<c."end" GROUP BY 1,2,3,4) GROUP BY 1,2,3))"""))
 def _(spark, sf):
-    return S.hide_sets(J.pool(spark, sf), X.inshot(spark, sf)).select(
+    return S.hide_sets(J.pool(spark, sf), X.inshot(spark, sf), pane=C.STRIDE).select(
         "match_id", "start", "end", "a", "b", "c", F.when(F.col("shown").isNotNull(), F.size(
             "shown")).cast("bigint").alias("shown"))
 

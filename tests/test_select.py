@@ -218,6 +218,21 @@ def test_play_partners_like_all_pairs(spark, small_chunks):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_range_sums_of_any_length(spark, small_chunks):
+    """Ranges of any length, gaps between frames, ranges beyond the last frame, in panes of 1 and of 5."""
+    rnd = random.Random(13)
+    frames = {(m, f): rnd.randint(0, 9) for m in (1, 2) for f in range(300) if rnd.random() < 0.8}
+    for pane in (1, 5):
+        ranges = sorted({(m, pane * a, pane * (a + rnd.randint(1, 40))) for m in (1, 2) for a in (rnd.randint(0, 290 // pane) for _ in range(60))})
+        got = chunks.range_sums(spark.createDataFrame([(*k, v) for k, v in frames.items()], "match_id long, frame long, v long"),
+                                spark.createDataFrame(ranges, "match_id long, start long, end long"), {"v": F.col("v"), "n": F.lit(1)}, pane).collect()
+        want = [(m, a, b, *(sum(x) for x in zip((0, 0), *[(frames[m, f], 1) for f in range(a, b) if (m, f) in frames]))) for m, a, b in ranges]
+        assert sorted(map(tuple, got)) == want
+    off = spark.createDataFrame([(1, 3, 10)], "match_id long, start long, end long")
+    with pytest.raises(Exception, match="panes of 5"):
+        chunks.range_sums(spark.range(9).selectExpr("1L as match_id", "id as frame"), off, {"n": F.lit(1)}, 5).collect()
+
+
 def test_numbering_without_one_big_sort(spark):
     vals = random.Random(1).sample(range(1000), 200)
     df = spark.createDataFrame([(v,) for v in vals], "v long")
