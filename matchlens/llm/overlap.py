@@ -9,7 +9,7 @@
 3. Small ("light") sets enumerate the subsets of two of what is left of their prefix, and meet in these;
    large ("heavy") sets scan the lists of single elements and meet sets of any size there. The boundary is
    the size at which both together cost least, by the rows that either way would make of the actual lists.
-4. In a list, members first pair with a few of them (ROUNDS), links are verified on the full sets, and linked
+4. In a list, members first pair with STARS of them, links are verified on the full sets, and linked
    classes merge; lists whose members are of one component by then are done. What is left meets in full across
    components. Sizes, and parities of the elements in cells, which bound how far two sets differ, keep
    most pairs from being verified. Full sets are read again for classes of the other pairs alone, found by a bitmap.
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from .near import components, digest, keyed, shingles
 from .packing import chunks
 from .phrases import BITS, PAGE
-from .store import staged, table
+from .store import removed, staged, table
 
 CELLS = 1 << 21
 BLOCK = 1 << 15                 # cells in a row
 LARGEST = 512                   # sets above are heavy whatever they cost
-ROUNDS = (2, 8)                 # members of a list that all others pair with, before all pair with all
+STARS = 4                       # members of a list that all others pair with, before all pair with all
 PARITIES = 512                  # at least; doubled until a set has no more elements
 CHUNK_BYTES = 4 << 20
 WORDS, PERCENT = 5, 80
@@ -171,10 +171,12 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return read.join(mine, F.col("x").eqNullSafe(F.col("rx")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "set").dropDuplicates(["id"])
 
 
-def inverted(classes: DataFrame) -> DataFrame:
-    """(key, id): the lists of the prefix elements that several classes have."""
-    entries = classes.select("id", F.explode("prefix").alias("key"))
-    return _shared(entries)
+def inverted(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n): the lists of the prefix elements that several classes have; not of two whose sizes rule out a link."""
+    entries = classes.select("id", "n", F.explode("prefix").alias("key"))
+    some = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
+    some = some.where((F.col("m") > 2) | (F.col("m") == 2) & (F.col("least") * 100 >= F.col("most") * percent))
+    return entries.join(some.select("key"), "key", "left_semi")
 
 
 def _shared(entries: DataFrame) -> DataFrame:
@@ -210,12 +212,11 @@ def _tiny(n: Column, percent: int) -> Column:
     return n * percent <= 100
 
 
-def _open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists whose members are of several components, with each member's root."""
-    lists = lists.withColumn("root", F.col("id")) if roots is None else lists.drop("root").join(roots, "id", "left").withColumn(
-        "root", F.coalesce("root", "id"))
+    lists = lists.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = lists.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    return staged(lists.join(mixed.select("key"), "key", "left_semi"))
+    return lists.join(mixed.select("key"), "key", "left_semi")
 
 
 def _pairs(lists: DataFrame, others: DataFrame, light: int, percent: int) -> DataFrame:
@@ -224,7 +225,10 @@ def _pairs(lists: DataFrame, others: DataFrame, light: int, percent: int) -> Dat
     n = F.col("n"), F.col("yn")
     met = lists.join(y, "key").where((F.col("root") != F.col("yroot")) & _sized(*n, percent) & (
         F.col("subset") | (F.greatest(*n) > light) | _tiny(F.least(*n), percent)))
-    return met.select(F.least("id", "yid").alias("a"), F.greatest("id", "yid").alias("b")).distinct()
+    # similar sets share two prefix elements at least, unless one is tiny
+    met = met.select(F.least("id", "yid").alias("a"), F.greatest("id", "yid").alias("b"), "key", (F.col("subset") | _tiny(F.least(*n), percent)).alias("sure"))
+    met = met.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.min("key").alias("k0"), F.max("key").alias("k1"))
+    return met.where(F.col("sure") | (F.col("k0") != F.col("k1"))).select("a", "b")
 
 
 def _of_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -256,27 +260,26 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     classes = rows.where("cls is not null").groupBy("cls").agg(_first(), F.first("n").alias("n"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
     classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "first.doc_id", "first.x",
                                     "p", "prefix"))
-    keys = staged(inverted(classes))
-    lists = staged(keys.join(classes.select("id", "n"), "id"))
+    slim = staged(rows.select("doc_id", "n", "cls"))
+    removed(rows)
+    lists = staged(inverted(classes, percent))
     light = boundary(lists, percent)
     heavy = lists.where((F.col("n") * 100 >= light * percent) | _tiny(F.col("n"), percent)).withColumn("subset", F.lit(False))
     small = lists.select("id", "n").where(F.col("n") <= light).distinct()
     lists = heavy.unionByName(_shared(subsets(lists, light)).join(small, "id").withColumn("subset", F.lit(True)))
-    classes = classes.drop("prefix")
-
-    roots, found = None, None
-    for some in (*ROUNDS, None):
-        lists = _open(lists, roots)
-        others = lists
-        if some:
-            drawn = Window.partitionBy("key").orderBy((F.col("n") > light).desc(), F.xxhash64("id"), "id")
-            others = lists.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= some)
-        links = linked(_pairs(lists, others, light, percent), docs, classes, words, percent)
-        found = links if found is None else found.unionByName(links)
-        roots = staged(components(found))
+    fat, classes = classes, staged(classes.drop("prefix"))
+    removed(fat)
+
+    lists = staged(lists.withColumn("root", F.col("id")))
+    drawn = Window.partitionBy("key").orderBy((F.col("n") > light).desc(), F.xxhash64("id"), "id")
+    stars = lists.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= STARS)
+    found = linked(_pairs(lists, stars, light, percent), docs, classes, words, percent)
+    lists = _open(lists, staged(components(found)))
+    rest = linked(_pairs(lists, lists, light, percent), docs, classes, words, percent)
+    roots = components(found.unionByName(rest))
     named = classes.select("cls", "id", "doc_id", "x").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.join(named.groupBy("root").agg(_first()), "root").select("cls", F.col("first.doc_id").alias("least"))
-    return rows.select("doc_id", "n", "cls").join(named, "cls", "left").select(
+    return slim.join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

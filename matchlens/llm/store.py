@@ -34,6 +34,17 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes a staged table that no DataFrame needs any more."""
+    files = df.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else ""
+    spark = df.sparkSession
+    for path in [p for p in _STAGED if folder and folder.endswith(p.rsplit("/", 1)[1])]:
+        _STAGED.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, first: int = 0) -> DataFrame:
     """df with consecutive numbers in the given order, without one task seeing all rows.
 
