@@ -142,14 +142,26 @@ def covering(trace: DataFrame, ranges: DataFrame, lo: Column, hi: Column, bucket
         "__lo", "__hi", "__b")
 
 
-def number_rows(df: DataFrame, order: list[str], bucket: Column, name: str = "k",
+def number_rows(df: DataFrame, order: list[str], bucket: Column | None, name: str = "k",
                 key: list[str] | None = None) -> DataFrame:
     """Zero-based position in the order of ``order`` (within ``key``), without one big sort.
 
-    ``bucket`` must be non-decreasing along ``order``; rows are counted per bucket, the
-    bucket offsets are summed, and only the rows of a bucket are sorted together.
+    With a key, ``bucket`` must be non-decreasing along ``order``; rows are counted per bucket, the bucket
+    offsets are summed per key, and only the rows of a bucket are sorted together. Without a key, rows are dealt
+    by ranges of ``order``; the counts of the ranges, one number for each partition, are summed on the driver.
     """
-    key = key or []
+    if not key:
+        spark = df.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = session.cut_lineage(df.repartitionByRange(parts, *order).withColumn("__b", F.spark_partition_id()))
+        counts = {r["__b"]: r["count"] for r in dealt.groupBy("__b").count().collect()}
+        offsets, total = [], 0
+        for b in sorted(counts):
+            offsets += [F.lit(b), F.lit(total).cast("bigint")]
+            total += counts[b]
+        first = F.create_map(*offsets)[F.col("__b")] if offsets else F.lit(0).cast("bigint")
+        within = Window.partitionBy("__b").orderBy(*order)
+        return dealt.withColumn(name, first + F.row_number().over(within) - 1).drop("__b")
     staged = df.withColumn("__b", bucket)
     sizes = staged.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select(*key, "__b", F.coalesce(

@@ -442,8 +442,7 @@ def job_matrix(seeds: DataFrame, shapes: list[str] = C.SHAPES) -> DataFrame:
     """Every seed with every shape, numbered seed by seed. The shapes are a fixed list that is
     unfolded per seed row, so there is no cross join."""
     names = F.array(*[F.lit(s) for s in shapes])
-    numbered = chunks.number_rows(seeds.select("seed").distinct(), ["seed"],
-                                  F.expr("seed div 4096"), "__i")
+    numbered = chunks.number_rows(seeds.select("seed").distinct(), ["seed"], None, "__i")
     return numbered.select("seed", "__i", F.posexplode(names).alias("p", "shape")).select(
         (F.col("__i") * len(shapes) + F.col("p")).alias("job"), "seed", "shape")
 

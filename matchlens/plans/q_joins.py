@@ -204,8 +204,7 @@ VIEWS["new_picks"] = """SELECT match_id, start, "end", count_last, cell, px, py,
 
 def numbered(df):
     """Clip names in (count, match) order."""
-    out = chunks.number_rows(session.cut_lineage(df), ["count_last", "match_id"],
-                             F.struct("count_last", F.expr("match_id div 4096")), "k")
+    out = chunks.number_rows(session.cut_lineage(df), ["count_last", "match_id"], None, "k")
     name = F.when(F.col("k") < 9, F.lpad((F.col("k") + 1).cast("string"), 2, "0")).otherwise(
         (F.col("k") + 1).cast("string"))
     return out.withColumn("clip", F.concat(F.lit("clip_"), name)).drop("k")

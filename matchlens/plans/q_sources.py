@@ -73,14 +73,10 @@ def _files(df, path, key="match"):
 
 @query("published_step_lists", "S2", with_views(f"""SELECT match, frame, ball_x::DOUBLE AS ball_x,
     owned_team, game_mode, score_l, {slot_sql("1", "7")[1]}::DOUBLE AS right7_y
-    FROM trace JOIN named USING (match_id) WHERE frame<200"""))
+    FROM trace JOIN named USING (match_id)"""))
 def _(spark, sf):
-    path, lists = fresh(spark, "steps"), fresh(spark, "lists")
-    # the format holds a match in one list: the first frames of each are written so
-    writers.step_logs(X.trace(spark, sf).where("frame < 200"), path)
-    steps = X.named(spark.read.schema(schemas.STEP_LOG).json(path)).select(
-        "match", F.to_json("steps").alias("value"))
-    _files(steps, lists)
+    lists = fresh(spark, "lists")
+    writers.step_lists(X.named(X.trace(spark, sf)).join(X.lengths(spark, sf), "match_id"), lists)
     return readers.match_step_lists(spark, lists).select(
         "match", "frame", "ball_x", "owned_team", "game_mode", "score_l",
         F.get("right", F.lit(7))["y"].alias("right7_y"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import io
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from matchlens import schemas
 
@@ -99,26 +99,48 @@ def _documents(spark: SparkSession, path: str, schema: str, layout: str) -> Data
     The match is the file's name, or that of a folder ``match=NAME``."""
     files = spark.read.text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("path"))
-    name = F.coalesce(F.nullif(F.regexp_extract("path", "/match=([^/]+)/", 1), F.lit("")),
-                      F.regexp_extract("path", r"([^/]+?)(?:\.[^/.]*)?$", 1))
     doc = F.from_json("value", schema, {"mode": "FAILFAST"})
     opening = "[" if schema.startswith("array") else "{"
     other = doc.isNull() | ~F.ltrim("value").startswith(opening)
-    return files.select(name.alias("match"), F.when(other, F.raise_error(F.concat(
+    return files.select(_match_of("path").alias("match"), F.when(other, F.raise_error(F.concat(
         F.lit(f"not {layout}: "), "path"))).otherwise(doc).alias("doc"))
 
 
+def _match_of(path: str) -> Column:
+    """The match a file belongs to: its name, or that of a folder ``match=NAME``."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, "/match=([^/]+)/", 1), F.lit("")),
+                      F.regexp_extract(path, r"([^/]+?)(?:\.[^/.]*)?$", 1))
+
+
 def match_step_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Files with a list of steps each; the position in the list is the frame."""
-    docs = _documents(spark, path, f"array<{schemas.STEP.simpleString()}>", "a list of steps")
-    s = docs.select("match", F.posexplode("doc").alias("frame", "s"))
+    """Files with a list of steps each; the position in the list is the frame.
+
+    A list of any length is read by as many tasks as its file has splits: steps hold no braces of their
+    own, so every "}" ends one. The steps of a split are numbered where they are read; the counts of the
+    splits, one row each, give every split its first frame. A file of another layout is an error."""
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    parts = spark.read.text(path, lineSep="}").select("value", at.alias("at")).select(
+        "at.*", F.monotonically_increasing_id().alias("i"), F.ltrim(F.regexp_replace("value", "[\\s]+", " ")).alias("part"))
+    splits = parts.groupBy("path", "block").agg(F.min("i").alias("i0"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", "i0", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"),
+                           F.sum("n").over(Window.partitionBy("path")).alias("all"))
+    rows = parts.join(splits, ["path", "block"]).withColumn("frame", F.col("first") + F.col("i") - F.col("i0"))
+    # "[ step", ", step" and so on, and "]" at the end; "[]" is an empty list
+    opening = F.when(F.col("frame") == 0, "[").otherwise(",")
+    last = F.col("frame") == F.col("all") - 1
+    ends = F.when(F.col("frame") == 0, F.col("part").rlike(r"\A\[ *\] *\z")).otherwise(F.col("part").rlike(r"\A\] *\z"))
+    sound = F.when(last, ends).otherwise(F.col("part").startswith(opening))
+    body = F.concat(F.ltrim(F.substring("part", 2, 1 << 30)), F.lit("}"))
+    step = F.when(sound, F.from_json(body, schemas.STEP, {"mode": "FAILFAST"})).otherwise(
+        F.raise_error(F.concat(F.lit("not a list of steps: "), "path")).cast(schemas.STEP))
+    s = rows.where(~(last & sound)).select(_match_of("path").alias("match"), F.col("frame").cast("bigint").alias("frame"), step.alias("s"))
 
     def points(side):
         return F.transform(F.col(f"s.{side}_team"), lambda p: F.struct(
             p[0].alias("x"), p[1].alias("y"))).alias(side)
     return s.select(
-        "match", F.col("frame").cast("bigint").alias("frame"),
-        *[F.col("s.ball")[i].alias(f"ball_{a}") for i, a in enumerate("xyz")],
+        "match", "frame", *[F.col("s.ball")[i].alias(f"ball_{a}") for i, a in enumerate("xyz")],
         F.col("s.ball_owned_team").alias("owned_team"), F.col("s.ball_owned_player").alias("owned_player"),
         F.col("s.game_mode").alias("game_mode"), F.col("s.score")[0].alias("score_l"),
         F.col("s.score")[1].alias("score_r"), points("left"), points("right"))

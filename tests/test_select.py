@@ -238,6 +238,9 @@ def test_numbering_without_one_big_sort(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v long")
     got = {r.v: r.k for r in chunks.number_rows(df, ["v"], F.expr("v div 50")).collect()}
     assert got == {v: i for i, v in enumerate(sorted(vals))}
+    keyed = chunks.number_rows(df.withColumn("key", F.expr("v % 3")), ["v"], F.expr("v div 50"), key=["key"]).collect()
+    assert {r.v: r.k for r in keyed} == {v: i for k in range(3) for i, v in enumerate(sorted(x for x in vals if x % 3 == k))}
+    assert chunks.number_rows(df.limit(0), ["v"], None).count() == 0
 
 
 def test_covering_ranges_of_any_length(spark):

@@ -94,28 +94,54 @@ def test_ball_centroid_of_an_empty_pair_is_null(spark):
 def test_published_layouts(spark, tmp_path):
     step = '{"ball":[0.1,0.2,0.3],"ball_owned_team":-1,"ball_owned_player":-1,"game_mode":0,"left_team":[[0.0,0.1]],"right_team":[[0.5,0.6]],"score":[1,0]}'
     (tmp_path / "log").mkdir()
-    (tmp_path / "log" / "boxL_s318.json").write_text(f"[{step},\n{step}]")
+    (tmp_path / "log" / "name_s11.json").write_text(f"[{step},\n{step}]")
     rows = readers.match_step_lists(spark, str(tmp_path / "log")).orderBy("frame").collect()
-    assert [(r.match, r.frame, r.ball_z, r.score_l, r.right[0].y) for r in rows] == [("boxL_s318", 0, 0.3, 1, 0.6), ("boxL_s318", 1, 0.3, 1, 0.6)]
+    assert [(r.match, r.frame, r.ball_z, r.score_l, r.right[0].y) for r in rows] == [("name_s11", 0, 0.3, 1, 0.6), ("name_s11", 1, 0.3, 1, 0.6)]
     (tmp_path / "pix").mkdir()
-    (tmp_path / "pix" / "wideR_s339.json").write_text('{"269": [932.4, 245.9], "300": [1.0, 2.5]}')
-    assert sorted(tuple(r) for r in readers.match_pixels(spark, str(tmp_path / "pix")).collect()) == [("wideR_s339", 269, 932.4, 245.9), ("wideR_s339", 300, 1.0, 2.5)]
-    (tmp_path / "absent.json").write_text('{\n "boxL_s318": [[5, 9], [20, 20]],\n "mid_r_s300": []}')
-    assert sorted(tuple(r) for r in readers.match_spans(spark, str(tmp_path / "absent.json")).collect()) == [("boxL_s318", 5, 9), ("boxL_s318", 20, 20)]
+    (tmp_path / "pix" / "name_s12.json").write_text('{"7": [10.5, 20.25], "300": [1.0, 2.5]}')
+    assert sorted(tuple(r) for r in readers.match_pixels(spark, str(tmp_path / "pix")).collect()) == [("name_s12", 7, 10.5, 20.25), ("name_s12", 300, 1.0, 2.5)]
+    (tmp_path / "absent.json").write_text('{\n "name_s11": [[5, 9], [20, 20]],\n "name_s13": []}')
+    assert sorted(tuple(r) for r in readers.match_spans(spark, str(tmp_path / "absent.json")).collect()) == [("name_s11", 5, 9), ("name_s11", 20, 20)]
     (tmp_path / "plan.json").write_text('[{"match": "a_s1", "shape": "a", "seed": 1, "kind": "open", "offset_x": -12.0, "offset_y": 6.0, "windows": [{"start": 25, "end": 150, "anchor": 25, "coh": 0.5}]}]')
     p = readers.plan(spark, str(tmp_path / "plan.json")).first()
     assert (p.match, p.offset_x, p.windows[0].start, p.windows[0].coh) == ("a_s1", -12.0, 25, 0.5)
-    (tmp_path / "picks.json").write_text('[{"clip": "clip_01", "match": "a_s1", "count": 8, "cell": "D5", "px": 321.7}]')
+    (tmp_path / "picks.json").write_text('[{"clip": "clip_01", "match": "a_s1", "count": 8, "cell": "A2", "px": 100.5}]')
     assert readers.picks(spark, str(tmp_path / "picks.json")).first()["clip"] == "clip_01"
     header = ",".join(readers.schemas.CLIP_KEY.names)
-    (tmp_path / "key.csv").write_text(header + "\nclip_01,gk_throw,8,22,0,A,blue,D5,321.7,245.8,B5,356.2,116.1,0.0,-7.0,boxL,318,boxL_s318,2227,2352,125,5.0,0.432,4.433,0.461,0.394,2.3647\n")
+    (tmp_path / "key.csv").write_text(header + "\nclip_07,corner,11,9,1,C,red,E3,210.5,330.25,F9,700.5,410.75,3.5,1.25,wideL,901,wideL_s901,40,165,125,5.0,0.111,1.25,0.625,0.5,1.0625\n")
     k = readers.clip_key(spark, str(tmp_path / "key.csv")).first()
-    assert (k.clip, k.number, k.ball_final_cell, k.coherence) == ("clip_01", 1, "D5", 2.3647)
+    assert (k.clip, k.number, k.ball_final_cell, k.coherence) == ("clip_07", 7, "E3", 1.0625)
     (tmp_path / "ans.jsonl").write_text('{"model": "m", "category": "description", "item_id": "x", "grade": {"predicted": 5, "expected": 7, "correct": false}}\n\n{"category": "prediction", "grade": {"predicted": true, "expected": "bin", "correct": null}}\n')
     a = readers.category_answers(spark, str(tmp_path / "ans.jsonl")).collect()
     assert [(r.grade.predicted, r.grade.expected, r.grade.correct) for r in a] == [("5", "7", False), ("true", "bin", None)]
 
 
+def test_step_lists_in_many_splits(spark, tmp_path):
+    """One long list is read by several tasks, in any layout of blanks, and its frames are numbered over all splits."""
+    def step(i):
+        return (f'{{"ball":[{i}.0,0.2,0.3],"ball_owned_team":-1,"ball_owned_player":-1,"game_mode":0,"left_team":[[0.0,0.1]],'
+                f'"right_team":[[0.5,0.6]],"score":[{i},0]}}')
+    (tmp_path / "a_s1.json").write_text("[" + ",".join(map(step, range(400))) + "]")
+    (tmp_path / "b_s2.json").write_text("\n [ " + " ,\n ".join(map(step, range(90))) + "\n]\n")
+    (tmp_path / "c_s3.json").write_text("[]")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = readers.match_step_lists(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path), lineSep="}").rdd.getNumPartitions() > 8
+        got = sorted((r.match, r.frame, int(r.ball_x), r.score_l) for r in rows.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [("a_s1", i, i, i) for i in range(400)] + [("b_s2", i, i, i) for i in range(90)]
+    for bad in ('[{"ball":[0.0]} {"ball":[0.0]}]', '{"ball":[0.0]}', '[{"ball":[0.0]}', '[1, 2]'):
+        (tmp_path / "bad").mkdir(exist_ok=True)
+        (tmp_path / "bad" / "d_s4.json").write_text(bad)
+        with pytest.raises(Exception):
+            readers.match_step_lists(spark, str(tmp_path / "bad")).collect()
+
+
 def test_other_layouts_are_errors(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"match_id": 1, "steps": []}')
     with pytest.raises(Exception):
