@@ -56,6 +56,52 @@ def batch_scores(answers: DataFrame, truth: DataFrame, grids: dict[str, tuple[in
         F.count(F.lit(1)).alias("answers"), F.count("pred.cell").alias("parsed"), F.count(F.when(exact, 1)).alias("exact"))
 
 
+# --- batches with their own truth ---
+def cells_from_pixels(rows: DataFrame, cols: int, grid_rows: int) -> DataFrame:
+    """(clip, row, col) from pixels (clip, px, py), for a key that was made for another grid."""
+    r, c = grid.cell_index(F.col("px"), F.col("py"), cols, grid_rows)
+    return rows.select("clip", grid.letter(r).alias("row"), (c + 1).cast("bigint").alias("col"))
+
+
+def cells_as_written(rows: DataFrame, cols: int, grid_rows: int) -> DataFrame:
+    """(clip, row, col) from a key with its own row letter and column; cells outside the grid are no truth."""
+    got = rows.select("clip", F.upper(F.trim("grid_row")).alias("row"), F.col("grid_col").cast("bigint").alias("col"))
+    return got.where((F.col("row") >= "A") & (F.col("row") <= chr(64 + grid_rows)) & F.col("col").between(1, cols))
+
+
+def cells_from_names(rows: DataFrame, cols: int, grid_rows: int) -> DataFrame:
+    """(clip, row, col) from cell names such as ``D5``."""
+    name = F.upper(F.trim("ball_cell"))
+    return cells_as_written(rows.select("clip", F.substring(name, 1, 1).alias("grid_row"), F.expr(
+        "try_cast(substring(upper(trim(ball_cell)), 2) as bigint)").alias("grid_col")), cols, grid_rows)
+
+
+TRUTH_LOADERS: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {
+    "pixels": cells_from_pixels, "written": cells_as_written, "names": cells_from_names}
+
+
+def batch_truth(batches: dict[str, tuple[str, DataFrame, int, int]], loaders: dict | None = None) -> DataFrame:
+    """(batch, clip, row, col): the truths of all batches, each by its loader. A batch is (loader, its table, columns, rows)."""
+    out = None
+    for batch, (loader, rows, cols, grid_rows) in batches.items():
+        part = (loaders or TRUTH_LOADERS)[loader](rows, cols, grid_rows).select(F.lit(batch).alias("batch"), "clip", "row", "col")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def scores_of_batches(answers: DataFrame, batches: dict[str, tuple[str, DataFrame, int, int]], loaders: dict | None = None) -> DataFrame:
+    """batch, answers, parsed, known (with a truth) and exact: answers are parsed in the grid of their batch
+    (``model``) and joined once with the truths of all batches."""
+    pred = F.lit(None).cast("struct<cell:string,row:string,col:bigint>")
+    for batch, (_, _, cols, grid_rows) in batches.items():
+        pred = F.when(F.col("model") == batch, T.parse_cell(F.col("raw"), cols, grid_rows)).otherwise(pred)
+    known = answers.where(F.col("model").isin(*batches)).select(F.col("model").alias("batch"), "clip", pred.alias("pred"))
+    j = known.join(batch_truth(batches, loaders), ["batch", "clip"], "left")
+    exact = (F.col("pred.row") == F.col("row")) & (F.col("pred.col") == F.col("col"))
+    return j.groupBy("batch").agg(F.count(F.lit(1)).alias("answers"), F.count("pred.cell").alias("parsed"),
+                                  F.count("row").alias("known"), F.count(F.when(exact, 1)).alias("exact"))
+
+
 def category_summary(graded: DataFrame, by: list[str]) -> DataFrame:
     correct = F.count(F.when(F.col("correct"), 1))
     wrong = F.count(F.when(~F.col("correct"), 1))

@@ -97,7 +97,7 @@ def _over_panes(panes: DataFrame, keys: list[str], per: int, near: bool,
 
 def _features(clip: int, unit: float, near: bool) -> list[Column]:
     u = F.lit(float(unit))
-    return [(F.col("loose_n").cast("double") / F.lit(float(clip))).alias("loose"),
+    return [(F.col("loose_n").cast("double") / F.col("frames").cast("double")).alias("loose"),
             (F.col("apex") / u).alias("apex"), F.round(F.col("path") / u, 6).alias("path"),
             (F.col("max_step") / u).alias("max_step"), F.col("goal_touch"),
             F.col("award_inside"),
@@ -118,23 +118,28 @@ def _measured(trace: DataFrame, after: int, unit: float, near: bool, watch: bool
 
 def sliding(trace: DataFrame, *, clip: int = C.CLIP_FRAMES, stride: int = C.STRIDE,
             first: int = C.SKIP_START, last_start: bool = False, unit: float = 1.0,
-            near: bool = True, watch: bool = False) -> DataFrame:
+            near: bool = True, watch: bool = False, missing: int = 0) -> DataFrame:
     """Every window of ``clip`` frames starting at first, first + stride, ...
 
+    ``missing`` also keeps the windows that the end of the trace cuts short by up to so many frames; they
+    have no nearest distance (``near`` must be off), and ``frames`` tells how many they have.
+
     Frames are first reduced to panes (the largest block all windows are made of), then
     clip / pane panes are combined per window: one shuffle, and no frame is touched once per
     window it belongs to. ``last_start`` keeps the window that ends with the match.
     Coherence inputs: loose share, apex, median nearest distance in metres, path. ``watch`` adds
     changes of possession, x range (travel), largest |y| (ymax) and whether the score stayed.
     """
+    if missing and near:
+        raise ValueError("windows cut short have no median distance")
     pane = gcd(gcd(stride, clip), first)
     keys = ["match_id", chunks.CHUNK]
     panes = _to_panes(_measured(trace, clip, unit, near, watch), keys, F.col("frame"), pane,
                       near, watch)
     out = _over_panes(panes, keys, clip // pane, near, watch).withColumn(
         "start", F.col("pane") * pane)
-    whole = F.col("frames") == clip
-    if not last_start:
+    whole = F.col("frames") >= clip - missing
+    if not last_start and not missing:
         whole = whole & (F.col("frames_next") > clip)
     out = chunks.core(out.where(whole & (F.col("start") >= first) &
                                 ((F.col("start") - first) % stride == 0)), "start")
@@ -143,7 +148,7 @@ def sliding(trace: DataFrame, *, clip: int = C.CLIP_FRAMES, stride: int = C.STRI
             (F.col("x_range") / u).alias("travel"), (F.col("y_hi") / u).alias("ymax"),
             F.col("same_score")] if watch else []
     return out.select("match_id", "start", (F.col("start") + clip).alias("end"),
-                      *_features(clip, unit, near), *seen)
+                      *_features(clip, unit, near), *(["frames"] if missing else []), *seen)
 
 
 def slides(trace: DataFrame, events: DataFrame, lengths: DataFrame, *,

@@ -313,3 +313,34 @@ def batch_scores_sql() -> str:
 @query("batch_scores", "U4 J1", batch_scores_sql())
 def _(spark, sf):
     return A.batch_scores(X.answers(spark, sf), X.truth(spark, sf), GRIDS)
+
+
+# The same batches with keys of three layouts: pixels, rows and columns as written, names of cells.
+LOADERS = {"click": "pixels", "view": "written", "purchase": "names", "signup": "pixels", "error": "written"}
+
+
+def loaded_scores_sql() -> str:
+    parts, extra = [], {}
+    for b, (c, r) in GRIDS.items():
+        last = chr(64 + r)
+        # written keys are those of the usual grid, whatever the grid of the batch; pixels are put into it
+        kc, kr = (c, r) if LOADERS[b] == "pixels" else (16, 6)
+        extra[f"lkey_{b}"] = f"""SELECT clip, grow, gcol FROM (SELECT clip, {cell_sql(kc, kr, 'g')} FROM truth)
+            WHERE grow BETWEEN 'A' AND '{last}' AND gcol BETWEEN 1 AND {c}"""
+        extra[f"parsed_{b}"] = (VIEWS["parsed"].replace("BETWEEN 1 AND 16", f"BETWEEN 1 AND {c}")
+                                .replace("'A' AND 'F'", f"'A' AND '{last}'"))
+        parts.append(f"""SELECT '{b}' AS batch, count(*) AS answers, count(prow) AS parsed, count(grow) AS known,
+            count(*) FILTER (prow=grow AND pcol=gcol) AS exact FROM parsed_{b} LEFT JOIN lkey_{b}
+            USING (clip) WHERE model='{b}'""")
+    return with_views(" UNION ALL ".join(parts), **extra)
+
+
+@query("loaded_batch_scores", "U4 J1", loaded_scores_sql())
+def _(spark, sf):
+    from matchlens.functions import grid as Gr
+    pixels = X.truth(spark, sf)
+    row, col = Gr.cell_index(F.col("px"), F.col("py"), 16, 6)
+    written = pixels.select("clip", F.lower(Gr.letter(row)).alias("grid_row"), (col + 1).alias("grid_col"))
+    names = pixels.select("clip", F.concat(F.lit(" "), Gr.letter(row), (col + 1).cast("string")).alias("ball_cell"))
+    tables = {"pixels": pixels, "written": written, "names": names}
+    return A.scores_of_batches(X.answers(spark, sf), {b: (LOADERS[b], tables[LOADERS[b]], c, r) for b, (c, r) in GRIDS.items()})

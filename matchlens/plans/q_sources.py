@@ -76,7 +76,7 @@ def _files(df, path, key="match"):
     FROM trace JOIN named USING (match_id)"""))
 def _(spark, sf):
     lists = fresh(spark, "lists")
-    writers.step_lists(X.named(X.trace(spark, sf)).join(X.lengths(spark, sf), "match_id"), lists)
+    writers.step_lists(X.named(X.trace(spark, sf).drop("n").join(X.lengths(spark, sf), "match_id")), lists)
     return readers.match_step_lists(spark, lists).select(
         "match", "frame", "ball_x", "owned_team", "game_mode", "score_l",
         F.get("right", F.lit(7))["y"].alias("right7_y"))
@@ -280,6 +280,18 @@ def _(spark, sf):
     return stream(spark, events, online.captures)
 
 
+@query("online_episode_captures", "St2", with_views("""SELECT match_id, event, frame, greatest(0,frame-100) AS first_frame,
+    least(frame+9,n-1) AS last_frame, least(frame+9,n-1)-greatest(0,frame-100)+1 AS steps FROM walk JOIN lengths USING (match_id)
+    WHERE took UNION ALL SELECT match_id, CASE WHEN match_id%3=0 THEN 'shutdown' ELSE 'episode_done' END, n-1,
+    CASE WHEN match_id%3=0 THEN greatest(0,n-101) ELSE 0 END, n-1, CASE WHEN match_id%3=0 THEN least(n,101) ELSE n END
+    FROM lengths""", **CAPTURE_SQL))
+def _(spark, sf):
+    feed = X.trace(spark, sf).select("match_id", "frame", "score_l", "score_r").join(X.lengths(spark, sf), "match_id")
+    # every third match stops without a last step
+    feed = feed.select("match_id", "frame", "score_l", "score_r", ((F.col("frame") == F.col("n") - 1) & (F.col("match_id") % 3 != 0)).alias("done"))
+    return stream(spark, online.with_time(feed), online.episode_captures)
+
+
 @query("captured_steps", "St2", with_views("""SELECT w.match_id, w.event, w.frame AS trigger_frame,
     t.frame, t.ball_x FROM walk w JOIN trace t ON t.match_id=w.match_id AND t.frame BETWEEN
     greatest(0,w.frame-100) AND w.frame WHERE took""", **CAPTURE_SQL))

@@ -46,6 +46,18 @@ def _(spark, sf):
         W.no_restart().alias("no_restart"), W.engaged("open").alias("is_engaged"))
 
 
+@query("short_tail_windows", "F1 W1", with_views("""SELECT s.match_id, s.frame AS start, count(*) AS frames,
+    avg(CASE WHEN t.owned_team=-1 THEN 1.0 ELSE 0.0 END)::DOUBLE AS loose,
+    max(t.step) FILTER (t.frame>s.frame)/1000.0::DOUBLE<0.35 AS no_jump,
+    max(t.step) FILTER (t.frame>s.frame)/1000.0::DOUBLE<0.35 AND NOT bool_or(t.goal_touch) AS is_continuous
+    FROM steps s JOIN steps t ON t.match_id=s.match_id AND t.frame BETWEEN s.frame AND s.frame+124
+    WHERE s.frame>=25 AND s.frame%5=0 GROUP BY 1,2 HAVING count(*)>=120"""))
+def _(spark, sf):
+    w = W.sliding(X.trace(spark, sf), unit=U, near=False, missing=5)
+    return w.select("match_id", "start", "frames", "loose", W.continuous(False, "frames", missing=5).alias("no_jump"),
+                    W.continuous(True, "frames", missing=5).alias("is_continuous"))
+
+
 @query("open_windows", "F4", with_views("SELECT * FROM open_windows"))
 def _(spark, sf):
     return open_windows(spark, sf)

@@ -83,6 +83,91 @@ def captures(events: DataFrame, *, before: int = 100, after: int = 1, max_count:
         scan, CAPTURES, "taken long, last long", "append", "NoTimeout")
 
 
+EPISODE_CAPTURES = CAPTURES + ", steps long"
+_EPISODE_STATE = ("first long, frame long, seen long, lead long, ended boolean, ring array<long>, taken array<long>, last array<long>, "
+                  "pending array<long>, pending_steps array<long>")
+
+
+def episode_captures(feed: DataFrame, *, before: int = 100, after: int = 10, max_count: int | None = None, every: int = 300,
+                     idle: str = "10 seconds", late: str = "2 seconds") -> DataFrame:
+    """Captures of all four triggers, from the steps themselves, in one stateful query.
+
+    A step has ``event_time`` and ``done``, true on the last one of an episode. The state of a match is the ring
+    of its last ``before`` frames and, per trigger, what was taken last and what is pending.
+
+    score, lost_score   the steps of the ring, the step itself and those up to ``after`` steps from it; at most
+                        ``max_count`` per match, ``every`` frames apart, none while one is pending. A pending
+                        capture ends with the episode.
+    episode_done        the whole episode, when its last step comes
+    shutdown            the ring, when a match has been silent for ``idle`` of event time without a last step
+
+    ``steps`` counts the steps that were there. Steps that are late by the watermark are dropped, as are
+    those not newer than the last one seen and those after the end.
+    """
+    gap = max(every, after)
+    wait = _millis(idle)
+
+    def scan(key, parts, state):
+        import numpy as np
+        import pandas as pd
+        if state.exists:
+            first, frame, seen, lead, ended, ring, taken, last, pending, held = state.get
+            ring, taken, last, pending, held = (list(map(int, x)) for x in (ring, taken, last, pending, held))
+        else:
+            first, frame, seen, lead, ended, ring, taken, last, pending, held = -1, -1, 0, 0, False, [], [0, 0], [-1, -1], [-1, -1], [0, 0]
+        out = []
+
+        def close(i, until):
+            out.append((TRIGGERS[i], pending[i], max(0, pending[i] - before), min(pending[i] + after - 1, until), held[i]))
+            pending[i] = -1
+        if state.hasTimedOut:
+            if not ended:
+                for i in range(2):
+                    if pending[i] >= 0:
+                        close(i, frame)
+                out.append(("shutdown", frame, max(first, frame - before), frame, len(ring)))
+            state.remove()
+        else:
+            steps = pd.concat(list(parts)).sort_values("frame").drop_duplicates("frame")
+            steps = steps[steps["frame"] > frame]
+            for f, l, r, done in zip(*(steps[c].tolist() for c in ("frame", "score_l", "score_r", "done"))):
+                if ended:
+                    break
+                first = f if first < 0 else first
+                for i in range(2):
+                    if pending[i] >= 0 and f >= pending[i] + after:
+                        close(i, frame)
+                hit = {1: 0, -1: 1}.get(l - r - lead)
+                frame, seen, lead = f, seen + 1, l - r
+                ring = [x for x in ring if x >= f - before] + [f]
+                for i in range(2):
+                    if pending[i] >= 0:
+                        held[i] += 1
+                if hit is not None and pending[hit] < 0 and (max_count is None or taken[hit] < max_count) and (last[hit] < 0 or f - last[hit] >= gap):
+                    taken[hit], last[hit], pending[hit], held[hit] = taken[hit] + 1, f, f, len(ring)
+                if done:
+                    for i in range(2):
+                        if pending[i] >= 0:
+                            close(i, f)
+                    out.append(("episode_done", f, first, f, seen))
+                    ended = True
+            state.update((int(first), int(frame), int(seen), int(lead), bool(ended), ring, taken, last, pending, held))
+            if len(steps):
+                newest = int(steps["event_time"].max().timestamp() * 1000)
+                state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
+        if out:
+            made = pd.DataFrame(out, columns=["event", "frame", "first_frame", "last_frame", "steps"])
+            made.insert(0, "match_id", np.int64(key[0]))
+            yield made
+    cols = feed.withWatermark("event_time", late).select("match_id", "frame", "score_l", "score_r", "done", "event_time")
+    return cols.groupBy("match_id").applyInPandasWithState(scan, EPISODE_CAPTURES, _EPISODE_STATE, "append", "EventTimeTimeout")
+
+
+def _millis(interval: str) -> int:
+    import pandas as pd
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
 def people_per_second(feed: DataFrame, late: str = "2 seconds") -> DataFrame:
     """People in shot per match and second of event time."""
     return feed.withWatermark("event_time", late).groupBy(
