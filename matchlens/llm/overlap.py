@@ -219,16 +219,25 @@ def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return lists.join(mixed.select("key"), "key", "left_semi")
 
 
-def _pairs(lists: DataFrame, others: DataFrame, light: int, percent: int) -> DataFrame:
-    """(a, b): members of a list with `others` of it, of a size that allows a link; in lists of single elements, one of the two is heavy."""
-    y = others.select("key", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "root")])
+def _pairs(lists: DataFrame, stars: DataFrame | None, light: int, percent: int) -> DataFrame:
+    """(a, b): members of a list with its stars, or with all its members, if sizes and common lists allow a link; in
+    lists of single elements, one of the two is heavy.
+
+    Of two sets, the one whose prefix ends first has all but n - p elements there, so that the overlap is at most
+    their common prefix elements and the larger n - p. All members with all others meet in every common list."""
+    y = (lists if stars is None else stars).select("key", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "root")])
     n = F.col("n"), F.col("yn")
     met = lists.join(y, "key").where((F.col("root") != F.col("yroot")) & _sized(*n, percent) & (
         F.col("subset") | (F.greatest(*n) > light) | _tiny(F.least(*n), percent)))
-    # similar sets share two prefix elements at least, unless one is tiny
-    met = met.select(F.least("id", "yid").alias("a"), F.greatest("id", "yid").alias("b"), "key", (F.col("subset") | _tiny(F.least(*n), percent)).alias("sure"))
-    met = met.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.min("key").alias("k0"), F.max("key").alias("k1"))
-    return met.where(F.col("sure") | (F.col("k0") != F.col("k1"))).select("a", "b")
+    if stars is None:
+        met = met.where("id < yid")
+    met = met.groupBy(F.least("id", "yid").alias("a"), F.greatest("id", "yid").alias("b")).agg(
+        F.max("subset").alias("subset"), F.count(F.lit(1)).alias("common"), F.max(F.least(*n)).alias("n"), F.max(F.greatest(*n)).alias("yn"))
+    if stars is None:
+        overlap = F.ceil((F.col("n") + F.col("yn")) * percent / (100 + percent))
+        behind = F.greatest(F.lit(0), F.ceil(F.col("yn") * percent / 100) - 2)
+        met = met.where(F.col("subset") | (F.col("common") + behind >= overlap))
+    return met.select("a", "b")
 
 
 def _of_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -275,7 +284,7 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     stars = lists.withColumn("k", F.row_number().over(drawn)).where(F.col("k") <= STARS)
     found = linked(_pairs(lists, stars, light, percent), docs, classes, words, percent)
     lists = _open(lists, staged(components(found)))
-    rest = linked(_pairs(lists, lists, light, percent), docs, classes, words, percent)
+    rest = linked(_pairs(lists, None, light, percent), docs, classes, words, percent)
     roots = components(found.unionByName(rest))
     named = classes.select("cls", "id", "doc_id", "x").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = named.join(named.groupBy("root").agg(_first()), "root").select("cls", F.col("first.doc_id").alias("least"))
