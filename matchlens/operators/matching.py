@@ -175,7 +175,8 @@ def exchanged(options: DataFrame, picks: DataFrame, weight: float) -> DataFrame:
 
 def batch(options: DataFrame, quota: dict[str, int], weight: float) -> DataFrame:
     """The picks of a batch; options with a low coh (as kept ones have) come first."""
-    options = session.cut_lineage(options)
+    # written: a checkpoint keeps the constraints of the plan it came from, which unions can't map
+    options = session.written(options)
     places = quotas(options.sparkSession, quota)
     picks = accepted(options, options.limit(0), places)
     return exchanged(options, augmented(options, picks, places), weight)

@@ -60,7 +60,7 @@ def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: flo
              body_px: int = 20) -> DataFrame:
     """One row of measured facts per clip. ``clips`` needs kind and anchor."""
     u = F.lit(float(unit))
-    clips = session.cut_lineage(clips)
+    clips = session.written(clips)
     # counted on the frames of clips only
     rows = clip_frames(clips, trace, 0, [
         metre_step().alias("step_m"), previous_holder().alias("prev_held"),
@@ -163,7 +163,7 @@ def passes(clips: DataFrame, trace: DataFrame, *, visible: int = C.VISIBLE_FRAME
            min_hold: int = 2) -> DataFrame:
     """Passes and turnovers after the visible part: consecutive different holders, each holding
     for at least ``min_hold`` frames; loose frames break a run. Groups are single clips."""
-    clips = session.cut_lineage(clips)
+    clips = session.written(clips)
     rows = clip_frames(clips, trace.select("match_id", "frame", "owned_team", "owned_player"))
     rows = rows.where(F.col("frame") >= F.col("start") + visible - 1)
     w = Window.partitionBy(*CLIP).orderBy("frame")
@@ -247,7 +247,7 @@ def scene_documents(clips: DataFrame, trace: DataFrame, **how) -> DataFrame:
 
     A document holds one clip, so the collected list has a fixed length.
     """
-    clips = session.cut_lineage(clips)
+    clips = session.written(clips)
     frames = scene_frames(clips, trace, **how).groupBy(*CLIP).agg(
         F.array_sort(F.collect_list("f")).alias("frames"))
     head = [c for c in clips.columns if c not in CLIP]
