@@ -185,9 +185,11 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 
 def boundary(lists: DataFrame, percent: int) -> int:
-    """The size up to which sets enumerate subsets, by the rows that subsets and scans make: (key, id, n)."""
+    """The size up to which sets enumerate subsets, by the rows that subsets and scans make: (key, id, n).
+
+    A scan meets the stars of a list, so a long list costs an entry STARS rows, not its length."""
     lengths = lists.groupBy("key").agg(F.count("*").alias("m"))
-    scans = lists.where(F.col("n") <= LARGEST).join(lengths, "key").groupBy("id", "n").agg(F.count("*").alias("s"), F.sum("m").alias("scan"))
+    scans = lists.where(F.col("n") <= LARGEST).join(lengths, "key").groupBy("id", "n").agg(F.count("*").alias("s"), F.sum(F.least("m", F.lit(STARS + 1))).alias("scan"))
     rows = scans.groupBy("n").agg(F.sum(F.col("s") * (F.col("s") - 1) / 2).alias("subsets"), F.sum("scan").alias("scan")).collect()  # LARGEST rows
     cost = {r["n"]: (r["subsets"], r["scan"]) for r in rows}
     sizes = range(LARGEST + 1)
