@@ -43,7 +43,7 @@ STARS = 4                       # members of a list that all others pair with, b
 PARITIES = 512                  # at least; doubled until a set has no more elements
 CHUNK_BYTES = 4 << 20
 WORDS, PERCENT = 5, 80
-PREFIX = "doc_id long, x long, n long, cls binary, p array<long>, prefix array<long>"
+PREFIX = "doc_id long, x long, n long, cls binary, p array<long>, prefix array<long>, last long"
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -90,7 +90,10 @@ def _texts(batches, at: int):
 
 
 def levels(docs: DataFrame, words: int) -> bytes:
-    """Per cell, the doublings by which it is hit more often than cells are on average; CELLS bytes."""
+    """Per cell, how far it is hit more often than cells are on average; CELLS bytes.
+
+    The unit is the spread that chance gives a cell, in half doublings: a shingle stands out from the rare ones in its
+    cell once it occurs a few times the root of what a cell has, also where a corpus fills the cells."""
     def count(batches):
         total = np.zeros(CELLS, np.int64)
         with np.errstate(over="ignore"):
@@ -117,27 +120,31 @@ def levels(docs: DataFrame, words: int) -> bytes:
     for r in got:
         total[r["block"] * BLOCK:][:BLOCK] = np.frombuffer(r["counts"], np.int64)
     usual = max(1.0, total.mean())
-    return np.clip(np.floor(np.log2(np.maximum(total, 1) / usual)), 0, 127).astype(np.uint8).tobytes()
+    above = np.maximum(total - usual, 0) / np.sqrt(usual)
+    return np.clip(np.floor(2 * np.log2(1 + above)), 0, 127).astype(np.uint8).tobytes()
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, level) -> DataFrame:
-    """(doc_id, x, n, cls, p, prefix) of every row; prefix: the first n - o + 2 shingles, rare ones first."""
+    """(doc_id, x, n, cls, p, prefix, last) of every row; prefix: the first n - o + 2 shingles, rare ones first; last: where it ends."""
     def cut(batches):
         order = np.frombuffer(level.value, np.uint8)
         with np.errstate(over="ignore"):
             for batch, part, texts in _texts(batches, 2):
                 sets = [shingles(t, words) for t in texts]
-                first = []
+                first, last = [], []
                 for s in sets:
                     if may_link(len(s), percent):
                         key = order[_cell(s)].astype(np.uint64) << np.uint64(56) | s.view(np.uint64) >> np.uint64(8)
-                        first.append(s[np.argsort(key, kind="stable")[:len(s) - least_overlap(len(s), percent) + 2]])
+                        own = np.argsort(key, kind="stable")[:len(s) - least_overlap(len(s), percent) + 2]
+                        first.append(s[own])
+                        last.append(int(key[own[-1]]))
                     else:
                         first.append(s[:0])
+                        last.append(0)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[part], batch.column(1)[part], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) for s in sets], pa.binary()), pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
-                    pa.array(first, pa.list_(pa.int64()))], names=[c.split()[0] for c in PREFIX.split(", ")])
+                    pa.array(first, pa.list_(pa.int64())), pa.array(last, pa.int64())], names=[c.split()[0] for c in PREFIX.split(", ")])
     return keyed(docs).mapInArrow(cut, PREFIX)
 
 
@@ -172,8 +179,8 @@ def full_sets(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
 
 def inverted(classes: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n): the lists of the prefix elements that several classes have; not of two whose sizes rule out a link."""
-    entries = classes.select("id", "n", F.explode("prefix").alias("key"))
+    """(key, id, n, last): the lists of the prefix elements that several classes have; not of two whose sizes rule out a link."""
+    entries = classes.select("id", "n", "last", F.explode("prefix").alias("key"))
     some = entries.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
     some = some.where((F.col("m") > 2) | (F.col("m") == 2) & (F.col("least") * 100 >= F.col("most") * percent))
     return entries.join(some.select("key"), "key", "left_semi")
@@ -226,18 +233,21 @@ def _pairs(lists: DataFrame, stars: DataFrame | None, light: int, percent: int)
     lists of single elements, one of the two is heavy.
 
     Of two sets, the one whose prefix ends first has all but n - p elements there, so that the overlap is at most
-    their common prefix elements and the larger n - p. All members with all others meet in every common list."""
-    y = (lists if stars is None else stars).select("key", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "root")])
+    their common prefix elements and its n - p; where prefixes end at one place, the larger n - p. All members with all
+    others meet in every common list."""
+    y = (lists if stars is None else stars).select("key", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "last", "root")])
     n = F.col("n"), F.col("yn")
     met = lists.join(y, "key").where((F.col("root") != F.col("yroot")) & _sized(*n, percent) & (
         F.col("subset") | (F.greatest(*n) > light) | _tiny(F.least(*n), percent)))
     if stars is None:
         met = met.where("id < yid")
+    ends = F.when(F.col("last") < F.col("ylast"), F.col("n")).when(F.col("last") > F.col("ylast"), F.col("yn")).otherwise(F.greatest(*n))
     met = met.groupBy(F.least("id", "yid").alias("a"), F.greatest("id", "yid").alias("b")).agg(
-        F.max("subset").alias("subset"), F.count(F.lit(1)).alias("common"), F.max(F.least(*n)).alias("n"), F.max(F.greatest(*n)).alias("yn"))
+        F.max("subset").alias("subset"), F.count(F.lit(1)).alias("common"), F.max(F.least(*n)).alias("n"), F.max(F.greatest(*n)).alias("yn"),
+        F.max(ends).alias("ends"))
     if stars is None:
         overlap = F.ceil((F.col("n") + F.col("yn")) * percent / (100 + percent))
-        behind = F.greatest(F.lit(0), F.ceil(F.col("yn") * percent / 100) - 2)
+        behind = F.greatest(F.lit(0), F.ceil(F.col("ends") * percent / 100) - 2)
         met = met.where(F.col("subset") | (F.col("common") + behind >= overlap))
     return met.select("a", "b")
 
@@ -268,17 +278,18 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     """(doc_id, n_shingles, component_id) for every row of docs."""
     order = docs.sparkSession.sparkContext.broadcast(levels(docs, words))
     rows = staged(prefixes(docs, words, percent, order))
-    classes = rows.where("cls is not null").groupBy("cls").agg(_first(), F.first("n").alias("n"), F.first("p").alias("p"), F.first("prefix").alias("prefix"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(_first(), F.first("n").alias("n"), F.first("p").alias("p"), F.first("prefix").alias("prefix"),
+                                                             F.first("last").alias("last"))
     classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "first.doc_id", "first.x",
-                                    "p", "prefix"))
+                                    "p", "prefix", "last"))
     slim = staged(rows.select("doc_id", "n", "cls"))
     removed(rows)
     lists = staged(inverted(classes, percent))
     light = boundary(lists, percent)
     heavy = lists.where((F.col("n") * 100 >= light * percent) | _tiny(F.col("n"), percent)).withColumn("subset", F.lit(False))
-    small = lists.select("id", "n").where(F.col("n") <= light).distinct()
+    small = lists.select("id", "n", "last").where(F.col("n") <= light).distinct()
     lists = heavy.unionByName(_shared(subsets(lists, light)).join(small, "id").withColumn("subset", F.lit(True)))
-    fat, classes = classes, staged(classes.drop("prefix"))
+    fat, classes = classes, staged(classes.drop("prefix", "last"))
     removed(fat)
 
     lists = staged(lists.withColumn("root", F.col("id")))
