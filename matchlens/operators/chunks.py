@@ -75,7 +75,7 @@ def carry_last(df: DataFrame, values: dict[str, Column], key: str | list[str] =
     out = joined.select(*[c for c in df.columns if c not in names], *[
         F.coalesce(F.last(f"__v_{n}", ignorenulls=True).over(upto), F.col(f"__c_{n}")).alias(n)
         for n in names])
-    return out
+    return out.hint("merge")    # a row for each frame, whatever Spark takes its size to be
 
 
 def running(df: DataFrame, values: dict[str, tuple[str, Column]],
@@ -100,7 +100,7 @@ def running(df: DataFrame, values: dict[str, tuple[str, Column]],
     joined = staged.join(carried, [*keys, CHUNK])
     return joined.select(*[c for c in df.columns if c not in names], *[
         join[how](F.coalesce(agg[how](f"__v_{n}").over(upto), F.lit(0)),
-                  F.col(f"__c_{n}")).alias(n) for n, (how, _) in values.items()])
+                  F.col(f"__c_{n}")).alias(n) for n, (how, _) in values.items()]).hint("merge")    # as above
 
 
 def range_sums(rows: DataFrame, ranges: DataFrame, values: dict[str, Column], pane: int = 1) -> DataFrame:

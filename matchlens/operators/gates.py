@@ -91,14 +91,17 @@ def exact_count(windows: DataFrame, trace: DataFrame, inshot: DataFrame, wants:
     ends = windows.select("match_id", F.explode(F.array("start", F.col("end") - 1))
                           .alias("frame")).distinct()
     players = G.everyone()
-    dist = [f"sqrt(cast({G.squared_sql(p)} as double))" for p in players]
-    seen = [f"get(body, {i}) >= {threshold}" for i in range(len(players))]
+    dist = [f"sqrt(cast(get(d2, {i}) as double))" for i in range(len(players))]
+    seen = [f"(mask & {1 << i}L) <> 0" for i in range(len(players))]
     total = " + ".join(["0.0D", *(f"if({s}, {d}, 0.0D)" for s, d in zip(seen, dist))])
-    at = (ends.join(trace, ["match_id", "frame"])
-          .join(inshot.select("match_id", "frame", "body"), ["match_id", "frame"])
-          .select("match_id", "frame", "ball_x", "ball_y",
-                  G.near_count(radius, unit).alias("near"), G.count_of(seen).alias("people"),
-                  F.expr(total).alias("dist_sum")))
+    # the joins move a distance for each player and one bit for each slot, no positions
+    apart = F.expr(f"array({', '.join(G.squared_sql(p) for p in players)})")
+    mask = F.expr(" + ".join(f"if(get(body, {i}) >= {threshold}, {1 << i}L, 0L)" for i in range(len(players))))
+    at = (trace.select("match_id", "frame", "ball_x", "ball_y", apart.alias("d2"), G.near_count(radius, unit).alias("near"))
+          .join(ends, ["match_id", "frame"])
+          .join(inshot.select("match_id", "frame", mask.alias("mask")), ["match_id", "frame"])
+          .select("match_id", "frame", "ball_x", "ball_y", "near", G.count_of(seen).alias("people"),
+                  F.expr(total).alias("dist_sum")).hint("merge"))
     first = at.select("match_id", F.col("frame").alias("start"), F.col("near").alias("near_first"),
                       F.col("ball_x").alias("x0"), F.col("ball_y").alias("y0"))
     last = at.where(F.col("people").isin(*wants)).select(
@@ -151,7 +154,7 @@ def best_slide(windows: DataFrame, counts: DataFrame, ball: DataFrame, *, extra:
     ``counts`` has people per frame, ``ball`` a has_ball flag per frame.
     """
     w = chunks.along()
-    both = counts.select("match_id", "frame", "people").join(ball, ["match_id", "frame"])
+    both = counts.select("match_id", "frame", "people").join(ball, ["match_id", "frame"]).hint("merge")
     body = chunks.reach(both, 0, clip - 1)
     span = w.rowsBetween(0, clip - 1)
     body = chunks.core(body.select(

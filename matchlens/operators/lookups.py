@@ -18,8 +18,9 @@ WINDOW_KEY = ["match_id", "start", "end"]
 def with_end_counts(windows: DataFrame, inshot: DataFrame, threshold: int = 25) -> DataFrame:
     """People in shot on the first and on the last frame; windows missing either are dropped."""
     ends = windows.select("match_id", F.explode(F.array("start", F.col("end") - 1)).alias("frame"))
-    counts = inshot.join(ends.distinct(), ["match_id", "frame"], "left_semi").select(
-        "match_id", "frame", M.count_over("body", threshold).alias("n"))
+    # counted before the join, which then moves one number for each frame
+    counts = inshot.select("match_id", "frame", M.count_over("body", threshold).alias("n")).join(
+        ends.distinct(), ["match_id", "frame"], "left_semi").hint("merge")
     first = counts.select("match_id", F.col("frame").alias("start"),
                           F.col("n").alias("count_first"))
     last = counts.select("match_id", (F.col("frame") + 1).alias("end"),
@@ -105,9 +106,9 @@ def nearest(trace: DataFrame, unit: float = 1.0) -> DataFrame:
 def taker_in_shot(events: DataFrame, trace: DataFrame, inshot: DataFrame,
                   threshold: int = 25) -> DataFrame:
     """Per event (match_id, anchor): is the player nearest the ball at the anchor in shot?"""
-    who = nearest(trace.select("match_id", "frame", "ball_x", "ball_y", "left", "right")
-                  .join(events.select("match_id", F.col("anchor").alias("frame")).distinct(),
-                        ["match_id", "frame"], "left_semi"))
+    who = nearest(trace.select("match_id", "frame", "ball_x", "ball_y", "left", "right")).select(
+        "match_id", "frame", "team", "slot").join(
+        events.select("match_id", F.col("anchor").alias("frame")).distinct(), ["match_id", "frame"], "left_semi")
     seen = who.join(inshot.select("match_id", "frame", "body"), ["match_id", "frame"], "left")
     px = F.get("body", (F.col("team") * 11 + F.col("slot")).cast("int"))
     return events.join(seen.select(

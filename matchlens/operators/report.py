@@ -61,10 +61,11 @@ def classify(clips: DataFrame, trace: DataFrame, inshot: DataFrame, *, unit: flo
     """One row of measured facts per clip. ``clips`` needs kind and anchor."""
     u = F.lit(float(unit))
     clips = session.written(clips)
-    # counted on the frames of clips only
-    rows = clip_frames(clips, trace, 0, [
-        metre_step().alias("step_m"), previous_holder().alias("prev_held"),
-        G.near_count(C.NEAR_RADIUS, unit).alias("near_n")])
+    # counted before the join, which then moves no players
+    near = trace.select("match_id", "frame", "ball_x", "ball_y", "ball_z", "owned_team",
+                        G.near_count(C.NEAR_RADIUS, unit).alias("near_n"))
+    rows = clip_frames(session.few(clips.select(*CLIP)), near, 0, [
+        metre_step().alias("step_m"), previous_holder().alias("prev_held")])
     shown = inshot.select("match_id", "frame", M.count_over("body", body_px).alias("people"))
     rows = rows.join(shown, ["match_id", "frame"], "left")
     point = F.struct("ball_x", "ball_y")
@@ -164,7 +165,7 @@ def passes(clips: DataFrame, trace: DataFrame, *, visible: int = C.VISIBLE_FRAME
     """Passes and turnovers after the visible part: consecutive different holders, each holding
     for at least ``min_hold`` frames; loose frames break a run. Groups are single clips."""
     clips = session.written(clips)
-    rows = clip_frames(clips, trace.select("match_id", "frame", "owned_team", "owned_player"))
+    rows = clip_frames(session.few(clips.select(*CLIP)), trace.select("match_id", "frame", "owned_team", "owned_player"))
     rows = rows.where(F.col("frame") >= F.col("start") + visible - 1)
     w = Window.partitionBy(*CLIP).orderBy("frame")
     fresh = ((F.col("owned_team") != F.lag("owned_team", 1, -2).over(w))
@@ -248,7 +249,7 @@ def scene_documents(clips: DataFrame, trace: DataFrame, **how) -> DataFrame:
     A document holds one clip, so the collected list has a fixed length.
     """
     clips = session.written(clips)
-    frames = scene_frames(clips, trace, **how).groupBy(*CLIP).agg(
+    frames = scene_frames(session.few(clips.select(*CLIP)), trace, **how).groupBy(*CLIP).agg(
         F.array_sort(F.collect_list("f")).alias("frames"))
     head = [c for c in clips.columns if c not in CLIP]
     return clips.join(frames, CLIP).select(

@@ -171,11 +171,11 @@ def slides(trace: DataFrame, events: DataFrame, lengths: DataFrame, *,
     spots = spots.where((F.col("base") >= 0) & (F.col("room") >= 0)).select(
         "kind", "match_id", "anchor", "base", "room")
     keys = ["kind", "match_id", "anchor", "base", "room"]
-    rows = chunks.covering(trace.select(*NEEDED, "left", "right"), spots, F.col("base"),
+    # slides overlap, so a distance is worth measuring once per frame; the join then moves no players
+    rows = chunks.covering(trace.select(*NEEDED, G.nearest_metres(unit).alias("near_m")), spots, F.col("base"),
                            F.col("base") + F.col("room") + clip - 1)
     # no context before the first frame: a window never counts the step into its opening frame
-    rows = rows.select(*keys, *[c for c in NEEDED if c != "match_id"],
-                       G.nearest_metres(unit).alias("near_m"))
+    rows = rows.select(*keys, *[c for c in NEEDED if c != "match_id"], "near_m")
     rows = rows.select("*", *flags(unit, keys))
     pane = gcd(stride, clip)
     panes = _to_panes(rows, keys, F.col("frame") - F.col("base"), pane, True)
