@@ -28,3 +28,19 @@ def broadcast_rows(df):
 @pytest.mark.parametrize("name", ["camera_offsets", "captured_steps", "exact_count_windows", "pool"])
 def test_frames_are_not_broadcast(spark, name):
     assert max(broadcast_rows(entry.queries()[name](spark, "/root/testdata/sf0.01")), default=0) < SMALL
+
+
+def test_large_shuffles_get_more_tasks_than_the_setting_names(spark):
+    from matchlens.operators import events
+    from matchlens.plans import fixtures
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                                        "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1k")
+        found = events.awards(fixtures.trace(spark, "/root/testdata/sf0.01"))
+        assert found.rdd.getNumPartitions() > 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
