@@ -39,7 +39,9 @@ VIEWS["clips"] = """SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PART
 
 def pool(spark, sf, windows=None):
     tr = X.trace(spark, sf)
-    w = open_windows(spark, sf) if windows is None else windows
+    # Written first: the lookups below read the windows six times in all, and each time their whole plan over the
+    # trace would stand in the driver's memory again.
+    w = session.written(open_windows(spark, sf) if windows is None else windows)
     w = L.outside_spans(w, X.absent(spark, sf), "ends")
     w = L.with_end_counts(w, X.inshot(spark, sf))
     w = L.with_ball_pixel(w, X.ballpix(spark, sf))

@@ -44,3 +44,12 @@ def test_large_shuffles_get_more_tasks_than_the_setting_names(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_pool_reads_the_windows_plan_once(spark):
+    """Lookups join the windows several times; their plan over the trace must not stand in the pool's as often."""
+    from matchlens.plans import q_select
+    plan = q_select.kpool(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    traced = sum("l_suppkey" in leaves.apply(i).output().toString() for i in range(leaves.size()))
+    assert 0 < traced <= 8
