@@ -139,35 +139,49 @@ def _f(v: Column, n: Column, places: int) -> Column:
     return F.when(v > 0, (v - share) * (v - share)).otherwise(0.0)
 
 
+def _counted(picks: DataFrame) -> DataFrame:
+    """One row: n picks, and of the grid's cells (k + name), rows (r) and columns (c) that hold some, how many."""
+    at = F.explode(F.array(*[F.concat(F.lit(t), of(F.col("cell"))) for t, of in _PLACES.items()]))
+    counts = picks.select(at.alias("at")).where("at is not null").groupBy("at").agg(F.count(F.lit(1)).alias("v"))
+    held = counts.agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("held"))
+    return picks.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(held))     # one row each
+
+
+_PLACES = {"k": lambda c: c, "r": lambda c: F.substring(c, 1, 1), "c": lambda c: F.substring(c, 2, 2)}
+
+
+def _exchanges(options: DataFrame, picks: DataFrame, weight: float) -> DataFrame:
+    """The picks of a round that take the places of others; each slot, match, row and column changes once at most."""
+    here = picks.select("slot", F.col("kind").alias("old_kind"), F.col("match_id").alias("old_match"), F.col("cell").alias("old_cell"), F.col("coh").alias("old_coh"))
+    can = options.join(here, "slot").where("kind = old_kind")
+    can = can.join(picks.select("match_id", F.col("slot").alias("user")), "match_id", "left").where("user is null or user = slot").drop("user")
+    # the counts of the whole grid fit in a row: a join for each of them would make the plan of a round several times larger
+    can = _best(can, ["slot", "cell"], _calm()).join(F.broadcast(_counted(picks)))
+
+    def held(t, cell):
+        return F.coalesce(F.element_at("held", F.concat(F.lit(t), _PLACES[t](F.col(cell)))), F.lit(0))
+
+    def moved(t, places):
+        old, new, n, of = held(t, "old_cell"), held(t, "cell"), F.col("n"), _PLACES[t]
+        change = _f(old - 1, n, places) - _f(old, n, places) + _f(new + 1, n, places) - _f(new, n, places)
+        return F.when(of(F.col("old_cell")) == of(F.col("cell")), 0.0).otherwise(change)
+    used = F.when(F.col("cell") == F.col("old_cell"), 0).otherwise(
+        (held("k", "cell") == 0).cast("int") - (held("k", "old_cell") == 1).cast("int"))
+    uneven = -used * C.SPREAD_CELL + moved("r", C.GRID_ROWS) * C.SPREAD_ROW + moved("c", C.GRID_COLS) * C.SPREAD_COLUMN
+    gain = (F.col("old_coh") - F.col("coh")) / F.col("n") - F.lit(weight) * uneven
+    can = _best(can.withColumn("gain", gain).where(F.col("gain") > GAIN), ["slot"], [F.desc("gain"), *_calm()])
+    touches = F.array_distinct(F.array(F.concat(F.lit("m"), "match_id"), *[
+        F.concat(F.lit(t), _PLACES[t](F.col(c))) for t in "rc" for c in ("old_cell", "cell")]))
+    at = can.select("*", F.posexplode(touches).alias("nth", "at"))
+    first = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("gain"), *_calm()))
+    last = F.max("first").over(Window.partitionBy("slot"))
+    return at.withColumn("first", first).withColumn("last", last).where("last = 1 and nth = 0").select(*picks.columns)
+
+
 def exchanged(options: DataFrame, picks: DataFrame, weight: float) -> DataFrame:
     """picks after all exchanges, within slot and class, that make the batch calmer or more even."""
-    row, col = (lambda c: F.substring(c, 1, 1)), (lambda c: F.substring(c, 2, 2))
     while True:
-        here = picks.select("slot", F.col("kind").alias("old_kind"), F.col("match_id").alias("old_match"), F.col("cell").alias("old_cell"), F.col("coh").alias("old_coh"))
-        size = picks.agg(F.count(F.lit(1)).alias("n"))
-        can = options.join(here, "slot").where("kind = old_kind")
-        can = can.join(picks.select("match_id", F.col("slot").alias("user")), "match_id", "left").where("user is null or user = slot").drop("user")
-        can = _best(can, ["slot", "cell"], _calm()).join(F.broadcast(size))     # one row
-        for name, of in (("cell", lambda c: c), ("row", row), ("col", col)):
-            counts = picks.groupBy(of(F.col("cell")).alias("k")).agg(F.count(F.lit(1)).alias("v"))
-            for side, cell in (("old", "old_cell"), ("new", "cell")):
-                can = can.withColumn("k", of(F.col(cell))).join(counts.withColumnRenamed("v", f"{name}_{side}"), "k", "left").drop("k").fillna(0, [f"{name}_{side}"])
-
-        def moved(name, places):
-            old, new, n = F.col(f"{name}_old"), F.col(f"{name}_new"), F.col("n")
-            change = _f(old - 1, n, places) - _f(old, n, places) + _f(new + 1, n, places) - _f(new, n, places)
-            same = (row if name == "row" else col)
-            return F.when(same(F.col("old_cell")) == same(F.col("cell")), 0.0).otherwise(change)
-        used = F.when(F.col("cell") == F.col("old_cell"), 0).otherwise((F.col("cell_new") == 0).cast("int") - (F.col("cell_old") == 1).cast("int"))
-        uneven = -used * C.SPREAD_CELL + moved("row", C.GRID_ROWS) * C.SPREAD_ROW + moved("col", C.GRID_COLS) * C.SPREAD_COLUMN
-        gain = (F.col("old_coh") - F.col("coh")) / F.col("n") - F.lit(weight) * uneven
-        can = _best(can.withColumn("gain", gain).where(F.col("gain") > GAIN), ["slot"], [F.desc("gain"), *_calm()])
-        touches = F.array_distinct(F.array(F.concat(F.lit("m"), "match_id"), *[
-            F.concat(F.lit(t), of(F.col(c))) for t, of in (("r", row), ("c", col)) for c in ("old_cell", "cell")]))
-        at = can.withColumn("touches", touches).withColumn("at", F.explode("touches"))
-        first = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("gain"), *_calm()))
-        won = at.withColumn("first", first).groupBy("slot").agg(F.max("first").alias("f")).where("f = 1")
-        new = session.cut_lineage(can.join(won.select("slot"), "slot", "left_semi").select(*picks.columns))
+        new = session.cut_lineage(_exchanges(options, picks, weight))
         if new.isEmpty():
             return picks
         picks = session.cut_lineage(picks.join(new.select("slot"), "slot", "left_anti").unionByName(new))

@@ -53,3 +53,22 @@ def test_pool_reads_the_windows_plan_once(spark):
     leaves = plan.collectLeaves()
     traced = sum("l_suppkey" in leaves.apply(i).output().toString() for i in range(leaves.size()))
     assert 0 < traced <= 8
+
+
+def test_rounds_of_a_batch_have_small_plans(spark, monkeypatch):
+    """Each round's plan stays in the driver's memory until it is collected: counts of the grid are no joins of their own."""
+    from matchlens import session
+    from matchlens.operators import matching
+    joins = []
+
+    def cut(df, of=session.cut_lineage):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins.append(sum("Join " in line for line in plan.splitlines()))
+        return of(df)
+    monkeypatch.setattr(session, "cut_lineage", cut)
+    rows = [(f"s{i % 3}", i, "ab"[i % 2], "ABCDEF"[i % 6] + str(1 + i % 16), 0.1 * (i % 7)) for i in range(30)]
+    options = spark.createDataFrame(rows, "slot string, match_id long, kind string, cell string, coh double")
+    picks = options.where("match_id in (0, 4, 5)")
+    joins.clear()
+    assert matching.exchanged(options, picks, 0.06).count() == 3
+    assert 0 < max(joins) <= 4
