@@ -20,7 +20,7 @@ def with_end_counts(windows: DataFrame, inshot: DataFrame, threshold: int = 25)
     ends = windows.select("match_id", F.explode(F.array("start", F.col("end") - 1)).alias("frame"))
     # counted before the join, which then moves one number for each frame
     counts = inshot.select("match_id", "frame", M.count_over("body", threshold).alias("n")).join(
-        ends.distinct(), ["match_id", "frame"], "left_semi").hint("merge")
+        ends.distinct().hint("merge"), ["match_id", "frame"], "left_semi").hint("merge")
     first = counts.select("match_id", F.col("frame").alias("start"),
                           F.col("n").alias("count_first"))
     last = counts.select("match_id", (F.col("frame") + 1).alias("end"),
@@ -67,8 +67,9 @@ def outside_spans(windows: DataFrame, spans: DataFrame, rule: str = "ends",
     looked = windows.select(*WINDOW_KEY, F.explode(ends if rule == "ends" else whole).alias("p"))
     looked = looked.select(*WINDOW_KEY, "p", F.explode(buckets(F.col("p.lo"), F.col("p.hi"))).alias("b"))
     hit = F.exists("gone", lambda s: (F.col("p.lo") <= s["hi"]) & (s["lo"] <= F.col("p.hi")))
-    touched = looked.join(gone, ["match_id", "b"]).where(hit).select(*WINDOW_KEY)
-    return windows.join(touched, WINDOW_KEY, "left_anti").select(*windows.columns)
+    # unfolded windows: Spark takes them to be as small as the file they come from, and would broadcast millions
+    touched = looked.hint("merge").join(gone, ["match_id", "b"]).where(hit).select(*WINDOW_KEY)
+    return windows.join(touched.hint("merge"), WINDOW_KEY, "left_anti").select(*windows.columns)
 
 
 def possession(trace: DataFrame, clip: int = C.CLIP_FRAMES) -> DataFrame:

@@ -72,3 +72,13 @@ def test_rounds_of_a_batch_have_small_plans(spark, monkeypatch):
     joins.clear()
     assert matching.exchanged(options, picks, 0.06).count() == 3
     assert 0 < max(joins) <= 4
+
+
+def test_windows_of_a_written_table_are_not_broadcast(spark):
+    from matchlens import session
+    from matchlens.operators import lookups as L
+    w = session.written(spark.range(40_000).selectExpr("id % 100 as match_id", "id as start", "id + 125 as end"))
+    spans = spark.range(100).selectExpr("id as match_id", "10 * id as lo", "10 * id + 30 as hi")
+    assert max(broadcast_rows(L.outside_spans(w, spans)), default=0) < SMALL
+    inshot = spark.range(1000).selectExpr("id % 100 as match_id", "id as frame", "array(30L) as body")
+    assert max(broadcast_rows(L.with_end_counts(w, inshot)), default=0) < SMALL
