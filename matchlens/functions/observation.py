@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from matchlens.functions.geometry import SQUAD
+
 # --- fixed values: direction k of the eight sticky directions is opposite to k + 4 ---
 DIRECTIONS = ["left", "top_left", "top", "top_right", "right", "bottom_right", "bottom",
               "bottom_left"]
@@ -15,8 +17,18 @@ def flip_sticky(sticky: Column) -> Column:
                     F.slice(sticky, len(DIRECTIONS) + 1, 100))
 
 
+def _each(points: Column, entries, width: int, whole) -> Column:
+    """``entries(p)``, ``width`` values a point, of all points in order. Up to a squad they are written out, so that
+    they stay in generated code (see `geometry.everyone`); ``whole(points)`` serves longer lists."""
+    values = [v for i in range(SQUAD) for v in entries(F.get(points, F.lit(i)))]
+    n = F.size(points)
+    return F.when(n <= SQUAD, F.slice(F.array(*values), F.lit(1), n * width)).otherwise(whole(points))
+
+
 def _turned(points: Column) -> Column:
-    return F.transform(points, lambda p: F.struct((-p["x"]).alias("x"), (-p["y"]).alias("y")))
+    def turn(p):
+        return F.struct((-p["x"]).alias("x"), (-p["y"]).alias("y"))
+    return _each(points, lambda p: [turn(p)], 1, lambda ps: F.transform(ps, turn))
 
 
 def flip(df: DataFrame) -> DataFrame:
@@ -42,8 +54,9 @@ def flip(df: DataFrame) -> DataFrame:
 
 
 def _flat(points: Column) -> Column:
-    return F.flatten(F.transform(points, lambda p: F.array(p["x"].cast("double"),
-                                                           p["y"].cast("double"))))
+    def pair(p):
+        return [p["x"].cast("double"), p["y"].cast("double")]
+    return _each(points, pair, 2, lambda ps: F.flatten(F.transform(ps, lambda p: F.array(*pair(p)))))
 
 
 def _pad(values: Column, n: int) -> Column:
@@ -51,8 +64,10 @@ def _pad(values: Column, n: int) -> Column:
 
 
 def _one_hot(index: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                       lambda i: F.when(i == index, 1.0).otherwise(0.0))
+    return F.array(*[F.when(index == i, 1.0).otherwise(0.0) for i in range(n)])
+
+
+LENGTH = 115
 
 
 def features(fixed: bool = True) -> Column:

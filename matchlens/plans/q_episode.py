@@ -22,10 +22,9 @@ def observed(spark, sf):
         F.expr("(frame + match_id) % 7 - 3").alias("ball_dx"),
         F.expr("(frame + 2 * match_id) % 5 - 2").alias("ball_dy"),
         F.expr("(frame + 3 * match_id) % 9 - 4").alias("ball_dz"),
-        F.expr("transform(`left`, p -> struct(p.x % 5 as x, p.y % 3 as y))").alias("left_dir"),
-        F.expr("transform(`right`, p -> struct(p.x % 5 as x, p.y % 3 as y))").alias("right_dir"),
-        F.expr("transform(sequence(0, 9), i -> (frame div shiftleft(1, i)) % 2)")
-        .alias("sticky"))
+        *[F.expr("array(" + ", ".join(f"named_struct('x', get(`{side}`, {i}).x % 5, 'y', get(`{side}`, {i}).y % 3)"
+                                      for i in range(11)) + ")").alias(f"{side}_dir") for side in ("left", "right")],
+        F.expr("array(" + ", ".join(f"(frame div {1 << i}) % 2" for i in range(10)) + ")").alias("sticky"))
 
 
 def _weighted(side: str, axis: str):
@@ -92,7 +91,7 @@ def _(spark, sf):
     v = o.select("match_id", "frame", O.features(True).alias("f"), O.features(False).alias("p"))
 
     def weigh(c):
-        return F.expr(f"aggregate(transform({c}, (v, i) -> v * (i + 1)), 0.0D, (a, v) -> a + v)")
+        return F.expr(" + ".join(["0.0D", *(f"get({c}, {i}) * {i + 1}" for i in range(O.LENGTH))]))
     return v.select("match_id", "frame", F.size("f").cast("bigint").alias("n_fixed"),
                     F.size("p").cast("bigint").alias("n_packed"), weigh("f").alias("sum_fixed"),
                     weigh("p").alias("sum_packed"), F.get("f", F.lit(22)).alias("f23"),
