@@ -28,7 +28,7 @@ def observed(spark, sf):
 
 
 def _weighted(side: str, axis: str):
-    return F.expr(f"aggregate(transform({side}, (p, i) -> p.{axis} * (i + 1)), 0L, (a, v) -> a + v)")
+    return F.expr(" + ".join(["0L", *(f"get({side}, {i}).{axis} * {i + 1}" for i in range(11))]))
 
 
 def _weighted_sql(team: int, axis: int, mod: str = "") -> str:

@@ -26,7 +26,7 @@ def test_flip_and_features_of_any_number_of_players(spark, n):
     assert turned.right == (None if pts is None else [(-x, -y) for x, y in pts])
 
 
-@pytest.mark.parametrize("name", ["feature_vectors"])
+@pytest.mark.parametrize("name", ["feature_vectors", "flipped_observations"])
 def test_sums_over_players_are_not_interpreted(spark, name):
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan
