@@ -82,3 +82,9 @@ def test_windows_of_a_written_table_are_not_broadcast(spark):
     assert max(broadcast_rows(L.outside_spans(w, spans)), default=0) < SMALL
     inshot = spark.range(1000).selectExpr("id % 100 as match_id", "id as frame", "array(30L) as body")
     assert max(broadcast_rows(L.with_end_counts(w, inshot)), default=0) < SMALL
+
+
+# Queries on the best windows of a pool, with what each adds to it
+@pytest.mark.parametrize("name", ["check_published_counts", "clip_classification", "clip_recipes"])
+def test_pools_and_their_frames_are_not_broadcast(spark, name):
+    assert max(broadcast_rows(entry.queries()[name](spark, "/root/testdata/sf0.01")), default=0) < SMALL
