@@ -195,6 +195,8 @@ def pixels(spark, sf) -> DataFrame:
     base = lengths(spark, sf).select(
         F.col("match_id").alias("clip"), F.expr("(389 * match_id + 211) % 1280 div 20").alias("bx"),
         F.expr("(157 * match_id + 97) % 480 div 20").alias("by"))
+    # a task for few pairs each: a few bytes unfold to 1536 pixels, as in frames
+    base = base.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "clip")
     grid = base.select("*", F.explode(F.expr(f"sequence(0L, {PIXEL_H - 1}L)")).alias("y")).select(
         "*", F.explode(F.expr(f"sequence(0L, {PIXEL_W - 1}L)")).alias("x")).hint("merge")    # as frames
     grid = grid.select("clip", "y", "x", F.expr("20 + (7 * x + 13 * y + 3 * clip) % 30")

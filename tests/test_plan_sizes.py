@@ -88,3 +88,13 @@ def test_windows_of_a_written_table_are_not_broadcast(spark):
 @pytest.mark.parametrize("name", ["check_published_counts", "clip_classification", "clip_recipes"])
 def test_pools_and_their_frames_are_not_broadcast(spark, name):
     assert max(broadcast_rows(entry.queries()[name](spark, "/root/testdata/sf0.01")), default=0) < SMALL
+
+
+def test_pixels_are_dealt_before_they_unfold(spark):
+    """The few bytes of a frame pair become many pixels: left to adaptive execution, all of them would meet in one task."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert entry.queries()["paired_passes"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
