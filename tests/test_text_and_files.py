@@ -159,3 +159,16 @@ def test_tenths_as_stored(spark):
     from matchlens.operators import report
     got = spark.createDataFrame([(v,) for v in values], "v double").select(report.in_tenths(F.col("v"))).collect()
     assert [r[0] for r in got] == [f"{v:.1f}" for v in values]
+
+
+def test_step_logs_are_compressed_and_read_back(spark, tmp_path):
+    """Plain, the logs take several times the room of what is shuffled for them."""
+    from matchlens.plans import fixtures
+    from matchlens.sources import readers, writers
+    trace = fixtures.trace(spark, "/root/testdata/sf0.001").where("match_id < 3 and frame < 700")
+    path = str(tmp_path / "logs")
+    writers.step_logs(trace, path)
+    files = [p.name for p in (tmp_path / "logs").iterdir() if p.name.startswith("part-")]
+    assert files and all(f.endswith(".json.gz") for f in files)
+    keys = ["match_id", "frame", "owned_team", "owned_player", "game_mode", "score_l", "score_r"]
+    assert sorted(map(tuple, readers.step_logs(spark, path).select(*keys).collect())) == sorted(map(tuple, trace.select(*keys).collect()))
