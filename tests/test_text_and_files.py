@@ -172,3 +172,16 @@ def test_step_logs_are_compressed_and_read_back(spark, tmp_path):
     assert files and all(f.endswith(".json.gz") for f in files)
     keys = ["match_id", "frame", "owned_team", "owned_player", "game_mode", "score_l", "score_r"]
     assert sorted(map(tuple, readers.step_logs(spark, path).select(*keys).collect())) == sorted(map(tuple, trace.select(*keys).collect()))
+
+
+def test_matches_that_share_a_name_keep_their_own_step_lists(spark, tmp_path):
+    """Names hold three digits of the seed, so that of 9,800 matches on the first ones share theirs."""
+    from matchlens.plans import fixtures
+    from matchlens.sources import readers, writers
+    frames = spark.createDataFrame([(m, f, 7 + m % 3) for m in (0, 9800, 9814) for f in range(7 + m % 3)], "match_id long, frame long, n long")
+    trace = fixtures.named(fixtures.track(frames))
+    assert trace.where("match_id > 0").select("match").distinct().count() == 1
+    writers.step_lists(trace, str(tmp_path / "lists"))
+    keys = ["match", "frame", "owned_team", "game_mode", "score_l"]
+    got = readers.match_step_lists(spark, str(tmp_path / "lists")).select(*keys).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, trace.select(*keys).collect()))
