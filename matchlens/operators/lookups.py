@@ -129,7 +129,12 @@ def digest(trace: DataFrame, columns: list[str], key: str = "match_id",
     text = F.concat_ws(",", *[F.col(c).cast("string") for c in ["frame", *columns]])
     level = trace.select(key, F.col("frame").alias("__i"), F.sha2(text, 256).alias("__h"),
                          F.lit(1).cast("bigint").alias("__n"))
-    for _ in range(4):
+    return _tree(level, key, fan, 4)
+
+
+def _tree(level: DataFrame, key: str, fan: int, rounds: int) -> DataFrame:
+    """key, digest, steps from (key, __i, __h, __n): hashes in order of __i, ``fan`` of them to one of the next level."""
+    for _ in range(rounds):
         level = level.groupBy(key, F.expr(f"__i div {fan}").alias("__b")).agg(
             F.sha2(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("__i", "__h"))), lambda s: s["__h"]), ";"),
@@ -168,30 +173,56 @@ def near_plays(trace: DataFrame, columns: list[str], tolerance: float = 1e-6, ke
 
     Equal traces share a digest, so only one trace of each digest goes on. Two traces within the
     tolerance have means within it, so they meet in a cell of (length, means) or, where a mean lies
-    that close to a border, in the next one. What meets is compared frame by frame.
+    that close to a border, in the next one. What meets, with means no further apart than the tolerance and the
+    rounding of their sums allow, is compared frame by frame. Frames are gathered once, in blocks of ``fan``, which
+    are hashed, averaged and compared as they are: a block moves as one row of plain lists.
     """
-    of = digest(trace, columns, key)
+    fan = 4096
+    blocks = session.written(_blocks(trace, columns, key, fan))
+    line = F.arrays_zip("__f", *columns)
+    hashes = F.transform(line, lambda r: F.sha2(F.concat_ws(",", (F.col("__i") * fan + r["__f"]).cast("string"), *[
+        r[c].cast("string") for c in columns]), 256))
+    of = session.written(_tree(blocks.select(key, "__i", F.sha2(F.array_join(hashes, ";"), 256).alias("__h"), F.size("__f").cast(
+        "bigint").alias("__n")), key, fan, 3))
     first = of.groupBy("digest").agg(F.min(key).alias(key), F.first("steps").alias("steps"))
-    first = session.cut_lineage(first)
-    body = session.cut_lineage(trace.select(key, "frame", *[F.col(c).cast("double").alias(c) for c in columns]).join(first, key))
+    real = blocks.select(key, F.explode(F.arrays_zip(*columns)).alias("r")).select(key, *[F.col(f"r.{c}").cast("double").alias(c) for c in columns])
+    # of the sum of n doubles no more than n roundings of its largest is lost; a column with nulls has no such bound
+    lost = [F.when(F.count(c) == F.count(F.lit(1)), F.max(F.abs(F.col(c))) * F.count(F.lit(1)) * 2.0 ** -52).alias(f"__lost_{c}") for c in columns]
+    means = first.join(real.groupBy(key).agg(*[F.avg(c).alias(f"__mean_{c}") for c in columns], *lost), key)
     cell = tolerance * (1 << 12)
-    means = body.groupBy("digest", "steps").agg(*[F.avg(c).alias(c) for c in columns])
     for c in columns:       # one cell, or two next to a border
-        slack = F.lit(2 * tolerance)
-        means = means.withColumn(c, F.explode(F.array_distinct(F.array(
-            F.floor((F.col(c) - slack) / cell), F.floor((F.col(c) + slack) / cell)))))
-    met = means.withColumnRenamed("digest", "a").join(means.withColumnRenamed("digest", "b"), ["steps", *columns]).where("a < b")
-    met = session.cut_lineage(met.select("a", "b").distinct())
-    x = body.select(F.col("digest").alias("a"), "frame", *[F.col(c).alias(f"a_{c}") for c in columns]).join(met, "a")
-    y = body.select(F.col("digest").alias("b"), "frame", *[F.col(c).alias(f"b_{c}") for c in columns])
-    apart = F.greatest(*[F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns], F.lit(0.0))
-    agreed = x.join(y, ["b", "frame"]).where(apart <= tolerance).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    agreed = agreed.join(first.select(F.col("digest").alias("a"), "steps"), "a").where("n = steps").select("a", "b")
+        slack, mean = F.lit(2 * tolerance), F.col(f"__mean_{c}")
+        means = means.withColumn(c, F.explode(F.array_distinct(F.array(F.floor((mean - slack) / cell), F.floor((mean + slack) / cell)))))
+    a, b = means.alias("a"), means.alias("b")
+    may = F.col("a.digest") < F.col("b.digest")
+    for c in ["steps", *columns]:
+        may &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    for c in columns:
+        may &= F.coalesce(F.abs(F.col(f"a.__mean_{c}") - F.col(f"b.__mean_{c}")) <= tolerance * (1 + 1e-9) + F.col(
+            f"a.__lost_{c}") + F.col(f"b.__lost_{c}"), F.lit(True))
+    met = session.written(a.join(b, may).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b"), F.col(f"a.{key}").alias("__x"), F.col(
+        f"b.{key}").alias("__y"), F.col("a.steps").alias("steps")).distinct())
+    # by match and block, so that a block moves to the pairs it is in and from there to its partner
+    at = blocks.select(F.col(key).alias("__x"), "__i")
+    pairs = met.select("__x", "__y").join(at, "__x")
+    x = blocks.select(F.col(key).alias("__x"), "__i", line.alias("__a")).join(pairs, ["__x", "__i"])
+    y = blocks.select(F.col(key).alias("__y"), "__i", line.alias("__b")).join(pairs.select("__y", "__i").distinct(), ["__y", "__i"], "left_semi")
+    both = x.join(y, ["__y", "__i"]).select("__x", "__y", F.explode(F.arrays_zip("__a", "__b")).alias("r"))
+    apart = F.greatest(*[F.abs(F.col(f"r.__a.{c}").cast("double") - F.col(f"r.__b.{c}").cast("double")) for c in columns], F.lit(0.0))
+    agreed = both.where((F.col("r.__a.__f") == F.col("r.__b.__f")) & (apart <= tolerance)).groupBy("__x", "__y").agg(F.count(F.lit(1)).alias("n"))
+    agreed = session.cut_lineage(met.join(agreed, ["__x", "__y"]).where("n = steps").select("a", "b"))
     both = agreed.select(F.col("a").alias("digest"), F.col("b").alias("near")).unionByName(
         agreed.select(F.col("b").alias("digest"), F.col("a").alias("near")))
     return of.select(key, "digest"), both.unionByName(first.select("digest", F.col("digest").alias("near")))
 
 
+def _blocks(trace: DataFrame, columns: list[str], key: str, fan: int) -> DataFrame:
+    """key, __i (number of the block), __f (frames, from the block's first) and a list for each column, in order of frames."""
+    rows = trace.select(key, F.expr(f"frame div {fan}").cast("bigint").alias("__i"), F.expr(f"cast(frame - frame div {fan} * {fan} as smallint)").alias("__f"), *columns)
+    lists = rows.groupBy(key, "__i").agg(F.array_sort(F.collect_list(F.struct("__f", *columns))).alias("__l"))
+    return lists.select(key, "__i", *[F.col(f"__l.{c}").alias(c) for c in ["__f", *columns]])
+
+
 def play_partners(clips: DataFrame, plays: DataFrame, near: DataFrame, clip: int = C.CLIP_FRAMES) -> DataFrame:
     """Adds the clip of another match that shows most of the same play: partner, partner_start, shared (frames).
 

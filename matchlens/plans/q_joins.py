@@ -189,7 +189,7 @@ def _(spark, sf):
     real = [(F.col(f"ball_{a}") / U).alias(f"ball_{a}") for a in "yz"]
     moved = copied_trace(spark, sf).select("match_id", "frame", (
         F.col("ball_x") / U + F.col("match_id") % 3 * F.lit(SHIFT)).alias("ball_x"), *real)
-    plays, near = L.near_plays(session.cut_lineage(moved), ["ball_x", "ball_y", "ball_z"])
+    plays, near = L.near_plays(moved, ["ball_x", "ball_y", "ball_z"])
     return L.play_partners(copied_clips(spark, sf).select("match_id", "start"), plays, near)
 
 

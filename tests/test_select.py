@@ -218,6 +218,31 @@ def test_play_partners_like_all_pairs(spark, small_chunks):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_near_plays_move_blocks_of_frames(spark, monkeypatch):
+    """No table keeps a row per frame, in traces of several blocks; digests are those of `digest`."""
+    from matchlens import session
+    kept = []
+    for name in ("written", "cut_lineage"):
+        def keep(df, of=getattr(session, name)):
+            out = of(df)
+            kept.append(out.count())
+            return out
+        monkeypatch.setattr(session, name, keep)
+    rnd = random.Random(14)
+    base = [(rnd.randint(-1000, 1000) / 1000, rnd.randint(-400, 400) / 1000) for _ in range(5000)]
+    tracks = {1: base, 2: list(base), 3: [(x + 8e-7, y) for x, y in base], 4: [(x + (1e-5 if i == 4500 else 0), y) for i, (x, y) in enumerate(base)],
+              5: [(x - 8e-7, y) for x, y in base], 6: base[:4096]}
+    rows = [(m, f, *p) for m, t in tracks.items() for f, p in enumerate(t)]
+    rows += [(7, f + 1, *p) for f, p in enumerate(base)]       # the same places a frame later
+    trace = spark.createDataFrame(rows, "match_id long, frame long, x double, y double").repartition(7)
+    plays, near = L.near_plays(trace, ["x", "y"])
+    d = {r.match_id: r.digest for r in plays.collect()}
+    assert d == {r.match_id: r.digest for r in L.digest(trace, ["x", "y"]).collect()} and d[1] == d[2]
+    found = {(r.digest, r.near) for r in near.collect()}
+    assert found == {(a, a) for a in d.values()} | {(d[a], d[b]) for a, b in ((1, 3), (3, 1), (1, 5), (5, 1))}
+    assert 0 < max(kept) < 100
+
+
 def test_range_sums_of_any_length(spark, small_chunks):
     """Ranges of any length, gaps between frames, ranges beyond the last frame, in panes of 1 and of 5."""
     rnd = random.Random(13)
