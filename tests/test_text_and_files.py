@@ -185,3 +185,19 @@ def test_matches_that_share_a_name_keep_their_own_step_lists(spark, tmp_path):
     keys = ["match", "frame", "owned_team", "game_mode", "score_l"]
     got = readers.match_step_lists(spark, str(tmp_path / "lists")).select(*keys).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, trace.select(*keys).collect()))
+
+
+def test_scene_graphs_are_compressed_and_read_back(spark, tmp_path):
+    """Plain, the documents take many times the room of what is shuffled for them."""
+    from matchlens.operators import report
+    from matchlens.plans import fixtures
+    from matchlens.sources import writers
+    clips = spark.createDataFrame([(1, 30, 155, 9), (2, 60, 185, None)], "match_id long, start long, end long, count_last long")
+    docs = report.scene_documents(clips, fixtures.trace(spark, "/root/testdata/sf0.001").where("match_id < 3"), unit=1000.0)
+    writers.scene_graphs(docs, str(tmp_path / "scenes"))
+    files = [p for p in (tmp_path / "scenes").iterdir() if p.name.startswith("part-")]
+    assert files and all(p.name.endswith(".json.gz") for p in files)
+    back = spark.read.schema(docs.schema).json(str(tmp_path / "scenes"))
+    assert back.orderBy("match_id").collect() == docs.orderBy("match_id").collect()
+    plain = docs.select(F.length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("n")).agg(F.sum("n")).first()[0]
+    assert sum(p.stat().st_size for p in files) * 4 < plain
