@@ -201,3 +201,22 @@ def test_scene_graphs_are_compressed_and_read_back(spark, tmp_path):
     assert back.orderBy("match_id").collect() == docs.orderBy("match_id").collect()
     plain = docs.select(F.length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).alias("n")).agg(F.sum("n")).first()[0]
     assert sum(p.stat().st_size for p in files) * 4 < plain
+
+
+def test_match_archives_are_compressed_and_keep_matches_apart(spark, tmp_path):
+    """Of matches that share a name each has its own archives and seed; several stretches come back in order."""
+    from matchlens.plans import fixtures
+    from matchlens.sources import readers, writers
+    frames = spark.createDataFrame([(m, f) for m in (0, 9800, 9814) for f in range(300)], "match_id long, frame long")
+    trace = fixtures.named(fixtures.track(frames).withColumns({c: F.col(c) / 1000.0 for c in ("ball_x", "ball_y", "ball_z")}))
+    side = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.struct((i / 16).alias("x"), (i / 32 + F.col("frame") / 64).alias("y")))
+    trace = trace.withColumns({"left": side, "right": F.reverse(side)})
+    files = writers.match_arrays(trace, str(tmp_path / "npz"), 128).collect()
+    assert len(files) == len({r.file for r in files}) == 9 and sum(r.frames for r in files) == 900
+    with np.load(files[0].file.removeprefix("file:")) as z:
+        assert z["left"].shape == (files[0].frames, 11, 2) and z["left"].dtype == z["ball"].dtype == np.float32
+        assert sum(z[k].nbytes for k in z.files) > 2 * sum(i.compress_size for i in z.zip.infolist())
+    keys = ["match", "shape", "seed", "frame", "owned_team", "owned_player", "game_mode", "score_l", "score_r", "left", "right",
+            *[F.round(f"ball_{a}", 3).alias(f"ball_{a}") for a in "xyz"]]
+    got, want = (sorted(map(tuple, df.select(*keys).collect())) for df in (readers.match_arrays(spark, str(tmp_path / "npz")), trace))
+    assert got == want
